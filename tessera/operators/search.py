@@ -78,11 +78,9 @@ def radius_at_percentile(
     vectors: DataFrame, q: Sequence[float], percents: Sequence[float], vec: str = "embedding"
 ) -> DataFrame:
     """Radius that takes in each percentage of rows, linear between neighbours."""
-    d = with_distance(vectors, q, "l2", vec)
-    ps = [float(p) for p in percents]
-    r = F.percentile("dist", F.lit([p / 100 for p in ps]))
-    z = F.explode(F.arrays_zip(F.lit(ps).alias("percent"), F.col("r").alias("radius")))
-    return d.agg(r.alias("r")).select(z.alias("z")).select("z.percent", "z.radius")
+    d = with_distance(vectors, q, "l2", vec).select("dist")
+    r = scale.percentiles(d, [], "dist", [p / 100 for p in percents])
+    return r.select(F.round(F.col("p") * 100, 9).alias("percent"), F.col("dist").alias("radius"))
 
 
 # ---------------------------------------------------------------- many queries

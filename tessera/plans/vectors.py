@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tessera.functions import distance as D
 from tessera.functions.scalars import vector_text
 from tessera.functions.vectorstats import mean_vector
+from tessera.operators import hybrid
 from tessera.operators import search as S
 from tessera.plans.registry import query
 
@@ -286,13 +287,14 @@ def sample_queries(t):
 @query(
     "rank_within_query",
     "with " + QSET + """, d as (select qid, vec_id as id,
-        list_distance(embedding::double[], qv) as dist from {embeddings}, qset where dist < 1.35)
-    select qid, id, row_number() over (partition by qid order by dist, id)::int as rank from d""",
+        list_inner_product(embedding::double[], qv) as ip from {embeddings}, qset),
+      r as (select qid, id, row_number() over (partition by qid order by ip desc, id)::int as rank from d)
+    select * from r where rank <= 50""",
 )
 def rank_within_query(t):
-    """1-based rank of every hit inside the radius, per query."""
-    best = S.knn_batch(t.user_vectors, qset(t), t.user_vectors.count())
-    return best.where("dist < 1.35").select("qid", "id", "rank")
+    """1-based rank of every hit within its query, higher score first."""
+    hits = S.knn_batch(t.user_vectors, qset(t), 50, "inner_product").drop("rank")
+    return hybrid.rank_hits(hits, "qid", "dist", "id", ascending=False).select("qid", "id", "rank")
 
 
 @query(

@@ -80,3 +80,90 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder (survives executor loss)."""
     ensure_checkpoints(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def _range_parts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Rows spread by sorted order of ``cols`` with the number of their range in ``_part``.
+
+    Materialized in the shared folder, so every later step sees the same ranges even when
+    executors are lost. A hot key covers several ranges.
+    """
+    return cut_lineage(df.repartitionByRange(*cols).withColumn("_part", F.spark_partition_id()))
+
+
+def _match(left: str, right: str, by: Sequence[str]) -> Column:
+    cond = F.lit(True)
+    for c in by:
+        cond = cond & F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}"))
+    return cond
+
+
+def _offsets(parts: DataFrame, by: Sequence[str], weight: Column) -> DataFrame:
+    """Rows of the same key in lower ranges: ``(by, _part, _before)``."""
+    per = parts.groupBy(*by, "_part").agg(F.sum(weight).alias("_w"))
+    w = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return per.select(*by, "_part", F.coalesce(F.sum("_w").over(w), F.lit(0)).alias("_before"))
+
+
+def row_numbers(
+    df: DataFrame, by: Sequence[str], order: Sequence[str], out: str = "rn",
+    small: int = 100_000,
+) -> DataFrame:
+    """1-based position of every row inside its key, without one task per key.
+
+    A table proven small is numbered by a plain window. Otherwise rows are range-partitioned by
+    (key, order), numbered inside each range and shifted by the counts of the ranges before.
+    ``order`` must be a total order inside a key.
+    """
+    if is_small(df, small):
+        w = Window.partitionBy(*by).orderBy(*order)
+        return df.withColumn(out, F.row_number().over(w).cast("long"))
+    parts = _range_parts(df, [*by, *order])
+    shift = _offsets(parts, by, F.lit(1))
+    local = F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order))
+    numbered = parts.withColumn("_rn", local)
+    joined = numbered.alias("l").join(shift.alias("r"), _match("l", "r", [*by, "_part"]))
+    return joined.select(
+        *[F.col(f"l.{c}") for c in df.columns],
+        (F.col("l._rn") + F.col("r._before")).cast("long").alias(out),
+    )
+
+
+def percentiles(
+    df: DataFrame, by: Sequence[str], value: str, ps: Sequence[float], small: int = 100_000
+) -> DataFrame:
+    """Exact percentiles ``(by, p, value)``, linear between neighbours; p in 0..1.
+
+    Tables proven small use the built-in aggregate, which keeps every distinct value of a group
+    in one task. Larger ones count equal values first, range-partition the rest and pick the rows
+    that cover the wanted ranks.
+    """
+    ps = [float(p) for p in ps]
+    df = df.select(*by, F.col(value).cast("double").alias(value)).where(F.col(value).isNotNull())
+    if is_small(df, small):
+        agg = df.groupBy(*by).agg(F.percentile(value, F.lit(ps)).alias("_v"))
+        z = F.explode(F.arrays_zip(F.lit(ps).alias("p"), F.col("_v").alias("v"))).alias("z")
+        return agg.select(*by, z).select(*by, F.col("z.p").alias("p"), F.col("z.v").alias(value))
+    counted = df.groupBy(*by, value).agg(F.count("*").alias("_c"))
+    parts = _range_parts(counted, [*by, value])
+    shift = _offsets(parts, by, F.col("_c"))
+    w = Window.partitionBy(*by, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    cum = parts.withColumn("_cum", F.sum("_c").over(w))
+    totals = broadcast_if_small(parts.groupBy(*by).agg(F.sum("_c").alias("_n")))
+    placed = (
+        cum.alias("l").join(shift.alias("r"), _match("l", "r", [*by, "_part"]))
+        .select(*[F.col(f"l.{c}").alias(c) for c in [*by, value, "_c"]],
+                (F.col("l._cum") + F.col("r._before")).alias("_hi"))
+        .alias("l").join(totals.alias("t"), _match("l", "t", by))
+        .select(*[F.col(f"l.{c}").alias(c) for c in [*by, value]],
+                (F.col("l._hi") - F.col("l._c")).alias("_lo"), F.col("l._hi").alias("_hi"),
+                F.explode(F.lit(ps)).alias("p"), F.col("t._n").alias("_n"))
+    )
+    rank = (F.col("_n") - 1) * F.col("p")
+    low, high = F.floor(rank), F.ceil(rank)
+    covers = lambda r: (r >= F.col("_lo")) & (r < F.col("_hi"))
+    hit = placed.where(covers(low) | covers(high))
+    v_low = F.max(F.when(covers(low), F.col(value)))
+    v_high = F.max(F.when(covers(high), F.col(value)))
+    frac = F.max(rank - low)
+    return hit.groupBy(*by, "p").agg((v_low + (v_high - v_low) * frac).alias(value))
