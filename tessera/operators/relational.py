@@ -62,10 +62,13 @@ def cross_small(left: DataFrame, right: DataFrame, max_rows: int = 10_000) -> Da
 
 
 def fixed_bins(df: DataFrame, by: str, order: str, value: str, size: int) -> DataFrame:
-    """Averages over consecutive runs of ``size`` observations per series."""
+    """Mean and extremes over consecutive runs of ``size`` observations per series."""
     numbered = scale.row_numbers(df.select(by, order, value), [by], [order], "_i")
-    binned = numbered.select(by, value, F.expr(f"(_i - 1) div {int(size)}").alias("bin"))
-    return binned.groupBy(by, "bin").agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
+    binned = numbered.withColumn("bin", F.expr(f"(_i - 1) div {int(size)}"))
+    return binned.groupBy(by, "bin").agg(
+        F.min("_i").alias("first_i"), F.max("_i").alias("last_i"), F.avg(value).alias("mean"),
+        F.min(value).alias("lo"), F.max(value).alias("hi"),
+    )
 
 
 # ---------------------------------------------------------------- bitmaps

@@ -109,7 +109,7 @@ def flt_point(t):
 @query(
     "prj_arith",
     f"""select l_orderkey, l_linenumber, l_quantity + l_tax as a, l_extendedprice - l_tax as s,
-      round({REVENUE} * (1 + l_tax), 6) as m, round(l_extendedprice / l_quantity, 6) as d
+      round({REVENUE} * (1 + l_tax), 6) as m, round(l_extendedprice / l_quantity, 8) as d
     from {{lineitem_x}}""",
 )
 def prj_arith(t):
@@ -117,7 +117,7 @@ def prj_arith(t):
     return t.lineitem_x.select(
         "l_orderkey", "l_linenumber", (c("l_quantity") + c("l_tax")).alias("a"),
         (c("l_extendedprice") - c("l_tax")).alias("s"), F.round(rev() * (1 + c("l_tax")), 6).alias("m"),
-        F.round(c("l_extendedprice") / c("l_quantity"), 6).alias("d"),
+        F.round(c("l_extendedprice") / c("l_quantity"), 8).alias("d"),
     )
 
 
@@ -680,12 +680,13 @@ def srt_full(t):
     "win_fixed_bins",
     """with r as (select value, row_number() over (partition by event_type order by event_id) as i,
       event_type from {events})
-    select event_type, (i - 1) // 5 as bin, count(*) as n, round(avg(value), 6) as mean
+    select event_type, (i - 1) // 5 as bin, min(i) as first_i, max(i) as last_i,
+      round(avg(value), 6) as mean, min(value) as lo, max(value) as hi
     from r group by all""",
 )
 def win_fixed_bins(t):
     return R.fixed_bins(t.events, "event_type", "event_id", "value", 5).select(
-        "event_type", "bin", "n", F.round("mean", 6).alias("mean")
+        "event_type", "bin", "first_i", "last_i", F.round("mean", 6).alias("mean"), "lo", "hi"
     )
 
 
