@@ -26,25 +26,22 @@ def size_to_mb(text) -> Column:
     s = F.trim(as_col(text))
     pattern = rf"^{_NUMBER}\s*([A-Za-z]+)$"
     unit = F.upper(F.regexp_extract(s, pattern, 2))
-    power = F.lit(None).cast("int")
-    for name, p in SIZE_UNITS.items():
-        power = F.when(unit == name, F.lit(p)).otherwise(power)
+    factor = F.create_map(*[F.lit(x) for u, p in SIZE_UNITS.items() for x in (u, 1024.0 ** (p - 2))])
     value = F.regexp_extract(s, pattern, 1)
-    number = F.when(value != "", value).cast("double")
-    return number * F.pow(F.lit(1024.0), power.cast("double") - 2)
+    # NULL for an unknown unit
+    return F.when(s.rlike(pattern), value).cast("double") * F.try_element_at(factor, unit)
 
 
 def duration_to_ms(text) -> Column:
     """``1sec456ms`` style durations in milliseconds; NULL when not of that form."""
     s = F.trim(as_col(text))
-    parts = "".join(rf"(?:\d+(?:\.\d+)?{u})?" for u in DURATION_MS)
-    valid = s.rlike(rf"^{parts}$") & (F.length(s) > 0)
-    total = F.lit(0.0)
-    for unit, ms in DURATION_MS.items():
-        # a unit must not match inside a longer one: 5ms has no minutes and no seconds
-        found = F.regexp_extract(s, rf"{_NUMBER}{unit}(?![a-z])", 1)
-        total = total + F.coalesce(F.when(found != "", found).cast("double"), F.lit(0.0)) * ms
-    return F.when(valid, total)
+    ordered = "".join(rf"(?:\d+(?:\.\d+)?{u})?" for u in DURATION_MS)
+    valid = s.rlike(rf"^{ordered}$") & (F.length(s) > 0)
+    item = F.lit(_NUMBER + r"([a-z]+)")
+    numbers, units = (F.regexp_extract_all(s, item, F.lit(i)) for i in (1, 2))
+    factor = F.create_map(*[F.lit(x) for pair in DURATION_MS.items() for x in pair])
+    terms = F.zip_with(numbers, units, lambda n, u: n.cast("double") * F.try_element_at(factor, u))
+    return F.when(valid, F.aggregate(terms, F.lit(0.0), lambda a, x: a + x))
 
 
 def bits(value, width: int = 8) -> Column:

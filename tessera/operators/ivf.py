@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tessera import scale
 from tessera.functions.distance import METRICS, as_col
 from tessera.operators import kernels, quantize
-from tessera.operators.search import knn_batch, knn_grid
+from tessera.operators.search import arrow_types, knn_batch, knn_grid
 
 Decode = Callable[[pa.Array], np.ndarray]
 
@@ -169,6 +169,7 @@ def _search_broadcast(index, rows, asked, queries, k, metric, id_col, data, deco
     sent = spark.sparkContext.broadcast((qids, qmat, by_list))
     qtype = queries.schema["qid"].dataType.simpleString()
     itype = index.schema[id_col].dataType.simpleString()
+    types = arrow_types(queries.schema["qid"], index.schema[id_col])
 
     def scan(batches):
         names, qm, lists = sent.value
@@ -182,9 +183,7 @@ def _search_broadcast(index, rows, asked, queries, k, metric, id_col, data, deco
                 if int(lst) in lists:
                     top.add(ids[at], x[at], np.array(lists[int(lst)]))
         for p, ids, score in top.result():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([names[p]] * len(ids)), pa.array(ids), pa.array(score)], ["qid", "id", "dist"]
-            )
+            yield kernels.hits(types, names[p], ids, score)
 
     probed = index.where(F.col("list_id").isin(sorted(by_list)))
     return probed.select("list_id", id_col, data).mapInArrow(
@@ -204,13 +203,13 @@ def _search_blocks(index, probes, queries, k, metric, id_col, data, decode, bloc
     ways = list_sizes(index).select("list_id", F.ceil(F.col("n") / block).cast("int").alias("nv"))
     asked = probes.groupBy("list_id").agg(F.ceil(F.count("*") / block).cast("int").alias("nq"))
     grid = scale.broadcast_if_small(ways.join(asked, "list_id"))
-    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), (F.col(c) - 1).cast("long")))
     left = index.select("list_id", F.col(id_col).alias("id"), F.col(data).alias("x")).join(grid, "list_id")
-    left = left.select("list_id", "id", "x", F.pmod(F.xxhash64("id"), "nv").alias("vb"),
-                       upto("nq").cast("long").alias("qb"))
+    left = left.select(F.col("list_id").alias("lst"), "id", "x", F.pmod(F.xxhash64("id"), "nv").alias("vb"),
+                       upto("nq").alias("qb"))
     right = probes.select("qid", "list_id").join(queries.select("qid", "qvec"), "qid").join(grid, "list_id")
-    right = right.select("list_id", "qid", "qvec", F.pmod(F.xxhash64("qid"), "nq").alias("qb"),
-                         upto("nv").cast("long").alias("vb"))
+    right = right.select(F.col("list_id").alias("lst"), "qid", "qvec", F.pmod(F.xxhash64("qid"), "nq").alias("qb"),
+                         upto("nv").alias("vb"))
 
     def cell(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(v) or not len(q):
@@ -225,7 +224,7 @@ def _search_blocks(index, probes, queries, k, metric, id_col, data, decode, bloc
             out += [pd.DataFrame({"qid": names[s + p], "id": i, "dist": d}) for p, i, d in top.result()]
         return pd.concat(out)
 
-    keys = ["list_id", "vb", "qb"]
+    keys = ["lst", "vb", "qb"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
         cell, f"qid {qtype}, id {itype}, dist double"
     )
@@ -272,6 +271,7 @@ def search_bits(
     sent = vectors.sparkSession.sparkContext.broadcast((qids, qmat, by_list))
     qtype = queries.schema["qid"].dataType.simpleString()
     itype = vectors.schema[id_col].dataType.simpleString()
+    types = arrow_types(queries.schema["qid"], vectors.schema[id_col])
 
     def scan(batches):
         names, qm, lists = sent.value
@@ -293,9 +293,7 @@ def search_bits(
                     keep = np.lexsort((cand, key))[:k]
                     best[p] = (key[keep], cand[keep])
         for p, (key, cand) in best.items():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([names[p]] * len(cand)), pa.array(cand), pa.array(key)], ["qid", "id", "dist"]
-            )
+            yield kernels.hits(types, names[p], cand, key)
 
     found = coded.where(F.col("list_id").isin(sorted(by_list))).mapInArrow(
         scan, f"qid {qtype}, id {itype}, dist double"

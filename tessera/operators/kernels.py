@@ -101,3 +101,11 @@ def grouped_rows(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     for rows in np.split(order, cuts):
         if len(rows):
             yield values[rows[0]], rows
+
+
+def hits(schema: list[pa.DataType], qid, ids: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
+    """Result rows ``(qid, id, dist)`` of one query, with the given id types."""
+    return pa.RecordBatch.from_arrays(
+        [pa.array([qid] * len(ids), schema[0]), pa.array(ids, schema[1]), pa.array(scores, pa.float64())],
+        ["qid", "id", "dist"],
+    )

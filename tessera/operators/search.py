@@ -11,6 +11,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera import scale
 from tessera.functions.distance import METRICS, parse_vector
@@ -86,6 +88,11 @@ def radius_at_percentile(
 # ---------------------------------------------------------------- many queries
 
 
+def arrow_types(*fields: T.StructField) -> list[pa.DataType]:
+    """Arrow types of the given columns."""
+    return [to_arrow_type(f.dataType) for f in fields]
+
+
 def knn_batch(
     vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2", id_col: str = "id",
     vec: str = "embedding", qid: str = "qid", qvec: str = "qvec",
@@ -105,6 +112,7 @@ def knn_batch(
     sent = vectors.sparkSession.sparkContext.broadcast((qids, qs))
     qtype = queries.schema[qid].dataType.simpleString()
     itype = vectors.schema[id_col].dataType.simpleString()
+    types = arrow_types(queries.schema[qid], vectors.schema[id_col])
 
     def scan(batches):
         names, qmat = sent.value
@@ -116,10 +124,7 @@ def knn_batch(
                     kernels.matrix(b.column(1), qmat.shape[1]),
                 )
         for p, ids, score in top.result():
-            n = len(ids)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([names[p]] * n), pa.array(ids), pa.array(score)], ["qid", "id", "dist"]
-            )
+            yield kernels.hits(types, names[p], ids, score)
 
     local = vectors.select(id_col, vec).mapInArrow(
         scan, f"qid {qtype}, id {itype}, dist double"
