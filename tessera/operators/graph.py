@@ -175,14 +175,38 @@ def prune(
     return kept.join(again, "src", "left_anti").select("src", "dst", "dist").unionByName(rest)
 
 
-def _scored(pairs: DataFrame, vectors: DataFrame, queries: DataFrame, id_col: str, vec: str) -> DataFrame:
-    """Squared distances of ``(qid, node)`` pairs."""
-    v = vectors.select(F.col(id_col).alias("node"), F.col(vec).alias("v"))
-    with_v = v.join(scale.broadcast_if_small(pairs), "node")
-    q = scale.broadcast_if_small(queries.select("qid", "qvec"), 5_000)
-    return with_v.join(q, "qid").select(
-        "qid", "node", ivf.pair_distance("v", "qvec", "l2_sq").alias("dist")
-    )
+class _Asked:
+    """Stored queries and the largest degree: what the rounds of a search need to know.
+
+    The frontier of a round has at most (active nodes x largest degree) rows, so whether it can be
+    broadcast follows from a count instead of another pass.
+    """
+
+    def __init__(self, vectors, edges, queries, id_col, vec):
+        self.v = vectors.select(F.col(id_col).alias("node"), F.col(vec).alias("v"))
+        self.queries = scale.cut_lineage(queries.select("qid", "qvec"))
+        small = scale.bounded_vectors(self.queries, "qid", "qvec") is not None
+        self.q = F.broadcast(self.queries) if small else self.queries
+        self.links = edges.select(F.col("src").alias("node"), "dst")
+        degrees = edges.groupBy("src").count().agg(F.max("count").alias("m"))
+        self.degree = degrees.head()["m"] or 0
+
+    def sized(self, df: DataFrame, rows: int) -> DataFrame:
+        return F.broadcast(df) if rows <= scale.BROADCAST_ROWS else df
+
+    def around(self, active: DataFrame, n: int) -> DataFrame:
+        """Distinct neighbours ``(qid, node)`` of n active ``(qid, node)`` rows."""
+        hops = self.links.join(self.sized(active, n), "node")
+        return hops.select("qid", F.col("dst").alias("node")).distinct()
+
+    def scored(self, pairs: DataFrame, n: int) -> DataFrame:
+        """Squared distances of at most n ``(qid, node)`` pairs."""
+        return self.v.join(self.sized(pairs, n), "node").join(self.q, "qid").select(
+            "qid", "node", ivf.pair_distance("v", "qvec", "l2_sq").alias("dist"))
+
+    def start(self, entry) -> DataFrame:
+        pairs = self.queries.select("qid", F.lit(entry).alias("node"))
+        return self.scored(pairs, self.queries.count())
 
 
 def greedy_search(
@@ -192,21 +216,17 @@ def greedy_search(
     """Hill climb for all queries together: ``(qid, node, dist, computed)``.
 
     Each step moves every query to its nearest neighbour if that is nearer than its place, and
-    ends when no query moves. ``computed`` counts distances.
+    ends when no query moves. ``computed`` counts distances. ``edges`` should be a stored table.
     """
-    start = queries.select("qid", F.lit(entry).alias("node"))
-    state = scale.cut_lineage(
-        _scored(start, vectors, queries, id_col, vec).select(
-            "*", F.lit(1).cast("bigint").alias("computed"), F.lit(True).alias("moved"))
-    )
-    links = edges.select(F.col("src").alias("node"), "dst")
+    ask = _Asked(vectors, edges, queries, id_col, vec)
+    state = scale.cut_lineage(ask.start(entry).select(
+        "*", F.lit(1).cast("bigint").alias("computed"), F.lit(True).alias("moved")))
     for _ in range(max_steps):
-        active = state.where("moved")
-        if active.isEmpty():
+        active = state.where("moved").select("qid", "node")
+        n = active.count()
+        if not n:
             break
-        around = links.join(scale.broadcast_if_small(active.select("qid", "node")), "node").select(
-            "qid", F.col("dst").alias("node"))
-        best = _scored(around, vectors, queries, id_col, vec).groupBy("qid").agg(
+        best = ask.scored(ask.around(active, n), n * ask.degree).groupBy("qid").agg(
             F.min_by(F.struct("node", "dist"), F.struct("dist", "node")).alias("b"), F.count("*").alias("c")
         )
         step = state.join(best, "qid", "left")
@@ -227,22 +247,19 @@ def beam_search(
 
     A round expands every node among a query's ``beam`` nearest seen ones that was not expanded
     yet. A query stops when its beam is expanded or it has seen ``budget`` nodes. One node seen is
-    one distance computed.
+    one distance computed. ``edges`` should be a stored table.
     """
-    start = queries.select("qid", F.lit(entry).alias("node"))
-    seen = scale.cut_lineage(
-        _scored(start, vectors, queries, id_col, vec).withColumn("done", F.lit(False)))
-    links = edges.select(F.col("src").alias("node"), "dst")
+    ask = _Asked(vectors, edges, queries, id_col, vec)
+    seen = scale.cut_lineage(ask.start(entry).withColumn("done", F.lit(False)))
     for _ in range(max_rounds):
-        sizes = seen.groupBy("qid").agg(F.count("*").alias("n")).where(F.col("n") < budget).select("qid")
+        open_q = seen.groupBy("qid").agg(F.count("*").alias("n")).where(F.col("n") < budget).select("qid")
         near = scale.rank_per_group(seen, ["qid"], [F.asc("dist"), F.col("node")], beam).where("not done")
-        todo = near.join(sizes, "qid", "left_semi").select("qid", "node")
-        if todo.isEmpty():
+        todo = scale.cut_lineage(near.join(open_q, "qid", "left_semi").select("qid", "node"))
+        n = todo.count()
+        if not n:
             break
-        around = links.join(scale.broadcast_if_small(todo), "node").select(
-            "qid", F.col("dst").alias("node")).distinct()
-        fresh = around.join(seen.select("qid", "node"), ["qid", "node"], "left_anti")
-        new = _scored(fresh, vectors, queries, id_col, vec).withColumn("done", F.lit(False))
+        fresh = ask.around(todo, n).join(seen.select("qid", "node"), ["qid", "node"], "left_anti")
+        new = ask.scored(fresh, n * ask.degree).withColumn("done", F.lit(False))
         marked = seen.join(todo.withColumn("_x", F.lit(True)), ["qid", "node"], "left").select(
             "qid", "node", "dist", (F.col("done") | F.coalesce("_x", F.lit(False))).alias("done"))
         seen = scale.cut_lineage(marked.unionByName(new))

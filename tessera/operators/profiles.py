@@ -75,12 +75,14 @@ def scan_rows(texts: DataFrame, min_rows: int = MIN_SCAN_ROWS) -> DataFrame:
     raw = scans.select("file", "query_id", "sql", "total_ms", texts_of)
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     size = lambda c: F.when(F.col(c) == "", 0.0).otherwise(size_to_mb(c))
-    read = raw.select(
-        "file", "query_id", "sql", "total_ms",
+    numbers = (
         F.coalesce(whole_number("rows"), F.lit(0)).alias("rows_read"),
         F.coalesce(whole_number("cols"), F.lit(0)).alias("column_count"),
-        size("block").alias("block_mb"), size("packed").alias("serialized_mb"), "ser", "deser",
-    ).where((F.col("rows_read") >= min_rows) & F.expr("block_mb is not null and serialized_mb is not null"))
+        size("block").alias("block_mb"), size("packed").alias("serialized_mb"),
+        F.col("ser"), F.col("deser"),
+    )
+    read = raw.select("file", "query_id", "sql", "total_ms", F.inline(F.array(F.struct(*numbers)))).where(
+        (F.col("rows_read") >= min_rows) & F.expr("block_mb is not null and serialized_mb is not null"))
     return read.withColumns({
         "ser_ms": zero(duration_to_ms("ser")), "deser_ms": zero(duration_to_ms("deser"))
     }).drop("ser", "deser")
