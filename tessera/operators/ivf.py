@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera import scale
 from tessera.functions.distance import METRICS, as_col
+from tessera.functions.vectorstats import dimension
 from tessera.operators import kernels, quantize
 from tessera.operators.search import arrow_types, knn_batch, knn_grid
 
@@ -191,13 +192,10 @@ def _search_broadcast(index, rows, asked, queries, k, metric, id_col, data, deco
     )
 
 
-# vectors and queries one block task holds at most
-BLOCK_ROWS = 50_000
-
-
 def _search_blocks(index, probes, queries, k, metric, id_col, data, decode, block: int | None = None):
     """Join of lists and probing queries in blocks, so that a hot list is many tasks."""
-    block = block or BLOCK_ROWS
+    # rows per side of one task: bounded numbers, not bounded rows
+    block = block or max(scale.BROADCAST_VALUES // max(dimension(queries, "qvec"), 1), 1)
     qtype = queries.schema["qid"].dataType.simpleString()
     itype = index.schema[id_col].dataType.simpleString()
     ways = list_sizes(index).select("list_id", F.ceil(F.col("n") / block).cast("int").alias("nv"))

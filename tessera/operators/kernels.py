@@ -42,6 +42,9 @@ def exact_scores(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
     return cos if metric == "cosine_similarity" else 1.0 - cos
 
 
+# queries scored by one matrix product, so that its result stays small
+QUERIES_PER_BLOCK = 256
+
 ASCENDING = {"l2", "l2_sq", "neg_inner_product", "ip_distance", "cosine_distance"}
 
 
@@ -71,6 +74,10 @@ class TopK:
         pos = np.arange(len(self.qs)) if only is None else only
         if len(ids) == 0 or len(pos) == 0:
             return
+        for s in range(0, len(pos), QUERIES_PER_BLOCK):
+            self._add_block(ids, x, pos[s : s + QUERIES_PER_BLOCK])
+
+    def _add_block(self, ids: np.ndarray, x: np.ndarray, pos: np.ndarray) -> None:
         rough = _rough_keys(x, self.qs[pos], self.metric)
         # matrix products differ from the exact sums only by rounding: widen the cut by that
         slack = 1e-9 * (1.0 + np.nanmax(np.abs(rough), initial=0.0))

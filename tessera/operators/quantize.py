@@ -174,9 +174,9 @@ def lloyd(
         )
         flat = partial.select("part", "center", "n", F.posexplode("total").alias("pos", "x"))
         sums = flat.groupBy("part", "center", "pos").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
+        got = sums.toPandas()  # parts * k * (dim / parts) = k * dim numbers
         new = np.full(centers.shape, np.nan)
-        for row in sums.collect():  # parts * k * (dim / parts) rows
-            new[row["part"], row["center"], row["pos"]] = row["x"] / row["n"]
+        new[got["part"], got["center"], got["pos"]] = got["x"] / got["n"]
         for p, j in zip(*np.nonzero(np.isnan(new[:, :, 0])), strict=True):
             new[p, j] = spare[p][(r * k + j) % len(spare[p])]
         centers = new
