@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera import scale
 from tessera.functions.distance import as_col
-from tessera.operators.search import knn_batch
+from tessera.operators.search import arrow_types, knn_batch
 
 # fixed values: BM25 saturation, length weight and floor for common terms; fusion constant
 BM25_K1, BM25_B, BM25_EPSILON = 1.5, 0.75, 0.25
@@ -44,18 +47,17 @@ def bm25(
 
     Terms in more than half of the documents get ``epsilon`` times the mean idf instead of a
     negative weight, and the mean runs over every term of the corpus. Only documents sharing a
-    term with the query are scored; the others would score 0. Words are combined to counts in
-    the map tasks, so frequent words do not grow the shuffle.
+    term with the query are scored; the others would score 0.
+
+    Document frequencies are combined in the map tasks, so frequent words do not grow the
+    shuffle. A small query set is then scored in one scan, a large one by joins.
     """
     words = docs.select(F.col(doc_id).alias("doc"), tokens(text).alias("words"))
     stats = words.agg(
         F.count("*").alias("n"), F.avg(F.size("words")).alias("mean_len")
     )
-    tf = (
-        words.select("doc", F.size("words").alias("len"), F.explode("words").alias("token"))
-        .groupBy("doc", "token").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-    )
-    df = tf.groupBy("token").agg(F.count("*").alias("df"))
+    df = words.select(F.explode(F.array_distinct("words")).alias("token")).groupBy("token").agg(
+        F.count("*").alias("df"))
     idf = df.crossJoin(F.broadcast(stats)).select(  # stats is one row
         "token", "mean_len", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")
     )
@@ -63,19 +65,87 @@ def bm25(
     asked = queries.select(F.col(qid).alias("qid"), F.explode(tokens(qtext)).alias("token"))
     asked = asked.groupBy("qid", "token").agg(F.count("*").alias("times"))
     weights = (
-        idf.join(scale.broadcast_if_small(asked), "token").crossJoin(F.broadcast(mean_idf))
+        idf.join(asked, "token").crossJoin(F.broadcast(mean_idf))
         .withColumn("idf", F.when(F.col("raw") < 0, F.col("mean_idf") * BM25_EPSILON).otherwise(F.col("raw")))
-        .select("qid", "token", "times", "idf", "mean_len")
+        .select("qid", "token", (F.col("times") * F.col("idf")).alias("w"), "mean_len")
     )
-    length = 1 - BM25_B + BM25_B * F.col("len") / F.col("mean_len")
-    part = F.col("times") * F.col("idf") * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * length)
-    scored = tf.join(weights, "token").groupBy("qid", "doc").agg(F.sum(part).alias("score"))
+    rows = scale.bounded_rows(weights)
+    fits = rows is not None and (
+        len({r["qid"] for r in rows}) * len({r["token"] for r in rows}) <= scale.BROADCAST_VALUES
+    )
+    scored = _scores_by_scan(words, rows, k, queries.schema[qid]) if fits else _scores_by_join(words, weights)
     # equal documents must tie: drop the last digits of the float sum before ranking
     scored = scored.withColumn("score", F.round("score", 9))
     best = scale.rank_per_group_salted(scored, ["qid"], [F.desc("score"), F.col("doc")], k, "doc")
     return best.select(qid, F.col("doc").alias(doc_id), "score", "rank")
 
 
+def _scores_by_join(words: DataFrame, weights: DataFrame) -> DataFrame:
+    """``(qid, doc, score)`` by joining term counts with query weights, for many queries."""
+    vocabulary = scale.broadcast_if_small(weights.select("token").distinct())
+    tf = (
+        words.select("doc", F.size("words").alias("len"), F.explode("words").alias("token"))
+        .join(vocabulary, "token", "left_semi")
+        .groupBy("doc", "len", "token").agg(F.count("*").alias("tf"))
+    )
+    length = 1 - BM25_B + BM25_B * F.col("len") / F.col("mean_len")
+    part = F.col("w") * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * length)
+    return tf.join(weights, "token").groupBy("qid", "doc").agg(F.sum(part).alias("score"))
+
+
+def _scores_by_scan(words: DataFrame, weights: list[Row], k: int, qfield: T.StructField) -> DataFrame:
+    """The best k ``(qid, doc, score)`` of every task, for a query set proven small.
+
+    A task turns its documents into a saturated term matrix and multiplies it with the query
+    weights, so no posting is ever shuffled.
+    """
+    qids = sorted({r["qid"] for r in weights})
+    terms = sorted({r["token"] for r in weights})
+    qpos, tpos = {q: i for i, q in enumerate(qids)}, {w: i for i, w in enumerate(terms)}
+    w = np.zeros((len(terms), len(qids)))
+    asks = np.zeros((len(terms), len(qids)), dtype=np.float32)
+    for r in weights:
+        w[tpos[r["token"]], qpos[r["qid"]]] = r["w"]
+        asks[tpos[r["token"]], qpos[r["qid"]]] = 1
+    mean_len = weights[0]["mean_len"] if weights else 1.0
+    sent = words.sparkSession.sparkContext.broadcast((qids, terms, w, asks, mean_len))
+    qtype, dtype = arrow_types(qfield, words.schema["doc"])
+    step = max(2_000_000 // max(len(terms), 1), 1)
+
+    def scan(batches):
+        names, vocab, wm, am, mean = sent.value
+        vocab, best = pa.array(vocab, pa.string()), {}
+        for b in batches:
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            for s in range(0, b.num_rows if names else 0, step):
+                col = b.column(1).slice(s, step)
+                size = pc.list_value_length(col).to_numpy(zero_copy_only=False)
+                at = np.repeat(np.arange(len(size)), size)
+                code = pc.fill_null(pc.index_in(col.flatten(), value_set=vocab), -1).to_numpy()
+                tf = np.zeros((len(size), len(vocab)))
+                np.add.at(tf, (at[code >= 0], code[code >= 0]), 1.0)
+                norm = BM25_K1 * (1 - BM25_B + BM25_B * size / mean)
+                # the sum's last digits depend on its order: equal documents must tie
+                score = np.round((tf * (BM25_K1 + 1) / (tf + norm[:, None])) @ wm, 9)
+                shares = ((tf > 0).astype(np.float32) @ am) > 0
+                doc = ids[s : s + step]
+                for j in range(len(names)):
+                    hit = np.flatnonzero(shares[:, j])
+                    key, cand = -score[hit, j], doc[hit]
+                    if j in best:
+                        key, cand = np.concatenate([best[j][0], key]), np.concatenate([best[j][1], cand])
+                    top = np.lexsort((cand, key))[:k]
+                    best[j] = (key[top], cand[top])
+        for j, (key, cand) in best.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([names[j]] * len(cand), qtype), pa.array(cand, dtype), pa.array(-key)],
+                ["qid", "doc", "score"],
+            )
+
+    fields = f"qid {qfield.dataType.simpleString()}, doc {words.schema['doc'].dataType.simpleString()}, score double"
+    return words.select("doc", "words").mapInArrow(scan, fields)
+
+
 def vec_rank(
     docs: DataFrame, queries: DataFrame, k: int, doc_id: str = "doc_id", vec: str = "embedding"
 ) -> DataFrame:
@@ -126,6 +196,7 @@ def chunk_text(
     overlap: int = CHUNK_OVERLAP,
 ) -> DataFrame:
     """``(doc, chunk_no, chunk)``: each document cut into overlapping chunks."""
+
     def cut(col: pa.Array) -> pa.Array:
         return pa.array(
             [None if s is None else split_chunks(s, size, overlap) for s in col.to_pylist()],

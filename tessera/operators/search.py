@@ -227,13 +227,19 @@ def sample_queries(
 ) -> DataFrame:
     """A seeded sample of n query vectors from the first source that has rows.
 
-    Rows are ordered by a hash of seed and id, so the sample does not depend on partitions.
+    Rows are ordered by a hash of seed and id, so the sample does not depend on partitions. A
+    sample within the broadcast bound is drawn once and kept as a local table.
     """
     for v in sources:
-        if not v.isEmpty():
-            key = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
-            picked = v.orderBy(key, id_col).limit(n)
-            return picked.select(F.col(id_col).alias("qid"), F.col(vec).alias("qvec"))
+        key = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
+        picked = v.orderBy(key, id_col).limit(n).select(F.col(id_col).alias("qid"), F.col(vec).alias("qvec"))
+        if n > scale.BROADCAST_ROWS:
+            if not v.isEmpty():
+                return picked
+            continue
+        rows = picked.collect()
+        if rows:
+            return v.sparkSession.createDataFrame(rows, picked.schema)
     raise ValueError("no source holds query vectors")
 
 

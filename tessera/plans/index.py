@@ -56,7 +56,11 @@ def r6(df, *cols):
 
 
 def centers(t):
-    return mean_vector(t.embeddings, "label").withColumnRenamed("label", "list_id")
+    """One mean vector per label, computed once and kept as a local table (ten rows)."""
+    if "_centers" not in vars(t):
+        means = mean_vector(t.embeddings, "label").withColumnRenamed("label", "list_id")
+        t._centers = t.spark.createDataFrame(means.collect(), means.schema)
+    return t._centers
 
 
 def center_matrix(t) -> np.ndarray:

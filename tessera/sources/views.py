@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 BASE_TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
@@ -102,6 +103,9 @@ from {events}""",
 }
 
 
+_schemas: dict[str, StructType] = {}
+
+
 class Tables:
     """Tables and views of one data folder as DataFrames: ``Tables(spark, dir).orders``."""
 
@@ -110,7 +114,7 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE_TABLES:
-            df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            df = self._base(f"{self.sf_dir}/{name}.parquet")
         elif name in VIEWS:
             df = self.sql(VIEWS[name])
         else:
@@ -118,6 +122,12 @@ class Tables:
         setattr(self, name, df)
         return df
 
+    def _base(self, path: str) -> DataFrame:
+        """A Parquet table; its schema is inferred once per process."""
+        if path not in _schemas:
+            _schemas[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_schemas[path]).parquet(path)
+
     def sql(self, text: str, **frames: DataFrame) -> DataFrame:
         """Run SQL whose ``{name}`` marks are tables, views or the given DataFrames."""
         for name in set(re.findall(r"\{(\w+)\}", text)) - set(frames):

@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 
 from tests.conftest import as_float32, asked, brute, frame, matrix, ranked
 
+from tessera import scale
 from tessera.operators import graph as G
 from tessera.operators import hybrid as H
 from tessera.operators import ivf
@@ -95,7 +96,11 @@ def test_refine_pass_bounds_degree(spark, world):
 # ---------------------------------------------------------------- text
 
 
-def test_bm25_against_plain_python(spark):
+@pytest.mark.parametrize("bound", [None, 2])
+def test_bm25_against_plain_python(spark, monkeypatch, bound):
+    """Both the scan for small query sets and the join for large ones."""
+    if bound:
+        monkeypatch.setattr(scale, "BROADCAST_VALUES", bound)
     docs = ["red apple pie", "red red wine", "blue sky over the sea", "the apple of the eye", "", "red sky"]
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
     qs = spark.createDataFrame([(0, "red Apple"), (1, "the sky sky")], "qid long, qtext string")
