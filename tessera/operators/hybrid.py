@@ -52,14 +52,17 @@ def bm25(
     Document frequencies are combined in the map tasks, so frequent words do not grow the
     shuffle. A small query set is then scored in one scan, a large one by joins.
     """
-    words = docs.select(F.col(doc_id).alias("doc"), tokens(text).alias("words"))
-    stats = words.agg(
-        F.count("*").alias("n"), F.avg(F.size("words")).alias("mean_len")
-    )
-    df = words.select(F.explode(F.array_distinct("words")).alias("token")).groupBy("token").agg(
-        F.count("*").alias("df"))
-    idf = df.crossJoin(F.broadcast(stats)).select(  # stats is one row
-        "token", "mean_len", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")
+    texts = scale.spread(docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")), "doc")
+    words = texts.select("doc", tokens("text").alias("words"))
+    # one pass for both: the first distinct word of a document also carries its length
+    each = words.select(F.size("words").alias("len"), F.posexplode(F.array_distinct("words")).alias("p", "token"))
+    freq = scale.cut_lineage(each.groupBy("token").agg(
+        F.count("*").alias("df"), F.sum(F.when(F.col("p") == 0, F.col("len")).otherwise(0)).alias("len")))
+    stats = freq.agg(F.sum("len").alias("total"))  # one row
+    n = docs.count()
+    idf = freq.crossJoin(F.broadcast(stats)).select(
+        "token", (F.col("total") / n).alias("mean_len"),
+        (F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"),
     )
     mean_idf = idf.agg(F.avg("raw").alias("mean_idf"))  # one row
     asked = queries.select(F.col(qid).alias("qid"), F.explode(tokens(qtext)).alias("token"))
@@ -204,7 +207,7 @@ def chunk_text(
         )
 
     chunks = F.arrow_udf(cut, "array<string>")(F.col(text))
-    return docs.select(doc_id, F.posexplode(chunks).alias("chunk_no", "chunk"))
+    return scale.spread(docs, doc_id).select(doc_id, F.posexplode(chunks).alias("chunk_no", "chunk"))
 
 
 def retrieve_context(

@@ -76,6 +76,15 @@ def rank_per_group_salted(
     return rank_per_group(first, keys, order, k, rank)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores for heavy row work on a table that has fewer splits than cores.
+
+    A table with at least one split per core, so any large one, is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder (survives executor loss)."""
     ensure_checkpoints(df.sparkSession)
