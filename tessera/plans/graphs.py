@@ -9,7 +9,7 @@ from tessera.operators import graph as G
 from tessera.operators import hybrid as H
 from tessera.plans.index import CENT, centers, r6
 from tessera.plans.registry import query
-from tessera.plans.vectors import qset
+from tessera.plans.vectors import QSET, qset
 
 KNN = """p as (select a.vec_id as src, b.vec_id as dst,
       pow(list_distance(a.embedding::double[], b.embedding::double[]), 2) as dist
@@ -102,19 +102,52 @@ def graph_degree_stats(t):
     return G.degree_stats(G.union_edges(e, G.reverse(e)))
 
 
-@query("graph_prune_rng")
+def prune_sql(covers: str) -> str:
+    """Greedy pruning of 24 candidates per node to 8, one candidate rank per recursion step."""
+    return f"""with recursive {knn_sql(24)},
+      cand as materialized (select src, dst, dist, embedding::double[] as v,
+        row_number() over (partition by src order by dist, dst) as rn
+        from knn join {{embeddings}} on vec_id = dst),
+      g as (select vec_id as src, 0 as i, []::struct(id bigint, v double[], px double)[] as kept from {{embeddings}}
+        union all
+        select g.src, g.i + 1, case when len(kept) < 8
+          and len(list_filter(kept, lambda y: {covers})) = 0
+          then list_append(kept, {{{{'id': c.dst, 'v': c.v, 'px': c.dist}}}}) else kept end
+        from g join cand c on c.src = g.src and c.rn = g.i + 1)
+    select src, k.id as dst, round(k.px, 6) as dist from (select src, unnest(kept) as k from g where i = 24)
+    """.replace("{{", "{").replace("}}", "}")
+
+
+D_XY = "pow(list_distance(y.v, c.v), 2)"
+
+
+@query("graph_prune_rng", prune_sql(f"{D_XY} < c.dist"))
 def graph_prune_rng(t):
-    return G.prune(exact_graph(t, 24), t.user_vectors, 8)
+    return r6(G.prune(exact_graph(t, 24), t.user_vectors, 8), "dist")
 
 
-@query("graph_prune_robust")
+@query("graph_prune_robust", prune_sql(f"0.6::double * {D_XY} <= c.dist"))
 def graph_prune_robust(t):
-    return G.prune(exact_graph(t, 24), t.user_vectors, 8, alpha=1.2)
+    """The factor is below one because random vectors hardly cover each other at 1.2."""
+    return r6(G.prune(exact_graph(t, 24), t.user_vectors, 8, alpha=0.6), "dist")
 
 
-@query("graph_greedy_search")
+@query(
+    "graph_greedy_search",
+    f"""with recursive {knn_sql(10)}, {BOTH}, {QSET},
+      und as materialized (select src, dst from twoway qualify row_number() over (partition by src order by dst) <= 20),
+      d as materialized (select qid, vec_id as node, pow(list_distance(embedding::double[], qv), 2) as dist
+        from {{embeddings}}, qset),
+      g as (select qid, node, dist, 1::bigint as computed, true as moved from d where node = 0
+        union all
+        select qid, case when bd < dist then bn else node end, least(bd, dist), computed + c, bd < dist
+        from (select g.qid, g.node, g.dist, g.computed, min(d.dist) as bd, arg_min(d.node, d.dist) as bn, count(*) as c
+          from g join und on und.src = g.node join d on d.qid = g.qid and d.node = und.dst
+          where g.moved group by all))
+    select qid, node, round(dist, 6) as dist, computed from g where not moved""",
+)
 def graph_greedy_search(t):
-    return G.greedy_search(t.user_vectors, stored_graph(t, 10, 20), qset(t), 0)
+    return r6(G.greedy_search(t.user_vectors, stored_graph(t, 10, 20), qset(t), 0), "dist")
 
 
 @query("graph_beam_search")
