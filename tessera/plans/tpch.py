@@ -10,6 +10,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from tessera.operators.relational import not_in
 from tessera.plans.registry import query
 
 REVENUE = "l_extendedprice * (1 - l_discount)"
@@ -411,14 +412,13 @@ def q15(t):
     group by all""",
 )
 def q16(t):
+    """The NOT IN is a hash anti join plus a NULL check, so its list is broadcast only when small."""
     parts = t.part_x.where(
         (F.col("p_brand") != "Brand#45") & ~F.col("p_type").like("MEDIUM POLISHED%")
         & F.col("p_size").isin(49, 14, 23, 45, 19, 3, 36, 9)
     )
-    offers = t.sql(
-        """select ps_partkey, ps_suppkey from {partsupp} where ps_suppkey not in
-             (select s_suppkey from {supplier_x} where s_comment like '%Customer%Complaints%')"""
-    )
+    blamed = t.supplier_x.where(F.col("s_comment").like("%Customer%Complaints%"))
+    offers = not_in(t.partsupp, "ps_suppkey", blamed, "s_suppkey")
     return (
         offers.join(parts, F.expr("p_partkey = ps_partkey"))
         .groupBy("p_brand", "p_type", "p_size")

@@ -76,13 +76,19 @@ def rank_per_group_salted(
     return rank_per_group(first, keys, order, k, rank)
 
 
+# A table below this many bytes per core is cheap to redistribute.
+SPREAD_BYTES = 64 << 20
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores for heavy row work on a table that has fewer splits than cores.
+    """Use all cores for heavy row work on a small table, whose file may be a single split.
 
-    A table with at least one split per core, so any large one, is returned as it is.
+    The size is the planner's estimate and costs no job. Larger tables have splits enough and are
+    returned as they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df if size > cores * SPREAD_BYTES else df.repartition(cores, key)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
