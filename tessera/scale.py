@@ -87,7 +87,7 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     returned as they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df if size > cores * SPREAD_BYTES else df.repartition(cores, key)
 
 
