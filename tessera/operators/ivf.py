@@ -30,9 +30,10 @@ def train(vectors: DataFrame, nlist: int, rounds: int = 8, seed: int = 42, id_co
 
 
 def centers_frame(spark: SparkSession, centers: np.ndarray) -> DataFrame:
-    """Centers as ``(list_id, center)`` rows."""
-    rows = [(i, [float(x) for x in c]) for i, c in enumerate(centers)]
-    return spark.createDataFrame(rows, "list_id int, center array<double>")
+    """Centers as ``(list_id, center)`` rows of a local table."""
+    lists = pa.array(np.asarray(centers, dtype=np.float64).tolist(), pa.list_(pa.float64()))
+    table = pa.table({"list_id": pa.array(range(len(centers)), pa.int32()), "center": lists})
+    return spark.createDataFrame(table)
 
 
 def assign(vectors: DataFrame, centers: np.ndarray | DataFrame, id_col: str = "id",

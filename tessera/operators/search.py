@@ -237,9 +237,9 @@ def sample_queries(
             if not v.isEmpty():
                 return picked
             continue
-        rows = picked.collect()
-        if rows:
-            return v.sparkSession.createDataFrame(rows, picked.schema)
+        drawn = scale.local_table(picked)
+        if not drawn.isEmpty():
+            return drawn
     raise ValueError("no source holds query vectors")
 
 

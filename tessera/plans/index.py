@@ -9,6 +9,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from tessera import scale
 from tessera.functions.vectorstats import mean_vector
 from tessera.operators import ivf
 from tessera.operators import quality as Q
@@ -74,7 +75,7 @@ def centers(t):
     """One mean vector per label, computed once and kept as a local table (ten rows)."""
     if "_centers" not in vars(t):
         means = mean_vector(t.embeddings, "label").withColumnRenamed("label", "list_id")
-        t._centers = t.spark.createDataFrame(means.collect(), means.schema)
+        t._centers = scale.local_table(means)
     return t._centers
 
 

@@ -35,6 +35,11 @@ def bounded_vectors(
     return bounded_rows(df.select(id_col, vec_col), min(BROADCAST_ROWS, max_values // dim))
 
 
+def local_table(df: DataFrame) -> DataFrame:
+    """A result known to be small as a local table, so that later uses run no job for it."""
+    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
+
+
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """Whether ``df`` has at most ``max_rows`` rows (counts no further than that)."""
     return df.limit(max_rows + 1).count() <= max_rows
