@@ -236,7 +236,7 @@ def search_bits(
     """Top-k over 1-bit codes in the probed lists, by estimated distance.
 
     With ``centered`` each list is coded around its own center, else around zero. Queries and
-    probes must be a small set (they are the broadcast side).
+    probes are the broadcast side; a set beyond the bound runs in batches.
     """
     mid = centers if centered else np.zeros((1, centers.shape[1]))
     model = vectors.sparkSession.sparkContext.broadcast((mid, quantize.rotation(mid.shape[1], seed)))
@@ -260,7 +260,18 @@ def search_bits(
     rows = scale.bounded_vectors(queries, "qid", "qvec")
     asked = None if rows is None else scale.bounded_rows(probes.select("qid", "list_id"))
     if asked is None:
-        raise ValueError("too many queries for the 1-bit search: run it in batches")
+        # too large to broadcast: bounded batches of queries by hash, each its own scan
+        n = queries.count()
+        load = max(n * centers.shape[1] / scale.BROADCAST_VALUES, n / scale.BROADCAST_ROWS,
+                   probes.count() / scale.BROADCAST_ROWS)
+        batches = math.ceil(2 * load) + 1
+        batch = F.pmod(F.xxhash64(F.lit(batches), "qid"), F.lit(batches))
+        out = None
+        for i in range(batches):
+            q, p = queries.where(batch == i), probes.where(batch == i)
+            part = search_bits(vectors, p, q, centers, k, query_bits, centered, seed, id_col, vec)
+            out = part if out is None else out.unionByName(part)
+        return out
     qids = [r["qid"] for r in rows]
     place = {q: i for i, q in enumerate(qids)}
     by_list: dict[int, list[int]] = {}

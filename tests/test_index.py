@@ -148,6 +148,19 @@ def test_bit_lists(spark, data):
         assert hits >= 24
 
 
+def test_bit_lists_in_batches(spark, data, monkeypatch):
+    from tessera import scale
+
+    x, df = data
+    q = asked(spark, matrix(7, 16, 11))
+    centers = ivf.train(df, 5, rounds=2)
+    lists, cf = ivf.assign(df, centers), ivf.centers_frame(spark, centers)
+    probes = ivf.probe(cf, q, 2)
+    whole = ranked(ivf.search_bits(lists, probes, q, centers, 10))
+    monkeypatch.setattr(scale, "BROADCAST_ROWS", 4)
+    assert ranked(ivf.search_bits(lists, probes, q, centers, 10)) == whole
+
+
 def test_stored_index_prunes_to_probed_lists(spark, data):
     _, df = data
     lists = ivf.assign(df, ivf.train(df, 6, rounds=2))
