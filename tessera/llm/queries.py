@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, quality_rules, simhash, url_filter
+from tessera.llm import (
+    bpe, exact_dedup, language_id, lm, packing, quality_rules, simhash, token_output, toxicity, url_filter,
+)
+from tessera.session import work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -27,6 +30,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def vocabulary_path() -> str:
+    """The public byte-level BPE; only the queries know where it is."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def _rules_sql() -> str:
     return ", ".join(f"('{r.host}', '{r.path}', '{'allow' if r.allow else 'block'}')" for r in url_filter.RULES)
 
@@ -80,6 +90,44 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+@query("op4_length_buckets")
+def op4_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.classify(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op6_language_id")
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.fit(docs))
+
+
+@query("op7_token_matrices")
+def op7_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per written matrix: its segments, their ends, and a digest of its ids."""
+    written = token_output.write(table(spark, sf_dir, "documents"), work_path(spark, "token-matrices"), vocabulary_path())
+    return written.select(
+        "matrix_id", "n_rows", "row_tokens", "n_tokens", F.col("segments.doc_id").alias("doc_ids"),
+        F.col("segments.start").alias("starts"), F.col("segments.length").alias("lengths"),
+        "cu_seqlens", "position_resets", F.sha2("ids", 256).alias("ids_sha256"),
+    )
+
+
+@query("op8_bpe")
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
+@query("op9_lm_score")
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 _STOP = ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS)
 _BOUNDS = " and ".join(
     [f"{n} >= {lo}" for n, lo, _ in quality_rules.THRESHOLDS if lo is not None]
