@@ -37,6 +37,7 @@ def run_stream(spark: SparkSession, arrivals: str, checkpoint: str, schema, batc
     for k, v in (
         ("spark.sql.streaming.stateStore.providerClass", ROCKSDB),
         ("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true"),
+        ("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false"),  # else 4 MB per store at least
         ("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions")),
     ):
         own.conf.set(k, v)
