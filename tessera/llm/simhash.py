@@ -90,7 +90,8 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, index_bytes: int = INDEX_BYT
     upto = [(1 << (places[-1] + 1)) - 1 for places in chosen]
     literal = lambda xs: "array(" + ", ".join(map(str, xs)) + ")"
     shared = " + ".join(f"if((x.fp ^ y.fp) & {255 << 8 * p if p < 7 else -(1 << 56)}L = 0, {1 << p}, 0)" for p in range(BYTES))
-    pairs = index.alias("x").join(
+    # the planner can't see how many rows the index makes of a fingerprint, so it must not broadcast it
+    pairs = index.alias("x").hint("merge").join(
         index.alias("y"),
         F.expr(
             f"x.l = y.l and x.k = y.k and x.fp < y.fp and bit_count({shared}) >= {need}"
