@@ -25,7 +25,7 @@ CLUSTERS = 4
 SAMPLE_ROWS = 4_000  # texts that the centroids are fitted on, in equal shares for the languages
 UNKNOWN = "und"
 # A text is rejected below this share of the usual similarity of texts of its length and language.
-REJECT_BELOW = 0.35
+REJECT_BELOW = 0.25
 _MULTIPLIERS = (np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917))
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 

@@ -41,7 +41,9 @@ IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
 HELD_OUT_MOD, HELD_OUT_REST = 5, 0
 SAMPLE_ROWS = 20_000  # labelled texts that the classifier is fitted on, half of them toxic if there are as many
 N_FEATURES = 2_048
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7)
+REPEATS = (2, 3)  # a prefix with so many different words is a feature of its own
+LEAST_G = 16.0  # features below are left out as chance
 # letters, and the dots that end sentences
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"(?<=[.!?\n])\s+")
@@ -52,8 +54,14 @@ def word_features(word: str) -> list[str]:
     return [word, *(word[:n] + "-" for n in PREFIXES if len(word) > n)]
 
 
+def text_features(bases: Counter) -> set[str]:
+    """Features of a text from its number of different words with each word feature."""
+    more = {f"{f}{k}" for f, n in bases.items() if n > 1 for k in REPEATS if n >= k}
+    return more.union(bases)
+
+
 def features(text: str | None) -> set[str]:
-    return {f for w in set(_LETTERS.findall((text or "").lower())) for f in word_features(w)}
+    return text_features(Counter(f for w in set(_LETTERS.findall((text or "").lower())) for f in word_features(w)))
 
 
 def swapped(text: str | None, kinds: Sequence[Sequence[str]] = IDENTITY_TERMS) -> str | None:
@@ -92,18 +100,20 @@ class Model:
     def scorer(self):
         """Function from a text to its score; remembers a bounded number of words."""
         weights, bias = self.weights, self.bias
+        bases = {f.rstrip("0123456789") for f in weights}
         memo: dict[str, tuple[str, ...]] = {}
 
         def score(text: str | None) -> float:
-            found: set[str] = set()
+            found: Counter = Counter()
             for w in set(_LETTERS.findall((text or "").lower())):
                 hit = memo.get(w)
                 if hit is None:
                     if len(memo) >= 200_000:
                         memo.clear()
-                    hit = memo[w] = tuple(f for f in word_features(w) if f in weights)
-                found.update(hit)
-            z = bias + sum(weights[f] for f in sorted(found))
+                    hit = memo[w] = tuple(f for f in word_features(w) if f in bases)
+                if hit:
+                    found.update(hit)
+            z = bias + sum(weights.get(f, 0.0) for f in sorted(text_features(found)))
             return 1.0 / (1.0 + np.exp(-max(-500.0, min(500.0, z))))
 
         return score
@@ -153,23 +163,27 @@ def _feature_counts(sample: DataFrame) -> DataFrame:
 
 
 def _choose(counts: DataFrame, neg: int, pos: int, n: int) -> list[str]:
-    """The ``n`` features that tell the labels apart best, by the G statistic of their 2 x 2 table."""
+    """At most ``n`` features that tell the labels apart best, by the G statistic of their 2 x 2 table."""
     a, b = F.col("pos"), F.col("neg")
     total = float(neg + pos)
     cells = [(a, pos, a + b), (b, neg, a + b), (F.lit(pos) - a, pos, F.lit(total) - a - b),
              (F.lit(neg) - b, neg, F.lit(total) - a - b)]
     g = F.lit(0.0)
     for cell, row, col in cells:
-        g = g + F.when((cell > 0) & (col > 0), cell * F.log(cell * total / (F.lit(float(max(row, 1))) * col))).otherwise(0.0)
-    ranked = counts.where(a + b >= 3).select("feature", g.alias("g")).orderBy(F.desc("g"), "feature").limit(n)
+        g = g + 2 * F.when((cell > 0) & (col > 0), cell * F.log(cell * total / (F.lit(float(max(row, 1))) * col))).otherwise(0.0)
+    ranked = counts.where(a + b >= 3).select("feature", g.alias("g")).where(F.col("g") >= LEAST_G).orderBy(F.desc("g"), "feature").limit(n)
     return [r["feature"] for r in ranked.collect()]
 
 
 def solve(rows: list[np.ndarray], label: np.ndarray, weight: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]],
-          n: int, l2: float = 1e-4, counterfactual: float = 1.0, steps: int = 400) -> tuple[np.ndarray, float]:
+          n: int, l2: float = 1e-5, counterfactual: float = 1.0, steps: int = 400, drop: float = 0.3) -> tuple[np.ndarray, float]:
     """Weights and bias of the penalised logistic loss, by full gradient steps (Adam).
 
     loss = mean weighted log loss + l2 |w|^2 + counterfactual * mean over pairs of (z - z')^2
+
+    Weights are not negative: a feature is evidence or none, so clean words, however many, cannot
+    outvote an insult in a long text. Each step leaves out a share ``drop`` of the features of every
+    text (by a fixed random sequence), so that one insult is enough without the others it comes with.
     """
 
     def pack(xs: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -184,10 +198,13 @@ def solve(rows: list[np.ndarray], label: np.ndarray, weight: np.ndarray, pairs:
     prior = float((share * label).sum())
     w[n] = np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
     m, v = np.zeros(n + 1), np.zeros(n + 1)
+    chance = np.random.default_rng(7)
     for t in range(1, steps + 1):
-        z = np.bincount(r, w[c], len(rows)) + w[n]
+        use = chance.random(len(r)) >= drop
+        ru, cu = r[use], c[use]
+        z = np.bincount(ru, w[cu], len(rows)) + w[n]
         d = share * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - label)
-        g = np.append(np.bincount(c, d[r], n) + 2 * l2 * w[:n], d.sum())
+        g = np.append(np.bincount(cu, d[ru], n) + 2 * l2 * w[:n], d.sum())
         if pairs:
             diff = np.bincount(pr, w[pc], len(pairs)) - np.bincount(qr, w[qc], len(pairs))
             diff *= 2 * counterfactual / len(pairs)
@@ -195,6 +212,7 @@ def solve(rows: list[np.ndarray], label: np.ndarray, weight: np.ndarray, pairs:
         m = 0.9 * m + 0.1 * g
         v = 0.999 * v + 0.001 * g * g
         w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-12)
+        np.maximum(w[:n], 0, out=w[:n])
     return w[:n], float(w[n])
 
 
