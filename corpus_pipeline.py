@@ -1,4 +1,8 @@
-"""The corpus pipeline: five stages, each written as Parquet and read again by the next."""
+"""The corpus pipeline: five stages, each written as Parquet and read again by the next.
+
+Toxic documents go, then those whose language is rejected, then exact copies, then near copies; what is
+left is packed into length buckets. All stages but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
@@ -6,25 +10,47 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact_dedup, simhash
+from tessera.llm import exact_dedup, language_id, packing, simhash, toxicity
 from tessera.llm.rows import written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier, fitted on the labelled ones, scores below 0.5."""
+    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    return toxicity.drop_toxic(docs, toxicity.fit(docs, labels))
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents near a centroid of some language of the stage's own input."""
+    return language_id.drop_unknown(docs, language_id.fit(docs))
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the largest id."""
     return exact_dedup.keep_newest(docs)
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of near copies the document with the smallest id."""
     return simhash.keep_one(docs)
 
 
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bucket, batch and slot of every document left."""
+    return packing.pack(docs)
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("exact_dedup", exact_duplicates),
-    ("simhash", near_duplicates),
+    ("toxicity", clean),
+    ("language_id", known_language),
+    ("exact_dedup", distinct),
+    ("simhash", unlike),
+    ("packing", packed),
 ]
 
+# Fitted models and fingerprints are beyond SQL; tests/llm/test_pipeline.py has a brute-force version.
 ORACLE_SQL: str | None = None
 
 
