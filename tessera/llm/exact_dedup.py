@@ -59,11 +59,10 @@ def read_state(spark: SparkSession, checkpoint: str) -> DataFrame:
 
 
 def _resolved(
-    docs: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column], batch_bytes: int
+    rows: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column], batch_bytes: int
 ) -> DataFrame:
-    """(doc_id, place, digest, newest, n): for every row the one of its class that stays."""
-    spark = docs.sparkSession
-    rows = located(docs)
+    """(doc_id, place, digest, newest, n): for every located row the one of its class that stays."""
+    spark = rows.sparkSession
     texts = rows.select(
         named(rows, id_col).alias("doc_id"), whole_text(named(rows, text_col)).alias("text"), FILE, ROW
     ).withColumn("digest", digest(F.col("text")))
@@ -102,7 +101,7 @@ def duplicates(
     stays, NULL being the smallest; of equal ids the last by file and row, so that exactly one row of
     every class is ``kept``. Other columns are not read; an empty table gives an empty result.
     """
-    found = _resolved(docs, id_col, text_col, digest, batch_bytes)
+    found = _resolved(located(docs), id_col, text_col, digest, batch_bytes)
     return found.select(
         "doc_id",
         F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("newest")["doc_id"]).alias("keep_id"),
@@ -118,5 +117,5 @@ def _stays() -> Column:
 def keep_newest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """``docs`` without the rows that ``duplicates`` does not keep, all columns as they are."""
     rows = located(docs)
-    losers = written(_resolved(docs, id_col, text_col, sha256, batch_bytes).where(~_stays()).select(FILE, ROW), "copies")
+    losers = written(_resolved(rows, id_col, text_col, sha256, batch_bytes).where(~_stays()).select(FILE, ROW), "copies")
     return without(rows, losers)

@@ -102,9 +102,8 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, index_bytes: int = INDEX_BYT
     return pairs.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
 
 
-def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int) -> DataFrame:
-    """(doc_id, place, fp, component_id, keep): ``keep`` is true in one row of each component."""
-    rows = located(docs)
+def _grouped(rows: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int) -> DataFrame:
+    """(doc_id, place, fp, component_id, keep) of located rows: ``keep`` is true in one of each component."""
     fps = written(
         fingerprints(rows.select(named(rows, id_col).alias("doc_id"), FILE, ROW, named(rows, text_col).alias("text")),
                      "text", shingle),
@@ -139,7 +138,7 @@ def near_duplicates(
     gives an empty result.
     """
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return _grouped(docs, id_col, text_col, shingle, max_bits).select("doc_id", hexed, "component_id", "keep")
+    return _grouped(located(docs), id_col, text_col, shingle, max_bits).select("doc_id", hexed, "component_id", "keep")
 
 
 def keep_one(
@@ -148,5 +147,5 @@ def keep_one(
 ) -> DataFrame:
     """``docs`` with one row of every component of ``near_duplicates``, all columns as they are."""
     rows = located(docs)
-    marked = written(_grouped(docs, id_col, text_col, shingle, max_bits), "near-duplicates")
+    marked = written(_grouped(rows, id_col, text_col, shingle, max_bits), "near-duplicates")
     return without(rows, marked.where(~F.col("keep")))
