@@ -235,7 +235,8 @@ def count_words(texts: DataFrame) -> DataFrame:
                 if len(seen) > 1_000_000:
                     yield _counted(seen)
                     seen.clear()
-        yield _counted(seen)
+        if seen:
+            yield _counted(seen)
 
     parts = texts.select("text").mapInPandas(count, "word string, n long")
     return parts.groupBy("word").agg(F.sum("n").alias("n"))
