@@ -14,19 +14,19 @@ GROUPS_PER_FLUSH = 4096
 
 
 def dimension(vectors: DataFrame, vec: str = "embedding") -> int:
-    """Length of the first vector; 0 for an empty table."""
-    head = vectors.select(F.size(vec).alias("n")).head()
-    return int(head["n"]) if head else 0
+    """Length of the longest vector; 0 without vectors."""
+    head = vectors.agg(F.max(F.size(vec)).alias("n")).head()
+    return max(int(head["n"] or 0), 0)
 
 
 def dim_stats(vectors: DataFrame, by: str | None = None, vec: str = "embedding") -> DataFrame:
-    """``(by, pos, n, total, lo, hi)`` per dimension and optional group.
+    """``(by, pos, n, total, lo, hi)`` per dimension and optional group; shorter vectors are left out.
 
     Each task folds its batches with numpy and emits one row per group it met; only those
     partial rows are exploded and shuffled, so a hot group costs one row per task.
     """
     key = F.lit(0).alias("key") if by is None else F.col(by).alias("key")
-    src = vectors.where(F.col(vec).isNotNull()).select(key, F.col(vec).alias("v"))
+    src = vectors.where(F.size(vec) == dimension(vectors, vec)).select(key, F.col(vec).alias("v"))
     ktype = src.schema["key"].dataType
 
     def fold(batches):

@@ -32,7 +32,8 @@ def overlap_assign(
     """Each vector in its ``copies`` nearest clusters: ``(id, list_id, rank)`` beside the vector."""
     rows = scale.bounded_vectors(centers, "list_id", "center")
     if rows is None:
-        raise ValueError("too many centers to send to every task")
+        near = knn_grid(centers, vectors, copies, "l2", "list_id", "center", id_col, vec)
+        return vectors.select(id_col, vec).join(near.select(id_col, "list_id", "rank"), id_col)
     rows.sort(key=lambda r: r["list_id"])
     names = np.array([r["list_id"] for r in rows], dtype=np.int32)
     mat = np.array([r["center"] for r in rows], dtype=np.float64)
@@ -42,12 +43,10 @@ def overlap_assign(
     def nearest(col: pa.Array) -> pa.Array:
         ids, c = sent.value
         x = kernels.matrix(col, c.shape[1])
-        d = (c * c).sum(1)[None, :] - 2.0 * (x @ c.T)
-        order = np.argsort(d, axis=1, kind="stable")[:, :copies]
-        return pa.array(ids[order].tolist(), pa.list_(pa.int32()))
+        return pa.array(ids[kernels.nearest_few(x, c, copies)].tolist(), pa.list_(pa.int32()))
 
     lists = F.arrow_udf(nearest, "array<int>")(F.col(vec))
-    out = vectors.select(id_col, vec, F.posexplode(lists).alias("_p", "list_id"))
+    out = scale.of_dimension(vectors, vec, mat.shape[1]).select(id_col, vec, F.posexplode(lists).alias("_p", "list_id"))
     return out.select(id_col, vec, "list_id", (F.col("_p") + 1).alias("rank"))
 
 
@@ -210,18 +209,18 @@ class _Asked:
 
 
 def greedy_search(
-    vectors: DataFrame, edges: DataFrame, queries: DataFrame, entry, max_steps: int = 100,
+    vectors: DataFrame, edges: DataFrame, queries: DataFrame, entry,
     id_col: str = "id", vec: str = "embedding",
 ) -> DataFrame:
     """Hill climb for all queries together: ``(qid, node, dist, computed)``.
 
     Each step moves every query to its nearest neighbour if that is nearer than its place, and
-    ends when no query moves. ``computed`` counts distances. ``edges`` should be a stored table.
+    ends when no query moves; every move shortens a distance, so that is certain. ``computed`` counts distances. ``edges`` should be a stored table.
     """
     ask = _Asked(vectors, edges, queries, id_col, vec)
     state = scale.cut_lineage(ask.start(entry).select(
         "*", F.lit(1).cast("bigint").alias("computed"), F.lit(True).alias("moved")))
-    for _ in range(max_steps):
+    while True:
         active = state.where("moved").select("qid", "node")
         n = active.count()
         if not n:
@@ -241,7 +240,7 @@ def greedy_search(
 
 def beam_search(
     vectors: DataFrame, edges: DataFrame, queries: DataFrame, entry, beam: int, budget: int,
-    k: int | None = None, max_rounds: int = 50, id_col: str = "id", vec: str = "embedding",
+    k: int | None = None, id_col: str = "id", vec: str = "embedding",
 ) -> DataFrame:
     """Best-first search for all queries together: ``(qid, id, dist, rank, computed)``.
 
@@ -251,7 +250,7 @@ def beam_search(
     """
     ask = _Asked(vectors, edges, queries, id_col, vec)
     seen = scale.cut_lineage(ask.start(entry).withColumn("done", F.lit(False)))
-    for _ in range(max_rounds):
+    while True:  # every round expands a node that was not expanded before
         open_q = seen.groupBy("qid").agg(F.count("*").alias("n")).where(F.col("n") < budget).select("qid")
         near = scale.rank_per_group(seen, ["qid"], [F.asc("dist"), F.col("node")], beam).where("not done")
         todo = scale.cut_lineage(near.join(open_q, "qid", "left_semi").select("qid", "node"))

@@ -50,8 +50,10 @@ def bm25(
     term with the query are scored; the others would score 0.
 
     Document frequencies are combined in the map tasks, so frequent words do not grow the
-    shuffle. A small query set is then scored in one scan, a large one by joins.
+    shuffle. A small query set is then scored in one scan, a large one by joins. A document whose
+    text is NULL is none: it counts nowhere.
     """
+    docs = docs.where(F.col(text).isNotNull())
     texts = scale.spread(docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")), "doc")
     words = texts.select("doc", tokens("text").alias("words"))
     # one pass for both: the first distinct word of a document also carries its length
@@ -113,7 +115,7 @@ def _scores_by_scan(words: DataFrame, weights: list[Row], k: int, qfield: T.Stru
     mean_len = weights[0]["mean_len"] if weights else 1.0
     sent = words.sparkSession.sparkContext.broadcast((qids, terms, w, asks, mean_len))
     qtype, dtype = arrow_types(qfield, words.schema["doc"])
-    step = max(2_000_000 // max(len(terms), 1), 1)
+    step = max(2_000_000 // max(len(terms), len(qids), 1), 1)
 
     def scan(batches):
         names, vocab, wm, am, mean = sent.value

@@ -54,42 +54,32 @@ def assign(vectors: DataFrame, centers: np.ndarray | DataFrame, id_col: str = "i
     else:
         mat = np.asarray(centers, dtype=np.float64)
         names = np.arange(len(mat), dtype=np.int32)
+        if mat.size > scale.BROADCAST_VALUES:
+            return assign(vectors, centers_frame(vectors.sparkSession, mat), id_col, vec)
     sent = vectors.sparkSession.sparkContext.broadcast((names, mat))
 
     def nearest(col: pa.Array) -> pa.Array:
         ids, c = sent.value
         return pa.array(ids[quantize.nearest(kernels.matrix(col, c.shape[1]), c)])
 
-    return vectors.withColumn("list_id", F.arrow_udf(nearest, "int")(F.col(vec)))
+    rows = scale.of_dimension(vectors, vec, mat.shape[1])
+    return rows.withColumn("list_id", F.arrow_udf(nearest, "int")(F.col(vec)))
 
 
-# Above this many lists a directory per list means too many small files.
-MAX_LIST_DIRS = 4096
-
-
-def write_index(assigned: DataFrame, path: str, nlist: int, id_col: str = "id") -> DataFrame:
+def write_index(assigned: DataFrame, path: str, id_col: str = "id") -> DataFrame:
     """Store the table clustered by list and return it as read back.
 
-    Up to a few thousand lists each gets its directory, so a probe reads only its lists. More
-    lists are range-clustered into sorted files, where row-group statistics skip the rest. Hot
-    lists are spread over several files by a hash of the id.
+    The assignment runs once, into a first copy; that copy is range-clustered by list and id into
+    sorted files. A hot list covers several ranges and files, and the statistics of files and row
+    groups skip the lists a search does not probe, for any number of lists.
     """
-    if nlist <= MAX_LIST_DIRS:
-        sizes = list_sizes(assigned)
-        total = sizes.agg(F.sum("n").alias("t")).head()["t"] or 1
-        share = max(total // max(nlist, 1), 1)
-        ways = scale.broadcast_if_small(
-            sizes.select("list_id", F.ceil(F.col("n") / F.lit(4 * share)).cast("int").alias("_ways"))
-        )
-        salted = assigned.join(ways, "list_id").withColumn(
-            "_salt", F.pmod(F.xxhash64(id_col), F.col("_ways"))
-        )
-        out = salted.repartition("list_id", "_salt").drop("_salt", "_ways")
-        out.write.mode("errorifexists").partitionBy("list_id").parquet(path)
-    else:
-        out = assigned.repartitionByRange("list_id", id_col).sortWithinPartitions("list_id")
-        out.write.mode("errorifexists").parquet(path)
-    return assigned.sparkSession.read.parquet(path)
+    spark = assigned.sparkSession
+    first = f"{path}-assigned"
+    assigned.write.mode("errorifexists").parquet(first)
+    placed = spark.read.schema(assigned.schema).parquet(first)
+    placed.repartitionByRange("list_id", id_col).sortWithinPartitions("list_id", id_col).write.mode(
+        "errorifexists").parquet(path)
+    return spark.read.schema(assigned.schema).parquet(path)
 
 
 def list_sizes(assigned: DataFrame) -> DataFrame:
@@ -151,15 +141,21 @@ def search(
     """
     rows = scale.bounded_vectors(queries, "qid", "qvec")
     asked = None if rows is None else scale.bounded_rows(probes.select("qid", "list_id"))
+    if decode is _plain:
+        index = scale.of_dimension(index, data, dimension(queries, "qvec") if rows is None else _width(rows))
     m = METRICS[metric]
     if asked is None:
         found = _search_blocks(index, probes, queries, k, metric, id_col, data, decode)
     else:
         found = _search_broadcast(index, rows, asked, queries, k, metric, id_col, data, decode)
-    best = scale.rank_per_group(found, ["qid"], [m.order("dist"), F.col("id")], k)
+    best = scale.rank_per_group_salted(found, ["qid"], [m.order("dist"), F.col("id")], k, "id")
     return best.select("qid", F.col("id").alias(id_col), "dist", "rank")
 
 
+def _width(rows) -> int:
+    return max((len(r["qvec"]) for r in rows if r["qvec"] is not None), default=0)
+
+
 def _search_broadcast(index, rows, asked, queries, k, metric, id_col, data, decode):
     qids = [r["qid"] for r in rows]
     place = {q: i for i, q in enumerate(qids)}
@@ -229,14 +225,24 @@ def _search_blocks(index, probes, queries, k, metric, id_col, data, decode, bloc
     )
 
 
+def encode_bits(
+    assigned: DataFrame, centers: np.ndarray, centered: bool = True, seed: int = 42, id_col: str = "id",
+    vec: str = "embedding",
+) -> DataFrame:
+    """``(list_id, id, code)``: 1-bit codes of assigned vectors, to be stored and searched."""
+    return search_bits(assigned, None, None, centers, 0, 0, centered, seed, id_col, vec, encode_only=True)
+
+
 def search_bits(
     vectors: DataFrame, probes: DataFrame, queries: DataFrame, centers: np.ndarray, k: int,
     query_bits: int = 0, centered: bool = True, seed: int = 42, id_col: str = "id", vec: str = "embedding",
+    encode_only: bool = False,
 ) -> DataFrame:
     """Top-k over 1-bit codes in the probed lists, by estimated distance.
 
     With ``centered`` each list is coded around its own center, else around zero. Queries and
-    probes are the broadcast side; a set beyond the bound runs in batches.
+    probes are the broadcast side; a set beyond the bound runs in batches. ``vectors`` holds vectors,
+    or stored codes in ``code`` as :func:`encode_bits` made them with the same centers and seed.
     """
     mid = centers if centered else np.zeros((1, centers.shape[1]))
     model = vectors.sparkSession.sparkContext.broadcast((mid, quantize.rotation(mid.shape[1], seed)))
@@ -255,23 +261,30 @@ def search_bits(
                 bits[i] = row.tobytes()
         return pd.DataFrame({"bits": bits, "norm": norm, "unit": unit})
 
-    code = F.pandas_udf(encode, quantize.BIT_FIELDS)("list_id", vec)
-    coded = vectors.select("list_id", id_col, code.alias("code"))
+    if "code" in vectors.columns:  # stored codes
+        coded = vectors.select("list_id", id_col, "code")
+    else:
+        code = F.pandas_udf(encode, quantize.BIT_FIELDS)("list_id", vec)
+        coded = scale.of_dimension(vectors, vec, centers.shape[1]).select("list_id", id_col, code.alias("code"))
+    if encode_only:
+        return coded
     rows = scale.bounded_vectors(queries, "qid", "qvec")
     asked = None if rows is None else scale.bounded_rows(probes.select("qid", "list_id"))
     if asked is None:
-        # too large to broadcast: bounded batches of queries by hash, each its own scan
-        n = queries.count()
-        load = max(n * centers.shape[1] / scale.BROADCAST_VALUES, n / scale.BROADCAST_ROWS,
-                   probes.count() / scale.BROADCAST_ROWS)
+        # too large to broadcast: bounded batches of probes by hash, each its own scan; a query's
+        # probes may lie in several batches, whose best rows are ranked again
+        n, bound = queries.count(), scale.BROADCAST_ROWS
+        load = max(n * centers.shape[1] / scale.BROADCAST_VALUES, n / bound, probes.count() / bound)
         batches = math.ceil(2 * load) + 1
-        batch = F.pmod(F.xxhash64(F.lit(batches), "qid"), F.lit(batches))
+        both = scale.cut_lineage(probes.select("qid", "list_id").distinct().join(queries.select("qid", "qvec"), "qid"))
         out = None
         for i in range(batches):
-            q, p = queries.where(batch == i), probes.where(batch == i)
-            part = search_bits(vectors, p, q, centers, k, query_bits, centered, seed, id_col, vec)
+            mine = both.where(F.pmod(F.xxhash64(F.lit(batches), "qid", "list_id"), F.lit(batches)) == i)
+            part = search_bits(vectors, mine.select("qid", "list_id"), mine.select("qid", "qvec").distinct(),
+                               centers, k, query_bits, centered, seed, id_col, vec)
             out = part if out is None else out.unionByName(part)
-        return out
+        top = scale.rank_per_group_salted(out.drop("rank"), ["qid"], [F.asc("dist"), F.col(id_col)], k, id_col)
+        return top.select("qid", id_col, "dist", "rank")
     qids = [r["qid"] for r in rows]
     place = {q: i for i, q in enumerate(qids)}
     by_list: dict[int, list[int]] = {}
@@ -308,7 +321,7 @@ def search_bits(
     found = coded.where(F.col("list_id").isin(sorted(by_list))).mapInArrow(
         scan, f"qid {qtype}, id {itype}, dist double"
     )
-    top = scale.rank_per_group(found, ["qid"], [F.asc("dist"), F.col("id")], k)
+    top = scale.rank_per_group_salted(found, ["qid"], [F.asc("dist"), F.col("id")], k, "id")
     return top.select("qid", F.col("id").alias(id_col), "dist", "rank")
 
 
@@ -376,7 +389,7 @@ def suggested_lists(n: int) -> int:
 
 
 __all__ = [
-    "assign", "candidate_cost", "centers_frame", "decoder", "dynamic_probe", "knn_approx",
+    "assign", "candidate_cost", "centers_frame", "decoder", "dynamic_probe", "encode_bits", "knn_approx",
     "list_sizes", "list_stats", "pair_distance", "probe", "refine", "search", "search_bits",
     "suggested_lists", "train", "write_index",
 ]

@@ -60,6 +60,41 @@ def _rough_keys(x: np.ndarray, qs: np.ndarray, metric: str) -> np.ndarray:
     return -(x @ qs.T)
 
 
+def _as_rough(key: float, metric: str) -> float:
+    """An exact key (smaller is closer) on the scale of the rough ones."""
+    return key * key if metric == "l2" else key - 1.0 if metric in ("ip_distance", "cosine_distance") else key
+
+
+# numbers of a distance matrix that one step holds
+BLOCK_VALUES = 4_000_000
+
+
+def nearest_few(x: np.ndarray, centers: np.ndarray, n: int = 1) -> np.ndarray:
+    """The n nearest centers per row, nearest first; the lowest index wins a tie.
+
+    Blocks of rows and centers bound the memory for any number of centers.
+    """
+    out = np.empty((len(x), n), np.int64)
+    norms = (centers * centers).sum(1)
+    step = max(BLOCK_VALUES // max(min(len(centers), 16_384), 1), 1)
+    for lo in range(0, len(x), step):
+        rows = x[lo : lo + step]
+        dist, at = np.empty((len(rows), 0)), np.empty((len(rows), 0), np.int64)
+        for c in range(0, len(centers), 16_384):
+            d = norms[None, c : c + 16_384] - 2.0 * (rows @ centers[c : c + 16_384].T)
+            if n == 1:
+                best = d.argmin(axis=1)[:, None]
+            else:
+                cut = np.partition(d, min(n, d.shape[1]) - 1, axis=1)[:, min(n, d.shape[1]) - 1]
+                best = np.argsort(np.where(d <= cut[:, None], d, np.inf), axis=1, kind="stable")[:, :n]
+            dist = np.hstack([dist, np.take_along_axis(d, best, 1)])
+            at = np.hstack([at, best + c])
+            keep = np.argsort(dist, axis=1, kind="stable")[:, :n]
+            dist, at = np.take_along_axis(dist, keep, 1), np.take_along_axis(at, keep, 1)
+        out[lo : lo + step] = at
+    return out
+
+
 class TopK:
     """Running exact top-k per query over batches; ties go to the lower id."""
 
@@ -68,6 +103,7 @@ class TopK:
         self.sign = 1.0 if metric in ASCENDING else -1.0
         self.keys: dict[int, np.ndarray] = {}
         self.ids: dict[int, np.ndarray] = {}
+        self.worst = np.full(len(qs), np.inf)  # rough key of the k-th best, once there are k
 
     def add(self, ids: np.ndarray, x: np.ndarray, only: np.ndarray | None = None) -> None:
         """Offer rows to all queries, or to the query positions in ``only``."""
@@ -81,19 +117,23 @@ class TopK:
         rough = _rough_keys(x, self.qs[pos], self.metric)
         # matrix products differ from the exact sums only by rounding: widen the cut by that
         slack = 1e-9 * (1.0 + np.nanmax(np.abs(rough), initial=0.0))
-        for j, p in enumerate(pos.tolist()):
-            r = rough[:, j]
-            if len(r) > self.k:
-                cut = np.partition(np.where(np.isnan(r), np.inf, r), self.k - 1)[self.k - 1]
-                near = np.flatnonzero(r <= cut + slack)
-            else:
-                near = np.flatnonzero(~np.isnan(r))
+        rough[np.isnan(rough)] = np.inf
+        cut = self.worst[pos]
+        if len(rough) > self.k:  # the cuts of all queries in one go
+            cut = np.minimum(cut, np.partition(rough, self.k - 1, axis=0)[self.k - 1])
+        cut = np.minimum(cut + slack, np.finfo(float).max)
+        # queries whose places are all taken by nearer rows sit out
+        for j in np.flatnonzero(rough.min(0) <= cut).tolist():
+            p = int(pos[j])
+            near = np.flatnonzero(rough[:, j] <= cut[j])
             key = self.sign * exact_scores(x[near], self.qs[p], self.metric)
             cand = ids[near]
             if p in self.keys:
                 key, cand = np.concatenate([self.keys[p], key]), np.concatenate([self.ids[p], cand])
             best = np.lexsort((cand, key))[: self.k]
             self.keys[p], self.ids[p] = key[best], cand[best]
+            if len(best) == self.k:
+                self.worst[p] = _as_rough(key[best[-1]], self.metric)
 
     def result(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(query position, ids, scores) in rank order."""

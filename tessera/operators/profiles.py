@@ -156,11 +156,11 @@ def plan_operators(texts: DataFrame) -> DataFrame:
 STREAM_SINK = "DATA_STREAM_SINK_OPERATOR"  # fixed value
 
 
-def plan_edges(operators: DataFrame, max_rounds: int = 8) -> DataFrame:
+def plan_edges(operators: DataFrame) -> DataFrame:
     """``(file, fragment, parent, depth)``: which fragment a fragment's stream sink feeds.
 
-    Depth is the number of steps to the root. Ancestors double their distance every round, so
-    eight rounds reach depth 256.
+    Depth is the number of steps to the root. Ancestors double their distance every round, until
+    none is left. A fragment that feeds itself, directly or over others, is an error.
     """
     sinks = operators.where(F.col("name") == STREAM_SINK).select(
         "file", "fragment", F.explode("dest_ids").alias("id")
@@ -174,9 +174,13 @@ def plan_edges(operators: DataFrame, max_rounds: int = 8) -> DataFrame:
         "file", "fragment", "parent", F.col("parent").alias("up"),
         F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth"),
     ))
-    for _ in range(max_rounds):
-        if state.where("up is not null").isEmpty():
-            break
+    # no path is longer than a file's number of fragments
+    longest = state.groupBy("file").count().agg(F.max("count").alias("n")).head()["n"] or 0
+    reach = 1
+    while not state.where("up is not null").isEmpty():
+        if reach > longest:
+            raise ValueError("a plan fragment feeds itself")
+        reach *= 2
         above = state.select("file", F.col("fragment").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"))
         state = scale.cut_lineage(
             state.join(above, ["file", "up"], "left").select(
@@ -209,10 +213,14 @@ def class_histogram(lines: DataFrame) -> DataFrame:
     )
 
 
-def histogram_topn(lines: DataFrame, n: int = 20, prefix: str = "") -> DataFrame:
-    """The n largest classes by size, of those starting with ``prefix``."""
-    h = class_histogram(lines).where(F.col("class").startswith(prefix))
-    return h.orderBy(F.desc("size"), "class").limit(n)
+def histogram_topn(lines: DataFrame, n: int = 20) -> DataFrame:
+    """The n largest classes by size."""
+    return class_histogram(lines).orderBy(F.desc("size"), "class").limit(n)
+
+
+def histogram_prefix(lines: DataFrame, prefix: str) -> DataFrame:
+    """All classes whose name starts with ``prefix``, however many."""
+    return class_histogram(lines).where(F.col("class").startswith(prefix))
 
 
 def log_between_markers(log: DataFrame, begin: str, end: str, db: str) -> DataFrame:

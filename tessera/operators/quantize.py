@@ -12,6 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,8 +113,7 @@ def lut_distance(codes: Column | str, tables: np.ndarray) -> Column:
 
 def nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
     """Index of the nearest center per row; the lowest index wins a tie."""
-    d = (centers * centers).sum(1)[None, :] - 2.0 * (x @ centers.T)
-    return d.argmin(axis=1)
+    return kernels.nearest_few(x, centers)[:, 0]
 
 
 def training_rows(vectors: DataFrame, fraction: float, seed: int, id_col: str) -> DataFrame:
@@ -124,6 +124,78 @@ def training_rows(vectors: DataFrame, fraction: float, seed: int, id_col: str) -
     return vectors.where(h < int(fraction * 1_000_000))
 
 
+def _add_arrays(batches):
+    """Sums of the arrays of equal (part, center) in a task; holds one array per center it meets."""
+    held: dict[tuple[int, int], list] = {}
+    for b in batches:
+        if not b.num_rows:
+            continue
+        for p, j, n, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(),
+                              kernels.matrix(b.column(4)), strict=True):
+            if (p, j) in held:
+                held[p, j][0] += n
+                held[p, j][1] += x
+            else:
+                held[p, j] = [n, x.copy()]
+    if held:
+        keys = np.array(list(held))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(np.zeros(len(keys), np.int32)),
+             pa.array([float(v[0]) for v in held.values()]), _lists(np.stack([v[1] for v in held.values()]), pa.float64())],
+            ["part", "center", "salt", "n", "total"],
+        )
+
+
+def _two_levels(
+    vectors: DataFrame, k: int, parts: int, rounds: int, seed: int, id_col: str, vec: str, fraction: float
+) -> np.ndarray:
+    """Centers for any k: coarse cells first, then the centers of each cell.
+
+    Every part is trained on its own slice of the vectors. A cell gets centers in proportion to its
+    rows, one at least; its k-means runs like any other, on the rows of the cell.
+    """
+    d = dimension(vectors, vec)
+    width = d // parts
+    out = []
+    for p in range(parts):
+        piece = scale.of_dimension(vectors, vec, d).select(
+            id_col, F.slice(vec, p * width + 1, width).alias(vec)
+        )
+        coarse = lloyd(piece, max(int(np.sqrt(k)), 1), 1, rounds, seed, id_col, vec, fraction)[0]
+        sent = vectors.sparkSession.sparkContext.broadcast(coarse)
+
+        placed = scale.cut_lineage(piece.withColumn("_cell", _cell_of(sent, vec)))
+        sizes = {r["_cell"]: r["n"] for r in placed.groupBy("_cell").agg(F.count("*").alias("n")).collect()}
+        share = _shares(sizes, k)
+        cells = [
+            lloyd(placed.where(F.col("_cell") == c), share[c], 1, rounds, seed, id_col, vec, fraction)[0]
+            for c in sorted(share)
+        ]
+        out.append(np.concatenate(cells))
+    least = min(len(c) for c in out)
+    return np.stack([c[:least] for c in out])
+
+
+def _cell_of(sent, vec: str) -> Column:
+    def number(col: pa.Array) -> pa.Array:
+        return pa.array(nearest(kernels.matrix(col, sent.value.shape[1]), sent.value).astype(np.int32))
+
+    return F.arrow_udf(number, "int")(F.col(vec))
+
+
+def _shares(sizes: dict[int, int], k: int) -> dict[int, int]:
+    """k centers over cells in proportion to their rows: one at least, no more than rows."""
+    total = sum(sizes.values())
+    share = {c: max(1, min(n, k * n // total)) for c, n in sizes.items()}
+    by_rows = sorted(sizes, key=lambda c: (-sizes[c], c))
+    i = 0
+    while sum(share.values()) < min(k, total):
+        c = by_rows[i % len(by_rows)]
+        share[c] += share[c] < sizes[c]
+        i += 1
+    return share
+
+
 def lloyd(
     vectors: DataFrame, k: int, parts: int = 1, rounds: int = 8, seed: int = 42,
     id_col: str = "id", vec: str = "embedding", fraction: float = 1.0,
@@ -131,15 +203,18 @@ def lloyd(
 ) -> np.ndarray:
     """k-means in each of ``parts`` equal sub-spaces at once: centers (parts, k, dim/parts).
 
-    Every round is one scan: tasks assign their rows and emit one partial sum per part and
-    center, so the shuffle does not grow with the table. Empty clusters restart from spare seeded
-    rows. One bounded set of centers returns to the driver per round.
+    Every round is one scan: tasks assign their rows and emit one array of sums per part and
+    center that got rows; arrays of a center are added in two steps, the first salted by task, so
+    no task adds all tasks' arrays. Empty clusters restart from spare seeded rows. The centers
+    return to the driver, k * d numbers; beyond the broadcast bound training takes two levels:
+    about sqrt(k) coarse cells, then the centers of each cell from its own rows.
     """
     d = dimension(vectors, vec)
     if d % parts:
         raise ValueError(f"{parts} parts do not divide {d} dimensions")
     if k * d > scale.BROADCAST_VALUES:
-        raise ValueError("centers would exceed the broadcast bound: use fewer or train in two levels")
+        return _two_levels(vectors, k, parts, rounds, seed, id_col, vec, fraction)
+    vectors = scale.of_dimension(vectors, vec, d)
     train = training_rows(vectors, fraction, seed, id_col).select(id_col, vec)
     seeds = sample_queries([train], 2 * k, seed, id_col, vec).collect()  # 2k rows
     pool = np.array([r["qvec"] for r in seeds], dtype=np.float64)
@@ -164,19 +239,21 @@ def lloyd(
                     np.add.at(s[p], a, x[p])
             p, j = np.nonzero(n)
             if len(p):
+                salt = np.full(len(p), TaskContext.get().partitionId() % 64, np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(p), pa.array(j), pa.array(n[p, j]), _lists(s[p, j], pa.float64())],
-                    ["part", "center", "n", "total"],
+                    [pa.array(p), pa.array(j), pa.array(salt), pa.array(n[p, j]), _lists(s[p, j], pa.float64())],
+                    ["part", "center", "salt", "n", "total"],
                 )
 
-        partial = train.select(vec).mapInArrow(
-            fold, "part long, center long, n double, total array<double>"
-        )
-        flat = partial.select("part", "center", "n", F.posexplode("total").alias("pos", "x"))
-        sums = flat.groupBy("part", "center", "pos").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
-        got = sums.toPandas()  # parts * k * (dim / parts) = k * dim numbers
+        fields = "part long, center long, salt int, n double, total array<double>"
+        partial = train.select(vec).mapInArrow(fold, fields)
+        salted = partial.repartition("part", "center", "salt").mapInArrow(_add_arrays, fields)
+        sums = salted.repartition("part", "center").mapInArrow(_add_arrays, fields)
+        got = sums.toArrow()  # k * dim numbers
         new = np.full(centers.shape, np.nan)
-        new[got["part"], got["center"], got["pos"]] = got["x"] / got["n"]
+        if got.num_rows:
+            total = kernels.matrix(got["total"], d // parts)
+            new[got["part"].to_numpy(), got["center"].to_numpy()] = total / got["n"].to_numpy()[:, None]
         for p, j in zip(*np.nonzero(np.isnan(new[:, :, 0])), strict=True):
             new[p, j] = spare[p][(r * k + j) % len(spare[p])]
         centers = new

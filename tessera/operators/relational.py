@@ -54,11 +54,16 @@ def key_extremes(df: DataFrame, key: str, value: str, cases: dict[str, Column])
     return df.groupBy(key).agg(*aggs)
 
 
-def cross_small(left: DataFrame, right: DataFrame, max_rows: int = 10_000) -> DataFrame:
-    """Cartesian product, only when the right side is proven small."""
-    if not scale.is_small(right, max_rows):
-        raise ValueError(f"cross join refused: more than {max_rows} rows on the right side")
-    return left.crossJoin(F.broadcast(right))
+def cross_dimensions(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Cartesian product, meant for dimension tables: its size is the product of both."""
+    return left.crossJoin(scale.broadcast_if_small(right))
+
+
+def limited_in_full(full: DataFrame, n: int) -> DataFrame:
+    """Rows that a limit without an order returns, and those of them that the full result has."""
+    some = full.limit(n).withColumn("_some", F.lit(1))
+    both = some.join(full.withColumn("_full", F.lit(1)), full.columns, "left")
+    return both.agg(F.count("_some").alias("returned"), F.count("_full").alias("in_full"))
 
 
 def fixed_bins(df: DataFrame, by: str, order: str, value: str, size: int) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera import scale
 from tessera.functions.distance import METRICS, parse_vector
+from tessera.functions.vectorstats import dimension
 from tessera.operators import kernels
 
 
@@ -107,6 +108,8 @@ def knn_batch(
     rows = scale.bounded_vectors(queries, qid, qvec)
     if rows is None:
         return knn_grid(vectors, queries, k, metric, id_col, vec, qid, qvec)
+    rows = [r for r in rows if r[qvec] is not None]
+    vectors = scale.of_dimension(vectors, vec, len(rows[0][qvec]) if rows else 0)
     qids = [r[qid] for r in rows]
     qs = np.array([r[qvec] for r in rows], dtype=np.float64).reshape(len(rows), -1)
     sent = vectors.sparkSession.sparkContext.broadcast((qids, qs))
@@ -129,7 +132,7 @@ def knn_batch(
     local = vectors.select(id_col, vec).mapInArrow(
         scan, f"qid {qtype}, id {itype}, dist double"
     )
-    best = scale.rank_per_group(local, ["qid"], [m.order("dist"), F.col("id")], k)
+    best = scale.rank_per_group_salted(local, ["qid"], [m.order("dist"), F.col("id")], k, "id")
     return best.select(F.col("qid").alias(qid), F.col("id").alias(id_col), "dist", "rank")
 
 
@@ -145,8 +148,9 @@ def knn_grid(
     Blocks are by hash of the id, so no key can make one of them hot.
     """
     m = METRICS[metric]
-    head = vectors.select(F.size(vec).alias("n")).head()
-    per_block = max(block_values // max(int(head["n"]) if head else 1, 1), 1)
+    dim = dimension(queries, qvec)
+    vectors, queries = scale.of_dimension(vectors, vec, dim), scale.of_dimension(queries, qvec, dim)
+    per_block = max(block_values // max(dim, 1), 1)
     nv = max(math.ceil(vectors.count() / per_block), 1)
     nq = max(math.ceil(queries.count() / per_block), 1)
     qtype = queries.schema[qid].dataType.simpleString()
@@ -182,7 +186,7 @@ def knn_grid(
     cells = left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInPandas(
         cell, f"qid {qtype}, id {itype}, dist double"
     )
-    best = scale.rank_per_group(cells, ["qid"], [m.order("dist"), F.col("id")], k)
+    best = scale.rank_per_group_salted(cells, ["qid"], [m.order("dist"), F.col("id")], k, "id")
     return best.select(F.col("qid").alias(qid), F.col("id").alias(id_col), "dist", "rank")
 
 

@@ -236,9 +236,12 @@ def txt_chunk(t):
 
 @query("retrieve_context")
 def retrieve_context(t):
-    """Chunks carry the vector of their document; the label means ask."""
-    chunks = H.chunk_text(t.documents).join(t.embeddings, F.expr("doc_id = vec_id")).select(
-        (F.col("doc_id") * 1_000_000 + F.col("chunk_no")).alias("chunk_id"), "chunk", "embedding")
+    """Chunks of every document; vectors stand for documents round robin, the label means ask."""
+    n = t.embeddings.agg(F.count("*").alias("n"))  # one row
+    docs = t.documents.crossJoin(F.broadcast(n)).join(t.embeddings, F.expr("doc_id % n = vec_id"))
+    vectors = docs.select("doc_id", "embedding")
+    chunks = H.chunk_text(t.documents).join(vectors, "doc_id").select(
+        F.concat_ws(":", "doc_id", "chunk_no").alias("chunk_id"), "chunk", "embedding")
     q = centers(t).select(F.col("list_id").alias("qid"), F.col("center").alias("qvec"))
     return H.retrieve_context(chunks, q, 3)
 

@@ -93,6 +93,29 @@ def lists(t):
     return ivf.assign(t.user_vectors, centers(t))
 
 
+_stored: dict[tuple, str] = {}
+
+
+def stored(t, form: str = "flat"):
+    """The index of a table in one of its forms, written once per session and read by every search."""
+    key = (t.spark.sparkContext.applicationId, t.sf_dir, form)
+    path = _stored.get(key)
+    if path is None:
+        if form == "flat":
+            rows = lists(t)
+        else:
+            flat = stored(t)
+            if form == "bits":
+                rows = ivf.encode_bits(flat, center_matrix(t))
+            else:
+                codec = C.sq_train(t.embeddings) if form == "sq" else book(t)
+                rows = flat.select("list_id", "id", codec.encode("embedding").alias("codes"))
+        path = work_path(t.spark, f"index-{form}")
+        _stored[key] = path
+        ivf.write_index(rows, path)
+    return t.spark.read.parquet(path)
+
+
 # ---------------------------------------------------------------- scalar codes
 
 
@@ -280,11 +303,14 @@ def ivf_assign(t):
     return lists(t).select("id", "list_id")
 
 
-@query("ivf_write", f"with {CENT}, {ASG} select list_id, count(*) as n, sum(id)::bigint as ids from asg group by 1")
+@query("ivf_write", f"""with {CENT}, {ASG} select list_id, count(*) as n, sum(id)::bigint as ids,
+  round(sum(round(list_sum(v), 6)), 3) as total from asg group by 1""")
 def ivf_write(t):
     """The stored index read back, per list."""
-    stored = ivf.write_index(lists(t), work_path(t.spark, "ivf"), 10)
-    return stored.groupBy("list_id").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+    back = ivf.write_index(lists(t), work_path(t.spark, "ivf"))
+    total = F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double")), 6)
+    return back.groupBy("list_id").agg(
+        F.count("*").alias("n"), F.sum("id").alias("ids"), F.round(F.sum(total), 3).alias("total"))
 
 
 @query(
@@ -326,7 +352,7 @@ def ivf_candidate_cost(t):
 @query("ivf_search_flat", f"with {CENT}, {ASG}, {prb(3)}, {found('list_distance(v, qv)', 10)} {HITS}")
 def ivf_search_flat(t):
     c, q = centers(t), qset(t)
-    return r6(ivf.search(lists(t), ivf.probe(c, q, 3), q, 10), "dist")
+    return r6(ivf.search(stored(t), ivf.probe(c, q, 3), q, 10), "dist")
 
 
 @query(
@@ -336,8 +362,7 @@ def ivf_search_flat(t):
 )
 def ivf_search_sq(t):
     c, q, codec = centers(t), qset(t), C.sq_train(t.embeddings)
-    coded = lists(t).select("list_id", "id", codec.encode("embedding").alias("codes"))
-    hit = ivf.search(coded, ivf.probe(c, q, 3), q, 10, data="codes", decode=ivf.decoder(codec))
+    hit = ivf.search(stored(t, "sq"), ivf.probe(c, q, 3), q, 10, data="codes", decode=ivf.decoder(codec))
     return r6(hit, "dist")
 
 
@@ -347,15 +372,14 @@ PQ_FOUND = found("round(list_distance(dv, qv), 9)", 10, "join pqd on pqd.id = as
 @query("ivf_search_pq", f"with {PQ}, {ASG}, {prb(3)}, {PQ_FOUND} select qid, id, round(dist, 6) as dist from fnd")
 def ivf_search_pq(t):
     c, q, codec = centers(t), qset(t), book(t)
-    coded = lists(t).select("list_id", "id", codec.encode("embedding").alias("codes"))
-    hit = ivf.search(coded, ivf.probe(c, q, 3), q, 10, data="codes", decode=ivf.decoder(codec))
+    hit = ivf.search(stored(t, "pq"), ivf.probe(c, q, 3), q, 10, data="codes", decode=ivf.decoder(codec))
     return r6(hit.drop("rank"), "dist")
 
 
 @query("ivf_search_rabitq")
 def ivf_search_rabitq(t):
     c, q = centers(t), qset(t)
-    return ivf.search_bits(lists(t), ivf.probe(c, q, 3), q, center_matrix(t), 10, query_bits=8)
+    return ivf.search_bits(stored(t, "bits"), ivf.probe(c, q, 3), q, center_matrix(t), 10, query_bits=8)
 
 
 @query(
@@ -369,9 +393,8 @@ def ivf_search_rabitq(t):
 def ivf_refine(t):
     """Product codes give 4 x k candidates, full vectors re-rank them."""
     c, q, codec = centers(t), qset(t), book(t)
-    coded = lists(t).select("list_id", "id", codec.encode("embedding").alias("codes"))
-    cand = ivf.search(coded, ivf.probe(c, q, 3), q, 40, data="codes", decode=ivf.decoder(codec))
-    return r6(ivf.refine(cand, t.user_vectors, q, 10, "flat"), "dist")
+    cand = ivf.search(stored(t, "pq"), ivf.probe(c, q, 3), q, 40, data="codes", decode=ivf.decoder(codec))
+    return r6(ivf.refine(cand, stored(t), q, 10, "flat"), "dist")
 
 
 @query(
@@ -381,7 +404,7 @@ def ivf_refine(t):
 )
 def knn_approx(t):
     """Prefilter, approximate top-k and radius in one call."""
-    hit = ivf.knn_approx(lists(t), centers(t), qset(t), 10, 4, where=F.col("category") < 5, radius=1.2)
+    hit = ivf.knn_approx(stored(t), centers(t), qset(t), 10, 4, where=F.col("category") < 5, radius=1.2)
     return r6(hit, "dist")
 
 
@@ -400,4 +423,4 @@ def knn_approx(t):
 def approx_vs_exact(t):
     c, q = centers(t), qset(t)
     exact = S.knn_batch(t.user_vectors, q, 100)
-    return Q.approx_vs_exact(exact, ivf.search(lists(t), ivf.probe(c, q, 4), q, 100), (10, 100))
+    return Q.approx_vs_exact(exact, ivf.search(stored(t), ivf.probe(c, q, 4), q, 100), (10, 100))

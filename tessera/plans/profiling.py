@@ -139,21 +139,25 @@ def section_extract(t):
 
 @query(
     "histogram_topn",
-    """select count(*) as instances, sum(event_id)::bigint as size,
-      'app.' || event_type || '.User' || user_id as class from {events}
-    where event_type = 'click' group by 3 order by size desc, class limit 20""",
+    """with h as (select count(*) as instances, sum(event_id)::bigint as size,
+      'app.' || event_type || '.User' || user_id as class from {events} group by 3)
+    (select 'top' as part, * from h order by size desc, class limit 20)
+    union all select 'prefix', * from h where class like 'app.click.%'""",
 )
 def histogram_topn(t):
+    """The largest classes of all, and every class of one package."""
     rows = t.events.groupBy("event_type", "user_id").agg(F.count("*").alias("n"), F.sum("event_id").alias("s"))
     line = F.expr("concat('  ', user_id, ':   ', n, '    ', s, '  app.', event_type, '.User', user_id)")
     lines = rows.select(line.alias("line")).union(t.region.select(F.col("r_name")))
-    return P.histogram_topn(lines, 20, "app.click.")
+    top = P.histogram_topn(lines, 20).select(F.lit("top").alias("part"), "*")
+    return top.unionByName(P.histogram_prefix(lines, "app.click.").select(F.lit("prefix").alias("part"), "*"))
 
 
 LOG = """select concat('q', cast(event_id as string)) as query_id, ts as begin_at,
     ts + interval '1' second as end_at, concat('db', cast(user_id % 3 as string)) as db,
-    case event_id when 100 then 'select ''run-begin-77''' when 900 then 'select ''run-end-77''' else props end as sql
-  from {events}"""
+    case event_id when cast(floor(n * 0.1) as bigint) then 'select ''run-begin-77''' 
+      when cast(floor(n * 0.9) as bigint) then 'select ''run-end-77''' else props end as sql
+  from {events} cross join (select count(*) as n from {events}) s"""
 
 
 @query(

@@ -373,12 +373,10 @@ def join_semi_in(t):
 
 @query(
     "join_anti_not_exists",
-    """select c_custkey from {customer} where not exists (from {orders} where o_custkey = c_custkey
-      and o_orderdate >= date '2001-01-01')""",
+    "select c_custkey from {customer} where not exists (from {orders_x} where o_custkey = c_custkey)",
 )
 def join_anti_not_exists(t):
-    recent = t.orders.where(F.col("o_orderdate") >= day(2001, 1, 1))
-    return t.customer.join(recent, F.expr("o_custkey = c_custkey"), "left_anti").select("c_custkey")
+    return t.customer.join(t.orders_x, F.expr("o_custkey = c_custkey"), "left_anti").select("c_custkey")
 
 
 @query(
@@ -435,8 +433,8 @@ def join_theta_scalar(t):
 
 @query("join_cross", "select n_name, r_name from {nation}, {region}")
 def join_cross(t):
-    """A product without predicate, refused unless one side is proven small."""
-    return R.cross_small(t.nation, t.region).select("n_name", "r_name")
+    """A product without predicate of two dimension tables."""
+    return R.cross_dimensions(t.nation, t.region).select("n_name", "r_name")
 
 
 # ---------------------------------------------------------------- aggregation
@@ -665,9 +663,15 @@ def srt_limit_offset(t):
     return t.events.select("event_id", "value").orderBy(F.desc("value"), "event_id").offset(900).limit(10)
 
 
-@query("srt_limit_only")
+@query(
+    "srt_limit_only",
+    """select least(count(*), 10) as returned, least(count(*), 10) as in_full
+    from (select distinct user_id, event_type from {events})""",
+)
 def srt_limit_only(t):
-    return t.events.groupBy("user_id", "event_type").count().limit(10)
+    """Any ten groups: how many came, and how many of them are groups of the full result."""
+    full = t.events.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    return R.limited_in_full(full, 10)
 
 
 @query("srt_full", "select user_id, count(*) as n from {events} group by user_id")

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from tessera.operators import relational as R
 from tessera.operators import search as S
+from tessera.functions.vectorstats import mean_vector
 from tessera.plans.registry import query
 from tessera.session import work_path
 from tessera.sources import generate, loads, results, tables, vector_text, xvecs
@@ -270,7 +271,25 @@ def repair_result_schema(t):
 # ---------------------------------------------------------------- generators
 
 
-@query("gen_resample_users")
+def unit_sql(seed: int, *keys: str) -> str:
+    """The generators' uniform number in SQL."""
+    return f"(('0x' || substr(md5(concat_ws(':', {seed}, {', '.join(keys)})), 1, 8))::ubigint / 4294967296.0::double)"
+
+
+def gauss_sql(seed: int, *keys: str) -> str:
+    return f"(sqrt(-2 * ln(1 - {unit_sql(seed, *keys)})) * cos(2 * pi() * {unit_sql(seed + 1, *keys)}))"
+
+
+ELEMENTS = "e as (select vec_id as id, label, generate_subscripts(embedding, 1) - 1 as j, unnest(embedding)::double as x from {embeddings})"
+
+
+@query(
+    "gen_resample_users",
+    f"""with s as (select row_number() over (order by vec_id) as i, embedding from {{embeddings}}),
+      d as (select u::int as user_id, k::int as id from range(20) a(u), range((select count(*) from s)) b(k))
+    select user_id, id, len(embedding)::int as dim, {SUM} as total
+    from d join s on i = floor({unit_sql(42, 'user_id', 'id')} * (select count(*) from s)) + 1""",
+)
 def gen_resample_users(t):
     """Per user as many draws as the source has vectors."""
     return generate.resample(t.user_vectors, 20, t.user_vectors.count()).select(
@@ -285,29 +304,50 @@ def gen_expand_ids(t):
     return generate.expand_ids(t.user_vectors.drop("embedding"), 10, 1_000_000)
 
 
-@query("gen_uniform_vectors")
+@query(
+    "gen_uniform_vectors",
+    f"""with {ELEMENTS} select id, floor({unit_sql(43, 'id')} * 9)::int + 1 as category, count(*)::int as dim,
+      round(sum(x + 1.0 + {unit_sql(42, 'id', 'j')} * 99.0), 4) as total from e group by id""",
+)
 def gen_uniform_vectors(t):
-    """As many vectors as the table has rows."""
-    return generate.uniform_vectors(t.spark, t.embeddings.count(), 64).select("id", "category", *stats("embedding"))
+    """The vectors of the table moved by uniform noise."""
+    return generate.uniform_vectors(t.user_vectors).select("id", "category", *stats("embedding"))
 
 
-@query("gen_normal_unit")
+@query(
+    "gen_normal_unit",
+    f"""with {ELEMENTS}, g as (select id, x + 0.1 * {gauss_sql(42, 'id', 'j')} as y from e)
+    select id, count(*)::int as dim, round(sum(y) / sqrt(sum(y * y)), 4) + 0.0 as total from g group by id""",
+)
 def gen_normal_unit(t):
-    return generate.normal_unit(t.spark, t.embeddings.count(), 64).select("id", *stats("embedding"))
+    """The vectors of the table moved by Gaussian noise, of length one."""
+    return generate.normal_unit(t.user_vectors).select("id", *stats("embedding"))
 
 
-@query("gen_clustered")
+@query(
+    "gen_clustered",
+    f"""with {ELEMENTS}, c as (select dense_rank() over (order by label) - 1 as cluster, j, avg(x) as c from e group by label, j),
+      r as (select distinct id, id % (select count(distinct cluster) from c) as cluster from e)
+    select id, r.cluster::int as cluster, count(*)::int as dim, round(sum(c + 0.8 * {gauss_sql(42, 'id', 'j')}), 4) + 0.0 as total
+    from r join c on c.cluster = r.cluster group by id, r.cluster""",
+)
 def gen_clustered(t):
-    """Clustered rows and noisy queries sampled from them."""
-    v = generate.clustered(t.spark, t.embeddings.count(), 16, 24)
-    q = generate.noisy_queries(S.sample_queries([v], 20), 0.1)
-    return S.knn_batch(v, q, 1)
+    """Rows around the label means of the table."""
+    means = mean_vector(t.embeddings, "label").withColumnRenamed("label", "list_id")
+    return generate.clustered(t.user_vectors, means).select("id", "cluster", *stats("embedding"))
 
 
-@query("gen_typed_rows")
+@query(
+    "gen_typed_rows",
+    f"""select c_custkey as id, floor({unit_sql(42, 'c_custkey')} * 1000001)::bigint as c_custkey,
+      substr(md5(concat('43:', c_custkey)), 1, 12) as c_name, floor({unit_sql(44, 'c_custkey')} * 25)::int as c_nationkey,
+      round({unit_sql(45, 'c_custkey')} * 1000000, 6) as c_acctbal, substr(md5(concat('46:', c_custkey)), 1, 12) as c_mktsegment
+    from {{customer}}""",
+)
 def gen_typed_rows(t):
-    """Random rows with the schema of the customer table."""
-    return generate.typed_rows(t.spark, t.customer.schema, t.customer.count(), ranges={"c_nationkey": (0, 24)})
+    """A random row of the customer table's types for every customer."""
+    out = generate.typed_rows(t.customer, "c_custkey", t.customer.schema, ranges={"c_nationkey": (0, 24)})
+    return out.withColumn("c_acctbal", F.round("c_acctbal", 6))
 
 
 @query(

@@ -102,13 +102,13 @@ def _ranked(df, k_label=None):
     "knn_topk",
     "with d as (select vec_id as id, list_distance(embedding::double[], " + Q0 + ") as dist "
     "from {embeddings}), r as (select *, row_number() over (order by dist, id) as rn from d) "
-    "select k, id, round(dist, 6) as dist from r join (values (1), (10), (100)) v(k) on rn <= k",
+    "select k, id, round(dist, 6) as dist from r join (values (1), (10), (100), (5000)) v(k) on rn <= k",
 )
 def knn_topk(t):
-    """Global exact top-k for k = 1, 10, 100."""
+    """Global exact top-k for k = 1, 10, 100, 5000."""
     q = q0(t)
     v = t.user_vectors
-    return reduce(lambda a, b: a.union(b), [_ranked(S.knn(v, q, k), k) for k in (1, 10, 100)])
+    return reduce(lambda a, b: a.union(b), [_ranked(S.knn(v, q, k), k) for k in (1, 10, 100, 5000)])
 
 
 @query(

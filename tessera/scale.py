@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.session import ensure_checkpoints
 
@@ -15,38 +16,53 @@ BROADCAST_VALUES = 8_000_000
 BROADCAST_ROWS = 50_000
 
 
-def bounded_rows(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> list[Row] | None:
-    """All rows of ``df`` when there are at most ``max_rows`` of them, else None.
+def bounded_rows(df: DataFrame, max_rows: int | None = None) -> list[Row] | None:
+    """All rows of ``df`` when there are at most ``max_rows`` (BROADCAST_ROWS) of them, else None.
 
     Never moves more than ``max_rows + 1`` rows to the driver.
     """
+    max_rows = BROADCAST_ROWS if max_rows is None else max_rows
     rows = df.limit(max_rows + 1).collect()
     return rows if len(rows) <= max_rows else None
 
 
 def bounded_vectors(
-    df: DataFrame, id_col: str, vec_col: str, max_values: int = BROADCAST_VALUES
+    df: DataFrame, id_col: str, vec_col: str, max_values: int | None = None
 ) -> list[Row] | None:
     """(id, vector) rows when their numbers fit the broadcast bound, else None."""
-    head = df.select(F.size(vec_col).alias("n")).head()
-    if head is None:
-        return []
-    dim = max(int(head["n"]), 1)
+    head = df.agg(F.max(F.size(vec_col)).alias("n")).head()
+    dim = max(int(head["n"] or 1), 1)
+    max_values = BROADCAST_VALUES if max_values is None else max_values
     return bounded_rows(df.select(id_col, vec_col), min(BROADCAST_ROWS, max_values // dim))
 
 
+def of_dimension(df: DataFrame, vec: str, dim: int) -> DataFrame:
+    """The rows whose vector has ``dim`` numbers; NULL and other lengths are no candidates."""
+    return df.where(F.size(F.col(vec)) == dim) if dim else df.where(F.col(vec).isNotNull())
+
+
 def local_table(df: DataFrame) -> DataFrame:
     """A result known to be small as a local table, so that later uses run no job for it."""
     return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
 
 
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows (counts no further than that)."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def is_small(df: DataFrame, max_rows: int | None = None) -> bool:
+    """Whether ``df`` has at most ``max_rows`` rows, whose texts and arrays hold at most
+    BROADCAST_VALUES numbers or eight times as many bytes (reads no more rows than that)."""
+    max_rows = BROADCAST_ROWS if max_rows is None else max_rows
+    wide = F.lit(0)
+    for f in df.schema:
+        c = F.col("`" + f.name.replace("`", "``") + "`")
+        if isinstance(f.dataType, T.ArrayType):
+            wide = wide + F.coalesce(F.greatest(F.size(c), F.lit(0)) * 8, F.lit(0))
+        elif isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            wide = wide + F.coalesce(F.octet_length(c), F.lit(0))
+    got = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(wide).alias("b")).head()
+    return got["n"] <= max_rows and (got["b"] or 0) <= 8 * BROADCAST_VALUES
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast only when its row count is proven small."""
+def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """Mark ``df`` for broadcast only when its rows and bytes are proven small."""
     return F.broadcast(df) if is_small(df, max_rows) else df
 
 

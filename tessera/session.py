@@ -23,6 +23,10 @@ def build_session(app: str = "tessera", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        # checkpoint files go once nothing uses them any more
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+        # a probe of many lists prunes by every one of them, not by their range
+        "spark.sql.parquet.pushdown.inFilterThreshold": "1000",
     }
     settings.update({k.replace("__", "."): str(v) for k, v in conf.items()})
     for k, v in settings.items():

@@ -3,22 +3,28 @@ and lost executors never change a row."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera import scale
 from tessera.operators.quantize import _lists
 
-_STEPS = 1 << 30
-
-
 def unit(seed: int, *keys) -> Column:
-    """A uniform number in [0, 1) from seed and keys."""
+    """A uniform number in [0, 1) from seed and keys, on 2^32 steps: the first half of an md5."""
     cols = [F.col(k) if isinstance(k, str) else k for k in keys]
-    return F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(_STEPS)) / float(_STEPS)
+    text = F.concat_ws(":", F.lit(str(seed)), *[c.cast("string") for c in cols])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+
+def gauss(seed: int, *keys) -> Column:
+    """A standard normal number from seed and keys (Box and Muller)."""
+    u, v = unit(seed, *keys), unit(seed + 1, *keys)
+    return F.sqrt(-2 * F.log(1 - u)) * F.cos(2 * math.pi * v)
 
 
 def resample(
@@ -37,7 +43,7 @@ def resample(
         F.expr(f"cast(id div {n} as int)").alias("user_id"),
         F.expr(f"cast(id % {n} as int)").alias("id"),
     )
-    pick = F.pmod(F.xxhash64(F.lit(seed), "user_id", "id"), F.lit(total)) + 1
+    pick = F.floor(unit(seed, "user_id", "id") * total) + 1
     drawn = draws.withColumn("_i", pick.cast("long"))
     return drawn.join(numbered.select("_i", vec), "_i").select("user_id", "id", F.col(vec).alias("embedding"))
 
@@ -51,50 +57,38 @@ def expand_ids(df: DataFrame, times: int, offset: int, id_col: str = "id") -> Da
 
 
 def uniform_vectors(
-    spark: SparkSession, n: int, dim: int, low: float = 1.0, high: float = 100.0,
-    categories: int = 9, seed: int = 42,
+    rows: DataFrame, low: float = 1.0, high: float = 100.0, categories: int = 9, seed: int = 42,
+    id_col: str = "id", vec: str = "embedding",
 ) -> DataFrame:
-    """``(id, category 1..categories, embedding)`` with values uniform in [low, high)."""
-    value = lambda j: (low + unit(seed, F.col("id"), j) * (high - low)).cast("float")
-    return spark.range(n).select(
-        F.col("id").cast("int").alias("id"),
-        (F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(categories)) + 1).cast("int").alias("category"),
-        F.transform(F.sequence(F.lit(1), F.lit(dim)), value).alias("embedding"),
-    )
-
-
-def _gauss(ids: np.ndarray, dim: int, seed: int) -> np.ndarray:
-    return np.stack([np.random.default_rng([seed, int(i)]).standard_normal(dim) for i in ids])
-
+    """``(id, category 1..categories, embedding)``: the given vectors plus noise uniform in [low, high)."""
+    moved = F.transform(vec, lambda x, j: x.cast("double") + low + unit(seed, F.col(id_col), j) * (high - low))
+    category = (F.floor(unit(seed + 1, id_col) * categories) + 1).cast("int").alias("category")
+    return rows.select(id_col, category, moved.alias(vec))
 
-def normal_unit(spark: SparkSession, n: int, dim: int, seed: int = 42) -> DataFrame:
-    """``(id, embedding)``: Gaussian vectors of length one, seeded per id."""
-
-    def make(col: pa.Array) -> pa.Array:
-        if not len(col):
-            return pa.array([], pa.list_(pa.float32()))
-        x = _gauss(col.to_numpy(), dim, seed)
-        return _lists((x / np.sqrt((x * x).sum(1))[:, None]).astype(np.float32), pa.float32())
 
-    return spark.range(n).select("id", F.arrow_udf(make, "array<float>")("id").alias("embedding"))
+def normal_unit(rows: DataFrame, sigma: float = 0.1, seed: int = 42, id_col: str = "id", vec: str = "embedding") -> DataFrame:
+    """``(id, embedding)``: the given vectors plus Gaussian noise, scaled to length one."""
+    moved = F.transform(vec, lambda x, j: x.cast("double") + sigma * gauss(seed, F.col(id_col), j))
+    drawn = rows.select(id_col, moved.alias(vec))
+    norm = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda s, x: s + x * x))
+    return drawn.withColumn("_n", norm).select(id_col, F.transform(vec, lambda x: x / F.col("_n")).alias(vec))
 
 
 def clustered(
-    spark: SparkSession, n: int, dim: int, clusters: int, spread: float = 0.8, box: float = 6.0,
-    seed: int = 42,
+    rows: DataFrame, centers: DataFrame, spread: float = 0.8, seed: int = 42, id_col: str = "id",
 ) -> DataFrame:
-    """``(id, cluster, embedding)``: centers uniform in a box, rows dealt round robin plus noise."""
-    mids = np.random.default_rng(seed).uniform(-box, box, (clusters, dim))
+    """``(id, cluster, embedding)``: a row for each given id, dealt to the given ``(list_id, center)``
+    round robin, plus Gaussian noise."""
+    n = centers.count()
+    dealt = rows.select(id_col, F.pmod(F.col(id_col), F.lit(n)).cast("int").alias("cluster"))
+    numbered = scale.row_numbers(centers, [], ["list_id"], "_i").select(
+        (F.col("_i") - 1).cast("int").alias("cluster"), "center")
+    moved = F.transform("center", lambda x, j: x + spread * gauss(seed, F.col(id_col), j))
+    return dealt.join(scale.broadcast_if_small(numbered), "cluster").select(id_col, "cluster", moved.alias("embedding"))
 
-    def make(col: pa.Array) -> pa.Array:
-        if not len(col):
-            return pa.array([], pa.list_(pa.float32()))
-        ids = col.to_numpy()
-        x = mids[ids % clusters] + spread * _gauss(ids, dim, seed + 1)
-        return _lists(x.astype(np.float32), pa.float32())
 
-    rows = spark.range(n).select("id", F.pmod("id", F.lit(clusters)).cast("int").alias("cluster"))
-    return rows.withColumn("embedding", F.arrow_udf(make, "array<float>")("id"))
+def _normal(ids: np.ndarray, dim: int, seed: int) -> np.ndarray:
+    return np.stack([np.random.default_rng([seed, int(i)]).standard_normal(dim) for i in ids])
 
 
 def noisy_queries(queries: DataFrame, sigma: float, seed: int = 42) -> DataFrame:
@@ -104,17 +98,19 @@ def noisy_queries(queries: DataFrame, sigma: float, seed: int = 42) -> DataFrame
         if not len(col):
             return pa.array([], pa.list_(pa.float32()))
         x = np.stack([np.asarray(v, dtype=np.float64) for v in col.to_pylist()])
-        return _lists((x + sigma * _gauss(ids.to_numpy(), x.shape[1], seed)).astype(np.float32), pa.float32())
+        return _lists((x + sigma * _normal(ids.to_numpy(), x.shape[1], seed)).astype(np.float32), pa.float32())
 
     return queries.select("qid", F.arrow_udf(add, "array<float>")("qid", "qvec").alias("qvec"))
 
 
 def typed_rows(
-    spark: SparkSession, schema: T.StructType, n: int, seed: int = 42,
+    rows: DataFrame, id_col: str, schema: T.StructType, seed: int = 42,
     ranges: dict[str, tuple[int, int]] | None = None,
 ) -> DataFrame:
-    """Random rows of a schema; integer ranges can be given per column, decimals fill their type."""
+    """A random row of a schema for each given id; integer ranges can be given per column, decimals
+    fill their type."""
     ranges = ranges or {}
+    given = rows.select(F.col(id_col).alias("id"))
 
     def column(i: int, f: T.StructField) -> Column:
         u, t = unit(seed + i, F.col("id")), f.dataType
@@ -127,8 +123,11 @@ def typed_rows(
                 whole = F.floor(u * 30_000)
             c = whole
         elif isinstance(t, T.DecimalType):
-            top = 10.0 ** min(t.precision - t.scale, 15)
-            c = F.round(u * (top - 1), t.scale)
+            # nine digits a draw, as many draws as the type has digits
+            draws = [F.floor(unit(seed + i + 1000 * k, F.col("id")) * 1e9).cast("string") for k in range(-(-t.precision // 9))]
+            digits = F.substring(F.concat(*[F.lpad(x, 9, "0") for x in draws]), 1, t.precision)
+            whole, part = F.substring(digits, 1, t.precision - t.scale), F.substring(digits, t.precision - t.scale + 1, t.scale)
+            c = F.concat(F.lit("0"), whole, F.lit("."), part, F.lit("0"))
         elif isinstance(t, (T.DoubleType, T.FloatType)):
             c = lo + u * (hi - lo)
         elif isinstance(t, T.DateType):
@@ -141,4 +140,4 @@ def typed_rows(
             c = F.substring(F.md5(F.concat(F.lit(f"{seed + i}:"), F.col("id").cast("string"))), 1, 12)
         return c.cast(t).alias(f.name)
 
-    return spark.range(n).select(*[column(i, f) for i, f in enumerate(schema.fields)])
+    return given.select("id", *[column(i, f) for i, f in enumerate(schema.fields)])

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera import scale
 
 
 def save_bucketed(
@@ -19,14 +18,12 @@ def save_bucketed(
     bucket that a hot key makes much larger than the mean is written by several tasks.
     """
     placed = df.withColumn("_b", F.pmod(F.hash(*keys), F.lit(buckets)))
-    sizes = placed.groupBy("_b").agg(F.count("*").alias("_n"))  # at most one row per bucket
-    mean = max(df.count() // buckets, 1)
-    ways = sizes.select("_b", F.ceil(F.col("_n") / F.lit(4 * mean)).cast("int").alias("_ways"))
-    split = placed.join(scale.broadcast_if_small(ways), "_b").withColumn(
-        "_s", F.pmod(F.xxhash64(*sort), F.col("_ways"))
-    )
+    sizes = {r["_b"]: r["n"] for r in placed.groupBy("_b").agg(F.count("*").alias("n")).collect()}  # one per bucket
+    mean = max(sum(sizes.values()) // buckets, 1)
+    ways = [max(-(-sizes.get(b, 0) // (4 * mean)), 1) for b in range(buckets)]
+    split = placed.withColumn("_s", F.pmod(F.xxhash64(*sort), F.get(F.array(*map(F.lit, ways)), F.col("_b"))))
     (
-        split.repartition("_b", "_s").drop("_b", "_s", "_ways").write.mode("overwrite")
+        split.repartition("_b", "_s").drop("_b", "_s").write.mode("overwrite")
         .bucketBy(buckets, *keys).sortBy(*sort).option("path", path).saveAsTable(table)
     )
     return df.sparkSession.table(table)

@@ -43,8 +43,9 @@ select c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment,
   concat(cast(10 + c_nationkey as string), '-', cast(c_custkey as string)) as c_phone,
   concat('note ', cast(c_custkey % 7 as string)) as c_comment
 from {customer}""",
+    # a third of the customers has no orders: their neighbours have them
     "orders_x": """
-select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority,
+select o_orderkey, o_custkey - case when o_custkey % 3 = 2 then 1 else 0 end as o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority,
   0 as o_shippriority,
   case when o_orderkey % 9 = 0 then 'a special b requests c' else 'plain' end as o_comment
 from {orders}""",
@@ -82,8 +83,8 @@ select e.event_id as WatchID, e.user_id as UserID, e.ts as EventTime,
   concat(case when e.event_id % 4 = 0 then 'Google ' else '' end, 'page ',
     cast(p.page_id % 20 as string)) as Title,
   r.url as Referer, p.page_id as URLHash, r.page_id as RefererHash
-from {events} e join {pages} p on p.page_id = e.event_id % 50
-  join {pages} r on r.page_id = (e.event_id * 3 + 1) % 50""",
+from {events} e cross join (select count(*) as n from {pages}) s
+  join {pages} p on p.page_id = e.event_id % s.n join {pages} r on r.page_id = (e.event_id * 3 + 1) % s.n""",
     "user_vectors": """
 select cast(vec_id % 10 as int) as user_id, vec_id as id, label as category, embedding
 from {embeddings}""",

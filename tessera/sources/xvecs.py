@@ -6,6 +6,7 @@ be plain (a mounted folder) or URIs pyarrow understands.
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,6 +30,22 @@ RECORDS_PER_BATCH = 8192
 BYTES_PER_PARTITION = 64 << 20
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as a URI on the file system that Spark itself would use.
+
+    A path without a scheme on the local file system of a cluster is an error: tasks would write to
+    their own disks. ``file:`` paths are taken at their word, as mounts that all machines share.
+    """
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    uri = p.getFileSystem(conf).makeQualified(p).toUri()
+    if uri.getScheme() == "file":
+        if ":" not in path.split("/")[0] and not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{path} is local to each machine")
+        return "file://" + uri.getPath()
+    return uri.toString()
+
+
 def open_fs(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
@@ -60,13 +77,15 @@ class XvecsReader(DataSourceReader):
         self.step = int(options.get("partitionBytes", BYTES_PER_PARTITION))
 
     def partitions(self):
+        """Record ranges; one file is opened for the dimension, tasks check it in every record."""
         system, _ = open_fs(self.path)
-        parts, row = [], 0
+        parts, row, dim = [], 0, 0
         for file, size in list_files(self.path, self.kind):
             if size == 0:
                 continue
-            with system.open_input_file(file) as f:
-                dim = int(np.frombuffer(f.read(4), "<i4")[0])
+            if not dim:
+                with system.open_input_file(file) as f:
+                    dim = int(np.frombuffer(f.read(4), "<i4")[0])
             record = 4 + 4 * dim
             if dim <= 0 or size % record:
                 raise ValueError(f"{file}: size {size} does not fit records of {dim} numbers")
@@ -104,10 +123,14 @@ class WrittenFile(WriterCommitMessage):
 
 
 class XvecsWriter(DataSourceArrowWriter):
-    """Tasks write hidden files; only the files of a successful job get their final names."""
+    """Tasks write hidden files; only the files of a successful job get their final names.
+
+    Names begin with the time the job began, so a later append adds files after the earlier ones.
+    """
 
     def __init__(self, options):
         self.path, self.kind = options["path"], options["kind"]
+        self.job = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
 
     def write(self, iterator):
         from pyspark import TaskContext
@@ -126,7 +149,7 @@ class XvecsWriter(DataSourceArrowWriter):
                 x = flat.reshape(len(col), -1)
                 head = np.full((len(x), 1), x.shape[1], dtype="<i4")
                 out.write(np.hstack([head, x.view("<i4")]).tobytes())
-        return WrittenFile(temp, f"{folder}/part-{part:06d}.{self.kind}")
+        return WrittenFile(temp, f"{folder}/part-{self.job}-{part:06d}.{self.kind}")
 
     def commit(self, messages):
         system, _ = open_fs(self.path)
@@ -160,7 +183,7 @@ def read_xvecs(spark: SparkSession, path: str, kind: str, partition_bytes: int =
     """``(row, vec)`` of a file or folder; ``row`` counts over all files by name."""
     spark.dataSource.register(XvecsSource)
     return (
-        spark.read.format("xvecs").option("path", path).option("kind", kind)
+        spark.read.format("xvecs").option("path", qualified(spark, path)).option("kind", kind)
         .option("partitionBytes", partition_bytes).load()
     )
 
@@ -172,7 +195,7 @@ def write_xvecs(df: DataFrame, path: str, kind: str, order: str, vec: str = "emb
     out = df.repartitionByRange(order).sortWithinPartitions(order).select(
         F.lit(0).cast("long").alias("row"), F.col(vec).cast(f"array<{numbers}>").alias("vec")
     )
-    out.write.format("xvecs").option("path", path).option("kind", kind).mode("append").save()
+    out.write.format("xvecs").option("path", qualified(df.sparkSession, path)).option("kind", kind).mode("append").save()
 
 
 def read_query_set(spark: SparkSession, queries: str, truth: str) -> DataFrame:

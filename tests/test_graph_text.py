@@ -1,6 +1,7 @@
 import math
 
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -141,3 +142,24 @@ def test_chunks_cover_the_text(text, size, overlap):
     assert covered == len(text)
 
 
+
+
+def test_climb_of_many_steps(spark):
+    n = 150
+    x = np.arange(n, dtype=float)[:, None] * np.ones((1, 2))
+    edges = spark.createDataFrame([(i, i + 1, 2.0) for i in range(n - 1)], "src long, dst long, dist double")
+    q = asked(spark, x[-1:])
+    got = G.greedy_search(frame(spark, x), edges, q, 0).collect()
+    assert [(r["node"], r["dist"]) for r in got] == [(n - 1, 0.0)]
+
+
+def test_null_texts_are_no_documents(spark, monkeypatch):
+    from tessera import scale
+
+    docs = spark.createDataFrame(
+        [(1, "a b c"), (2, None), (3, "b b"), (4, ""), (5, "c d a")], "doc_id long, text string")
+    q = spark.createDataFrame([(1, "a b"), (2, "d")], "qid long, qtext string")
+    scan = sorted(map(tuple, H.bm25(docs, q, 3).collect()))
+    assert scan == sorted(map(tuple, H.bm25(docs.where("text is not null"), q, 3).collect()))
+    monkeypatch.setattr(scale, "BROADCAST_ROWS", 1)
+    assert scan == sorted(map(tuple, H.bm25(docs, q, 3).collect()))

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -19,6 +21,12 @@ def data(spark):
     return x, frame(spark, x).cache()
 
 
+def odd_sum(df):
+    """A sum over all numbers of all vectors."""
+    x = np.array(sorted(tuple(r["embedding"]) for r in df.select("embedding").collect()))
+    return x.sum(0).round(4).tolist()
+
+
 def test_dim_stats(spark, data):
     x, df = data
     rows = sorted(dim_stats(df).collect(), key=lambda r: r["pos"])
@@ -159,13 +167,69 @@ def test_bit_lists_in_batches(spark, data, monkeypatch):
     whole = ranked(ivf.search_bits(lists, probes, q, centers, 10))
     monkeypatch.setattr(scale, "BROADCAST_ROWS", 4)
     assert ranked(ivf.search_bits(lists, probes, q, centers, 10)) == whole
+    one = q.where("qid = 0")
+    wide = ivf.probe(cf, one, 5)  # more probes of one query than the bound
+    monkeypatch.setattr(scale, "BROADCAST_ROWS", 2)
+    small = ranked(ivf.search_bits(lists, wide, one, centers, 10))
+    monkeypatch.setattr(scale, "BROADCAST_ROWS", 50_000)
+    assert small == ranked(ivf.search_bits(lists, wide, one, centers, 10))
+
+
+def test_bad_vectors_are_no_candidates(spark, monkeypatch):
+    from tessera import scale
+
+    x = as_float32(matrix(40, 3))
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(100, None), (101, [1.0]), (102, [0.0] * 5)]
+    df = spark.createDataFrame(rows, "id long, embedding array<float>").repartition(4)
+    q = asked(spark, matrix(3, 3, 5))
+    want = {i: brute(x, v, 4) for i, v in enumerate(matrix(3, 3, 5))}
+    shorter = df.where("id <> 102")
+    assert ranked(S.knn_batch(df, q, 4)) == want
+    assert ranked(S.knn_grid(df, q, 4, block_values=60)) == want
+    centers = matrix(2, 3, 9)
+    lists = ivf.assign(df, centers)
+    assert lists.count() == 40
+    probes = ivf.probe(ivf.centers_frame(spark, centers), q, 2)
+    assert ranked(ivf.search(lists, probes, q, 4)) == want
+    assert sum(r["n"] for r in dim_stats(shorter).collect()) == 3 * 40
+
+
+@pytest.mark.parametrize("k", [3, 1000])
+def test_nearest_in_blocks(monkeypatch, k):
+    from tessera.operators import kernels
+
+    monkeypatch.setattr(kernels, "BLOCK_VALUES", 500)
+    x, c = matrix(60, 4), matrix(40, 4, 7)
+    d = ((x[:, None, :] - c[None]) ** 2).sum(2)
+    few = min(k, 40)
+    assert (kernels.nearest_few(x, c, few) == np.argsort(d, axis=1, kind="stable")[:, :few]).all()
+    assert (C.nearest(x, c) == d.argmin(1)).all()
+
+
+def test_many_centers_train_in_two_levels(spark, data, monkeypatch):
+    from tessera import scale
+
+    x, df = data
+    monkeypatch.setattr(scale, "BROADCAST_VALUES", 300)
+    c = C.lloyd(df, 24, rounds=3)[0]
+    assert c.shape == (24, 16)
+    near = lambda m: ((x[:, None, :] - m[None]) ** 2).sum(2).min(1).mean()
+    monkeypatch.setattr(scale, "BROADCAST_VALUES", 8_000_000)
+    plain = C.lloyd(df, 24, rounds=3)[0]
+    assert near(c) < 1.3 * near(plain)
+    both = C.lloyd(df, 4, parts=2, rounds=2)
+    assert both.shape == (2, 4, 8)
 
 
 def test_stored_index_prunes_to_probed_lists(spark, data):
     _, df = data
     lists = ivf.assign(df, ivf.train(df, 6, rounds=2))
-    stored = ivf.write_index(lists, work_path(spark, "t"), 6)
+    stored = ivf.write_index(lists, work_path(spark, "t"))
     assert stored.count() == 400
-    plan = stored.where(F.col("list_id").isin(1, 2))._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [list_id" in plan.replace("isnotnull(list_id", "list_id") or "list_id" in plan
+    assert odd_sum(stored) == odd_sum(df)
+    cf = ivf.centers_frame(spark, ivf.train(df, 6, rounds=2))
+    q = asked(spark, matrix(2, 16, 11))
+    plan = ivf.search(stored, ivf.probe(cf, q, 1), q, 5)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PushedFilters: \[[^\]]*(In|EqualTo)\(list_id", plan)
+    assert "nearest" not in plan
     assert ivf.list_stats(lists, 6).head()["total"] == 400

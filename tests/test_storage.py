@@ -2,6 +2,7 @@ import contextlib
 import io
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -114,14 +115,16 @@ def test_generators_do_not_depend_on_partitions(spark):
     b = {tuple(r[:2]): r["embedding"] for r in generate.resample(src.repartition(9), 4, 25).collect()}
     assert a == b and len(a) == 100
     assert len({tuple(v) for v in a.values()}) > 15
-    u = generate.uniform_vectors(spark, 500, 8).collect()
+    zero = spark.range(500).withColumn("embedding", F.array_repeat(F.lit(0.0), 8))
+    u = generate.uniform_vectors(zero).collect()
     flat = [x for r in u for x in r["embedding"]]
     assert min(flat) >= 1 and max(flat) < 100 and 45 < sum(flat) / len(flat) < 56
     assert {r["category"] for r in u} == set(range(1, 10))
-    n = generate.normal_unit(spark, 200, 6).collect()
+    n = generate.normal_unit(src).collect()
     assert all(abs(sum(x * x for x in r["embedding"]) - 1) < 1e-5 for r in n)
     schema = T.StructType.fromDDL("a int, b decimal(6,2), c date, d timestamp, e string, f double, g boolean, h tinyint")
-    rows = generate.typed_rows(spark, schema, 100, ranges={"a": (5, 9)}).collect()
+    rows = generate.typed_rows(spark.range(100), "id", schema, ranges={"a": (5, 9)}).collect()
+    assert max(r["b"] for r in rows) > 9000
     assert {r["a"] for r in rows} == {5, 6, 7, 8, 9} and all(r["b"] < 10000 for r in rows)
     assert all(r[c] is not None for r in rows for c in "abcdefgh")
 
@@ -146,8 +149,7 @@ def test_not_in_and_cross(spark):
     for lst, want in lists.items():
         right = spark.createDataFrame([(v,) for v in lst], "b int")
         assert [r["a"] for r in R.not_in(left, "a", right, "b").collect()] == want
-    with pytest.raises(ValueError):
-        R.cross_small(left, spark.range(50), max_rows=10)
+    assert R.cross_dimensions(left, spark.range(50)).count() == 150
 
 
 @pytest.mark.parametrize("values,dup", [([1, 2, 3, 1], True), ([], False), ([1], False), ([1, 2, 3, 4], False),
@@ -222,3 +224,26 @@ def test_plans_of_the_main_searches(spark):
     assert "TakeOrderedAndProject" in plan and "EqualTo(label,3)" in plan
     pruned = t.lineitem_x.groupBy("l_returnflag").count()._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<l_returnflag:string>" in pruned
+
+
+def test_appended_vector_files_add_up(spark, tmp_path):
+    path = str(tmp_path / "v")
+    for k in range(2):
+        xvecs.write_xvecs(frame(spark, matrix(8, 3, k)), path, "fvecs", "id")
+    back = xvecs.read_xvecs(spark, path, "fvecs").collect()
+    assert sorted(r["row"] for r in back) == list(range(16))
+    first = {r["row"]: r["vec"] for r in back}
+    assert np.allclose([first[i] for i in range(16)], np.vstack([matrix(8, 3, 0), matrix(8, 3, 1)]), atol=1e-6)
+
+
+def _chain(spark, parents):
+    rows = [("f", i, P.STREAM_SINK, None, [p]) for i, p in parents.items() if p is not None]
+    rows += [("f", i, "EXCHANGE_OPERATOR", i, None) for i in parents]
+    return spark.createDataFrame(rows, "file string, fragment int, name string, id int, dest_ids array<int>")
+
+
+def test_plan_edges_at_any_depth(spark):
+    deep = P.plan_edges(_chain(spark, {0: None, **{i: i - 1 for i in range(1, 400)}}))
+    assert {r["fragment"]: r["depth"] for r in deep.collect()} == {i: i for i in range(400)}
+    with pytest.raises(ValueError):
+        P.plan_edges(_chain(spark, {0: None, 1: 2, 2: 3, 3: 1}))
