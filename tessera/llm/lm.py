@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import repeat
 from zlib import crc32
 
 import numpy as np
@@ -35,10 +36,11 @@ RARE_GROUPS = 256  # rare words as context: hashed into so many groups
 FEATURES = 3
 CLASS_ROWS, WORD_ROWS = 1 << 14, 1 << 14
 ROUNDS = 2
+TASKS_PER_CORE = 4
 STEP_TOKENS = 1 << 15
 RATE, DAMPING, L2 = 0.3, 2.0, 1e-3
 BLOCK_VALUES = 1 << 14  # weights sent in one row when tasks' changes are added
-END = ""  # the token after the last word; no word is empty
+END = b""  # the token after the last word; no word is empty
 
 
 @dataclass
@@ -68,7 +70,7 @@ class Lexicon:
 
     def __post_init__(self):
         n = CLASSES * MEMBERS
-        self.number = {w: i for i, w in enumerate(self.words)}
+        self.number = {w.encode(): i for i, w in enumerate(self.words)}
         self.rare_tokens = self.tokens - int(self.counts[:n].sum())
         self.rare_distinct = self.distinct - min(n, len(self.words))
         self.log_count = np.log10(self.counts + 1.0)
@@ -83,7 +85,8 @@ class Lexicon:
         padded = np.full(n, -np.inf)
         padded[: len(known)] = np.log(known + 1)
         padded = padded.reshape(CLASSES, MEMBERS)
-        self.word_bias = np.where(np.isinf(padded), -1e4, padded).astype(np.float32)
+        padded -= np.log(np.maximum(np.exp(padded).sum(1, keepdims=True), 1e-300))
+        self.word_bias = np.maximum(padded, -1e4).astype(np.float32)
 
 
 def _rows(a: np.ndarray, b: np.ndarray, salt: np.ndarray | int, size: int) -> np.ndarray:
@@ -98,11 +101,22 @@ def _rows(a: np.ndarray, b: np.ndarray, salt: np.ndarray | int, size: int) -> np
     return out
 
 
+def _exp(z: np.ndarray) -> np.ndarray:
+    """exp in place; biases are logs of shares and weights are small, the bound is for safety."""
+    np.minimum(z, 60, out=z)
+    return np.exp(z, out=z)
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
-    return z
+    p = _exp(z)
+    p /= p.sum(1, keepdims=True)
+    return p
+
+
+def _log10_share(z: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """log10 of the softmax at the chosen column."""
+    p = _exp(z)
+    return np.log10(np.maximum(p[np.arange(len(p)), chosen] / p.sum(1), 1e-30))
 
 
 class Batch:
@@ -112,25 +126,23 @@ class Batch:
         self.cold: list[Counter] = []
         get = lexicon.number.get
         parts, sizes = [], []
-        groups: dict[bytes, int] = {}
         known = len(lexicon.words)
-        end = get(END, -1)
         for text in texts:
             ws = byte_words(text)
-            ids = [get(w.decode(), -1) for w in ws]
-            cold = [w for w, i in zip(ws, ids) if i < 0]
-            self.cold.append(Counter(cold if end >= 0 else [*cold, b""]))
-            groups.update((w, crc32(w) % RARE_GROUPS) for w in cold)
+            ws.append(END)
+            ids = np.fromiter(map(get, ws, repeat(-1)), np.int64, len(ws))
+            at = np.flatnonzero(ids < 0)
+            cold = [ws[i] for i in at.tolist()]
+            self.cold.append(Counter(cold))
             # an unknown word is numbered after the known ones by its group
-            left = iter(cold)
-            parts.append(np.fromiter((i if i >= 0 else known + groups[next(left)] for i in ids), np.int64, len(ids)))
-            parts.append(np.array([end]))
-            sizes.append(len(ids) + 1)
+            ids[at] = np.fromiter(map(crc32, cold), np.int64, len(cold)) % RARE_GROUPS + known
+            parts.append(ids)
+            sizes.append(len(ids))
         n = CLASSES * MEMBERS
         self.size = np.array(sizes, np.int64)
         token = np.concatenate(parts) if parts else np.empty(0, np.int64)
-        self.known = (token >= 0) & (token < known)
-        seen = np.minimum(np.maximum(token, 0), max(known - 1, 0))
+        self.known = token < known
+        seen = np.minimum(token, max(known - 1, 0))
         self.token = token
         self.log_count = np.where(self.known, lexicon.log_count[seen], 0.0) if known else np.zeros(len(token))
         context = np.where(self.known, lexicon.context[seen], n + (token - known) % RARE_GROUPS) if known else n + token % RARE_GROUPS
@@ -147,21 +159,21 @@ class Batch:
         self.owner = np.repeat(np.arange(len(sizes)), self.size)
 
 
-def _class_probs(w: Weights, lex: Lexicon, b: Batch, s: slice) -> tuple[np.ndarray, np.ndarray]:
+def _class_logits(w: Weights, lex: Lexicon, b: Batch, s: slice) -> tuple[np.ndarray, np.ndarray]:
     rows = _rows(b.one[s], b.two[s], 0, CLASS_ROWS)
     z = w.of_class[rows[:, 0]] + lex.class_bias
     for k in range(1, FEATURES):
         z += w.of_class[rows[:, k]]
-    return rows, _softmax(z)
+    return rows, z
 
 
-def _word_probs(w: Weights, lex: Lexicon, b: Batch, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _word_logits(w: Weights, lex: Lexicon, b: Batch, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     klass = b.klass[at]
     rows = _rows(b.one[at], b.two[at], klass + 1, WORD_ROWS)
     z = w.of_word[rows[:, 0]] + lex.word_bias[klass]
     for k in range(1, FEATURES):
         z += w.of_word[rows[:, k]]
-    return rows, _softmax(z)
+    return rows, z
 
 
 def log10_probs(w: Weights, lex: Lexicon, b: Batch) -> np.ndarray:
@@ -169,12 +181,10 @@ def log10_probs(w: Weights, lex: Lexicon, b: Batch) -> np.ndarray:
     out = np.empty(len(b.token))
     for lo in range(0, len(out), STEP_TOKENS):
         s = slice(lo, min(lo + STEP_TOKENS, len(out)))
-        _, p = _class_probs(w, lex, b, s)
-        out[s] = np.log10(np.maximum(p[np.arange(len(p)), b.klass[s]], 1e-30))
+        out[s] = _log10_share(_class_logits(w, lex, b, s)[1], b.klass[s])
         at = np.flatnonzero(b.frequent[s]) + lo
         if len(at):
-            _, p = _word_probs(w, lex, b, at)
-            out[at] += np.log10(np.maximum(p[np.arange(len(at)), b.member[at]], 1e-30))
+            out[at] += _log10_share(_word_logits(w, lex, b, at)[1], b.member[at])
     return out
 
 
@@ -188,23 +198,24 @@ class Trainer:
 
     def _update(self, table: np.ndarray, squares: np.ndarray, rows: np.ndarray, p: np.ndarray) -> None:
         """``p``: softmax minus the truth."""
-        g = np.empty(table.shape, np.float32)
-        flat = rows.ravel()
-        for c in range(table.shape[1]):
-            g[:, c] = np.bincount(flat, np.repeat(p[:, c], FEATURES), len(table))
-        g += L2 * table
+        features, error = np.ascontiguousarray(rows.T), np.ascontiguousarray(p.T, dtype=float)
+        g = L2 * table
+        for c, e in enumerate(error):
+            g[:, c] += sum(np.bincount(f, e, len(table)) for f in features)
         squares += g * g
         table -= RATE * g / (np.sqrt(squares) + DAMPING)
 
     def learn(self, b: Batch) -> None:
         for lo in range(0, len(b.token), STEP_TOKENS):
             s = slice(lo, min(lo + STEP_TOKENS, len(b.token)))
-            rows, p = _class_probs(self.w, self.lex, b, s)
+            rows, z = _class_logits(self.w, self.lex, b, s)
+            p = _softmax(z)
             p[np.arange(len(p)), b.klass[s]] -= 1
             at = np.flatnonzero(b.frequent[s]) + lo
             self._update(self.w.of_class, self.squares[0], rows, p)
             if len(at):
-                rows, p = _word_probs(self.w, self.lex, b, at)
+                rows, z = _word_logits(self.w, self.lex, b, at)
+                p = _softmax(z)
                 p[np.arange(len(at)), b.member[at]] -= 1
                 self._update(self.w.of_word, self.squares[1], rows, p)
             self.tokens += s.stop - s.start
@@ -247,10 +258,23 @@ def _counted(seen: Counter) -> pd.DataFrame:
 
 
 def lexicon(counts: DataFrame, known: int = KNOWN_WORDS) -> Lexicon:
-    """The ``known`` most frequent words (a bounded collect) and the totals of all."""
-    total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).head()
-    top = counts.orderBy(F.desc("n"), "word").limit(known).collect()
-    return Lexicon([r["word"] for r in top], np.array([r["n"] for r in top], np.int64), total["n"] or 0, total["v"])
+    """The most frequent words, at most ``known``, and the totals of all.
+
+    Words are counted by eighths of the logarithm of their count; the driver gets that histogram and
+    then only the words above the level where ``known`` is not exceeded.
+    """
+    level = F.floor(F.log2("n") * 8)
+    steps = counts.groupBy(level.alias("level")).agg(F.count("*").alias("words"), F.sum("n").alias("n")).collect()
+    least, room = None, known
+    for step in sorted(steps, key=lambda r: -r["level"]):
+        room -= step["words"]
+        if room < 0:
+            break
+        least = step["level"]
+    top = [] if least is None else counts.where(level >= least).collect()
+    top.sort(key=lambda r: (-r["n"], r["word"]))
+    return Lexicon([r["word"] for r in top], np.array([r["n"] for r in top], np.int64),
+                   sum(r["n"] for r in steps), sum(r["words"] for r in steps))
 
 
 def _add_up(parts: DataFrame) -> DataFrame:
@@ -260,14 +284,14 @@ def _add_up(parts: DataFrame) -> DataFrame:
         held: dict[int, list] = {}
         for df in batches:
             for block, tokens, values in zip(df["block"], df["tokens"], df["values"]):
-                x = np.frombuffer(values, "<f8")
+                x = np.frombuffer(values, "<f4")
                 if block in held:
                     held[block][0] += tokens
                     held[block][1] += x
                 else:
-                    held[block] = [tokens, x.copy()]
+                    held[block] = [tokens, x.astype(float)]
         for block, (tokens, x) in held.items():
-            yield pd.DataFrame({"block": [block], "salt": [0], "tokens": [tokens], "values": [x.tobytes()]})
+            yield pd.DataFrame({"block": [block], "salt": [0], "tokens": [tokens], "values": [x.astype("<f4").tobytes()]})
 
     return parts.mapInPandas(add, parts.schema)
 
@@ -276,7 +300,8 @@ def train(texts: DataFrame, lex: Lexicon, rounds: int = ROUNDS) -> Weights:
     """Weights after ``rounds``; every text takes part in one round, chosen by a hash of its id and text.
 
     A task's changes leave it in blocks, multiplied by its tokens. They are added in two steps, the
-    first over salted blocks, so no task adds up all tasks' blocks.
+    first over salted blocks, so no task adds up all tasks' blocks. A round has at most
+    ``TASKS_PER_CORE`` tasks for each core, so what they send follows the cluster, not the corpus.
     """
     sc = texts.sparkSession.sparkContext
     weights = Weights()
@@ -290,19 +315,19 @@ def train(texts: DataFrame, lex: Lexicon, rounds: int = ROUNDS) -> Weights:
             for rows in _texts(batches):
                 t.learn(Batch(list(rows["text"]), known))
             if t.tokens:
-                change = (t.w.flat().astype(float) - start.flat()) * t.tokens
+                change = (t.w.flat() - start.flat()) * np.float32(t.tokens)
                 salt = TaskContext.get().partitionId() % 64
                 for lo in range(0, len(change), BLOCK_VALUES):
                     yield pd.DataFrame({"block": [lo // BLOCK_VALUES], "salt": [salt], "tokens": [t.tokens],
-                                        "values": [change[lo:lo + BLOCK_VALUES].astype("<f8").tobytes()]})
+                                        "values": [change[lo:lo + BLOCK_VALUES].astype("<f4").tobytes()]})
 
-        mine = texts.where(F.col("round") == r).select("text")
+        mine = texts.where(F.col("round") == r).select("text").coalesce(TASKS_PER_CORE * sc.defaultParallelism)
         parts = mine.mapInPandas(learn, "block int, salt int, tokens long, values binary")
         added = _add_up(_add_up(parts.repartition("block", "salt")).repartition("block"))
         got = added.collect()
         shared.unpersist()
         if got:
-            change = np.concatenate([np.frombuffer(x["values"], "<f8") / x["tokens"] for x in sorted(got, key=lambda x: x["block"])])
+            change = np.concatenate([np.frombuffer(x["values"], "<f4") / x["tokens"] for x in sorted(got, key=lambda x: x["block"])])
             weights = Weights.from_flat(weights.flat() + change)
     return weights
 
@@ -324,7 +349,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known
     key = StructField("doc_id", docs.schema[id_col].dataType)
     rest = StructType.fromDDL(
         "row long, held_out boolean, n_tokens long, n_known long, n_rare long, base double, model double,"
-        " cold array<string>, times array<int>"
+        " cold array<binary>, times array<int>"
     )
     schema = StructType([key, *rest.fields])
 
@@ -340,7 +365,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known
                 "doc_id": df["doc_id"].to_numpy(), "row": np.arange(row, row + len(df)), "held_out": df["held_out"].to_numpy(),
                 "n_tokens": b.size, "n_known": per(b.known).astype(int), "n_rare": per(~b.frequent).astype(int),
                 "base": per(b.log_count), "model": per(p),
-                "cold": [[w.decode() for w in c] for c in b.cold], "times": [list(c.values()) for c in b.cold],
+                "cold": [list(c) for c in b.cold], "times": [list(c.values()) for c in b.cold],
             })
             row += len(df)
 
@@ -349,7 +374,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known
     scored = written(rows.mapInPandas(run, schema), "scored")
 
     # counts of the words that tasks don't know: each is rare, so no key is hot
-    cold = scored.select("row", F.explode(F.arrays_zip("cold", "times")).alias("c")).select("row", "c.cold", "c.times")
+    cold = scored.select("row", F.explode(F.arrays_zip("cold", "times")).alias("c")).select("row", F.col("c.cold").cast("string").alias("cold"), "c.times")
     found = cold.join(counts, F.col("cold") == F.col("word"), "left")
     rest = found.groupBy("row").agg(
         F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more"),

@@ -68,10 +68,10 @@ def test_distribution_sums_to_one(trained):
     t = lm.Trainer(lm.Weights(), lex)
     if trained:
         t.learn(b)
-    _, p = lm._class_probs(t.w, lex, b, slice(0, 50))
+    p = lm._softmax(lm._class_logits(t.w, lex, b, slice(0, 50))[1])
     assert np.allclose(p.sum(1), 1, atol=1e-5)
     at = np.flatnonzero(b.frequent)[:50]
-    _, q = lm._word_probs(t.w, lex, b, at)
+    q = lm._softmax(lm._word_logits(t.w, lex, b, at)[1])
     assert np.allclose(q.sum(1), 1, atol=1e-5)
     rare = sum(n + 1 for _, n in top[lm.CLASSES * lm.MEMBERS:])
     assert rare + 1 == lex.rare_tokens + lex.rare_distinct + 1  # the last one is for all unseen words
@@ -86,8 +86,8 @@ def test_odd_rows(spark):
 
 
 def test_all_tasks_add_up(spark):
-    rows = [(k % 5, k, 10, np.full(3, float(k)).astype("<f8").tobytes()) for k in range(40)]
+    rows = [(k % 5, k, 10, np.full(3, float(k)).astype("<f4").tobytes()) for k in range(40)]
     parts = spark.createDataFrame(rows, "block int, salt int, tokens long, values binary").repartition(8)
     twice = lm._add_up(lm._add_up(parts.repartition("block", "salt")).repartition("block"))
-    got = {r.block: (r.tokens, np.frombuffer(r["values"], "<f8").tolist()) for r in twice.collect()}
+    got = {r.block: (r.tokens, np.frombuffer(r["values"], "<f4").tolist()) for r in twice.collect()}
     assert got == {b: (80, [float(sum(range(b, 40, 5)))] * 3) for b in range(5)}
