@@ -37,30 +37,25 @@ def _fraction(a: Column, b: Column) -> Column:
     return F.when(b == 0, F.lit(0.0)).otherwise(a / b)
 
 
-def _window_hashes(words_col: str) -> Column:
-    """64-bit hash of every window of eight words, by doubling: pairs, then fours, then eights.
+def _once(df: DataFrame) -> DataFrame:
+    """``df`` with every column computed once.
 
-    Lambdas see only their own elements, never a whole array, so the cost stays linear in the text
-    even where the optimizer moves these expressions into a filter.
+    A generator that makes one row of one row: no filter above is moved below it, so expressions that
+    look an array up inside a lambda never get the array's own expression in its place.
     """
-    h, n = F.transform(words_col, lambda x: F.xxhash64(x)), F.size(words_col)
-    step = 1
-    while step < WINDOW:
-        h = F.zip_with(h, F.slice(h, step + 1, F.greatest(n - step, F.lit(0))), lambda a, b: F.xxhash64(a, b))
-        step *= 2
-    return F.slice(h, 1, n - (WINDOW - 1))
+    return df.select(F.stack(F.lit(1), *[F.col(c) for c in df.columns]).alias(*df.columns))
 
 
 def _covered(sorted_windows: Column) -> Column:
     """Words under windows that occur twice or more; input: (hash, position) in sorted order."""
-    s, n = sorted_windows, F.size(sorted_windows)
-    near = F.arrays_zip(
-        s.alias("x"),
-        F.concat(F.array(F.lit(None).cast("struct<h:bigint,p:bigint>")), F.slice(s, 1, n - 1)).alias("before"),
-        F.slice(s, 2, n - 1).alias("after"),
+    at = lambda i: F.get(sorted_windows, i)["h"]
+    twice = F.transform(
+        sorted_windows,
+        lambda x, i: F.struct(x["p"].alias("p"), (
+            F.coalesce(at(i - 1) == x["h"], F.lit(False)) | F.coalesce(at(i + 1) == x["h"], F.lit(False))
+        ).alias("d")),
     )
-    twice = F.filter(near, lambda z: (z["x"]["h"] == z["before"]["h"]) | (z["x"]["h"] == z["after"]["h"]))
-    places = F.sort_array(F.transform(twice, lambda z: z["x"]["p"]))
+    places = F.sort_array(F.transform(F.filter(twice, lambda x: x["d"]), lambda x: x["p"]))
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
     return F.aggregate(
         places, start,
@@ -87,27 +82,30 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
         (F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
     )
-    hashed = base.select(
+    windows = F.transform(
+        F.sequence(F.lit(1), F.size("w") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("w", i, WINDOW))
+    )
+    hashed = _once(base).select(
         "doc_id", "n_symbols",
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.size(F.filter("w", lambda x: F.lower(x).isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.when(F.size("w") >= WINDOW, _window_hashes("w")).alias("h"),
+        F.when(F.size("w") >= WINDOW, windows).alias("h"),
     )
-    ordered = hashed.withColumn(
+    ordered = _once(hashed).withColumn(
         "s",
         F.when(
             F.size(F.array_distinct("h")) < F.size("h"),
             F.sort_array(F.transform("h", lambda x, i: F.struct(x.alias("h"), i.cast("long").alias("p")))),
         ),
     )
-    return ordered.select(
+    return _once(_once(ordered.drop("h")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
         F.when(F.col("s").isNull(), F.lit(0).cast("long")).otherwise(_covered(F.col("s"))).alias("n_repeat_words"),
         "n_stop_words", "n_lines",
-    )
+    ))
 
 
 def passes(thresholds=THRESHOLDS) -> Column:
