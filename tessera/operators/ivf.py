@@ -125,8 +125,8 @@ def _plain(col: pa.Array) -> np.ndarray:
 
 
 def decoder(codec: quantize.Codec) -> Decode:
-    """Batch decoder of an ``array<smallint>`` code column."""
-    return lambda col: codec.vectors(kernels.matrix(col).astype(np.int64))
+    """Batch decoder of a packed code column."""
+    return lambda col: codec.vectors(codec.unpack(col))
 
 
 def search(

@@ -31,7 +31,14 @@ def _lists(x: np.ndarray, kind: pa.DataType) -> pa.Array:
 
 
 class Codec:
-    """Shared column forms; subclasses give ``codes`` and ``vectors`` on numpy matrices."""
+    """Shared column forms; subclasses give ``codes``, ``vectors``, the number of codes of a vector and
+    the bits of a code.
+
+    Codes are stored packed: half a byte for up to 4 bits, one byte for up to 8, else two bytes.
+    """
+
+    width: int
+    code_bits: int
 
     def codes(self, x: np.ndarray) -> np.ndarray:
         raise NotImplementedError
@@ -39,14 +46,47 @@ class Codec:
     def vectors(self, codes: np.ndarray) -> np.ndarray:
         raise NotImplementedError
 
+    @property
+    def code_bytes(self) -> int:
+        """Stored bytes of one vector."""
+        return -(-self.width // 2) if self.code_bits <= 4 else self.width * (1 if self.code_bits <= 8 else 2)
+
+    def pack(self, codes: np.ndarray) -> pa.Array:
+        """Code matrix as a binary column; of two codes in a byte the first is in the low half."""
+        c = np.asarray(codes).astype(np.uint16)
+        if self.code_bits <= 4:
+            c = np.hstack([c, np.zeros((len(c), self.width % 2), np.uint16)]).astype(np.uint8)
+            raw = c[:, 0::2] | c[:, 1::2] << 4
+        else:
+            raw = np.ascontiguousarray(c.astype(np.uint8 if self.code_bits <= 8 else "<u2")).view(np.uint8)
+        ends = np.arange(0, (len(c) + 1) * self.code_bytes, self.code_bytes, dtype=np.int32)
+        return pa.Array.from_buffers(
+            pa.binary(), len(c), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.ascontiguousarray(raw).tobytes())])
+
+    def unpack(self, col: pa.Array) -> np.ndarray:
+        """The code matrix of a binary column."""
+        if isinstance(col, pa.ChunkedArray):
+            col = col.combine_chunks()
+        raw = np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(len(col), self.code_bytes)
+        if self.code_bits <= 4:
+            out = np.empty((len(raw), 2 * self.code_bytes), np.int64)
+            out[:, 0::2], out[:, 1::2] = raw & 15, raw >> 4
+            return out[:, : self.width]
+        return (raw if self.code_bits <= 8 else raw.view("<u2")).astype(np.int64)
+
     def encode(self, vec: Column | str) -> Column:
-        """``array<smallint>`` codes of a vector column."""
-        f = lambda col: _lists(self.codes(kernels.matrix(col)), pa.int16())
-        return F.arrow_udf(f, "array<smallint>")(as_col(vec))
+        """Packed codes of a vector column."""
+        f = lambda col: self.pack(self.codes(kernels.matrix(col, self.dim)))
+        return F.arrow_udf(f, "binary")(as_col(vec))
+
+    def unpacked(self, codes: Column | str) -> Column:
+        """``array<smallint>`` of a packed code column."""
+        f = lambda col: _lists(self.unpack(col), pa.int16())
+        return F.arrow_udf(f, "array<smallint>")(as_col(codes))
 
     def decode(self, codes: Column | str) -> Column:
         """``array<double>`` approximations of a code column."""
-        f = lambda col: _lists(self.vectors(kernels.matrix(col).astype(np.int64)), pa.float64())
+        f = lambda col: _lists(self.vectors(self.unpack(col)), pa.float64())
         return F.arrow_udf(f, "array<double>")(as_col(codes))
 
 
@@ -65,6 +105,18 @@ class ScalarCodec(Codec):
     def top(self) -> int:
         return (1 << self.bits) - 1
 
+    @property
+    def width(self) -> int:
+        return len(self.lo)
+
+    @property
+    def dim(self) -> int:
+        return len(self.lo)
+
+    @property
+    def code_bits(self) -> int:
+        return self.bits
+
     def codes(self, x):
         # np.rint rounds halves to even
         return np.clip(np.rint((x - self.lo) / self.step), 0, self.top)
@@ -97,13 +149,13 @@ def sq_train(vectors: DataFrame, bits: int = 8, shared: bool = False, vec: str =
     return ScalarCodec(np.array([r["lo"] for r in rows]), np.array([r["step"] for r in rows]), bits)
 
 
-def lut_distance(codes: Column | str, tables: np.ndarray) -> Column:
+def lut_distance(codes: Column | str, codec: Codec, q: Sequence[float]) -> Column:
     """Sum of table entries selected by each code: squared distance without decoding."""
+    tables = codec.tables(q)
     rows = np.arange(len(tables))
 
     def look_up(col: pa.Array) -> pa.Array:
-        c = kernels.matrix(col, len(tables)).astype(np.int64)
-        return pa.array(tables[rows[None, :], c].sum(axis=1))
+        return pa.array(tables[rows[None, :], codec.unpack(col)].sum(axis=1))
 
     return F.arrow_udf(look_up, "double")(as_col(codes))
 
@@ -270,6 +322,18 @@ class ProductCodec(Codec):
 
     centers: np.ndarray
 
+    @property
+    def width(self) -> int:
+        return self.centers.shape[0]
+
+    @property
+    def dim(self) -> int:
+        return self.centers.shape[0] * self.centers.shape[2]
+
+    @property
+    def code_bits(self) -> int:
+        return max((self.centers.shape[1] - 1).bit_length(), 1)
+
     def _split(self, x):
         m, _, s = self.centers.shape
         return x.reshape(len(x), m, s)
@@ -310,7 +374,7 @@ def adc_search(
     coded: DataFrame, codec, q: Sequence[float], k: int, id_col: str = "id", codes: str = "codes"
 ) -> DataFrame:
     """Top-k by table lookups over codes (squared distances)."""
-    d = lut_distance(codes, codec.tables(q)).alias("dist")
+    d = lut_distance(codes, codec, q).alias("dist")
     return coded.select(id_col, d).orderBy("dist", id_col).limit(k)
 
 

@@ -18,26 +18,36 @@ KNN = """p as (select a.vec_id as src, b.vec_id as dst,
     qualify row_number() over (partition by src order by round(dist, 12), dst) <= DEG)"""
 
 
+CELLS = f"""{CENT}, cells as (select vec_id as id, list_id, embedding::double[] as v from {{embeddings}}, cent
+    qualify row_number() over (partition by vec_id order by list_distance(embedding::double[], cv), list_id) <= 3)"""
+
+
 def knn_sql(degree: int) -> str:
-    return KNN.replace("DEG", str(degree))
+    """The graph from overlapping clusters, on which the other graph queries are built."""
+    return CELLS + f""", p as (select distinct a.id as src, b.id as dst, pow(list_distance(a.v, b.v), 2) as dist
+      from cells a join cells b using (list_id) where a.id <> b.id),
+    knn as (select src, dst, dist from p
+      qualify row_number() over (partition by src order by round(dist, 12), dst) <= {degree})"""
 
 
 BOTH = """twoway as (select src, dst, min(dist) as dist from
     (from knn union all select dst as src, src as dst, dist from knn) group by all)"""
 
 
-def exact_graph(t, degree: int):
-    return G.knn_graph(t.user_vectors, degree)
+def cell_graph(t, degree: int):
+    """Every vector in its three nearest clusters; no comparison of all pairs."""
+    return G.knn_graph_cells(t.user_vectors, centers(t), 3, degree)
 
 
 def stored_graph(t, degree: int, both: int):
     """An undirected graph written once, as searches read it in every round."""
-    return scale.cut_lineage(G.undirected(exact_graph(t, degree), both))
+    return scale.cut_lineage(G.undirected(cell_graph(t, degree), both))
 
 
-@query("knn_graph", f"with {knn_sql(8)} select src, dst, round(dist, 6) as dist from knn")
+@query("knn_graph", f"with {KNN.replace('DEG', '8')} select src, dst, round(dist, 6) as dist from knn")
 def knn_graph(t):
-    return r6(exact_graph(t, 8), "dist")
+    """The exact graph, block against block: the check of the one from clusters."""
+    return r6(G.knn_graph(t.user_vectors, 8), "dist")
 
 
 @query(
@@ -50,25 +60,18 @@ def overlap_assign(t):
     return G.overlap_assign(t.user_vectors, centers(t), 3).select("id", "list_id", "rank")
 
 
-CELLS = f"""{CENT}, cells as (select vec_id as id, list_id, embedding::double[] as v from {{embeddings}}, cent
-    qualify row_number() over (partition by vec_id order by list_distance(embedding::double[], cv), list_id) <= 3)"""
-
-
 @query(
     "knn_graph_cells",
-    f"""with {CELLS}, p as (select distinct a.id as src, b.id as dst, pow(list_distance(a.v, b.v), 2) as dist
-      from cells a join cells b using (list_id) where a.id <> b.id)
-    select src, dst, round(dist, 6) as dist from p
-    qualify row_number() over (partition by src order by round(dist, 12), dst) <= 8""",
+    f"with {knn_sql(8)} select src, dst, round(dist, 6) as dist from knn",
 )
 def knn_graph_cells(t):
     """The graph from overlapping clusters, every vector in its three nearest."""
-    return r6(G.knn_graph_cells(t.user_vectors, centers(t), 3, 8), "dist")
+    return r6(cell_graph(t, 8), "dist")
 
 
 @query("set_union_edges", f"with {knn_sql(6)}, {BOTH} select src, dst, round(dist, 6) as dist from twoway")
 def set_union_edges(t):
-    e = exact_graph(t, 6)
+    e = cell_graph(t, 6)
     return r6(G.union_edges(e, G.reverse(e)), "dist")
 
 
@@ -78,7 +81,7 @@ def set_union_edges(t):
     qualify row_number() over (partition by src order by dst) <= 8""",
 )
 def graph_undirected(t):
-    return r6(G.undirected(exact_graph(t, 6), 8), "dist")
+    return r6(G.undirected(cell_graph(t, 6), 8), "dist")
 
 
 @query(
@@ -88,7 +91,7 @@ def graph_undirected(t):
     select a.src, a.dst, round(a.dist, 6) as dist from near a join near b on a.src = b.dst and a.dst = b.src""",
 )
 def graph_prune_nearest(t):
-    e = exact_graph(t, 8)
+    e = cell_graph(t, 8)
     return r6(G.prune_nearest(G.union_edges(e, G.reverse(e)), 5), "dist")
 
 
@@ -98,7 +101,7 @@ def graph_prune_nearest(t):
     select degree, count(*) as nodes from d group by degree""",
 )
 def graph_degree_stats(t):
-    e = exact_graph(t, 6)
+    e = cell_graph(t, 6)
     return G.degree_stats(G.union_edges(e, G.reverse(e)))
 
 
@@ -123,13 +126,13 @@ D_XY = "pow(list_distance(y.v, c.v), 2)"
 
 @query("graph_prune_rng", prune_sql(f"{D_XY} < c.dist"))
 def graph_prune_rng(t):
-    return r6(G.prune(exact_graph(t, 24), t.user_vectors, 8), "dist")
+    return r6(G.prune(cell_graph(t, 24), t.user_vectors, 8), "dist")
 
 
 @query("graph_prune_robust", prune_sql(f"0.6::double * {D_XY} <= c.dist"))
 def graph_prune_robust(t):
     """The factor is below one because random vectors hardly cover each other at 1.2."""
-    return r6(G.prune(exact_graph(t, 24), t.user_vectors, 8, alpha=0.6), "dist")
+    return r6(G.prune(cell_graph(t, 24), t.user_vectors, 8, alpha=0.6), "dist")
 
 
 @query(
@@ -229,12 +232,38 @@ def rrf_fuse(t):
     return r6(H.rrf([words, vector_ranking(t)]), "score")
 
 
-@query("txt_chunk")
+def chunk_sql() -> str:
+    """Chunks by recursion over their starts: ``ch (doc_id, chunk_no, chunk)``."""
+    size, overlap = H.CHUNK_SIZE, H.CHUNK_OVERLAP
+    full = f"least(s + {size}, n)"
+    seg = f"reverse(substring(text, s + {overlap + 2}, {full} - s - {overlap + 1}))"
+    cuts = ", ".join(
+        f"{full} - nullif(strpos({seg}, {sep}), 0) + 1" for sep in ("chr(10) || chr(10)", "chr(10)", "' '"))
+    end = f"case when {full} < n then coalesce({cuts}, {full}) else n end"
+    back = f"greatest(e - {overlap}, s + 1)"
+    gap = f"nullif(strpos(substring(text, {back} + 1, e - {back}), ' '), 0)"
+    return f"""starts as (select doc_id, chunk_no, s, {end} as e, text, n from
+        (select doc_id, 0 as chunk_no, 0::bigint as s, text, length(text) as n from {{documents}} where text <> '')
+      union all
+      select doc_id, chunk_no, s, {end}, text, n from
+        (select doc_id, chunk_no + 1 as chunk_no, text, n,
+          case when {back} + {gap} - 1 < e - 1 then {back} + {gap} else {back} end as s from starts where e < n)),
+    ch as (select doc_id, chunk_no, substring(text, s + 1, e - s) as chunk from starts)"""
+
+
+@query("txt_chunk", f"with recursive {chunk_sql()} select doc_id, chunk_no, chunk from ch")
 def txt_chunk(t):
     return H.chunk_text(t.documents)
 
 
-@query("retrieve_context")
+@query(
+    "retrieve_context",
+    f"""with recursive {chunk_sql()}, {CENT}, r as (select list_id as qid, doc_id || ':' || chunk_no as chunk_id,
+        list_distance(embedding::double[], cv) as dist, chunk
+      from ch join {{embeddings}} on vec_id = doc_id % (select count(*) from {{embeddings}}), cent)
+    select qid, chunk_id, round(dist, 6) as dist, row_number() over w::int as rank, chunk from r
+    window w as (partition by qid order by round(dist, 9), chunk_id) qualify row_number() over w <= 3""",
+)
 def retrieve_context(t):
     """Chunks of every document; vectors stand for documents round robin, the label means ask."""
     n = t.embeddings.agg(F.count("*").alias("n"))  # one row
@@ -243,6 +272,6 @@ def retrieve_context(t):
     chunks = H.chunk_text(t.documents).join(vectors, "doc_id").select(
         F.concat_ws(":", "doc_id", "chunk_no").alias("chunk_id"), "chunk", "embedding")
     q = centers(t).select(F.col("list_id").alias("qid"), F.col("center").alias("qvec"))
-    return H.retrieve_context(chunks, q, 3)
+    return r6(H.retrieve_context(chunks, q, 3), "dist")
 
 

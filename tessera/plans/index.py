@@ -135,7 +135,8 @@ def sq_train_global(t):
 @query("sq_encode", f"with {LEVELS} select vec_id, pos, code::int as code from sqc")
 def sq_encode(t):
     codec = C.sq_train(t.embeddings)
-    codes = t.embeddings.select("vec_id", F.posexplode(codec.encode("embedding")).alias("pos", "code"))
+    coded = t.embeddings.select("vec_id", codec.encode("embedding").alias("codes"))
+    codes = coded.select("vec_id", F.posexplode(codec.unpacked("codes")).alias("pos", "code"))
     return codes.select("vec_id", F.col("pos").cast("long").alias("pos"), F.col("code").cast("int").alias("code"))
 
 
@@ -174,7 +175,7 @@ def quant_error(t):
     """Mean absolute error of table-lookup distances against exact ones."""
     codec, q = C.sq_train(t.embeddings), q0(t)
     exact = S.METRICS["l2_sq"].to_query("embedding", q)
-    approx = C.lut_distance("codes", codec.tables(q))
+    approx = C.lut_distance("codes", codec, q)
     coded = t.embeddings.select(exact.alias("exact"), codec.encode("embedding").alias("codes"))
     both = coded.select("exact", approx.alias("approx"))
     return r6(both.agg(F.avg(F.abs(F.expr("exact - approx"))).alias("mean_abs_error")), "mean_abs_error")
@@ -210,7 +211,9 @@ def pq_train(t):
 
 @query("pq_encode", f"with {PQ} select vec_id, m as part, code from pqc")
 def pq_encode(t):
-    codes = t.embeddings.select("vec_id", F.posexplode(book(t).encode("embedding")).alias("part", "code"))
+    codec = book(t)
+    coded = t.embeddings.select("vec_id", codec.encode("embedding").alias("codes"))
+    codes = coded.select("vec_id", F.posexplode(codec.unpacked("codes")).alias("part", "code"))
     return codes.select("vec_id", F.col("part").cast("long").alias("part"), F.col("code").cast("int").alias("code"))
 
 

@@ -63,6 +63,27 @@ def test_lookup_equals_decoded_distance(data):
         assert np.allclose([got[i] for i in range(400)], want)
 
 
+def test_packed_codes_have_the_stated_size(data):
+    from tessera.operators import quality as Q
+
+    x, df = data
+    sizes = {r["method"]: r["bytes"] for r in Q.code_size(df, [(4, 8), (8, 4), (4, 3)]).collect()}
+    codecs = {"SQ8": C.sq_train(df, 8), "SQ4": C.sq_train(df, 4),
+              "PQ8x4": C.ProductCodec(np.random.default_rng(0).normal(size=(8, 16, 2))),
+              "PQ4x8": C.ProductCodec(np.random.default_rng(0).normal(size=(4, 256, 4)))}
+    for name, codec in codecs.items():
+        coded = df.select("id", codec.encode("embedding").alias("c")).select(
+            "id", F.octet_length("c").alias("n"), codec.unpacked("c").alias("u")).collect()
+        assert {r["n"] for r in coded} == {sizes[name]} == {codec.code_bytes}
+        want = codec.codes(x)
+        assert all(r["u"] == want[r["id"]].astype(int).tolist() for r in coded)
+    wide = C.ProductCodec(np.random.default_rng(0).normal(size=(3, 300, 2)))
+    codes = np.array([[0, 299, 256], [7, 8, 9]])
+    assert wide.unpack(wide.pack(codes)).tolist() == codes.tolist()
+    odd = C.ProductCodec(np.random.default_rng(0).normal(size=(3, 16, 2)))
+    assert odd.unpack(odd.pack(codes % 16)).tolist() == (codes % 16).tolist()
+
+
 def test_product_codes(data):
     x, df = data
     assert C.pq_train(df, 5, 2) is None
