@@ -30,11 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def vocabulary_path() -> str:
+def vocabulary_path(kind: str) -> str:
     """The public byte-level BPE; only the queries know where it is."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(f"byte_bpe_50k.{kind}")
 
 
 def _rules_sql() -> str:
@@ -110,7 +110,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_token_matrices")
 def op7_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per written matrix: its segments, their ends, and a digest of its ids."""
-    written = token_output.write(table(spark, sf_dir, "documents"), work_path(spark, "token-matrices"), vocabulary_path())
+    written = token_output.write(table(spark, sf_dir, "documents"), work_path(spark, "token-matrices"), vocabulary_path("tiktoken"))
     return written.select(
         "matrix_id", "n_rows", "row_tokens", "n_tokens", F.col("segments.doc_id").alias("doc_ids"),
         F.col("segments.start").alias("starts"), F.col("segments.length").alias("lengths"),
@@ -120,7 +120,7 @@ def op7_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_bpe")
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary_path())
+    return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary_path("json"))
 
 
 @query("op9_lm_score")

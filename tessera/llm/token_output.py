@@ -8,21 +8,45 @@ is shuffled; memory is bounded by the chunk and one text.
 
 from __future__ import annotations
 
+import base64
 from collections import deque
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, StructField, StructType
 
-from tessera.llm.bpe import Vocabulary
 from tessera.llm.common import named
 
 ROW_TOKENS = 2_048
 MATRIX_ROWS = 64
 CHUNK_TOKENS = 1 << 21  # tokens that one packing looks at
+# A writer keeps a group of rows in memory; matrices are large, so groups are small.
+GROUP_BYTES = 16 << 20
+# Fixed value: how the public byte-level vocabulary breaks texts into words.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+class Tokenizer:
+    """A vocabulary of ranks; a broadcast one builds its encoder once per process."""
+
+    def __init__(self, path: str, pattern: str = PATTERN):
+        with open(path, "rb") as f:
+            self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        self.pattern = pattern
+        self.dtype = "<u2" if max(self.ranks.values()) < 1 << 16 else "<u4"
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "_encoding"}
+
+    def encode(self, text: str | None) -> np.ndarray:
+        """Ids of a text, in which nothing is special; NULL counts as empty."""
+        if "_encoding" not in self.__dict__:
+            self._encoding = tiktoken.Encoding("own", pat_str=self.pattern, mergeable_ranks=self.ranks, special_tokens={})
+        return np.asarray(self._encoding.encode_ordinary(text or ""), self.dtype)
 
 
 class FreeSpace:
@@ -121,8 +145,9 @@ def pack(
 ) -> DataFrame:
     """One row per matrix of at most ``matrix_rows`` x ``row_tokens`` ids:
 
-    ``matrix_id``; ``n_rows``; ``row_tokens``; ``n_tokens`` without padding; ``id_bytes``, 2 where the
-    vocabulary has at most 65,536 ids, else 4; ``ids``, the little-endian unsigned matrix; ``cu_seqlens``,
+    ``vocabulary_path`` is a file of token ranks, read on the driver and broadcast. Columns: ``matrix_id``;
+    ``n_rows``; ``row_tokens``; ``n_tokens`` without padding; ``id_bytes``, 2 where the vocabulary has
+    at most 65,536 ids, else 4; ``ids``, the little-endian unsigned matrix; ``cu_seqlens``,
     the ends of all segments in the flattened matrix after a leading 0, the padding of a row being a
     segment; ``position_resets``, where segments begin and positions start again from 0; ``segments`` as
     (doc_id, row, at, start, length): tokens start .. start + length of a document lie in ``row`` from
@@ -132,9 +157,9 @@ def pack(
     length 0; equal rows are packed as often as they occur; other columns are not read. An empty table
     gives no matrix.
     """
-    vocabulary = Vocabulary(vocabulary_path)
-    dtype = "<u2" if len(vocabulary.bytes) <= 1 << 16 else "<u4"
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    tokenizer = Tokenizer(vocabulary_path)
+    dtype = tokenizer.dtype
+    shared = docs.sparkSession.sparkContext.broadcast(tokenizer)
     key = StructField("doc_id", docs.schema[id_col].dataType)
     rest = StructType.fromDDL(
         "matrix_id string, n_rows int, row_tokens int, n_tokens long, id_bytes int, ids binary,"
@@ -144,7 +169,7 @@ def pack(
     schema = StructType([*rest.fields, StructField("segments", ArrayType(segment))])
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = shared.value.encoder
+        encode = shared.value.encode
         task = TaskContext.get().partitionId()
         waiting: list[tuple[object, np.ndarray]] = []
         n_waiting, n_chunks = 0, 0
@@ -158,14 +183,13 @@ def pack(
                 }])[schema.names]
 
         for b in batches:
-            for lo in range(0, len(b), 256):
-                part = b.iloc[lo:lo + 256]
-                for doc, ids in zip(part["doc_id"], encoder.encode(list(part["text"]))):
-                    waiting.append((None if pd.isna(doc) else doc, ids.astype(dtype)))
-                    n_waiting += len(ids)
-                    if n_waiting >= chunk_tokens:
-                        yield from flush()
-                        waiting, n_waiting, n_chunks = [], 0, n_chunks + 1
+            for doc, text in zip(b["doc_id"], b["text"]):
+                ids = encode(text)
+                waiting.append((None if pd.isna(doc) else doc, ids))
+                n_waiting += len(ids)
+                if n_waiting >= chunk_tokens:
+                    yield from flush()
+                    waiting, n_waiting, n_chunks = [], 0, n_chunks + 1
         if waiting:
             yield from flush()
 
@@ -176,7 +200,7 @@ def pack(
 def write(docs: DataFrame, path: str, vocabulary_path: str, **options) -> DataFrame:
     """``pack`` written as Parquet at ``path``; returns what was written."""
     out = pack(docs, vocabulary_path, **options)
-    out.write.parquet(path)
+    out.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
     return docs.sparkSession.read.schema(out.schema).parquet(path)
 
 

@@ -4,11 +4,12 @@ import numpy as np
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tessera.llm import bpe, token_output
 from tests.llm import odd
 
-PATH = public_tokenizers.path("byte_bpe_50k.json")
+PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def slow_best_fit(sizes, width):
@@ -46,6 +47,7 @@ def test_pieces():
 
 
 def check(df, rows, tmp_path, **options):
+    df = df.withColumn("text", F.regexp_replace("text", "<\\|endoftext\\|>", "end"))  # special in one library only
     written = [r.asDict(recursive=True) for r in token_output.write(df, str(tmp_path / "out"), PATH, **options).collect()]
     parts = defaultdict(list)
     for m in written:
@@ -57,10 +59,10 @@ def check(df, rows, tmp_path, **options):
         for s, (key, start, ids) in zip(m["segments"], token_output.unpack(m)):
             assert positions[s["row"], s["at"]:s["at"] + s["length"]].tolist() == list(range(s["length"]))
             parts[key].append((start, ids.tolist()))
-    encoder = bpe.Vocabulary(PATH).encoder
+    encoder = bpe.Vocabulary(public_tokenizers.path("byte_bpe_50k.json")).encoder
     want = defaultdict(list)
     for i, t, *_ in rows:
-        ids = encoder.encode([t])[0].tolist()
+        ids = encoder.encode([(t or "").replace("<|endoftext|>", "end")])[0].tolist()
         want[i] += [(s, ids[s:s + n]) for s, n in token_output.pieces(len(ids), options.get("row_tokens", token_output.ROW_TOKENS))]
     assert {k: sorted(v) for k, v in parts.items()} == {k: sorted(v) for k, v in want.items()}
     return written
