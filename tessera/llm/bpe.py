@@ -12,6 +12,7 @@ import hashlib
 import heapq
 import json
 from collections.abc import Iterator, Sequence
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -21,10 +22,13 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import named
 
-NEVER = np.int64(1 << 40)
-# Words that a worker remembers with their tokens, and characters of the texts it handles at once.
-MEMO_WORDS = 500_000
-BLOCK_CHARS = 1 << 22
+NO_MERGE = 1 << 62
+NEVER = np.int64(NO_MERGE >> 32)
+# New words after which a worker forgets those it has not met lately (it remembers twice as many), and
+# characters of the texts it handles at once.
+MEMO_WORDS = 200_000
+BLOCK_CHARS = 1 << 20
+SHORT_WORD = 32  # bytes of a word that is merged together with others
 
 # Classes of characters that words are made of.
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
@@ -119,13 +123,19 @@ class Vocabulary:
             if self.born[made] < 0:
                 self.born[made], self.left[made], self.right[made] = rank, i, j
         self.merge = {(i, j): (rank, made) for rank, (i, j, made) in reversed(list(enumerate(pairs)))}
-        keys = np.array([(i << 32) | j for i, j in self.merge], np.int64)
-        order = np.argsort(keys)
-        self._keys, self._ranks = keys[order], np.array([r for r, _ in self.merge.values()], np.int64)[order]
-        # longest token that begins with two given bytes
-        self.reach: dict[bytes, int] = {}
+        # the same with one number for the pair, and one for rank and token
+        self.coded = {i << 32 | j: rank << 32 | made for (i, j), (rank, made) in self.merge.items()}
+        self.of_byte = np.array([self.ids.get(bytes([b]), -1) for b in range(256)], np.int64)
+        self._hash(np.array(list(self.coded), np.int64), np.array(list(self.coded.values()), np.int64))
+        # lengths of the tokens that begin with three given bytes, or are shorter, longest first
+        begins: dict[bytes, set[int]] = {}
         for token in self.ids:
-            self.reach[token[:2]] = max(self.reach.get(token[:2], 1), len(token))
+            begins.setdefault(token[:3], set()).add(len(token))
+        short = {t for t in self.ids if len(t) < 3}
+        self.sizes = {
+            b: tuple(sorted(n | {k for k in (1, 2) if b[:k] in short}, reverse=True)) for b, n in begins.items()
+        }
+        self.short_sizes = (2, 1)
         whole = (self.born < 0) | self.compatible(self.left, self.right, self.born)
         for t in np.argsort(self.born, kind="stable"):  # parts come before the tokens they make
             if self.born[t] >= 0:
@@ -142,12 +152,43 @@ class Vocabulary:
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "_encoder"}
 
-    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        if not len(self._keys):
-            return np.full(len(a), NEVER)
+    def _hash(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """An open hash table of the merges, looked up for whole arrays."""
+        self._bits = max(4, (4 * len(keys)).bit_length())
+        size = 1 << self._bits
+        self._keys, self._values = np.full(size, -1, np.int64), np.full(size, NO_MERGE, np.int64)
+        left, slot, self._probes = np.arange(len(keys)), self._slot(keys), 0
+        while len(left):
+            at = (slot[left] + self._probes) % size
+            free = np.flatnonzero(self._keys[at] < 0)
+            _, first = np.unique(at[free], return_index=True)
+            won = free[first]
+            self._keys[at[won]], self._values[at[won]] = keys[left[won]], values[left[won]]
+            left = np.delete(left, won)
+            self._probes += 1
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        h = (key ^ (key >> 15)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (h >> np.uint64(64 - self._bits)).astype(np.int64)
+
+    def merges(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank and token (in one number) of merging each pair; NO_MERGE without a merge."""
         key = (a << 32) | b
-        at = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
-        return np.where(self._keys[at] == key, self._ranks[at], NEVER)
+        slot = self._slot(key)
+        out = np.full(len(key), NO_MERGE, np.int64)
+        look = np.arange(len(key))
+        for k in range(self._probes):
+            at = (slot[look] + k) & ((1 << self._bits) - 1)
+            seen = self._keys[at]
+            hit = seen == key[look]
+            out[look[hit]] = self._values[at[hit]]
+            look = look[~hit & (seen >= 0)]
+            if not len(look):
+                break
+        return out
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return self.merges(a, b) >> 32
 
     def compatible(self, a: np.ndarray, b: np.ndarray, until: np.ndarray | None = None) -> np.ndarray:
         """Whether no merge across the border of tokens ``a``, ``b`` comes first (before rank ``until``).
@@ -175,11 +216,11 @@ class Vocabulary:
 
     def longest(self, word: bytes) -> list[int]:
         """Greedy cut into the longest tokens."""
-        out, i, n, ids, reach = [], 0, len(word), self.ids, self.reach
+        out, i, n = [], 0, len(word)
+        token, sizes, short = self.ids.get, self.sizes.get, self.short_sizes
         while i < n:
-            for size in range(min(reach.get(word[i:i + 2], 1), n - i), 0, -1):
-                t = ids.get(word[i:i + size])
-                if t is not None:
+            for size in sizes(word[i:i + 3], short):
+                if i + size <= n and (t := token(word[i:i + size])) is not None:
                     out.append(t)
                     i += size
                     break
@@ -189,7 +230,7 @@ class Vocabulary:
 
     def merged(self, word: bytes) -> list[int]:
         """Exact encoding: the merge of the lowest rank first, of equal ranks the leftmost."""
-        t = [self.ids[word[i:i + 1]] for i in range(len(word))]
+        t = self.of_byte[np.frombuffer(word, np.uint8)].tolist()
         after, before = list(range(1, len(t))) + [-1], list(range(-1, len(t) - 1))
         alive = [True] * len(t)
         heap: list[tuple[int, int, int, int]] = []
@@ -216,6 +257,41 @@ class Vocabulary:
             offer(i)
         return [x for x, a in zip(t, alive) if a]
 
+    def merged_many(self, words: Sequence[bytes]) -> list[list[int]]:
+        """``merged`` of many words of at most SHORT_WORD bytes: one merge per word and step."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        wide = int(size.max(initial=1))
+        token = np.full((len(words), wide + 1), -1, np.int64)
+        inside = np.arange(wide + 1) < size[:, None]
+        token[inside] = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
+        offer = np.full((len(words), wide), NO_MERGE, np.int64)
+        pair = inside[:, 1:]
+        offer[pair] = self.merges(token[:, :-1][pair], token[:, 1:][pair])
+        out, live = token.copy(), np.arange(len(words))
+        column = np.arange(wide)
+        while True:
+            at = offer.argmin(1)
+            best = offer[np.arange(len(live)), at]
+            go = best < NO_MERGE
+            if not go.all():
+                out[live[~go]], size[live[~go]] = token[~go], (token[~go] >= 0).sum(1)
+                live, token, offer, at, best = live[go], token[go], offer[go], at[go], best[go]
+            if not len(live):
+                break
+            row = np.arange(len(live))
+            token[row, at] = best & 0xFFFFFFFF
+            keep = column + (column > at[:, None])  # the next token goes, and the pair that was merged
+            token[:, :wide] = np.take_along_axis(token, keep, 1)
+            token[:, wide] = -1
+            offer = np.take_along_axis(offer, np.minimum(column + (column >= at[:, None]), wide - 1), 1)
+            offer[:, wide - 1] = NO_MERGE
+            for to in (at - 1, at):
+                has = np.flatnonzero((to >= 0) & (token[row, np.minimum(to + 1, wide)] >= 0))
+                offer[has, to[has]] = self.merges(token[has, to[has]], token[has, to[has] + 1])
+            gone = np.flatnonzero(token[row, np.minimum(at + 1, wide)] < 0)
+            offer[gone, np.minimum(at[gone], wide - 1)] = NO_MERGE
+        return [r[:n] for r, n in zip(out.tolist(), size.tolist())]
+
     def encode_words(self, words: Sequence[bytes]) -> list[list[int]]:
         """Tokens of distinct words: greedy, checked in one go, merged exactly where the check fails."""
         guess = [self.longest(w) for w in words]
@@ -229,7 +305,12 @@ class Vocabulary:
             pair, at = np.unique((flat[:-1][inside] << 32) | flat[1:][inside], return_inverse=True)
             fine = self.compatible(pair >> 32, pair & 0xFFFFFFFF)
             wrong[owner[:-1][inside][~fine[at]]] = True
-        for i in np.flatnonzero(wrong):
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        for least, most in ((0, 8), (8, 12), (12, 16), (16, SHORT_WORD)):
+            some = np.flatnonzero(wrong & (length > least) & (length <= most)).tolist()
+            for i, tokens in zip(some, self.merged_many([words[i] for i in some])):
+                guess[i] = tokens
+        for i in np.flatnonzero(wrong & (length > SHORT_WORD)).tolist():
             guess[i] = self.merged(words[i])
         return guess
 
@@ -244,8 +325,18 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self._number: dict[str, int] = {}
-        self._tokens, self._begin, self._size = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+        """Start a new generation of words; those of the one before it are still known."""
+        self._before = getattr(self, "_now", {})
+        self._now: dict = {}
+        live = sorted(set(self._before.values()))
+        size = self._size[live] if live else np.empty(0, np.int64)
+        begin = np.cumsum(size) - size
+        old = self._begin[live] if live else begin
+        at = np.repeat(old - begin, size) + np.arange(int(size.sum()))
+        self._tokens = self._tokens[at] if live else np.empty(0, np.uint32)
+        self._begin, self._size = begin, size
+        place = {n: i for i, n in enumerate(live)}
+        self._before = {w: place[n] for w, n in self._before.items()}
 
     def _words(self, text: str) -> list[str]:
         if not text:
@@ -272,8 +363,7 @@ class Encoder:
         self._begin = np.concatenate([self._begin, np.cumsum(size) - size + len(self._tokens)])
         self._size = np.concatenate([self._size, size])
         self._tokens = np.concatenate([self._tokens, flat])
-        for w in words:
-            self._number[w] = len(self._number)
+        self._now.update(zip(words, range(len(self._size) - len(words), len(self._size))))
 
     def encode(self, texts: Sequence[str | None]) -> list[np.ndarray]:
         """Token ids of every text; NULL counts as empty."""
@@ -290,14 +380,18 @@ class Encoder:
 
     def _block(self, texts: list[str]) -> list[np.ndarray]:
         words = [self._split(t) for t in texts]
-        if len(self._number) > MEMO_WORDS:
+        if len(self._now) > MEMO_WORDS:
             self._forget()
-        have = self._number
-        new = list(dict.fromkeys(w for ws in words for w in ws if w not in have))
-        if new:
-            self._learn(new)
+        have, before = self._now, self._before
         count = np.fromiter(map(len, words), np.int64, len(words))
-        number = np.fromiter((have[w] for ws in words for w in ws), np.int64, int(count.sum()))
+        flat = list(chain.from_iterable(words))
+        number = np.fromiter(map(have.get, flat, repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(number < 0).tolist()
+        if missing:
+            need = dict.fromkeys(flat[i] for i in missing)
+            have.update((w, before[w]) for w in need if w in before)
+            self._learn([w for w in need if w not in before])
+            number[missing] = [have[flat[i]] for i in missing]
         size = self._size[number]
         end = np.cumsum(size)
         at = np.repeat(self._begin[number] - (end - size), size) + np.arange(int(end[-1]) if len(end) else 0)

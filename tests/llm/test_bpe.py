@@ -64,7 +64,8 @@ def test_tokens_that_encode_to_themselves():
 
 def test_only_failing_words_are_merged(monkeypatch):
     exact = []
-    monkeypatch.setattr(bpe.Vocabulary, "merged", lambda self, w, real=bpe.Vocabulary.merged: exact.append(w) or real(self, w))
+    many = bpe.Vocabulary.merged_many
+    monkeypatch.setattr(bpe.Vocabulary, "merged_many", lambda self, ws: exact.extend(ws) or many(self, ws))
     words = [w.encode() for w in (" the", " thentinger", "ation", " onthhaed", "erre", "zzzzzzz")]
     got = V.encode_words(words)
     assert [g == V.longest(w) for g, w in zip(got, words)].count(False) == len([w for w in exact if V.longest(w) != LIBRARY.encode(w.decode()).ids])
@@ -72,13 +73,19 @@ def test_only_failing_words_are_merged(monkeypatch):
     assert 0 < len(exact) < len(words)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("abcthe ing1é漢'", min_size=1, max_size=10).map(lambda t: t.encode()).filter(lambda w: len(w) <= 32), max_size=20))
+def test_merging_many_words_is_merging_each(words):
+    assert V.merged_many(words) == [V.merged(w) for w in words]
+
+
 def test_memory_of_words_is_bounded(monkeypatch):
     monkeypatch.setattr(bpe, "MEMO_WORDS", 50)
     monkeypatch.setattr(bpe, "BLOCK_CHARS", 200)
     encoder = bpe.Encoder(V)
     texts = [" ".join(f"word{i}x{k}" for k in range(20)) for i in range(60)]
     assert [e.tolist() for e in encoder.encode(texts)] == [library(t) for t in texts]
-    assert len(encoder._number) < 50 + 200
+    assert len(encoder._now) < 50 + 200 and len(encoder._size) < 2 * (50 + 200)
 
 
 @pytest.mark.parametrize("long", ["x" * 100_000, " " * 5000 + "y", "ab" * 20_000, "\n" * 3000])
