@@ -55,13 +55,14 @@ def bm25(
     """
     docs = docs.where(F.col(text).isNotNull())
     texts = scale.spread(docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")), "doc")
-    words = texts.select("doc", tokens("text").alias("words"))
+    # tokenized once: frequencies, the number of documents and the scores all read the stored words
+    words = scale.cut_lineage(texts.select("doc", tokens("text").alias("words")))
     # one pass for both: the first distinct word of a document also carries its length
     each = words.select(F.size("words").alias("len"), F.posexplode(F.array_distinct("words")).alias("p", "token"))
     freq = scale.cut_lineage(each.groupBy("token").agg(
         F.count("*").alias("df"), F.sum(F.when(F.col("p") == 0, F.col("len")).otherwise(0)).alias("len")))
     stats = freq.agg(F.sum("len").alias("total"))  # one row
-    n = docs.count()
+    n = words.count()
     idf = freq.crossJoin(F.broadcast(stats)).select(
         "token", (F.col("total") / n).alias("mean_len"),
         (F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"),

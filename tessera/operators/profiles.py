@@ -91,7 +91,8 @@ def scan_rows(texts: DataFrame, min_rows: int = MIN_SCAN_ROWS) -> DataFrame:
 def summarize_scans(scans: DataFrame, digits: int = 2) -> DataFrame:
     """Per query: number of scans and min / max / median / sum of time, rows and megabytes."""
     by = ["query_id", "total_ms"]
-    s = scans.withColumn("time_ms", F.col("ser_ms") + F.col("deser_ms"))
+    # the texts are parsed once, for the aggregates and the medians
+    s = scale.cut_lineage(scans.withColumn("time_ms", F.col("ser_ms") + F.col("deser_ms")))
     aggs = [F.count("*").alias("scan_cnt")]
     measures = (("time_ms", "ser_ms"), ("rows_read", "rows_read"), ("block_mb", "block_mb"))
     for col, name in measures:

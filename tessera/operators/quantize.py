@@ -6,6 +6,7 @@ depends on dimension and code width, not on the table). Encoding and decoding ar
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -429,9 +430,15 @@ def half_vectors(codes: Column | str) -> Column:
 
 
 def rotation(dim: int, seed: int = 42) -> np.ndarray:
-    """Seeded random orthogonal matrix."""
-    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))
-    return q * np.sign(np.diag(r))
+    """Seeded sign flips followed by a Walsh-Hadamard transform: ``dim`` orthonormal rows.
+
+    The width is the next power of two; a vector counts as filled up with zeros.
+    """
+    width = 1 << max(dim - 1, 0).bit_length()
+    i, j = np.arange(dim)[:, None], np.arange(width)[None, :]
+    waves = np.where(np.bitwise_count(i & j) % 2 == 0, 1.0, -1.0)
+    flips = [1.0 if hashlib.md5(f"{seed}:{p}".encode()).hexdigest()[0] < "8" else -1.0 for p in range(dim)]
+    return np.array(flips)[:, None] * waves / np.sqrt(width)
 
 
 @dataclass(frozen=True)
@@ -447,7 +454,8 @@ class BitCodec:
 
     @property
     def dim(self) -> int:
-        return len(self.center)
+        """Bits of a code."""
+        return self.turn.shape[1]
 
     def pack(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(packed bits, norm, <pattern, unit vector>) per row."""

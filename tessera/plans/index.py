@@ -269,23 +269,45 @@ def fp16_codes(t):
 # ---------------------------------------------------------------- 1-bit codes
 
 
+# sign flips and Walsh-Hadamard waves for 64 dimensions
+TURN = """sg as (select p as pos, case when substr(md5(concat('42:', p)), 1, 1) < '8' then 1 else -1 end as s from range(64) t(p)),
+  hd as (select a.pos as i, b.pos as j, s * case when bit_count(a.pos & b.pos) % 2 = 0 then 1 else -1 end / 8.0::double as h
+    from sg a, (select pos from sg) b)"""
+BITS = E + ", " + TURN + """, m as (select pos, avg(x) as c from e group by pos),
+  r as materialized (select vec_id as id, j, sum((x - c) * h) as r from e join m using (pos) join hd on i = e.pos group by all),
+  v as (select id, sqrt(sum(r * r)) as norm, sum(abs(r)) / 8 / sqrt(sum(r * r)) as unit from r group by id)"""
+
+
+def levels_sql(bits: int, over: str = "") -> str:
+    """A turned query coordinate ``r`` on uniform levels between its extremes."""
+    lo, hi = f"min(r) over ({over})", f"max(r) over ({over})"
+    step = f"(greatest({hi} - {lo}, 1e-12::double) / {(1 << bits) - 1})"
+    return f"{lo} + round_even((r - {lo}) / {step}, 0) * {step}"
+
+
 @query(
     "rabitq_encode",
-    f"""with {E}, m as (select list(c order by pos) as cv from (select pos, avg(x) as c from e group by pos))
-    select vec_id as id, 8 as bytes, round(list_distance(embedding::double[], cv), 6) as norm, true as unit_ok
-    from {{embeddings}}, m""",
+    f"""with {BITS} select id, 8 as bytes, string_agg(case when r >= 0 then '1' else '0' end, '' order by j) as signs,
+      round(any_value(norm), 6) as norm, round(any_value(unit), 6) as unit from r join v using (id) group by id""",
 )
 def rabitq_encode(t):
-    """One bit per dimension; the stored norm is the distance to the mean vector."""
+    """One sign per dimension; the stored norm is the distance to the mean vector."""
     coded = C.bit_encode(t.user_vectors, C.bit_train(t.user_vectors))
-    return coded.select("id", F.octet_length("code.bits").alias("bytes"), F.round("code.norm", 6).alias("norm"),
-                        F.expr("code.unit > 0.5 and code.unit <= 1").alias("unit_ok"))
+    signs = F.lpad(F.conv(F.hex("code.bits"), 16, 2), 64, "0").alias("signs")
+    return coded.select("id", F.octet_length("code.bits").alias("bytes"), signs,
+                        F.round("code.norm", 6).alias("norm"), F.round("code.unit", 6).alias("unit"))
 
 
-@query("rabitq_search")
+@query(
+    "rabitq_search",
+    f"""with {BITS}, q as (select j, r, {levels_sql(4)} as rq from r where id = 0)
+    select r.id, round(any_value(norm * norm) + (select sum(r * r) from q)
+      - 2 * any_value(norm / unit) * sum(case when r.r >= 0 then rq else -rq end) / 8, 6) as dist
+    from r join q using (j) join v on v.id = r.id group by r.id order by dist, r.id limit 20""",
+)
 def rabitq_search(t):
     codec = C.bit_train(t.user_vectors)
-    return C.bit_search(C.bit_encode(t.user_vectors, codec), codec, q0(t), 20, query_bits=4)
+    return r6(C.bit_search(C.bit_encode(t.user_vectors, codec), codec, q0(t), 20, query_bits=4), "dist")
 
 
 # ---------------------------------------------------------------- inverted lists
@@ -379,10 +401,25 @@ def ivf_search_pq(t):
     return r6(hit.drop("rank"), "dist")
 
 
-@query("ivf_search_rabitq")
+@query(
+    "ivf_search_rabitq",
+    f"""with {CENT}, {ASG}, {TURN}, {prb(3)},
+      r as materialized (select id, asg.list_id, j, sum((x - c) * h) as r from asg join e on e.vec_id = id
+        join cl on cl.list_id = asg.list_id and cl.pos = e.pos join hd on i = e.pos group by all),
+      v as (select id, sqrt(sum(r * r)) as norm, sum(abs(r)) / 8 / sqrt(sum(r * r)) as unit from r group by id),
+      qe as (select qid, generate_subscripts(qv, 1) - 1 as pos, unnest(qv) as x from qset),
+      qr as (select qid, prb.list_id, j, sum((x - c) * h) as r from prb join qe using (qid)
+        join cl on cl.list_id = prb.list_id and cl.pos = qe.pos join hd on i = qe.pos group by all),
+      ql as (select qid, list_id, j, r, {levels_sql(8, "partition by qid, list_id")} as rq from qr),
+      d as (select qid, r.id, any_value(norm * norm) + sum(ql.r * ql.r)
+          - 2 * any_value(norm / unit) * sum(case when r.r >= 0 then rq else -rq end) / 8 as dist
+        from r join ql on ql.list_id = r.list_id and ql.j = r.j join v on v.id = r.id group by qid, r.id)
+    select qid, id, round(dist, 6) as dist, row_number() over (partition by qid order by dist, id)::int as rank
+    from d qualify rank <= 10""",
+)
 def ivf_search_rabitq(t):
     c, q = centers(t), qset(t)
-    return ivf.search_bits(stored(t, "bits"), ivf.probe(c, q, 3), q, center_matrix(t), 10, query_bits=8)
+    return r6(ivf.search_bits(stored(t, "bits"), ivf.probe(c, q, 3), q, center_matrix(t), 10, query_bits=8), "dist")
 
 
 @query(

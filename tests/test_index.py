@@ -232,13 +232,13 @@ def test_many_centers_train_in_two_levels(spark, data, monkeypatch):
 
     x, df = data
     monkeypatch.setattr(scale, "BROADCAST_VALUES", 300)
-    c = C.lloyd(df, 24, rounds=3)[0]
+    c = C.lloyd(df, 24, rounds=1)[0]
     assert c.shape == (24, 16)
     near = lambda m: ((x[:, None, :] - m[None]) ** 2).sum(2).min(1).mean()
     monkeypatch.setattr(scale, "BROADCAST_VALUES", 8_000_000)
-    plain = C.lloyd(df, 24, rounds=3)[0]
-    assert near(c) < 1.3 * near(plain)
-    both = C.lloyd(df, 4, parts=2, rounds=2)
+    plain = C.lloyd(df, 24, rounds=1)[0]
+    assert near(c) < 1.5 * near(plain)
+    both = C.lloyd(df, 4, parts=2, rounds=1)
     assert both.shape == (2, 4, 8)
 
 
