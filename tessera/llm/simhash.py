@@ -81,7 +81,9 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, index_bytes: int = INDEX_BYT
         parts = [f"shiftleft(shiftrightunsigned(fp, {8 * p}) & 255L, {8 * i})" for i, p in enumerate(places)]
         return f"named_struct('l', {number}, 'k', {' | '.join(parts)})"
 
-    distinct = fps.select(F.col(col).alias("fp")).distinct()
+    # few bytes become many index rows: spread them first
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = fps.select(F.col(col).alias("fp")).distinct().repartition(parts)
     index = distinct.select("fp", F.explode(F.expr(
         "array(" + ", ".join(key(n, places) for n, places in enumerate(chosen)) + ")"
     )).alias("key")).select("key.l", "key.k", "fp")
