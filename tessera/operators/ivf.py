@@ -148,7 +148,7 @@ def search(
         found = _search_blocks(index, probes, queries, k, metric, id_col, data, decode)
     else:
         found = _search_broadcast(index, rows, asked, queries, k, metric, id_col, data, decode)
-    best = scale.rank_per_group_salted(found, ["qid"], [m.order("dist"), F.col("id")], k, "id")
+    best = scale.rank_task_results(found, index, ["qid"], [m.order("dist"), F.col("id")], k, "id")
     return best.select("qid", F.col("id").alias(id_col), "dist", "rank")
 
 
@@ -321,7 +321,7 @@ def search_bits(
     found = coded.where(F.col("list_id").isin(sorted(by_list))).mapInArrow(
         scan, f"qid {qtype}, id {itype}, dist double"
     )
-    top = scale.rank_per_group_salted(found, ["qid"], [F.asc("dist"), F.col("id")], k, "id")
+    top = scale.rank_task_results(found, coded, ["qid"], [F.asc("dist"), F.col("id")], k, "id")
     return top.select("qid", F.col("id").alias(id_col), "dist", "rank")
 
 

@@ -132,7 +132,7 @@ def knn_batch(
     local = vectors.select(id_col, vec).mapInArrow(
         scan, f"qid {qtype}, id {itype}, dist double"
     )
-    best = scale.rank_per_group_salted(local, ["qid"], [m.order("dist"), F.col("id")], k, "id")
+    best = scale.rank_task_results(local, vectors, ["qid"], [m.order("dist"), F.col("id")], k, "id")
     return best.select(F.col("qid").alias(qid), F.col("id").alias(id_col), "dist", "rank")
 
 

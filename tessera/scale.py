@@ -30,10 +30,13 @@ def bounded_vectors(
     df: DataFrame, id_col: str, vec_col: str, max_values: int | None = None
 ) -> list[Row] | None:
     """(id, vector) rows when their numbers fit the broadcast bound, else None."""
-    head = df.agg(F.max(F.size(vec_col)).alias("n")).head()
-    dim = max(int(head["n"] or 1), 1)
+    head = df.where(F.size(vec_col) > 0).select(F.size(vec_col).alias("n")).head()
+    dim = int(head["n"]) if head else 1
     max_values = BROADCAST_VALUES if max_values is None else max_values
-    return bounded_rows(df.select(id_col, vec_col), min(BROADCAST_ROWS, max_values // dim))
+    rows = bounded_rows(df.select(id_col, vec_col), min(BROADCAST_ROWS, max_values // dim))
+    if rows is not None and sum(len(r[vec_col] or ()) for r in rows) > max_values:
+        return None  # other rows are longer than the first
+    return rows
 
 
 def of_dimension(df: DataFrame, vec: str, dim: int) -> DataFrame:
@@ -97,6 +100,27 @@ def rank_per_group_salted(
     return rank_per_group(first, keys, order, k, rank)
 
 
+# Rows of one key that a task may sort in one go.
+RANK_ROWS = 1_000_000
+
+
+def rank_task_results(
+    found: DataFrame, source: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, salt_on: str
+) -> DataFrame:
+    """``rank_per_group`` of what a scan of ``source`` found, at most ``k`` rows per key and task.
+
+    The planner's size of the source gives the number of tasks, hence the rows of a key that meet in
+    one task. Beyond RANK_ROWS of them the ranking takes two salted steps; the result is the same.
+    """
+    spark = source.sparkSession
+    size = int(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    tasks = size // split + spark.sparkContext.defaultParallelism
+    if tasks * k <= RANK_ROWS:
+        return rank_per_group(found, keys, order, k)
+    return rank_per_group_salted(found, keys, order, k, salt_on)
+
+
 # A table below this many bytes per core is cheap to redistribute.
 SPREAD_BYTES = 64 << 20
 

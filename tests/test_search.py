@@ -104,3 +104,11 @@ def test_hot_groups_numbers_and_percentiles(spark):
     one = {tuple(r) for r in scale.rank_per_group(df, ["k"], order, 3).collect()}
     two = {tuple(r) for r in scale.rank_per_group_salted(df, ["k"], order, 3, "i", 4).collect()}
     assert one == two
+
+
+def test_ranking_in_two_steps_is_the_same(spark, monkeypatch):
+    x = as_float32(matrix(300, 5))
+    q = asked(spark, matrix(4, 5, 2))
+    plain = ranked(S.knn_batch(frame(spark, x), q, 7))
+    monkeypatch.setattr(scale, "RANK_ROWS", 0)
+    assert ranked(S.knn_batch(frame(spark, x), q, 7)) == plain
