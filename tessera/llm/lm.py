@@ -1,19 +1,22 @@
 """Language-model scores from a hashed maximum-entropy model with a class-factored softmax.
 
-P(word | h) = P(class | h) P(word | class, h). The most frequent words form classes by rank; all others
-are one class whose words are told apart by smoothed corpus counts. Both softmax levels sum the weights
-of hashed features of the two words before: the bigram, the skip over one word, and both together.
+P(word | h) = P(class | h) P(word | class, h). The most frequent words form classes by rank. All others
+are one class, in which the digits of a word's hash are a path of further classes: P(word | class, h) is
+the product over the digits, as many as the vocabulary asks for, and of the word's share of the counts at
+the end of the path. Every level is a softmax that sums the weights of hashed features of the two words
+before: the bigram, the skip over one word, and both together.
 
 Counts cover every learnable text. Training is distributed: in each round every task makes gradient
-updates on its own documents from the shared weights, and the changes are averaged by tokens. Scoring
-sends texts through numpy in batches, and looks up the counts of rare words by a join.
+updates on its own documents from the shared weights, and the changes are averaged by tokens. The first
+digits name a shard. What comes after them is never shared: the tokens of a shard meet in one task, which
+learns the weights below the shard and scores with them, so shards and weights follow the corpus.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from itertools import repeat
 from zlib import crc32
 
@@ -32,31 +35,78 @@ CLASSES, MEMBERS = 16, 32  # classes of frequent words, and words in each
 RARE = CLASSES  # number of the class of all other words
 # Words whose counts every task knows; each other one is at most a 100,000th of the corpus.
 KNOWN_WORDS = 100_000
-RARE_GROUPS = 256  # rare words as context: hashed into so many groups
+BITS = 32  # of the hash of a word; words that agree in it are one to the levels below RARE
+DIGIT_BITS = 3
+BRANCH = 1 << DIGIT_BITS
+SHARD_TOKENS = 1 << 21  # learnt rare tokens that meet in a task, at most, on average
+START = (1 << BITS) - 1  # the context before the first word
 FEATURES = 3
-CLASS_ROWS, WORD_ROWS = 1 << 14, 1 << 14
+# Rows of a shared table: one for so many tokens, between two bounds; the upper one keeps a broadcast small.
+ROW_TOKENS, LEAST_ROWS, MOST_ROWS = 1 << 12, 1 << 14, 1 << 16
+SHARD_ROW_TOKENS, LEAST_SHARD_ROWS = 2, 1 << 12  # the same for the table of a shard, without an upper bound
+EMPTY = 1e-6  # in place of a count of 0 where the levels of a path start
 ROUNDS = 2
 TASKS_PER_CORE = 4
 STEP_TOKENS = 1 << 15
 RATE, DAMPING, L2 = 0.3, 2.0, 1e-3
+SALTS = 4
 BLOCK_VALUES = 1 << 14  # weights sent in one row when tasks' changes are added
 END = b""  # the token after the last word; no word is empty
 
 
-@dataclass
+def power_of_two(x: float) -> int:
+    """The least one that is not below ``x``."""
+    return 1 << max(0, int(np.ceil(x)) - 1).bit_length()
+
+
+def table_rows(tokens: int) -> int:
+    return min(MOST_ROWS, max(LEAST_ROWS, power_of_two(tokens / ROW_TOKENS)))
+
+
 class Weights:
-    """Two tables of fixed size: hashed feature -> class, hashed feature and class -> member."""
+    """The shared tables: hashed feature -> class, feature and class -> member, feature and path -> digit."""
 
-    of_class: np.ndarray = field(default_factory=lambda: np.zeros((CLASS_ROWS, CLASSES + 1), np.float32))
-    of_word: np.ndarray = field(default_factory=lambda: np.zeros((WORD_ROWS, MEMBERS), np.float32))
+    def __init__(self, rows: int = LEAST_ROWS, flat: np.ndarray | None = None):
+        widths = (CLASSES + 1, MEMBERS, BRANCH)
+        flat = np.zeros(rows * sum(widths), np.float32) if flat is None else flat.astype(np.float32)
+        parts = np.split(flat, np.cumsum(widths)[:-1] * rows)
+        self.rows = rows
+        self.of_class, self.of_word, self.of_digit = (x.reshape(rows, -1) for x in parts)
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([self.of_class.ravel(), self.of_word.ravel()])
+        return np.concatenate([self.of_class.ravel(), self.of_word.ravel(), self.of_digit.ravel()])
+
+
+def code_of(words: Iterable[bytes], n: int) -> np.ndarray:
+    return np.fromiter(map(crc32, words), np.int64, n)
+
 
-    @staticmethod
-    def from_flat(x: np.ndarray) -> Weights:
-        cut = CLASS_ROWS * (CLASSES + 1)
-        return Weights(x[:cut].reshape(CLASS_ROWS, -1).astype(np.float32), x[cut:].reshape(WORD_ROWS, -1).astype(np.float32))
+def rare_context(code: np.ndarray) -> np.ndarray:
+    n = CLASSES * MEMBERS
+    return n + code % (START - n)
+
+
+def path_nodes(code: np.ndarray, skip: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word, level): number of the node among those of all levels, and the digit chosen there.
+
+    The path of ``depth`` digits begins after the first ``skip`` digits.
+    """
+    node, digit = np.empty((len(code), depth), np.int64), np.empty((len(code), depth), np.int64)
+    for k in range(depth):
+        before = (code >> (BITS - DIGIT_BITS * (skip + k))) & ((1 << DIGIT_BITS * k) - 1)
+        node[:, k] = before + ((1 << DIGIT_BITS * k) - 1) // (BRANCH - 1)
+        digit[:, k] = (code >> (BITS - DIGIT_BITS * (skip + k + 1))) & (BRANCH - 1)
+    return node, digit
+
+
+def path_bias(tokens: np.ndarray, depth: int) -> np.ndarray:
+    """(node, digit): log of the digit's share, from the smoothed counts at the ends of all paths."""
+    levels = []
+    for _ in range(depth):
+        levels.append(np.maximum(tokens.reshape(-1, BRANCH), EMPTY))
+        tokens = tokens.reshape(-1, BRANCH).sum(1)
+    out = np.concatenate(levels[::-1]) if levels else np.ones((0, BRANCH))
+    return np.log(out / out.sum(1, keepdims=True)).astype(np.float32)
 
 
 @dataclass
@@ -67,6 +117,8 @@ class Lexicon:
     counts: np.ndarray
     tokens: int  # N
     distinct: int  # V
+    digits: int = 0  # of the hash that name a shard
+    digit_bias: np.ndarray = field(default_factory=lambda: path_bias(np.zeros(1), 0))
 
     def __post_init__(self):
         n = CLASSES * MEMBERS
@@ -74,8 +126,8 @@ class Lexicon:
         self.rare_tokens = self.tokens - int(self.counts[:n].sum())
         self.rare_distinct = self.distinct - min(n, len(self.words))
         self.log_count = np.log10(self.counts + 1.0)
-        group = np.fromiter((crc32(w.encode()) % RARE_GROUPS for w in self.words), np.int64, len(self.words))
-        self.context = np.where(np.arange(len(self.words)) < n, np.arange(len(self.words)), n + group)
+        self.code = code_of(self.number, len(self.words))
+        self.context = np.where(np.arange(len(self.words)) < n, np.arange(len(self.words)), rare_context(self.code))
         # logs of the shares of the classes and of the words in their class: where training starts
         known = self.counts[:n].astype(float)
         classes = np.zeros(CLASSES + 1)
@@ -90,14 +142,14 @@ class Lexicon:
 
 
 def _rows(a: np.ndarray, b: np.ndarray, salt: np.ndarray | int, size: int) -> np.ndarray:
-    """Table rows (token, feature) of the word before ``a`` and the one before that ``b``."""
+    """Table rows (token, feature) of the word before ``a`` and the one before that ``b``; ``size`` is a power of two."""
     out = np.empty((len(a), FEATURES), np.int64)
     for k, x in enumerate((a * 2 + 1, b * 2, (a + 1) * 1_000_003 + b + 7)):
         h = (x.astype(np.uint64) + np.uint64(k * 0x9E3779B1)) * np.uint64(0x9E3779B97F4A7C15)
         h ^= np.asarray(salt, np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
-        out[:, k] = (h >> np.uint64(32)) % np.uint64(size)
+        out[:, k] = (h >> np.uint64(32)) & np.uint64(size - 1)
     return out
 
 
@@ -134,8 +186,8 @@ class Batch:
             at = np.flatnonzero(ids < 0)
             cold = [ws[i] for i in at.tolist()]
             self.cold.append(Counter(cold))
-            # an unknown word is numbered after the known ones by its group
-            ids[at] = np.fromiter(map(crc32, cold), np.int64, len(cold)) % RARE_GROUPS + known
+            # an unknown word is numbered after the known ones by its hash
+            ids[at] = code_of(cold, len(cold)) + known
             parts.append(ids)
             sizes.append(len(ids))
         n = CLASSES * MEMBERS
@@ -145,14 +197,14 @@ class Batch:
         seen = np.minimum(token, max(known - 1, 0))
         self.token = token
         self.log_count = np.where(self.known, lexicon.log_count[seen], 0.0) if known else np.zeros(len(token))
-        context = np.where(self.known, lexicon.context[seen], n + (token - known) % RARE_GROUPS) if known else n + token % RARE_GROUPS
+        self.code = np.where(self.known, lexicon.code[seen], token - known) if known else token
+        context = np.where(self.known, lexicon.context[seen], rare_context(token - known)) if known else rare_context(token)
         begin = np.cumsum(self.size) - self.size
-        start = np.int64(n + RARE_GROUPS)
         self.one, self.two = np.empty_like(context), np.empty_like(context)
         self.one[1:], self.two[2:] = context[:-1], context[:-2]
-        self.one[begin] = start
-        self.two[begin] = start
-        self.two[begin[self.size > 1] + 1] = start
+        self.one[begin] = START
+        self.two[begin] = START
+        self.two[begin[self.size > 1] + 1] = START
         self.frequent = self.known & (token < n)
         self.klass = np.where(self.frequent, token // MEMBERS, RARE)
         self.member = token % MEMBERS
@@ -160,24 +212,36 @@ class Batch:
 
 
 def _class_logits(w: Weights, lex: Lexicon, b: Batch, s: slice) -> tuple[np.ndarray, np.ndarray]:
-    rows = _rows(b.one[s], b.two[s], 0, CLASS_ROWS)
-    z = w.of_class[rows[:, 0]] + lex.class_bias
+    rows = _rows(b.one[s], b.two[s], 0, len(w.of_class))
+    z = w.of_class.take(rows[:, 0], 0) + lex.class_bias
     for k in range(1, FEATURES):
-        z += w.of_class[rows[:, k]]
+        z += w.of_class.take(rows[:, k], 0)
     return rows, z
 
 
 def _word_logits(w: Weights, lex: Lexicon, b: Batch, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     klass = b.klass[at]
-    rows = _rows(b.one[at], b.two[at], klass + 1, WORD_ROWS)
-    z = w.of_word[rows[:, 0]] + lex.word_bias[klass]
+    rows = _rows(b.one[at], b.two[at], klass + 1, len(w.of_word))
+    z = w.of_word.take(rows[:, 0], 0) + lex.word_bias.take(klass, 0)
     for k in range(1, FEATURES):
-        z += w.of_word[rows[:, k]]
+        z += w.of_word.take(rows[:, k], 0)
     return rows, z
 
 
+def path_logits(
+    table: np.ndarray, bias: np.ndarray, one: np.ndarray, two: np.ndarray, code: np.ndarray, skip: int, depth: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Table rows, logits and chosen digit of every level of every token, the levels of a token one after another."""
+    node, digit = (x.ravel() for x in path_nodes(code, skip, depth))
+    rows = _rows(np.repeat(one, depth), np.repeat(two, depth), node + 1, len(table))
+    z = table.take(rows[:, 0], 0) + bias.take(node, 0)
+    for k in range(1, FEATURES):
+        z += table.take(rows[:, k], 0)
+    return rows, z, digit
+
+
 def log10_probs(w: Weights, lex: Lexicon, b: Batch) -> np.ndarray:
-    """Per token, without the term that tells rare words apart."""
+    """Per token; a rare word only as far as its class."""
     out = np.empty(len(b.token))
     for lo in range(0, len(out), STEP_TOKENS):
         s = slice(lo, min(lo + STEP_TOKENS, len(out)))
@@ -188,44 +252,138 @@ def log10_probs(w: Weights, lex: Lexicon, b: Batch) -> np.ndarray:
     return out
 
 
+def _update(table: np.ndarray, squares: np.ndarray, rows: np.ndarray, p: np.ndarray) -> None:
+    """One step of AdaGrad on sums, damped so that rare features move little; ``p``: softmax minus the truth."""
+    features, error = rows.T.ravel(), np.ascontiguousarray(p.T, dtype=float)
+    g = L2 * table
+    for c, e in enumerate(error):
+        g[:, c] += np.bincount(features, np.tile(e, FEATURES), len(table))
+    squares += g * g
+    table -= RATE * g / (np.sqrt(squares) + DAMPING)
+
+
 class Trainer:
-    """Gradient updates of one task (AdaGrad on sums, damped so that rare features move little)."""
+    """Gradient updates of one task on the shared tables."""
 
     def __init__(self, weights: Weights, lexicon: Lexicon):
         self.w, self.lex = weights, lexicon
-        self.squares = [np.zeros_like(weights.of_class), np.zeros_like(weights.of_word)]
+        self.squares = [np.zeros_like(t) for t in (weights.of_class, weights.of_word, weights.of_digit)]
         self.tokens = 0
 
-    def _update(self, table: np.ndarray, squares: np.ndarray, rows: np.ndarray, p: np.ndarray) -> None:
-        """``p``: softmax minus the truth."""
-        features, error = np.ascontiguousarray(rows.T), np.ascontiguousarray(p.T, dtype=float)
-        g = L2 * table
-        for c, e in enumerate(error):
-            g[:, c] += sum(np.bincount(f, e, len(table)) for f in features)
-        squares += g * g
-        table -= RATE * g / (np.sqrt(squares) + DAMPING)
-
     def learn(self, b: Batch) -> None:
-        for lo in range(0, len(b.token), STEP_TOKENS):
-            s = slice(lo, min(lo + STEP_TOKENS, len(b.token)))
+        step = max(STEP_TOKENS, 2 * self.w.rows)  # an update touches all rows
+        for lo in range(0, len(b.token), step):
+            s = slice(lo, min(lo + step, len(b.token)))
             rows, z = _class_logits(self.w, self.lex, b, s)
             p = _softmax(z)
             p[np.arange(len(p)), b.klass[s]] -= 1
+            _update(self.w.of_class, self.squares[0], rows, p)
             at = np.flatnonzero(b.frequent[s]) + lo
-            self._update(self.w.of_class, self.squares[0], rows, p)
             if len(at):
                 rows, z = _word_logits(self.w, self.lex, b, at)
                 p = _softmax(z)
                 p[np.arange(len(at)), b.member[at]] -= 1
-                self._update(self.w.of_word, self.squares[1], rows, p)
+                _update(self.w.of_word, self.squares[1], rows, p)
+            at = np.flatnonzero(~b.frequent[s]) + lo
+            if len(at) and self.lex.digits:
+                rows, z, digit = path_logits(self.w.of_digit, self.lex.digit_bias, b.one[at], b.two[at], b.code[at], 0, self.lex.digits)
+                p = _softmax(z)
+                p[np.arange(len(p)), digit] -= 1
+                _update(self.w.of_digit, self.squares[2], rows, p)
             self.tokens += s.stop - s.start
 
 
+def shard_log10_probs(
+    w: Weights, lex: Lexicon, one: np.ndarray, two: np.ndarray, code: np.ndarray, learnt: np.ndarray
+) -> np.ndarray:
+    """Per rare token of a shard, given RARE; learns from the tokens marked ``learnt``.
+
+    All words without a count are one word, told apart from the others by the smoothed counts. Equal
+    tokens in equal contexts are one row with a weight, and rows are taken in the order of a hash, so the
+    result is the same for any order of the tokens.
+    """
+    mixed = (one.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (two.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    mixed = (mixed ^ (mixed >> np.uint64(29)) ^ code.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+    order = np.argsort(mixed ^ (mixed >> np.uint64(32)), kind="stable")
+    del mixed
+    one, two, code = (x[order].astype(np.int64) for x in (one, two, code))
+    new = np.ones(len(order), bool)
+    new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1]) | (code[1:] != code[:-1])
+    group = np.cumsum(new) - 1
+    one, two, code = one[new], two[new], code[new]
+    times = np.bincount(group, learnt[order], len(code))
+
+    codes, which = np.unique(code, return_inverse=True)
+    n = np.bincount(which, times, len(codes))
+    n += n > 0
+    distinct = int((n > 0).sum())
+    depth = 0
+    while BRANCH ** depth < distinct and DIGIT_BITS * (lex.digits + depth + 1) <= BITS:
+        depth += 1
+    end = (codes >> (BITS - DIGIT_BITS * (lex.digits + depth))) & ((1 << DIGIT_BITS * depth) - 1)
+    ends = np.bincount(end, n, BRANCH ** depth)
+    all_rare = lex.rare_tokens + lex.rare_distinct
+    share = np.where(n > 0, n / np.maximum(ends[end], 1) * all_rare, 1.0) / (all_rare + 1)
+    out = np.log10(share)[which]
+    counted = np.flatnonzero((n > 0)[which])
+    paths = [(w.of_digit, lex.digit_bias, 0, lex.digits)]
+    if depth:
+        bias = path_bias(ends, depth)
+        table = np.zeros((max(LEAST_SHARD_ROWS, power_of_two(times.sum() / SHARD_ROW_TOKENS)), BRANCH), np.float32)
+        squares = np.zeros_like(table)
+        seen = np.flatnonzero(times)
+        step = max(STEP_TOKENS, len(table) // 4)
+        for lo in range(0, len(seen), step):
+            at = seen[lo:lo + step]
+            rows, z, digit = path_logits(table, bias, one[at], two[at], code[at], lex.digits, depth)
+            p = _softmax(z)
+            p[np.arange(len(p)), digit] -= 1
+            p *= np.repeat(times[at], depth)[:, None]
+            _update(table, squares, rows, p)
+        paths.append((table, bias, lex.digits, depth))
+    for weights, start, skip, levels in paths:
+        for lo in range(0, len(counted) if levels else 0, STEP_TOKENS):
+            at = counted[lo:lo + STEP_TOKENS]
+            _, z, digit = path_logits(weights, start, one[at], two[at], code[at], skip, levels)
+            out[at] += _log10_share(z, digit).reshape(-1, levels).sum(1)
+    back = np.empty(len(order))
+    back[order] = out[group]
+    return back
+
+
+def _to_shards(b: Batch, held: np.ndarray, row: int, digits: int) -> pd.DataFrame:
+    """The rare tokens of a batch as packed rows, one per shard and part: text, contexts and hash of each."""
+    at = np.flatnonzero(~b.frequent)
+    part = (b.code[at] >> (BITS - DIGIT_BITS * digits)) * 2 + held[b.owner[at]]
+    order = np.argsort(part, kind="stable")
+    at, part = at[order], part[order]
+    cuts = np.flatnonzero(np.diff(part)) + 1
+    pack = lambda i: b"".join(x[i].astype(t).tobytes() for x, t in ((b.owner, "<u2"), (b.one, "<u4"), (b.two, "<u4"), (b.code, "<u4")))
+    packed = [pack(i) for i in np.split(at, cuts)] if len(at) else []
+    first = part[np.concatenate([[0], cuts])] if len(at) else part
+    return pd.DataFrame({"shard": first // 2, "held_out": first % 2 == 1, "row": row, "packed": packed})
+
+
+def _score_shard(rows: pd.DataFrame, w: Weights, lex: Lexicon) -> pd.DataFrame:
+    """(row, rare): the sum over a text's tokens in this shard."""
+    size = [len(x) // 14 for x in rows["packed"]]
+    learnt = np.repeat(~rows["held_out"].to_numpy(bool), size)
+    row = np.repeat(rows["row"].to_numpy(np.int64), size)
+    row += np.concatenate([np.frombuffer(x, "<u2", n) for x, n in zip(rows["packed"], size)])
+    one, two, code = (
+        np.concatenate([np.frombuffer(x, "<u4", n, (2 + 4 * k) * n) for x, n in zip(rows["packed"], size)]) for k in range(3)
+    )
+    p = shard_log10_probs(w, lex, one, two, code, learnt)
+    texts, which = np.unique(row, return_inverse=True)
+    return pd.DataFrame({"row": texts, "rare": np.bincount(which, p, len(texts))})
+
+
 def _texts(batches: Iterable[pd.DataFrame], tokens: int = 4 * STEP_TOKENS) -> Iterator[pd.DataFrame]:
     """The rows in portions of about so many tokens (six characters each)."""
     for df in batches:
-        part = (df["text"].str.len().fillna(0).cumsum() // (6 * tokens)).astype(int)
-        for _, rows in df.groupby(part.to_numpy(), sort=True):
+        part = (df["text"].str.len().fillna(0).cumsum() // (6 * tokens)).astype(int).to_numpy()
+        part += np.arange(len(df)) >> 16  # numbers of texts in a portion have two bytes
+        for _, rows in df.groupby(part, sort=True):
             yield rows
 
 
@@ -273,8 +431,26 @@ def lexicon(counts: DataFrame, known: int = KNOWN_WORDS) -> Lexicon:
         least = step["level"]
     top = [] if least is None else counts.where(level >= least).collect()
     top.sort(key=lambda r: (-r["n"], r["word"]))
-    return Lexicon([r["word"] for r in top], np.array([r["n"] for r in top], np.int64),
-                   sum(r["n"] for r in steps), sum(r["words"] for r in steps))
+    lex = Lexicon([r["word"] for r in top], np.array([r["n"] for r in top], np.int64),
+                  sum(r["n"] for r in steps), sum(r["words"] for r in steps))
+    digits = shard_digits(lex.rare_tokens)
+    if not digits:
+        return lex
+    shift = BITS - DIGIT_BITS * digits
+    shard = F.shiftright(F.crc32(F.col("word").cast("binary")), shift)
+    tokens = np.zeros(BRANCH ** digits)
+    for r in counts.groupBy(shard.alias("shard")).agg((F.sum("n") + F.count("*")).alias("n")).collect():
+        tokens[r["shard"]] = r["n"]
+    n = CLASSES * MEMBERS
+    tokens -= np.bincount(lex.code[:n] >> shift, lex.counts[:n] + 1, len(tokens))
+    return replace(lex, digits=digits, digit_bias=path_bias(tokens, digits))
+
+
+def shard_digits(rare_tokens: int) -> int:
+    digits = 0
+    while BRANCH ** digits * SHARD_TOKENS < rare_tokens:
+        digits += 1
+    return digits
 
 
 def _add_up(parts: DataFrame) -> DataFrame:
@@ -304,19 +480,19 @@ def train(texts: DataFrame, lex: Lexicon, rounds: int = ROUNDS) -> Weights:
     ``TASKS_PER_CORE`` tasks for each core, so what they send follows the cluster, not the corpus.
     """
     sc = texts.sparkSession.sparkContext
-    weights = Weights()
+    weights = Weights(table_rows(lex.tokens))
     texts = texts.withColumn("round", F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)))
     for r in range(rounds):
         shared = sc.broadcast((weights, lex))
 
         def learn(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             start, known = shared.value
-            t = Trainer(Weights(start.of_class.copy(), start.of_word.copy()), known)
+            t = Trainer(Weights(start.rows, start.flat()), known)
             for rows in _texts(batches):
                 t.learn(Batch(list(rows["text"]), known))
             if t.tokens:
                 change = (t.w.flat() - start.flat()) * np.float32(t.tokens)
-                salt = TaskContext.get().partitionId() % 64
+                salt = TaskContext.get().partitionId() % SALTS
                 for lo in range(0, len(change), BLOCK_VALUES):
                     yield pd.DataFrame({"block": [lo // BLOCK_VALUES], "salt": [salt], "tokens": [t.tokens],
                                         "values": [change[lo:lo + BLOCK_VALUES].astype("<f4").tobytes()]})
@@ -328,7 +504,7 @@ def train(texts: DataFrame, lex: Lexicon, rounds: int = ROUNDS) -> Weights:
         shared.unpersist()
         if got:
             change = np.concatenate([np.frombuffer(x["values"], "<f4") / x["tokens"] for x in sorted(got, key=lambda x: x["block"])])
-            weights = Weights.from_flat(weights.flat() + change)
+            weights = Weights(weights.rows, weights.flat() + change)
     return weights
 
 
@@ -338,7 +514,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known
     Learns from the rows outside the held-out part. ``base_score`` is the add-one unigram score,
     ``score`` the model's log10 probability of the words and the end of the text. NULL counts as empty:
     one token, the end. Without any learnable row every count is 0 and the model is uniform over
-    classes. Equal rows count and stay as often as they occur; other columns are not read; an empty
+    classes. A shard's tokens, 14 bytes each, are held by one task. Equal rows count and stay as often as they occur; other columns are not read; an empty
     table gives an empty result.
     """
     texts = learnable(docs, id_col, text_col)
@@ -348,10 +524,16 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known
     shared = docs.sparkSession.sparkContext.broadcast((weights, lex))
     key = StructField("doc_id", docs.schema[id_col].dataType)
     rest = StructType.fromDDL(
-        "row long, held_out boolean, n_tokens long, n_known long, n_rare long, base double, model double,"
-        " cold array<binary>, times array<int>"
+        "row long, held_out boolean, n_tokens long, n_known long, base double, model double,"
+        " cold string, times array<int>, rare double"
     )
     schema = StructType([key, *rest.fields])
+    sent = StructType([*schema.fields, *StructType.fromDDL("shard long, packed binary").fields])
+
+    def filled(df: pd.DataFrame, names: list[str]) -> pd.DataFrame:
+        for name in set(names) - set(df.columns):
+            df[name] = None
+        return df[names]
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w, known_words = shared.value
@@ -360,32 +542,42 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known
             b = Batch(list(df["text"]), known_words)
             per = lambda x: np.bincount(b.owner, x, len(b.size))
             p = log10_probs(w, known_words, b)
-            p += np.where(b.frequent, 0.0, b.log_count)
+            held = df["held_out"].to_numpy(bool)
             yield pd.DataFrame({
-                "doc_id": df["doc_id"].to_numpy(), "row": np.arange(row, row + len(df)), "held_out": df["held_out"].to_numpy(),
-                "n_tokens": b.size, "n_known": per(b.known).astype(int), "n_rare": per(~b.frequent).astype(int),
+                "doc_id": df["doc_id"].to_numpy(), "row": np.arange(row, row + len(df)), "held_out": held,
+                "n_tokens": b.size, "n_known": per(b.known).astype(int),
                 "base": per(b.log_count), "model": per(p),
-                "cold": [list(c) for c in b.cold], "times": [list(c.values()) for c in b.cold],
-            })
+                "cold": [b" ".join(c).decode() if c else None for c in b.cold], "times": [list(c.values()) for c in b.cold],
+                "shard": -1 - row,
+            }).pipe(filled, sent.names)
+            yield _to_shards(b, held, row, known_words.digits).pipe(filled, sent.names)
             row += len(df)
 
     held = (remainder(F.col("doc_id"), HELD_OUT_MOD) == HELD_OUT_REST).alias("held_out")
     rows = docs.select(named(docs, id_col).alias("doc_id"), named(docs, text_col).alias("text")).select("doc_id", "text", held)
-    scored = written(rows.mapInPandas(run, schema), "scored")
+
+    def finish(group: pd.DataFrame) -> pd.DataFrame:
+        """The rows of texts as they are, those of a shard as sums."""
+        found = group if group["shard"].iloc[0] < 0 else _score_shard(group, *shared.value)
+        return filled(found, schema.names)
+
+    # both kinds leave one run over the texts, whose rows have no other name than their number in it
+    scored = written(rows.mapInPandas(run, sent).groupBy("shard").applyInPandas(finish, schema), "scored")
+    texts, shards = scored.where("rare is null").drop("rare"), scored.where("rare is not null")
 
     # counts of the words that tasks don't know: each is rare, so no key is hot
-    cold = scored.select("row", F.explode(F.arrays_zip("cold", "times")).alias("c")).select("row", F.col("c.cold").cast("string").alias("cold"), "c.times")
-    found = cold.join(counts, F.col("cold") == F.col("word"), "left")
-    rest = found.groupBy("row").agg(
-        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more"),
-        F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1.0)).alias("logs"),
+    cold = texts.select("row", F.explode(F.arrays_zip(F.split("cold", " ").alias("word"), "times")).alias("c")).select("row", F.col("c.word").alias("cold"), "c.times")
+    found = cold.join(counts, F.col("cold") == F.col("word"), "left").select(
+        "row", F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0).cast("long").alias("more"),
+        (F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1.0)).alias("logs"), F.lit(0.0).alias("rare"),
     )
-    more, logs = F.coalesce("more", F.lit(0)), F.coalesce("logs", F.lit(0.0))
+    below_class = shards.select("row", F.lit(0).cast("long").alias("more"), F.lit(0.0).alias("logs"), "rare")
+    rest = found.unionByName(below_class).groupBy("row").agg(*[F.sum(c).alias(c) for c in ("more", "logs", "rare")])
+    known_more, logs, rare = (F.coalesce(c, F.lit(0)) for c in ("more", "logs", "rare"))
     below = float(np.log10(lex.tokens + lex.distinct + 1))
-    below_rare = float(np.log10(lex.rare_tokens + lex.rare_distinct + 1))
-    return scored.drop("cold", "times").join(rest, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + more).cast("long").alias("n_known"),
+    return texts.drop("cold", "times").join(rest, "row", "left").select(
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") + known_more).cast("long").alias("n_known"),
         F.lit(lex.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + logs - F.col("n_tokens") * F.lit(below)).alias("base_score"),
-        (F.col("model") + logs - F.col("n_rare") * F.lit(below_rare)).alias("score"),
+        (F.col("model") + rare).alias("score"),
     )

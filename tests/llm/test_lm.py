@@ -77,6 +77,57 @@ def test_distribution_sums_to_one(trained):
     assert rare + 1 == lex.rare_tokens + lex.rare_distinct + 1  # the last one is for all unseen words
 
 
+def test_rare_words_follow_their_context(spark):
+    rng = np.random.default_rng(2)
+    filler = " ".join(f"f{i}" for i in range(600)) + " "  # takes all places of frequent words
+    pairs = [f"left{i} right{i}" for i in range(200)]
+    rows = [(i, filler * 3 + " ".join(rng.permutation(pairs))) for i in range(40)]
+    rows += [(1000 + i, f"left{i} right{i}") for i in range(100)] + [(2000 + i, f"left{i} right{i + 1}") for i in range(100)]
+    found = lm.score(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id >= 1000").collect()
+    right = np.mean([r.score for r in found if r.doc_id < 2000])
+    wrong = np.mean([r.score for r in found if r.doc_id >= 2000])
+    assert right > wrong + 0.2
+
+
+def test_model_grows_with_the_corpus():
+    assert [lm.table_rows(n) for n in (0, 1 << 26, 3 << 25, 1 << 40)] == [1 << 14, 1 << 14, 1 << 15, lm.MOST_ROWS]
+    assert [lm.shard_digits(n * lm.SHARD_TOKENS) for n in (0, 1, 2, 8, 9, 4096)] == [0, 0, 1, 1, 2, 4]
+
+
+def test_words_of_all_shards_sum_to_one():
+    rng = np.random.default_rng(3)
+    code = np.unique(rng.integers(0, 1 << 32, 3000))
+    n = rng.integers(1, 9, len(code))
+    tokens = np.bincount(code >> 29, n + 1, lm.BRANCH)
+    lex = lm.Lexicon([], np.zeros(0, int), n.sum(), len(n), 1, lm.path_bias(tokens, 1))
+    w = lm.Weights()
+    w.of_digit += rng.normal(size=w.of_digit.shape).astype(np.float32)
+    total = 0
+    for shard in range(lm.BRANCH):
+        mine = code[code >> 29 == shard]
+        learnt = np.repeat(mine, n[code >> 29 == shard])
+        one, two = rng.integers(0, 40, (2, len(learnt)))
+        asked = np.concatenate([mine, [(shard << 29) + 5]])  # the last one has no count
+        x = [np.concatenate(p).astype(np.uint32) for p in ((one, np.full(len(asked), 7)), (two, np.full(len(asked), 8)), (learnt, asked))]
+        marked = np.arange(len(x[0])) < len(learnt)
+        p = lm.shard_log10_probs(w, lex, *x, marked)
+        order = rng.permutation(len(marked))
+        assert np.allclose(lm.shard_log10_probs(w, lex, *[v[order] for v in x], marked[order]), p[order])  # in any order
+        given = 10 ** p[len(learnt):]
+        total += given[:-1].sum()
+        assert np.isclose(given[-1], 1 / (n.sum() + len(n) + 1))
+    assert np.isclose(total + given[-1], 1, atol=1e-4)
+
+
+def test_many_shards(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 1 << 11)
+    found = lm.score(docs).collect()
+    check(found, [tuple(r) for r in docs.collect()])
+    held = [r for r in found if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
 def test_odd_rows(spark):
     check(lm.score(odd.table(spark)).collect(), odd.rows())
     assert lm.score(odd.empty(spark)).collect() == []
