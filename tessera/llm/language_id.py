@@ -24,8 +24,11 @@ SIZES = (1, 2, 3)  # bytes of an n-gram
 CLUSTERS = 4
 SAMPLE_ROWS = 4_000  # texts that the centroids are fitted on, in equal shares for the languages
 UNKNOWN = "und"
-# A text is rejected below this share of the usual similarity of texts of its length and language.
-REJECT_BELOW = 0.25
+# A text is rejected below a share of the usual similarity of texts of its length and language: OWN_SHARE
+# of what all but a hundredth of the language's own texts reach, but at least the first of these shares
+# and at most that of its length (of up to so many n-grams, as a power of two).
+REJECT_BELOW = {5: 0.25, 6: 0.3, 7: 0.35, 31: 0.43}
+OWN_SHARE, OWN_QUANTILE = 0.8, 0.01
 _MULTIPLIERS = (np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917))
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -67,7 +70,7 @@ class Model:
     owner: np.ndarray  # language of each centroid
     centers: np.ndarray
     idf: np.ndarray
-    usual: np.ndarray  # (language, log2 of the n-grams): usual similarity
+    least: np.ndarray  # (language, log2 of the n-grams): similarity below which a text is rejected
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, similarity 0 to 1, and whether the text is rejected."""
@@ -80,13 +83,27 @@ class Model:
         best = int(sims.argmax())
         lang = int(self.owner[best])
         near = min(1.0, max(0.0, float(sims[best])))
-        return self.langs[lang], near, near < REJECT_BELOW * self.usual[lang, size_class(counts)]
+        return self.langs[lang], near, near < self.least[lang, size_class(counts)]
 
 
 def size_class(counts: np.ndarray) -> int:
     return min(31, int(counts.sum()).bit_length())
 
 
+def least_similarity(near: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Per size class the similarity that a text needs, from those of a language's own texts."""
+    # usual similarity by length; lengths without texts take the next one that has some
+    usual = np.array([np.median(near[size == s]) if (size == s).any() else np.nan for s in range(32)])
+    usual = pd.Series(usual).ffill().bfill().to_numpy()
+    share, lowest, before = np.empty(32), min(REJECT_BELOW.values()), -1
+    for last, most in REJECT_BELOW.items():
+        mine = (size > before) & (size <= last)
+        own = OWN_SHARE * np.quantile(near[mine] / usual[size[mine]], OWN_QUANTILE) if mine.any() else most
+        share[before + 1:last + 1] = min(most, max(lowest, own))
+        before = last
+    return share * usual
+
+
 def cluster(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
     """Centroids of unit vectors by spherical k-means; starts from far-apart rows, no chance involved."""
     chosen = [0]
@@ -156,29 +173,27 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     def centers_of(group: pd.DataFrame) -> pd.DataFrame:
         counts = [c for c in (gram_counts(t) for t in sorted(group["text"])) if c is not None]
-        none = pd.DataFrame({"lang": [], "center": [], "usual": []})
+        none = pd.DataFrame({"lang": [], "center": [], "least": []})
         if not counts:
             return none
         x = np.stack([vector(c, idf) for c in counts])
         centers = cluster(x, clusters)
         near = (x @ centers.T).max(1)
         size = np.array([size_class(c) for c in counts])
-        # usual similarity by length; lengths without texts take the next one that has some
-        usual = np.array([np.median(near[size == s]) if (size == s).any() else np.nan for s in range(32)])
-        usual = pd.Series(usual).ffill().bfill().to_numpy()
+        least = least_similarity(near, size)
         return pd.DataFrame({
             "lang": group["lang"].iloc[0], "center": [c.astype("<f4").tobytes() for c in centers],
-            "usual": [usual.tolist()] * len(centers),
+            "least": [least.tolist()] * len(centers),
         })
 
-    found = drawn.groupBy("lang").applyInPandas(centers_of, "lang string, center binary, usual array<double>").toPandas()
+    found = drawn.groupBy("lang").applyInPandas(centers_of, "lang string, center binary, least array<double>").toPandas()
     found = found.sort_values(["lang", "center"], ignore_index=True)
     langs = sorted(set(found["lang"]))
     if not langs:
         return Model([], np.empty(0, int), np.empty((0, BINS), np.float32), idf, np.empty((0, 32)))
-    usual = np.stack([np.asarray(found.loc[found["lang"] == g, "usual"].iloc[0], float) for g in langs])
+    least = np.stack([np.asarray(found.loc[found["lang"] == g, "least"].iloc[0], float) for g in langs])
     centers = np.stack([np.frombuffer(c, "<f4") for c in found["center"]])
-    return Model(langs, np.array([langs.index(g) for g in found["lang"]]), centers, idf, usual)
+    return Model(langs, np.array([langs.index(g) for g in found["lang"]]), centers, idf, least)
 
 
 def predictions(text: Column, model: Model) -> Column:

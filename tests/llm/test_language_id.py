@@ -43,6 +43,20 @@ def test_far_texts_are_rejected(spark):
     assert model.predict("жук жук жук щука щука")[2]
 
 
+def test_unlearnt_languages_and_random_letters_are_rejected(spark):
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
+    model = language_id.fit(docs)
+    rng = np.random.default_rng(0)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    polish = "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem i sumieniem "
+    finnish = "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto "
+    for n in (30, 100, 300, 1000, 3000):
+        assert model.predict(" ".join("".join(rng.choice(letters, rng.integers(2, 10))) for _ in range(n)))[2]
+        assert model.predict("".join(map(chr, rng.integers(0x4E00, 0x9FA5, 3 * n))))[2]
+    for text in (polish, finnish):
+        assert model.predict(text)[2] and model.predict(text * 5)[2]
+
+
 def test_odd_rows(spark):
     docs = odd.table(spark)
     model = language_id.fit(docs)
