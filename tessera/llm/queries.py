@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import (
-    bpe, exact_dedup, language_id, lm, packing, quality_rules, simhash, token_output, toxicity, url_filter,
+    bpe, exact_dedup, filter_audit, language_id, lm, packing, quality_rules, simhash, token_output, toxicity, url_filter,
 )
 from tessera.session import work_path
 
@@ -169,3 +169,42 @@ from r
 """)
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+@query("op13_filter_audit", """
+with t as (
+  select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w,
+    min(doc_id) over (partition by coalesce(text, '')) as first_id
+  from documents
+), l as (
+  select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels group by doc_id
+), f as (
+  select part, [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w),
+      100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 10 * length(text),
+      regexp_matches(text, '[#$%&*|]'), t.doc_id > first_id] as fails,
+    coalesce(good, false) as good, coalesce(toxic, false) as toxic
+  from t left join l on t.doc_id = l.doc_id
+), h as (
+  select part, fails, count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic from f group by all
+), i(x) as (values (1), (2), (3), (4), (5)),
+orders as (
+  select [a.x, b.x, c.x, d.x, e.x] as o from i a, i b, i c, i d, i e
+  where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), s as (select o, x as step, o[x] as own, o[1:x - 1] as before, o[1:x] as upto from orders, i),
+r as (
+  select part, o, step, own,
+    coalesce(sum(n) filter (not list_bool_or([fails[y] for y in upto])), 0)::bigint as kept,
+    coalesce(sum(n) filter (fails[own] and not coalesce(list_bool_or([fails[y] for y in before]), false)), 0)::bigint as removed,
+    coalesce(sum(n) filter (fails[own] and coalesce(list_bool_or([fails[y] for y in before]), false)), 0)::bigint as redundant,
+    coalesce(sum(n) filter (fails[own] and not list_bool_or([fails[y] for y in list_filter([1, 2, 3, 4, 5], lambda z: z <> own)])), 0)::bigint as unique_fails,
+    coalesce(sum(good) filter (fails[own] and not coalesce(list_bool_or([fails[y] for y in before]), false)), 0)::bigint as good_lost,
+    coalesce(sum(toxic) filter (fails[own] and not coalesce(list_bool_or([fails[y] for y in before]), false)), 0)::bigint as toxic_lost
+  from h, s group by part, o, step, own
+)
+select part, array_to_string([substr('ABCDE', y, 1) for y in o], '') as filter_order, step,
+  kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, own))::bigint as shapley
+from r
+""")
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
