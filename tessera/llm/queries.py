@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import (
-    bpe, exact_dedup, filter_audit, language_id, lm, packing, quality_rules, simhash, token_output, toxicity, url_filter,
+    bpe, exact_dedup, filter_audit, language_id, lm, packing, phrases, quality_rules, simhash, token_output, toxicity, url_filter,
 )
 from tessera.session import work_path
 
@@ -171,6 +171,43 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+@query("op12_phrases", """
+with w as (
+  select lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') as w
+  from (
+    select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) as piece
+    from documents
+  )
+), t as (select lang, sum(len(w))::bigint as n from w group by lang),
+g as (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from w, (values (1), (2), (3), (4), (5)) as s(k)),
+f as (
+  select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase, count(*) as a from g group by all having count(*) >= 100
+), c as (
+  select lang, k as words, phrase, string_split(phrase, ' ') as w, a from f where k > 1
+), cuts as (
+  select c.lang, c.phrase, c.a, i as cut, l.a as l, r.a as r, t.n,
+    ((1000::hugeint * c.a * t.n) // (l.a::hugeint * r.a))::bigint as score
+  from (select *, unnest(range(1, words)) as i from c) c
+  join f l on l.lang = c.lang and l.phrase = array_to_string(c.w[1:i], ' ')
+  join f r on r.lang = c.lang and r.phrase = array_to_string(c.w[i + 1:], ' ')
+  join t on t.lang = c.lang
+), best as (
+  select * from cuts qualify row_number() over (partition by lang, phrase order by score, cut) = 1
+), inner_ as (
+  select lang, array_to_string(w[i:j], ' ') as phrase, max(a) as longer
+  from c, (values (1), (2), (3), (4)) as x(i), (values (2), (3), (4), (5)) as y(j)
+  where i < j and j <= words and j - i + 1 < words group by all
+)
+select b.lang, row_number() over (partition by b.lang order by score desc, a desc, b.phrase) as rank, b.phrase, a, l, r, n, score
+from best b left join inner_ o on o.lang = b.lang and o.phrase = b.phrase
+where longer is null or 100 * longer < 100 * a
+qualify rank <= 2000
+""")
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
 @query("op13_filter_audit", """
 with t as (
   select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text,
