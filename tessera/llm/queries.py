@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import (
-    bpe, exact_dedup, filter_audit, language_id, lm, packing, phrases, quality_rules, simhash, token_output, toxicity, url_filter,
+    bpe, exact_dedup, filter_audit, language_id, lm, packing, phrases, quality_rules, simhash, token_output, toxicity, url_filter, warc,
 )
 from tessera.session import work_path
 
@@ -171,6 +171,27 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+@query("op11_warc", """
+with p as (
+  select page_id, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes, sha1(coalesce(html, '')) as payload_digest,
+    max(page_id) over (partition by coalesce(html, '')) as last_id
+  from pages
+)
+select page_id, payload_bytes, payload_digest,
+  case when payload_bytes >= 1000 and page_id < last_id then 'revisit' else 'response' end as record_type,
+  case when payload_bytes >= 1000 and page_id < last_id then last_id end as refers_to
+from p
+""")
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives are written, then every record is read back from them."""
+    pages = table(spark, sf_dir, "pages")
+    found = warc.read(warc.write(pages, work_path(spark, "warc")), payloads=False).where("record_type != 'warcinfo'")
+    as_id = lambda c: F.col(c).cast(pages.schema["page_id"].dataType)
+    return found.select(
+        as_id("page_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", as_id("refers_to_page").alias("refers_to")
+    )
+
+
 @query("op12_phrases", """
 with w as (
   select lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') as w
