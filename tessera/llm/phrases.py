@@ -32,9 +32,9 @@ ABSORB_PERCENT = 100
 UNKNOWN = "und"
 # Occurrences that one hash partition holds on average: its summary has a 100th as many counters.
 PARTITION_MASS = 1 << 25
-PORTION_BYTES = 6 << 20  # of texts whose sequences are taken at once
-BLOCK_ENTRIES = 1 << 22  # entries a task holds before it sends its blocks
-MERGE_ENTRIES = 1 << 21  # entries that wait for a merge into a summary
+PORTION_BYTES = 2 << 20  # of texts whose sequences are taken at once
+BLOCK_ENTRIES = 3 << 19  # entries a task holds before it sends its blocks
+MERGE_ENTRIES = 1 << 20  # entries that wait for a merge into a summary
 SLOT_BITS = 32  # of the hash inside a partition; sequences that agree in it share a counter
 KNOWN_WORDS = 1 << 20  # words a task keeps numbers of
 
@@ -45,7 +45,7 @@ _TO_EDGES = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", _EDGE * 10 + b" ")
 
 @dataclass
 class Tokens:
-    """Words of some texts in a row, an edge after each piece; sequences begin only at ``starts``."""
+    """Words of some texts in a row, with an edge after each piece."""
 
     word: np.ndarray  # number of the word
     lang: np.ndarray  # number of the language
