@@ -235,13 +235,15 @@ def decide(
     )
 
 
-def train(decided: DataFrame, records: int = SAMPLE_RECORDS, size: int = DICTIONARY_BYTES) -> bytes:
+def train(decided: DataFrame, n_rows: int, records: int = SAMPLE_RECORDS, size: int = DICTIONARY_BYTES) -> bytes:
     """The dictionary of a sample of the whole records, at most ``records`` of at most SAMPLE_RECORD_BYTES each.
 
-    The sample is the lowest hashes of record ids, so it is the same for any number of tasks.
+    The sample is drawn by a hash of record ids at a rate that leaves about twice ``records`` of ``n_rows``
+    rows, so what reaches the driver does not grow with the table or its tasks.
     """
     short = decided.where(~F.col("revisit") & (F.col("payload_bytes") <= SAMPLE_RECORD_BYTES))
-    rows = short.orderBy(F.xxhash64("record_id"), "record_id").limit(records).collect()
+    drawn = short.where(F.pmod(F.xxhash64("record_id"), F.lit(max(n_rows, 1))) < 2 * records)
+    rows = drawn.orderBy(F.xxhash64("record_id"), "record_id").limit(records).collect()
     return build_dictionary([page_record(r.asDict()) for r in rows], size)
 
 
@@ -257,7 +259,7 @@ def write(
     """
     spark = pages.sparkSession
     decided = decide(pages, id_col, url_col, payload_col, min_bytes)
-    dictionary = spark.sparkContext.broadcast(train(decided))
+    dictionary = spark.sparkContext.broadcast(train(decided, pages.count()))
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         records = (page_record(r, date) for df in batches for r in df.to_dict("records"))
