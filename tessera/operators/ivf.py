@@ -6,13 +6,14 @@ An index is a table of vectors or codes with a ``list_id`` plus a small set of c
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera import scale
 from tessera.functions.distance import METRICS, as_col
@@ -162,7 +163,7 @@ def _search_broadcast(index, rows, asked, queries, k, metric, id_col, data, deco
     by_list: dict[int, list[int]] = {}
     for r in asked:
         by_list.setdefault(int(r["list_id"]), []).append(place[r["qid"]])
-    qmat = np.array([r["qvec"] for r in rows], dtype=np.float64).reshape(len(rows), -1)
+    qmat = np.array([r["qvec"] for r in rows], dtype=np.float64).reshape(len(rows), _width(rows))
     spark = index.sparkSession
     sent = spark.sparkContext.broadcast((qids, qmat, by_list))
     qtype = queries.schema["qid"].dataType.simpleString()
@@ -183,46 +184,76 @@ def _search_broadcast(index, rows, asked, queries, k, metric, id_col, data, deco
         for p, ids, score in top.result():
             yield kernels.hits(types, names[p], ids, score)
 
-    probed = index.where(F.col("list_id").isin(sorted(by_list)))
+    probed = index.where(in_lists(by_list))
     return probed.select("list_id", id_col, data).mapInArrow(
         scan, f"qid {qtype}, id {itype}, dist double"
     )
 
 
-def _search_blocks(index, probes, queries, k, metric, id_col, data, decode, block: int | None = None):
-    """Join of lists and probing queries in blocks, so that a hot list is many tasks."""
+def in_lists(lists: Iterable[int]) -> Column:
+    """Rows of the given lists, in groups that Parquet checks value by value in any session.
+
+    A longer IN is only checked by its range unless the session raises a threshold of ten.
+    """
+    names = sorted(int(x) for x in lists)
+    terms = [F.col("list_id").isin(names[i : i + 10]) for i in range(0, len(names), 10)]
+    while len(terms) > 1:  # a balanced tree, so that the plan's depth stays logarithmic
+        terms = [a | b for a, b in zip(terms[::2], terms[1::2])] + terms[len(terms) & ~1 :]
+    return terms[0] if terms else F.lit(False)
+
+
+Cell = Callable[[int, np.ndarray, pa.Array, np.ndarray, np.ndarray], list[pd.DataFrame]]
+
+
+def list_cells(
+    index: DataFrame, probes: DataFrame, queries: DataFrame, cell: Cell, schema: str, id_col: str, data: str, block: int | None = None
+) -> DataFrame:
+    """Lists and the queries that probe them, in blocks so that a hot list is many tasks.
+
+    ``cell`` gets (list, ids, vectors or codes, query names, query matrix) of one block of each side and
+    gives frames of the schema; their rows are returned.
+    """
     # rows per side of one task: bounded numbers, not bounded rows
     block = block or max(scale.BROADCAST_VALUES // max(dimension(queries, "qvec"), 1), 1)
-    qtype = queries.schema["qid"].dataType.simpleString()
-    itype = index.schema[id_col].dataType.simpleString()
     ways = list_sizes(index).select("list_id", F.ceil(F.col("n") / block).cast("int").alias("nv"))
     asked = probes.groupBy("list_id").agg(F.ceil(F.count("*") / block).cast("int").alias("nq"))
     grid = scale.broadcast_if_small(ways.join(asked, "list_id"))
     upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), (F.col(c) - 1).cast("long")))
     left = index.select("list_id", F.col(id_col).alias("id"), F.col(data).alias("x")).join(grid, "list_id")
-    left = left.select(F.col("list_id").alias("lst"), "id", "x", F.pmod(F.xxhash64("id"), "nv").alias("vb"),
+    left = left.select(F.col("list_id").cast("int").alias("lst"), "id", "x", F.pmod(F.xxhash64("id"), "nv").alias("vb"),
                        upto("nq").alias("qb"))
     right = probes.select("qid", "list_id").join(queries.select("qid", "qvec"), "qid").join(grid, "list_id")
-    right = right.select(F.col("list_id").alias("lst"), "qid", "qvec", F.pmod(F.xxhash64("qid"), "nq").alias("qb"),
+    right = right.select(F.col("list_id").cast("int").alias("lst"), "qid", "qvec", F.pmod(F.xxhash64("qid"), "nq").alias("qb"),
                          upto("nv").alias("vb"))
+    fields = T._parse_datatype_string(schema).fields
+    none = pa.schema(list(zip([f.name for f in fields], arrow_types(*fields)))).empty_table()
 
-    def cell(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+    def run(v: pa.Table, q: pa.Table) -> pa.Table:
         if not len(v) or not len(q):
-            return pd.DataFrame({"qid": [], "id": [], "dist": []})
-        x = decode(pa.array(v["x"].tolist()))
-        qm, names = np.stack(q["qvec"].to_numpy()).astype(np.float64), q["qid"].to_numpy()
-        ids, out = v["id"].to_numpy(), []
+            return none
+        plain = lambda t, c: t[c].combine_chunks()
+        found = cell(v["lst"][0].as_py(), v["id"].to_numpy(), plain(v, "x"), q["qid"].to_numpy(), kernels.matrix(plain(q, "qvec")))
+        rows = [pa.Table.from_pandas(f, none.schema, preserve_index=False) for f in found if len(f)]
+        return pa.concat_tables([none, *rows])
+
+    keys = ["lst", "vb", "qb"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, schema)
+
+
+def _search_blocks(index, probes, queries, k, metric, id_col, data, decode, block: int | None = None):
+    qtype = queries.schema["qid"].dataType.simpleString()
+    itype = index.schema[id_col].dataType.simpleString()
+
+    def cell(lst: int, ids: np.ndarray, data: pa.Array, names: np.ndarray, qm: np.ndarray) -> list[pd.DataFrame]:
+        x, out = decode(data), []
         for s in range(0, len(qm), 256):
             top = kernels.TopK(qm[s : s + 256], k, metric)
             for r in range(0, len(x), 16384):
                 top.add(ids[r : r + 16384], x[r : r + 16384])
             out += [pd.DataFrame({"qid": names[s + p], "id": i, "dist": d}) for p, i, d in top.result()]
-        return pd.concat(out)
+        return out
 
-    keys = ["lst", "vb", "qb"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
-        cell, f"qid {qtype}, id {itype}, dist double"
-    )
+    return list_cells(index, probes, queries, cell, f"qid {qtype}, id {itype}, dist double", id_col, data, block)
 
 
 def encode_bits(
@@ -318,7 +349,7 @@ def search_bits(
         for p, (key, cand) in best.items():
             yield kernels.hits(types, names[p], cand, key)
 
-    found = coded.where(F.col("list_id").isin(sorted(by_list))).mapInArrow(
+    found = coded.where(in_lists(by_list)).mapInArrow(
         scan, f"qid {qtype}, id {itype}, dist double"
     )
     top = scale.rank_task_results(found, coded, ["qid"], [F.asc("dist"), F.col("id")], k, "id")
@@ -389,7 +420,7 @@ def suggested_lists(n: int) -> int:
 
 
 __all__ = [
-    "assign", "candidate_cost", "centers_frame", "decoder", "dynamic_probe", "encode_bits", "knn_approx",
-    "list_sizes", "list_stats", "pair_distance", "probe", "refine", "search", "search_bits",
+    "assign", "candidate_cost", "centers_frame", "decoder", "dynamic_probe", "encode_bits", "in_lists", "knn_approx",
+    "list_cells", "list_sizes", "list_stats", "pair_distance", "probe", "refine", "search", "search_bits",
     "suggested_lists", "train", "write_index",
 ]

@@ -141,6 +141,34 @@ class TopK:
             yield p, self.ids[p], self.sign * self.keys[p]
 
 
+class Best:
+    """The k smallest (key, id) per query, offered in any order."""
+
+    def __init__(self, k: int):
+        self.k = k
+        self.held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def add(self, p: int, key: np.ndarray, ids: np.ndarray) -> None:
+        p = int(p)
+        if p in self.held:
+            old, names = self.held[p]
+            near = np.flatnonzero(key <= old[-1]) if len(old) == self.k else np.arange(len(key))
+            if not len(near):
+                return
+            key, ids = np.concatenate([old, key[near]]), np.concatenate([names, ids[near]])
+        elif len(key) > self.k:
+            near = np.flatnonzero(key <= np.partition(key, self.k - 1)[self.k - 1])
+            key, ids = key[near], ids[near]
+        order = np.lexsort((ids, key))[: self.k]
+        self.held[p] = (key[order], ids[order])
+
+    def result(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(query position, ids, keys) in rank order."""
+        for p in sorted(self.held):
+            key, ids = self.held[p]
+            yield p, ids, key
+
+
 def grouped_rows(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(value, row positions) for each distinct value."""
     order = np.argsort(values, kind="stable")

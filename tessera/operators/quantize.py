@@ -200,7 +200,8 @@ def _add_arrays(batches):
 
 
 def _two_levels(
-    vectors: DataFrame, k: int, parts: int, rounds: int, seed: int, id_col: str, vec: str, fraction: float
+    vectors: DataFrame, k: int, parts: int, rounds: int, seed: int, id_col: str, vec: str, fraction: float,
+    unit: bool = False,
 ) -> np.ndarray:
     """Centers for any k: coarse cells first, then the centers of each cell.
 
@@ -209,24 +210,24 @@ def _two_levels(
     """
     d = dimension(vectors, vec)
     width = d // parts
+    rows = training_rows(scale.of_dimension(vectors, vec, d), fraction, seed, id_col)
     out = []
     for p in range(parts):
-        piece = scale.of_dimension(vectors, vec, d).select(
-            id_col, F.slice(vec, p * width + 1, width).alias(vec)
-        )
-        coarse = lloyd(piece, max(int(np.sqrt(k)), 1), 1, rounds, seed, id_col, vec, fraction)[0]
+        piece = rows.select(id_col, F.slice(vec, p * width + 1, width).alias(vec))
+        coarse = lloyd(piece, max(int(np.sqrt(k)), 1), 1, rounds, seed, id_col, vec, 1.0, None, unit)[0]
         sent = vectors.sparkSession.sparkContext.broadcast(coarse)
 
         placed = scale.cut_lineage(piece.withColumn("_cell", _cell_of(sent, vec)))
         sizes = {r["_cell"]: r["n"] for r in placed.groupBy("_cell").agg(F.count("*").alias("n")).collect()}
         share = _shares(sizes, k)
         cells = [
-            lloyd(placed.where(F.col("_cell") == c), share[c], 1, rounds, seed, id_col, vec, fraction)[0]
+            lloyd(placed.where(F.col("_cell") == c), share[c], 1, rounds, seed, id_col, vec, 1.0, None, unit)[0]
             for c in sorted(share)
         ]
         out.append(np.concatenate(cells))
-    least = min(len(c) for c in out)
-    return np.stack([c[:least] for c in out])
+    if len({len(c) for c in out}) > 1:
+        raise ValueError(f"parts got {sorted(len(c) for c in out)} centers")
+    return np.stack(out)
 
 
 def _cell_of(sent, vec: str) -> Column:
@@ -237,22 +238,34 @@ def _cell_of(sent, vec: str) -> Column:
 
 
 def _shares(sizes: dict[int, int], k: int) -> dict[int, int]:
-    """k centers over cells in proportion to their rows: one at least, no more than rows."""
+    """Exactly min(k, rows) centers over cells: in proportion to their rows, no more than rows.
+
+    A cell gets one at least while there are enough for all, the largest cells first otherwise; what
+    rounding leaves over or short is settled at the cells whose share is farthest from its due.
+    """
     total = sum(sizes.values())
-    share = {c: max(1, min(n, k * n // total)) for c, n in sizes.items()}
+    k = min(k, total)
     by_rows = sorted(sizes, key=lambda c: (-sizes[c], c))
-    i = 0
-    while sum(share.values()) < min(k, total):
-        c = by_rows[i % len(by_rows)]
-        share[c] += share[c] < sizes[c]
-        i += 1
+    if k <= len(by_rows):
+        return {c: 1 for c in by_rows[:k]}
+    due = {c: k * n / total for c, n in sizes.items()}
+    share = {c: max(1, min(sizes[c], int(due[c]))) for c in by_rows}
+    over = sum(share.values()) - k
+    while over > 0:
+        c = max((c for c in by_rows if share[c] > 1), key=lambda c: share[c] - due[c])
+        share[c] -= 1
+        over -= 1
+    while over < 0:
+        c = max((c for c in by_rows if share[c] < sizes[c]), key=lambda c: due[c] - share[c])
+        share[c] += 1
+        over += 1
     return share
 
 
 def lloyd(
     vectors: DataFrame, k: int, parts: int = 1, rounds: int = 8, seed: int = 42,
     id_col: str = "id", vec: str = "embedding", fraction: float = 1.0,
-    start: np.ndarray | None = None,
+    start: np.ndarray | None = None, unit: bool = False,
 ) -> np.ndarray:
     """k-means in each of ``parts`` equal sub-spaces at once: centers (parts, k, dim/parts).
 
@@ -260,13 +273,14 @@ def lloyd(
     center that got rows; arrays of a center are added in two steps, the first salted by task, so
     no task adds all tasks' arrays. Empty clusters restart from spare seeded rows. The centers
     return to the driver, k * d numbers; beyond the broadcast bound training takes two levels:
-    about sqrt(k) coarse cells, then the centers of each cell from its own rows.
+    about sqrt(k) coarse cells, then the centers of each cell from its own rows. ``unit`` scales centers
+    to length 1 after every round (spherical k-means of unit vectors).
     """
     d = dimension(vectors, vec)
     if d % parts:
         raise ValueError(f"{parts} parts do not divide {d} dimensions")
     if k * d > scale.BROADCAST_VALUES:
-        return _two_levels(vectors, k, parts, rounds, seed, id_col, vec, fraction)
+        return _two_levels(vectors, k, parts, rounds, seed, id_col, vec, fraction, unit)
     vectors = scale.of_dimension(vectors, vec, d)
     train = training_rows(vectors, fraction, seed, id_col).select(id_col, vec)
     seeds = sample_queries([train], 2 * k, seed, id_col, vec).collect()  # 2k rows
@@ -309,6 +323,9 @@ def lloyd(
             new[got["part"].to_numpy(), got["center"].to_numpy()] = total / got["n"].to_numpy()[:, None]
         for p, j in zip(*np.nonzero(np.isnan(new[:, :, 0])), strict=True):
             new[p, j] = spare[p][(r * k + j) % len(spare[p])]
+        if unit:
+            size = np.sqrt((new * new).sum(2, keepdims=True))
+            new = np.divide(new, size, out=new, where=size > 0)
         centers = new
         sent.unpersist()
     return centers

@@ -109,9 +109,10 @@ def knn_batch(
     if rows is None:
         return knn_grid(vectors, queries, k, metric, id_col, vec, qid, qvec)
     rows = [r for r in rows if r[qvec] is not None]
-    vectors = scale.of_dimension(vectors, vec, len(rows[0][qvec]) if rows else 0)
+    dim = len(rows[0][qvec]) if rows else 0
+    vectors = scale.of_dimension(vectors, vec, dim)
     qids = [r[qid] for r in rows]
-    qs = np.array([r[qvec] for r in rows], dtype=np.float64).reshape(len(rows), -1)
+    qs = np.array([r[qvec] for r in rows], dtype=np.float64).reshape(len(rows), dim)
     sent = vectors.sparkSession.sparkContext.broadcast((qids, qs))
     qtype = queries.schema[qid].dataType.simpleString()
     itype = vectors.schema[id_col].dataType.simpleString()
@@ -190,6 +191,78 @@ def knn_grid(
     return best.select(F.col("qid").alias(qid), F.col("id").alias(id_col), "dist", "rank")
 
 
+def within(
+    vectors: DataFrame, queries: DataFrame, limit: Column | float, metric: str = "l2", id_col: str = "id",
+    vec: str = "embedding", qid: str = "qid", qvec: str = "qvec", keep: Sequence[str] = (),
+    block_values: int = scale.BROADCAST_VALUES,
+) -> DataFrame:
+    """All pairs strictly inside a limit, exact: ``(qid, id, dist, keep...)``.
+
+    ``limit`` is a number or a column of ``vectors``. Small query sets go to every task; larger ones
+    meet the vectors in a grid of blocks by hash. The result has as many rows as there are pairs.
+    """
+    m = METRICS[metric]
+    inside = (lambda d, cut: d < cut) if m.ascending else (lambda d, cut: d > cut)
+    source = vectors.select(
+        F.col(id_col).alias("id"), F.col(vec).alias("v"), (limit if isinstance(limit, Column) else F.lit(float(limit))).alias("cut"), *keep
+    )
+    qtype = queries.schema[qid].dataType.simpleString()
+    extra = [source.schema[c] for c in keep]
+    schema = T.StructType([
+        *T._parse_datatype_string(f"qid {qtype}").fields, T.StructField("id", vectors.schema[id_col].dataType),
+        T.StructField("dist", T.DoubleType()), *extra,
+    ])
+    rows = scale.bounded_vectors(queries, qid, qvec)
+
+    def pairs(ids: pa.Array, x: np.ndarray, cut: np.ndarray, rest: list[pa.Array], names: list, qs: np.ndarray):
+        types = arrow_types(*schema.fields)
+        for name, q in zip(names, qs):
+            d = kernels.exact_scores(x, q, metric)
+            hit = np.flatnonzero(inside(d, cut))
+            if len(hit):
+                at = pa.array(hit)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name] * len(hit), types[0]), ids.take(at), pa.array(d[hit]), *[c.take(at) for c in rest]], schema.names
+                )
+
+    number = lambda c: c.to_numpy(zero_copy_only=False)
+    if rows is not None:
+        rows = [r for r in rows if r[qvec] is not None]
+        dim = len(rows[0][qvec]) if rows else 0
+        sent = vectors.sparkSession.sparkContext.broadcast(
+            ([r[qid] for r in rows], np.array([r[qvec] for r in rows], dtype=np.float64).reshape(len(rows), dim))
+        )
+
+        def scan(batches):
+            names, qs = sent.value
+            for b in batches:
+                if b.num_rows and len(qs):
+                    yield from pairs(b.column(0), kernels.matrix(b.column(1), qs.shape[1]), number(b.column(2)), b.columns[3:], names, qs)
+
+        found = scale.of_dimension(source, "v", dim).mapInArrow(scan, schema)
+    else:
+        dim = dimension(queries, qvec)
+        source, asked = scale.of_dimension(source, "v", dim), scale.of_dimension(queries, qvec, dim)
+        per = max(block_values // max(dim, 1), 1)
+        nv, nq = max(math.ceil(source.count() / per), 1), max(math.ceil(asked.count() / per), 1)
+        block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = source.select("*", block("id", nv).alias("_vb"), every(nq).alias("_qb"))
+        right = asked.select(F.col(qid).alias("qid"), F.col(qvec).alias("q"), block(qid, nq).alias("_qb"), every(nv).alias("_vb"))
+
+        def cell(v: pa.Table, q: pa.Table) -> pa.Table:
+            none = pa.schema(list(zip(schema.names, arrow_types(*schema.fields)))).empty_table()
+            if not len(v) or not len(q):
+                return none
+            plain = lambda t, c: t[c].combine_chunks()
+            out = pairs(plain(v, "id"), kernels.matrix(plain(v, "v"), dim), number(plain(v, "cut")), [plain(v, c) for c in keep],
+                        q["qid"].to_pylist(), kernels.matrix(plain(q, "q"), dim))
+            return pa.Table.from_batches(list(out), none.schema)
+
+        found = left.groupBy("_vb", "_qb").cogroup(right.groupBy("_vb", "_qb")).applyInArrow(cell, schema)
+    return found.select(F.col("qid").alias(qid), F.col("id").alias(id_col), "dist", *keep)
+
+
 # ---------------------------------------------------------------- bound parameters
 
 _IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]*(\.[A-Za-z_][A-Za-z0-9_]*){0,2}")
@@ -268,5 +341,5 @@ def tenant_filter(
 __all__ = [
     "check_identifier", "compound_search", "knn", "knn_batch", "knn_grid", "knn_param_query",
     "parse_vector", "radius_at_percentile", "range_search", "range_search_outside",
-    "sample_queries", "tenant_filter", "tenant_set", "with_distance",
+    "sample_queries", "tenant_filter", "tenant_set", "with_distance", "within",
 ]

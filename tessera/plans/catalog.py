@@ -6,7 +6,7 @@ import importlib
 
 from tessera.plans.registry import ORACLE, QUERIES
 
-MODULES = ["vectors", "tpch", "clickbench", "relational", "quality", "index", "storage", "profiling", "graphs"]
+MODULES = ["vectors", "tpch", "clickbench", "relational", "quality", "index", "approx", "storage", "profiling", "graphs"]
 
 for _m in MODULES:
     importlib.import_module(f"tessera.plans.{_m}")

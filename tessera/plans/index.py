@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera import scale
 from tessera.functions.vectorstats import mean_vector
+from tessera.operators import approx as A
 from tessera.operators import ivf
 from tessera.operators import quality as Q
 from tessera.operators import quantize as C
@@ -52,17 +53,17 @@ def found(dist: str, k: int, extra: str = "") -> str:
 HITS = "select qid, id, round(dist, 6) as dist, rank::int as rank from fnd"
 
 
-def lloyd_sql(parts: int, k: int, rounds: int, tag: str = "") -> str:
+def lloyd_sql(parts: int, k: int, rounds: int, tag: str = "", rows: str = "e") -> str:
     """CTEs of k-means in sub-spaces from the seeded sample: last one ``c<rounds>``."""
     width = 64 // parts
     out = [f"""sd{tag} as (select vec_id, row_number() over (order by md5(concat('42:', cast(vec_id as string))), vec_id) - 1 as code
       from {{embeddings}} qualify code < {k}),
-    c0{tag} as materialized (select pos // {width} as part, code, pos, x as c from e join sd{tag} using (vec_id))"""]
+    c0{tag} as materialized (select pos // {width} as part, code, pos, x as c from {rows} join sd{tag} using (vec_id))"""]
     for r in range(1, rounds + 1):
         out.append(f"""a{r}{tag} as materialized (select vec_id, part, code from (select vec_id, part, code, sum((x - c) * (x - c)) as d
-        from e join c{r - 1}{tag} using (pos) group by all)
+        from {rows} join c{r - 1}{tag} using (pos) group by all)
       qualify row_number() over (partition by vec_id, part order by d, code) = 1),
-    c{r}{tag} as materialized (select part, code, pos, avg(x) as c from a{r}{tag} join e using (vec_id)
+    c{r}{tag} as materialized (select part, code, pos, avg(x) as c from a{r}{tag} join {rows} using (vec_id)
       where pos // {width} = part group by all)""")
     return ", ".join(out)
 
@@ -97,8 +98,8 @@ _stored: dict[tuple, str] = {}
 
 
 def stored(t, form: str = "flat"):
-    """The index of a table in one of its forms, written once per session and read by every search."""
-    key = (t.spark.sparkContext.applicationId, t.sf_dir, form)
+    """The index of a table in one of its forms, written once per state of its files and read by every search."""
+    key = (t.spark.sparkContext.applicationId, t.version("embeddings"), form)
     path = _stored.get(key)
     if path is None:
         if form == "flat":
@@ -396,8 +397,9 @@ PQ_FOUND = found("round(list_distance(dv, qv), 9)", 10, "join pqd on pqd.id = as
 
 @query("ivf_search_pq", f"with {PQ}, {ASG}, {prb(3)}, {PQ_FOUND} select qid, id, round(dist, 6) as dist from fnd")
 def ivf_search_pq(t):
-    c, q, codec = centers(t), qset(t), book(t)
-    hit = ivf.search(stored(t, "pq"), ivf.probe(c, q, 3), q, 10, data="codes", decode=ivf.decoder(codec))
+    """Plain codes by one lookup table per query; no vector is decoded."""
+    q = qset(t)
+    hit = A.search_codes(stored(t, "pq"), ivf.probe(centers(t), q, 3), q, book(t), 10)
     return r6(hit.drop("rank"), "dist")
 
 
@@ -432,8 +434,8 @@ def ivf_search_rabitq(t):
 )
 def ivf_refine(t):
     """Product codes give 4 x k candidates, full vectors re-rank them."""
-    c, q, codec = centers(t), qset(t), book(t)
-    cand = ivf.search(stored(t, "pq"), ivf.probe(c, q, 3), q, 40, data="codes", decode=ivf.decoder(codec))
+    q = qset(t)
+    cand = A.search_codes(stored(t, "pq"), ivf.probe(centers(t), q, 3), q, book(t), 40)
     return r6(ivf.refine(cand, stored(t), q, 10, "flat"), "dist")
 
 

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from tessera import scale
 from tessera.functions import distance as D
 from tessera.functions.scalars import vector_text
 from tessera.functions.vectorstats import mean_vector
@@ -16,8 +17,10 @@ from tessera.plans.registry import query
 # the query vector of single-query runs is row 0 of the table
 Q0 = "(select embedding::double[] from {embeddings} where vec_id = 0)"
 E64 = "embedding::double[]"
+# the query set of searches for many queries: every row whose id is divisible by 20
+QSET = "qset as (select vec_id as qid, embedding::double[] as qv from {embeddings} where vec_id % 20 = 0)"
 # twenty seeded query vectors, as operators.search.sample_queries picks them
-QSET = """qset as (select vec_id as qid, embedding::double[] as qv from {embeddings}
+SAMPLE = """qset as (select vec_id as qid, embedding::double[] as qv from {embeddings}
   order by md5(concat('42:', cast(vec_id as string))), vec_id limit 20)"""
 
 
@@ -25,8 +28,12 @@ def q0(t) -> list[float]:
     return [float(x) for x in t.embeddings.where("vec_id = 0").head()["embedding"]]
 
 
-def qset(t, n: int = 20):
-    return S.sample_queries([t.user_vectors], n)
+def qset(t):
+    """Every row whose id is divisible by 20; a small set is read once and kept as a local table."""
+    if "_qset" not in vars(t):
+        rows = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+        t._qset = scale.local_table(rows) if scale.is_small(rows) else rows
+    return t._qset
 
 
 def r6(c):
@@ -274,7 +281,7 @@ def flt_user_set(t):
     return reduce(lambda a, b: a.union(b), out)
 
 
-@query("sample_queries", "with " + QSET + """
+@query("sample_queries", "with " + SAMPLE + """
     select qid, len(qv)::int as dim, round(list_sum(qv), 6) as total from qset""")
 def sample_queries(t):
     """Falls back past an empty first source."""

@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -104,7 +105,7 @@ from {events}""",
 }
 
 
-_schemas: dict[str, StructType] = {}
+_schemas: dict[tuple[str, int], StructType] = {}
 
 
 class Tables:
@@ -124,10 +125,17 @@ class Tables:
         return df
 
     def _base(self, path: str) -> DataFrame:
-        """A Parquet table; its schema is inferred once per process."""
-        if path not in _schemas:
-            _schemas[path] = self.spark.read.parquet(path).schema
-        return self.spark.read.schema(_schemas[path]).parquet(path)
+        """A Parquet table; its schema is inferred once per process and state of the file or folder."""
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        changed = place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(place).getModificationTime()
+        if (path, changed) not in _schemas:
+            _schemas[path, changed] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_schemas[path, changed]).parquet(path)
+
+    def version(self, name: str) -> str:
+        """A digest of the paths, sizes and times of the files of a base table, as Spark has listed them."""
+        leaf = getattr(self, name)._jdf.queryExecution().analyzed().collectLeaves().head()
+        return hashlib.md5(leaf.relation().location().allFiles().mkString("\n").encode()).hexdigest()
 
     def sql(self, text: str, **frames: DataFrame) -> DataFrame:
         """Run SQL whose ``{name}`` marks are tables, views or the given DataFrames."""
