@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import named
+from tessera.llm.common import named, received, sent
 
 NO_MERGE = 1 << 62
 NEVER = np.int64(NO_MERGE >> 32)
@@ -423,11 +423,11 @@ def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_c
     as they are; other columns are not read. The vocabulary file is read on the driver and its tables,
     of the vocabulary's size, are broadcast.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(vocabulary_path))
+    shared = sent(docs.sparkSession, Vocabulary(vocabulary_path))
 
     @F.pandas_udf("binary")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = shared.value.encoder
+        encoder = received(shared, Vocabulary).encoder
         for texts in batches:
             yield pd.Series([i.astype("<u4").tobytes() for i in encoder.encode(list(texts))], dtype=object)
 
@@ -436,11 +436,11 @@ def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_c
 
 def round_trip(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row, as ``encode`` and ``decode`` give them."""
-    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(vocabulary_path))
+    shared = sent(docs.sparkSession, Vocabulary(vocabulary_path))
 
     @F.pandas_udf("n long, ids string, text string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        v = shared.value
+        v = received(shared, Vocabulary)
         encoder = v.encoder
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for texts in batches:

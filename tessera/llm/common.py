@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A word is a run of bytes other than these six: space, and tab to carriage return.
@@ -42,3 +43,19 @@ def fresh(taken: Sequence[str], name: str) -> str:
 def named(df: DataFrame, column: str) -> Column:
     """A column by its exact name, also when the name holds dots or back-ticks."""
     return df["`" + column.replace("`", "``") + "`"]
+
+
+def sent(spark: SparkSession, model: object) -> Broadcast:
+    """The attributes of a model as a broadcast: plain data, which tasks can read without this package."""
+    state = model.__getstate__()
+    return spark.sparkContext.broadcast(dict(state))
+
+
+def received(shared: Broadcast, kind: type):
+    """The model of a ``sent`` broadcast, built once per worker process."""
+    state = shared.value
+    if "_built" not in state:
+        model = kind.__new__(kind)
+        model.__dict__.update(state)
+        state["_built"] = model
+    return state["_built"]

@@ -19,11 +19,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, StructField, StructType
 
-from tessera.llm.common import named
+from tessera.llm.bpe import character_classes, word_starts
+from tessera.llm.common import named, received, sent
 
 ROW_TOKENS = 2_048
 MATRIX_ROWS = 64
-CHUNK_TOKENS = 1 << 21  # tokens that one packing looks at
+CHUNK_TOKENS = 1 << 21  # tokens that one packing looks at, at most one text more
+CHUNK_DOCS = 1 << 15  # and documents, which may be empty
+PART_CHARS = 1 << 14  # of a long text that are encoded at once
 # A writer keeps a group of rows in memory; matrices are large, so groups are small.
 GROUP_BYTES = 16 << 20
 # Fixed value: how the public byte-level vocabulary breaks texts into words.
@@ -40,13 +43,31 @@ class Tokenizer:
         self.dtype = "<u2" if max(self.ranks.values()) < 1 << 16 else "<u4"
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_encoding"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_encoding", "_classes")}
 
     def encode(self, text: str | None) -> np.ndarray:
-        """Ids of a text, in which nothing is special; NULL counts as empty."""
+        """Ids of a text, in which nothing is special; NULL counts as empty.
+
+        The library's pattern needs a stack as deep as the longest run of white space, so a long text is cut
+        before words into parts, and words longer than a part are merged without the pattern.
+        """
         if "_encoding" not in self.__dict__:
             self._encoding = tiktoken.Encoding("own", pat_str=self.pattern, mergeable_ranks=self.ranks, special_tokens={})
-        return np.asarray(self._encoding.encode_ordinary(text or ""), self.dtype)
+        text = text or ""
+        if len(text) <= PART_CHARS:
+            return np.asarray(self._encoding.encode_ordinary(text), self.dtype)
+        if "_classes" not in self.__dict__:
+            self._classes = character_classes()
+        starts = np.append(word_starts(text, self._classes), len(text))
+        out, at = [], 0
+        while at < len(starts) - 1:
+            lo = int(starts[at])
+            end = max(at + 1, int(np.searchsorted(starts, lo + PART_CHARS, "right")) - 1)
+            part = text[lo:int(starts[end])]
+            ids = self._encoding.encode_ordinary(part) if len(part) <= PART_CHARS else self._encoding._encode_single_piece(part)
+            out.append(np.asarray(ids, self.dtype))
+            at = end
+        return np.concatenate(out)
 
 
 class FreeSpace:
@@ -142,6 +163,7 @@ def _matrices(docs: list[tuple[object, np.ndarray]], width: int, rows: int, dtyp
 def pack(
     docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text",
     row_tokens: int = ROW_TOKENS, matrix_rows: int = MATRIX_ROWS, chunk_tokens: int = CHUNK_TOKENS, pad_id: int = 0,
+    chunk_docs: int = CHUNK_DOCS,
 ) -> DataFrame:
     """One row per matrix of at most ``matrix_rows`` x ``row_tokens`` ids:
 
@@ -153,13 +175,15 @@ def pack(
     (doc_id, row, at, start, length): tokens start .. start + length of a document lie in ``row`` from
     ``at``.
 
-    Every token of every document is in exactly one segment. NULL and empty texts are a segment of
-    length 0; equal rows are packed as often as they occur; other columns are not read. An empty table
+    Every token of every document is in exactly one segment. Texts are packed in chunks of
+    ``chunk_tokens`` tokens or ``chunk_docs`` documents, whichever is reached first, so a matrix has at most
+    ``chunk_docs`` segments and those of long documents. NULL and empty texts are a segment of length 0;
+    texts of any length, also a single run of white space or of one letter, are encoded whole; equal rows are packed as often as they occur; other columns are not read. An empty table
     gives no matrix.
     """
     tokenizer = Tokenizer(vocabulary_path)
     dtype = tokenizer.dtype
-    shared = docs.sparkSession.sparkContext.broadcast(tokenizer)
+    shared = sent(docs.sparkSession, tokenizer)
     key = StructField("doc_id", docs.schema[id_col].dataType)
     rest = StructType.fromDDL(
         "matrix_id string, n_rows int, row_tokens int, n_tokens long, id_bytes int, ids binary,"
@@ -169,7 +193,7 @@ def pack(
     schema = StructType([*rest.fields, StructField("segments", ArrayType(segment))])
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = shared.value.encode
+        encode = received(shared, Tokenizer).encode
         task = TaskContext.get().partitionId()
         waiting: list[tuple[object, np.ndarray]] = []
         n_waiting, n_chunks = 0, 0
@@ -187,7 +211,7 @@ def pack(
                 ids = encode(text)
                 waiting.append((None if pd.isna(doc) else doc, ids))
                 n_waiting += len(ids)
-                if n_waiting >= chunk_tokens:
+                if n_waiting >= chunk_tokens or len(waiting) >= chunk_docs:
                     yield from flush()
                     waiting, n_waiting, n_chunks = [], 0, n_chunks + 1
         if waiting:

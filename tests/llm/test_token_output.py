@@ -10,6 +10,7 @@ from tessera.llm import bpe, token_output
 from tests.llm import odd
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
+TOKENIZER = token_output.Tokenizer(PATH)
 
 
 def slow_best_fit(sizes, width):
@@ -81,3 +82,29 @@ def test_odd_rows(spark, tmp_path):
     check(odd.table(spark), odd.rows(), tmp_path)
     assert token_output.pack(odd.empty(spark), PATH).collect() == []
     assert np.dtype("<u2").itemsize == token_output.pack(odd.table(spark), PATH).head()["id_bytes"]
+
+
+def test_long_runs(spark, tmp_path):
+    runs = [" " * 1_000_000, "\n" * 1_000_000, "a" * 1_000_000, "x" + " \t" * 400_000 + "y", "ab'll 12 " * 120_000, "é" * 300_000 + " ."]
+    rows = list(enumerate(runs))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    check(df, rows, tmp_path)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text("ab1 .'\n\tsé\u3000", max_size=120), st.integers(1, 12))
+def test_parts_of_a_text_encode_as_the_whole(text, part):
+    old, token_output.PART_CHARS = token_output.PART_CHARS, 1 << 14
+    try:
+        whole = TOKENIZER.encode(text).tolist()
+        token_output.PART_CHARS = part
+        assert TOKENIZER.encode(text).tolist() == whole
+    finally:
+        token_output.PART_CHARS = old
+
+
+def test_many_empty_texts(spark, tmp_path):
+    df = spark.range(100_000).selectExpr("id as doc_id", "case when id % 2 = 0 then '' end as text").coalesce(2)
+    got = token_output.write(df, str(tmp_path / "out"), PATH, chunk_docs=1000)
+    sizes = [len(r.segments) for r in got.select("segments").collect()]
+    assert sum(sizes) == 100_000 and max(sizes) == 1000
