@@ -4,12 +4,14 @@ P(word | h) = P(class | h) P(word | class, h). The most frequent words form clas
 are one class, in which the digits of a word's hash are a path of further classes: P(word | class, h) is
 the product over the digits, as many as the vocabulary asks for, and of the word's share of the counts at
 the end of the path. Every level is a softmax that sums the weights of hashed features of the two words
-before: the bigram, the skip over one word, and both together.
-
-Counts cover every learnable text. Training is distributed: in each round every task makes gradient
-updates on its own documents from the shared weights, and the changes are averaged by tokens. The first
-digits name a shard. What comes after them is never shared: the tokens of a shard meet in one task, which
-learns the weights below the shard and scores with them, so shards and weights follow the corpus.
+before: the bigram and the skip over one word, and for classes and frequent words also both together.
+
+Counts cover every learnable text. Texts are tokenized once more into chunks by a hash of the document, so
+chunks are the same for any layout of the files. Training is distributed: in each round every chunk of that
+round makes gradient updates from the shared weights, and the changes of a row are averaged by the tokens
+that met it. The first digits name a shard. What comes after them is never shared: the tokens of a shard
+meet in one task, which learns the weights below the shard and scores with them, so shards and weights
+follow the corpus.
 """
 
 from __future__ import annotations
@@ -22,13 +24,14 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import StructType
 
-from tessera.llm.common import byte_words, named, remainder
-from tessera.llm.rows import written
+from tessera.llm.common import byte_words, named, received, remainder, sent
+from tessera.llm.rows import FILE, ROW, located, written
 
 HELD_OUT_MOD, HELD_OUT_REST = 7, 2
 CLASSES, MEMBERS = 16, 32  # classes of frequent words, and words in each
@@ -36,17 +39,22 @@ RARE = CLASSES  # number of the class of all other words
 # Words whose counts every task knows; each other one is at most a 100,000th of the corpus.
 KNOWN_WORDS = 100_000
 BITS = 32  # of the hash of a word; words that agree in it are one to the levels below RARE
+LEAST_CODE = 1 << 17  # hashes begin here, numbers of known words are below
 DIGIT_BITS = 3
 BRANCH = 1 << DIGIT_BITS
-SHARD_TOKENS = 1 << 21  # learnt rare tokens that meet in a task, at most, on average
+SHARD_TOKENS = 1 << 20  # rare tokens that meet in a task, on average
+MOST_DIGITS = 5  # that name a shard; beyond, shards are parted by context
 START = (1 << BITS) - 1  # the context before the first word
-FEATURES = 3
+FEATURES, PATH_FEATURES = 3, 2
 # Rows of a shared table: one for so many tokens, between two bounds; the upper one keeps a broadcast small.
-ROW_TOKENS, LEAST_ROWS, MOST_ROWS = 1 << 12, 1 << 14, 1 << 16
-SHARD_ROW_TOKENS, LEAST_SHARD_ROWS = 2, 1 << 12  # the same for the table of a shard, without an upper bound
+ROW_TOKENS, LEAST_ROWS, MOST_ROWS = 1 << 12, 1 << 14, 1 << 17
+SHARD_ROW_TOKENS, LEAST_SHARD_ROWS = 4, 1 << 12  # the same for the table of a shard, without an upper bound
+END_TOKENS = 32  # counted tokens at the end of a path, on average
 EMPTY = 1e-6  # in place of a count of 0 where the levels of a path start
 ROUNDS = 2
-TASKS_PER_CORE = 4
+CHUNK_TOKENS = 1 << 20  # of a chunk, on average; it makes an update every STEP_TOKENS
+PIECE_TOKENS = 1 << 18  # a longer text takes several rows
+MOST_PIECES = 1 << 15  # texts in a chunk
 STEP_TOKENS = 1 << 15
 RATE, DAMPING, L2 = 0.3, 2.0, 1e-3
 SALTS = 4
@@ -71,19 +79,15 @@ class Weights:
         flat = np.zeros(rows * sum(widths), np.float32) if flat is None else flat.astype(np.float32)
         parts = np.split(flat, np.cumsum(widths)[:-1] * rows)
         self.rows = rows
-        self.of_class, self.of_word, self.of_digit = (x.reshape(rows, -1) for x in parts)
+        self.tables = self.of_class, self.of_word, self.of_digit = tuple(x.reshape(rows, -1) for x in parts)
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([self.of_class.ravel(), self.of_word.ravel(), self.of_digit.ravel()])
+        return np.concatenate([t.ravel() for t in self.tables])
 
 
 def code_of(words: Iterable[bytes], n: int) -> np.ndarray:
-    return np.fromiter(map(crc32, words), np.int64, n)
-
-
-def rare_context(code: np.ndarray) -> np.ndarray:
-    n = CLASSES * MEMBERS
-    return n + code % (START - n)
+    code = np.fromiter(map(crc32, words), np.int64, n)
+    return np.where(code < LEAST_CODE, code + LEAST_CODE, code)
 
 
 def path_nodes(code: np.ndarray, skip: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,15 +123,19 @@ class Lexicon:
     distinct: int  # V
     digits: int = 0  # of the hash that name a shard
     digit_bias: np.ndarray = field(default_factory=lambda: path_bias(np.zeros(1), 0))
+    parts: dict[int, int] = field(default_factory=dict)  # parts of the shards that have more than the others
+    least_parts: int = 1  # of every other shard
 
     def __post_init__(self):
         n = CLASSES * MEMBERS
         self.number = {w.encode(): i for i, w in enumerate(self.words)}
         self.rare_tokens = self.tokens - int(self.counts[:n].sum())
         self.rare_distinct = self.distinct - min(n, len(self.words))
+        if len(self.words) > LEAST_CODE:
+            raise ValueError(f"at most {LEAST_CODE} words can be known")
         self.log_count = np.log10(self.counts + 1.0)
         self.code = code_of(self.number, len(self.words))
-        self.context = np.where(np.arange(len(self.words)) < n, np.arange(len(self.words)), rare_context(self.code))
+        self.context = np.where(np.arange(len(self.words)) < n, np.arange(len(self.words)), self.code)
         # logs of the shares of the classes and of the words in their class: where training starts
         known = self.counts[:n].astype(float)
         classes = np.zeros(CLASSES + 1)
@@ -141,18 +149,25 @@ class Lexicon:
         self.word_bias = np.maximum(padded, -1e4).astype(np.float32)
 
 
-def _rows(a: np.ndarray, b: np.ndarray, salt: np.ndarray | int, size: int) -> np.ndarray:
-    """Table rows (token, feature) of the word before ``a`` and the one before that ``b``; ``size`` is a power of two."""
-    out = np.empty((len(a), FEATURES), np.int64)
-    for k, x in enumerate((a * 2 + 1, b * 2, (a + 1) * 1_000_003 + b + 7)):
-        h = (x.astype(np.uint64) + np.uint64(k * 0x9E3779B1)) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= np.asarray(salt, np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        out[:, k] = (h >> np.uint64(32)) & np.uint64(size - 1)
+def context_hashes(one: np.ndarray, two: np.ndarray, features: int) -> np.ndarray:
+    """(feature, token): hashes of the word before ``one``, of the one before that ``two``, and of both."""
+    a, b = one.astype(np.uint64), two.astype(np.uint64)
+    out = np.empty((features, len(a)), np.uint64)
+    for k, x in enumerate((a * np.uint64(2) + np.uint64(1), b * np.uint64(2), (a + np.uint64(1)) * np.uint64(1_000_003) + b + np.uint64(7))[:features]):
+        h = (x + np.uint64(k * 0x9E3779B1)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+        out[k] = h
     return out
 
 
+def salted_rows(hashes: np.ndarray, salt: np.ndarray | int, size: int) -> np.ndarray:
+    """(feature, token): table rows of hashed features under a salt; ``size`` is a power of two."""
+    h = hashes ^ (np.asarray(salt).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h >>= np.uint64(65 - int(size).bit_length())
+    return h.view(np.int64)
+
+
 def _exp(z: np.ndarray) -> np.ndarray:
     """exp in place; biases are logs of shares and weights are small, the bound is for safety."""
     np.minimum(z, 60, out=z)
@@ -172,72 +187,63 @@ def _log10_share(z: np.ndarray, chosen: np.ndarray) -> np.ndarray:
 
 
 class Batch:
-    """Token numbers and contexts of some texts: everything both levels need."""
-
-    def __init__(self, texts: Sequence[str | None], lexicon: Lexicon):
-        self.cold: list[Counter] = []
-        get = lexicon.number.get
-        parts, sizes = [], []
-        known = len(lexicon.words)
-        for text in texts:
-            ws = byte_words(text)
-            ws.append(END)
-            ids = np.fromiter(map(get, ws, repeat(-1)), np.int64, len(ws))
-            at = np.flatnonzero(ids < 0)
-            cold = [ws[i] for i in at.tolist()]
-            self.cold.append(Counter(cold))
-            # an unknown word is numbered after the known ones by its hash
-            ids[at] = code_of(cold, len(cold)) + known
-            parts.append(ids)
-            sizes.append(len(ids))
+    """Contexts and classes of the tokens of some pieces; ``lead`` tokens before each are contexts only.
+
+    ``times``: how often a piece occurs; equal pieces of a chunk are one.
+    """
+
+    def __init__(self, token: np.ndarray, size: np.ndarray, lead: np.ndarray, times: np.ndarray, lexicon: Lexicon):
         n = CLASSES * MEMBERS
-        self.size = np.array(sizes, np.int64)
-        token = np.concatenate(parts) if parts else np.empty(0, np.int64)
-        self.known = token < known
-        seen = np.minimum(token, max(known - 1, 0))
-        self.token = token
-        self.log_count = np.where(self.known, lexicon.log_count[seen], 0.0) if known else np.zeros(len(token))
-        self.code = np.where(self.known, lexicon.code[seen], token - known) if known else token
-        context = np.where(self.known, lexicon.context[seen], rare_context(token - known)) if known else rare_context(token)
-        begin = np.cumsum(self.size) - self.size
-        self.one, self.two = np.empty_like(context), np.empty_like(context)
-        self.one[1:], self.two[2:] = context[:-1], context[:-2]
-        self.one[begin] = START
-        self.two[begin] = START
-        self.two[begin[self.size > 1] + 1] = START
-        self.frequent = self.known & (token < n)
-        self.klass = np.where(self.frequent, token // MEMBERS, RARE)
-        self.member = token % MEMBERS
-        self.owner = np.repeat(np.arange(len(sizes)), self.size)
+        token = token.astype(np.int64)
+        known = token < LEAST_CODE
+        seen = np.where(known, token, 0)
+        words = len(lexicon.words)
+        context = np.where(known, lexicon.context[seen], token) if words else token
+        one, two = np.empty_like(context), np.empty_like(context)
+        one[1:], two[2:] = context[:-1], context[:-2]
+        begin = np.cumsum(size) - size
+        one[begin] = START
+        two[begin] = START
+        two[begin[size > 1] + 1] = START
+        mine = np.ones(len(token), bool)  # not a leading token
+        for k in (0, 1):
+            mine[begin[lead > k] + k] = False
+        self.one, self.two, self.token = one[mine], two[mine], token[mine]
+        known, seen = known[mine], seen[mine]
+        self.code = np.where(known, lexicon.code[seen], self.token) if words else self.token
+        self.frequent = known & (self.token < n)
+        self.klass = np.where(self.frequent, self.token // MEMBERS, RARE)
+        self.member = self.token % MEMBERS
+        self.owner = np.repeat(np.arange(len(size)), size - lead)
+        self.times = times[self.owner]
+
+
+def _summed_rows(table: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    z = table.take(rows[0], 0)
+    z += bias
+    for r in rows[1:]:
+        z += table.take(r, 0)
+    return z
 
 
 def _class_logits(w: Weights, lex: Lexicon, b: Batch, s: slice) -> tuple[np.ndarray, np.ndarray]:
-    rows = _rows(b.one[s], b.two[s], 0, len(w.of_class))
-    z = w.of_class.take(rows[:, 0], 0) + lex.class_bias
-    for k in range(1, FEATURES):
-        z += w.of_class.take(rows[:, k], 0)
-    return rows, z
+    rows = salted_rows(context_hashes(b.one[s], b.two[s], FEATURES), 0, len(w.of_class))
+    return rows, _summed_rows(w.of_class, rows, lex.class_bias)
 
 
 def _word_logits(w: Weights, lex: Lexicon, b: Batch, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     klass = b.klass[at]
-    rows = _rows(b.one[at], b.two[at], klass + 1, len(w.of_word))
-    z = w.of_word.take(rows[:, 0], 0) + lex.word_bias.take(klass, 0)
-    for k in range(1, FEATURES):
-        z += w.of_word.take(rows[:, k], 0)
-    return rows, z
+    rows = salted_rows(context_hashes(b.one[at], b.two[at], FEATURES), klass + 1, len(w.of_word))
+    return rows, _summed_rows(w.of_word, rows, lex.word_bias.take(klass, 0))
 
 
 def path_logits(
     table: np.ndarray, bias: np.ndarray, one: np.ndarray, two: np.ndarray, code: np.ndarray, skip: int, depth: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Table rows, logits and chosen digit of every level of every token, the levels of a token one after another."""
-    node, digit = (x.ravel() for x in path_nodes(code, skip, depth))
-    rows = _rows(np.repeat(one, depth), np.repeat(two, depth), node + 1, len(table))
-    z = table.take(rows[:, 0], 0) + bias.take(node, 0)
-    for k in range(1, FEATURES):
-        z += table.take(rows[:, k], 0)
-    return rows, z, digit
+    node, digit = (x.ravel() for x in path_nodes(code.astype(np.int64), skip, depth))
+    rows = salted_rows(np.repeat(context_hashes(one, two, PATH_FEATURES), depth, axis=1), node + 1, len(table))
+    return rows, _summed_rows(table, rows, bias.take(node, 0)), digit
 
 
 def log10_probs(w: Weights, lex: Lexicon, b: Batch) -> np.ndarray:
@@ -254,87 +260,106 @@ def log10_probs(w: Weights, lex: Lexicon, b: Batch) -> np.ndarray:
 
 def _update(table: np.ndarray, squares: np.ndarray, rows: np.ndarray, p: np.ndarray) -> None:
     """One step of AdaGrad on sums, damped so that rare features move little; ``p``: softmax minus the truth."""
-    features, error = rows.T.ravel(), np.ascontiguousarray(p.T, dtype=float)
     g = L2 * table
-    for c, e in enumerate(error):
-        g[:, c] += np.bincount(features, np.tile(e, FEATURES), len(table))
+    flat, features = rows.ravel(), len(rows)
+    for c in range(p.shape[1]):
+        e = p[:, c].astype(np.float64)
+        g[:, c] += np.bincount(flat, np.tile(e, features), len(table))
     squares += g * g
-    table -= RATE * g / (np.sqrt(squares) + DAMPING)
+    g *= RATE
+    g /= np.sqrt(squares) + DAMPING
+    table -= g
 
 
 class Trainer:
-    """Gradient updates of one task on the shared tables."""
+    """Gradient updates of one chunk on a copy of the shared tables."""
+
+    def __init__(self, start: Weights, lexicon: Lexicon):
+        self.w, self.lex = Weights(start.rows, start.flat()), lexicon
+        self.squares = [np.zeros_like(t) for t in self.w.tables]
+        self.met = np.zeros((len(self.squares), start.rows))  # tokens that met a row
 
-    def __init__(self, weights: Weights, lexicon: Lexicon):
-        self.w, self.lex = weights, lexicon
-        self.squares = [np.zeros_like(t) for t in (weights.of_class, weights.of_word, weights.of_digit)]
-        self.tokens = 0
+    def _step(self, table: int, rows: np.ndarray, z: np.ndarray, chosen: np.ndarray, times: np.ndarray) -> None:
+        p = _softmax(z)
+        p[np.arange(len(p)), chosen] -= 1
+        if times.max() > 1:
+            p *= times[:, None]
+        _update(self.w.tables[table], self.squares[table], rows, p)
+        self.met[table] += np.bincount(rows.ravel(), np.tile(times, len(rows)), self.w.rows)
 
     def learn(self, b: Batch) -> None:
-        step = max(STEP_TOKENS, 2 * self.w.rows)  # an update touches all rows
-        for lo in range(0, len(b.token), step):
-            s = slice(lo, min(lo + step, len(b.token)))
-            rows, z = _class_logits(self.w, self.lex, b, s)
-            p = _softmax(z)
-            p[np.arange(len(p)), b.klass[s]] -= 1
-            _update(self.w.of_class, self.squares[0], rows, p)
+        for lo in range(0, len(b.token), STEP_TOKENS):
+            s = slice(lo, min(lo + STEP_TOKENS, len(b.token)))
+            self._step(0, *_class_logits(self.w, self.lex, b, s), b.klass[s], b.times[s])
             at = np.flatnonzero(b.frequent[s]) + lo
             if len(at):
-                rows, z = _word_logits(self.w, self.lex, b, at)
-                p = _softmax(z)
-                p[np.arange(len(at)), b.member[at]] -= 1
-                _update(self.w.of_word, self.squares[1], rows, p)
+                self._step(1, *_word_logits(self.w, self.lex, b, at), b.member[at], b.times[at])
             at = np.flatnonzero(~b.frequent[s]) + lo
             if len(at) and self.lex.digits:
-                rows, z, digit = path_logits(self.w.of_digit, self.lex.digit_bias, b.one[at], b.two[at], b.code[at], 0, self.lex.digits)
-                p = _softmax(z)
-                p[np.arange(len(p)), digit] -= 1
-                _update(self.w.of_digit, self.squares[2], rows, p)
-            self.tokens += s.stop - s.start
+                levels = self.lex.digits
+                found = path_logits(self.w.of_digit, self.lex.digit_bias, b.one[at], b.two[at], b.code[at], 0, levels)
+                self._step(2, *found, np.repeat(b.times[at], levels))
+
+    def changes(self, start: Weights) -> np.ndarray:
+        """Changes of all weights, times the tokens that met their row, and those numbers of tokens."""
+        moved = [((t - s) * m[:, None]).ravel() for t, s, m in zip(self.w.tables, start.tables, self.met)]
+        return np.concatenate([*moved, self.met.ravel()]).astype(np.float32)
+
+
+def path_depth(tokens: int, digits: int) -> int:
+    """Digits of a path below a shard: as many as leave END_TOKENS counted tokens at each end."""
+    depth = 0
+    while BRANCH ** (depth + 1) * END_TOKENS <= tokens and DIGIT_BITS * (digits + depth + 1) <= BITS:
+        depth += 1
+    return depth
 
 
 def shard_log10_probs(
-    w: Weights, lex: Lexicon, one: np.ndarray, two: np.ndarray, code: np.ndarray, learnt: np.ndarray
+    w: Weights, lex: Lexicon, codes: np.ndarray, counts: np.ndarray,
+    one: np.ndarray, two: np.ndarray, code: np.ndarray, learnt: np.ndarray,
 ) -> np.ndarray:
-    """Per rare token of a shard, given RARE; learns from the tokens marked ``learnt``.
+    """Per rare token of a shard, given RARE; learns from each as often as ``learnt`` says.
 
-    All words without a count are one word, told apart from the others by the smoothed counts. Equal
-    tokens in equal contexts are one row with a weight, and rows are taken in the order of a hash, so the
-    result is the same for any order of the tokens.
+    ``codes`` and ``counts``: the shard's whole vocabulary and its learnable tokens. All words without a
+    count are one word, told apart from the others by the smoothed counts. Equal tokens in equal contexts
+    are one row with a weight, and rows are taken in the order of a hash, so the result is the same for any
+    order of the tokens. A step holds a bounded number of levels.
     """
     mixed = (one.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (two.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
     mixed = (mixed ^ (mixed >> np.uint64(29)) ^ code.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
-    order = np.argsort(mixed ^ (mixed >> np.uint64(32)), kind="stable")
+    mixed ^= mixed >> np.uint64(32)
+    order = np.argsort(mixed, kind="stable").astype(np.uint32)
     del mixed
-    one, two, code = (x[order].astype(np.int64) for x in (one, two, code))
+    one, two, code, learnt = (x[order] for x in (one, two, code, learnt))
     new = np.ones(len(order), bool)
     new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1]) | (code[1:] != code[:-1])
-    group = np.cumsum(new) - 1
+    group = (np.cumsum(new) - 1).astype(np.uint32)
     one, two, code = one[new], two[new], code[new]
-    times = np.bincount(group, learnt[order], len(code))
-
-    codes, which = np.unique(code, return_inverse=True)
-    n = np.bincount(which, times, len(codes))
-    n += n > 0
-    distinct = int((n > 0).sum())
-    depth = 0
-    while BRANCH ** depth < distinct and DIGIT_BITS * (lex.digits + depth + 1) <= BITS:
-        depth += 1
-    end = (codes >> (BITS - DIGIT_BITS * (lex.digits + depth))) & ((1 << DIGIT_BITS * depth) - 1)
-    ends = np.bincount(end, n, BRANCH ** depth)
+    times = np.bincount(group, learnt, len(code))
+
+    by = np.argsort(codes, kind="stable")
+    codes, counts = codes[by], counts[by] + 1  # words that agree in the hash are one
+    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else by
+    codes, n = codes[first], np.add.reduceat(counts, first) if len(first) else counts
+    depth = path_depth(int(n.sum()), lex.digits)
+    end_of = lambda c: (c.astype(np.int64) >> (BITS - DIGIT_BITS * (lex.digits + depth))) & ((1 << DIGIT_BITS * depth) - 1)
+    ends = np.bincount(end_of(codes), n, BRANCH ** depth)
     all_rare = lex.rare_tokens + lex.rare_distinct
-    share = np.where(n > 0, n / np.maximum(ends[end], 1) * all_rare, 1.0) / (all_rare + 1)
-    out = np.log10(share)[which]
-    counted = np.flatnonzero((n > 0)[which])
+    share = np.append(n / np.maximum(ends[end_of(codes)], 1) * all_rare, 1.0) / (all_rare + 1)
+    which = np.searchsorted(codes, code)
+    which[which == len(codes)] = 0
+    counted = codes[which] == code if len(codes) else np.zeros(len(code), bool)
+    out = np.log10(share[np.where(counted, which, len(codes))])
+    counted = np.flatnonzero(counted).astype(np.uint32)
+    del which
     paths = [(w.of_digit, lex.digit_bias, 0, lex.digits)]
     if depth:
         bias = path_bias(ends, depth)
         table = np.zeros((max(LEAST_SHARD_ROWS, power_of_two(times.sum() / SHARD_ROW_TOKENS)), BRANCH), np.float32)
         squares = np.zeros_like(table)
-        seen = np.flatnonzero(times)
-        step = max(STEP_TOKENS, len(table) // 4)
-        for lo in range(0, len(seen), step):
-            at = seen[lo:lo + step]
+        seen = np.flatnonzero(times).astype(np.uint32)
+        for lo in range(0, len(seen), STEP_TOKENS):
+            at = seen[lo:lo + STEP_TOKENS]
             rows, z, digit = path_logits(table, bias, one[at], two[at], code[at], lex.digits, depth)
             p = _softmax(z)
             p[np.arange(len(p)), digit] -= 1
@@ -351,40 +376,77 @@ def shard_log10_probs(
     return back
 
 
-def _to_shards(b: Batch, held: np.ndarray, row: int, digits: int) -> pd.DataFrame:
-    """The rare tokens of a batch as packed rows, one per shard and part: text, contexts and hash of each."""
-    at = np.flatnonzero(~b.frequent)
-    part = (b.code[at] >> (BITS - DIGIT_BITS * digits)) * 2 + held[b.owner[at]]
-    order = np.argsort(part, kind="stable")
-    at, part = at[order], part[order]
-    cuts = np.flatnonzero(np.diff(part)) + 1
-    pack = lambda i: b"".join(x[i].astype(t).tobytes() for x, t in ((b.owner, "<u2"), (b.one, "<u4"), (b.two, "<u4"), (b.code, "<u4")))
-    packed = [pack(i) for i in np.split(at, cuts)] if len(at) else []
-    first = part[np.concatenate([[0], cuts])] if len(at) else part
-    return pd.DataFrame({"shard": first // 2, "held_out": first % 2 == 1, "row": row, "packed": packed})
+def shard_of(code: np.ndarray, digits: int) -> np.ndarray:
+    return code >> (BITS - DIGIT_BITS * digits)
 
 
-def _score_shard(rows: pd.DataFrame, w: Weights, lex: Lexicon) -> pd.DataFrame:
-    """(row, rare): the sum over a text's tokens in this shard."""
-    size = [len(x) // 14 for x in rows["packed"]]
-    learnt = np.repeat(~rows["held_out"].to_numpy(bool), size)
-    row = np.repeat(rows["row"].to_numpy(np.int64), size)
-    row += np.concatenate([np.frombuffer(x, "<u2", n) for x, n in zip(rows["packed"], size)])
-    one, two, code = (
-        np.concatenate([np.frombuffer(x, "<u4", n, (2 + 4 * k) * n) for x, n in zip(rows["packed"], size)]) for k in range(3)
-    )
-    p = shard_log10_probs(w, lex, one, two, code, learnt)
-    texts, which = np.unique(row, return_inverse=True)
-    return pd.DataFrame({"row": texts, "rare": np.bincount(which, p, len(texts))})
+def part_of(one: np.ndarray, two: np.ndarray, shard: np.ndarray, lex: Lexicon) -> np.ndarray:
+    """The part of its shard that a context belongs to: all words after a context meet in one task."""
+    most = np.full(len(shard), lex.least_parts, np.uint64)
+    if lex.parts:
+        names = np.array(sorted(lex.parts))
+        ways = np.array([lex.parts[x] for x in names.tolist()])
+        at = np.minimum(np.searchsorted(names, shard), len(names) - 1)
+        most = np.where(names[at] == shard, ways[at], lex.least_parts).astype(np.uint64)
+    if not lex.parts and lex.least_parts == 1:
+        return np.zeros(len(shard), np.int64)
+    h = context_hashes(one, two, FEATURES)[2] * np.uint64(0xBF58476D1CE4E5B9)
+    return ((h >> np.uint64(33)) % most).astype(np.int64)
+
+
+def _squeezed(*columns: np.ndarray) -> bytes:
+    """Columns byte by byte, compressed."""
+    raw = [np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.itemsize).T).tobytes() for c in columns]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(raw))
+
+
+def _unsqueezed(data: bytes, *types: str) -> list[np.ndarray]:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    widths = [np.dtype(t).itemsize for t in types]
+    n, out, at = len(raw) // sum(widths), [], 0
+    for t, k in zip(types, widths):
+        out.append(np.ascontiguousarray(raw[at:at + k * n].reshape(k, n).T).view(t).ravel())
+        at += k * n
+    return out
+
+
+TOKEN_TYPES = ("<u2", "<u4", "<u4", "<u4", "<u4")  # piece in the chunk, the two words before, hash, times
+
+
+def _to_shards(b: Batch, lex: Lexicon) -> Iterator[tuple[int, int, bytes]]:
+    """(shard, part, tokens) of the rare tokens of a chunk."""
+    at = np.flatnonzero(~b.frequent)
+    shard = shard_of(b.code[at], lex.digits)
+    part = part_of(b.one[at], b.two[at], shard, lex)
+    order = np.lexsort((b.code[at], part, shard))
+    at, shard, part = at[order], shard[order], part[order]
+    cuts = np.flatnonzero((np.diff(shard) != 0) | (np.diff(part) != 0)) + 1
+    for i, k in zip(np.split(at, cuts) if len(at) else [], np.concatenate([[0], cuts])):
+        # hashes are in order: their differences compress well
+        code = np.diff(b.code[i], prepend=0)
+        yield int(shard[k]), int(part[k]), _squeezed(*[x.astype(t) for x, t in zip((b.owner[i], b.one[i], b.two[i], code, b.times[i]), TOKEN_TYPES)])
 
 
-def _texts(batches: Iterable[pd.DataFrame], tokens: int = 4 * STEP_TOKENS) -> Iterator[pd.DataFrame]:
-    """The rows in portions of about so many tokens (six characters each)."""
-    for df in batches:
-        part = (df["text"].str.len().fillna(0).cumsum() // (6 * tokens)).astype(int).to_numpy()
-        part += np.arange(len(df)) >> 16  # numbers of texts in a portion have two bytes
-        for _, rows in df.groupby(part, sort=True):
-            yield rows
+def _score_shard(rows: pd.DataFrame, w: Weights, lex: Lexicon) -> pd.DataFrame:
+    """(chunk, packed): sums over the tokens of this shard per piece of a chunk."""
+    words = [_unsqueezed(x, "<u4", "<i8") for x in rows["packed"][rows["chunk"] < 0]]
+    codes, counts = (np.concatenate([x[k] for x in words]) if words else np.empty(0, t) for k, t in enumerate(("<u4", "<i8")))
+    rows = rows[rows["chunk"] >= 0]
+    packed = [_unsqueezed(x, *TOKEN_TYPES) for x in rows["packed"]]
+    if not packed:
+        return pd.DataFrame({"chunk": pd.Series([], dtype="int64"), "packed": pd.Series([], dtype=object)})
+    size = [len(x[0]) for x in packed]
+    owner, one, two = (np.concatenate([x[k] for x in packed]) for k in range(3))
+    code = np.concatenate([np.cumsum(x[3], dtype=np.uint32) for x in packed])
+    learnt = np.concatenate([x[4] for x in packed]) * np.repeat(~rows["held_out"].to_numpy(bool), size)
+    del packed
+    p = shard_log10_probs(w, lex, codes, counts, one, two, code, learnt)
+    out = []
+    for mine, sums in zip(np.split(owner, np.cumsum(size)[:-1]), np.split(p, np.cumsum(size)[:-1])):
+        total = np.bincount(mine, sums)
+        at = np.unique(mine)
+        out.append(_squeezed(at.astype("<u2"), total[at].astype("<f4")))
+    return pd.DataFrame({"chunk": rows["chunk"].to_numpy(), "packed": out})
 
 
 def learnable(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -434,150 +496,304 @@ def lexicon(counts: DataFrame, known: int = KNOWN_WORDS) -> Lexicon:
     lex = Lexicon([r["word"] for r in top], np.array([r["n"] for r in top], np.int64),
                   sum(r["n"] for r in steps), sum(r["words"] for r in steps))
     digits = shard_digits(lex.rare_tokens)
-    if not digits:
-        return lex
     shift = BITS - DIGIT_BITS * digits
-    shard = F.shiftright(F.crc32(F.col("word").cast("binary")), shift)
+
+    def shards(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(BRANCH ** digits, np.int64)
+        for df in batches:
+            code = code_of((w.encode() for w in df["word"]), len(df))
+            total += np.bincount(code >> shift, df["n"] + 1, len(total)).astype(np.int64)
+        at = np.flatnonzero(total)
+        if len(at):
+            yield pd.DataFrame({"shard": at, "n": total[at]})
+
     tokens = np.zeros(BRANCH ** digits)
-    for r in counts.groupBy(shard.alias("shard")).agg((F.sum("n") + F.count("*")).alias("n")).collect():
+    for r in counts.mapInPandas(shards, "shard long, n long").groupBy("shard").agg(F.sum("n").alias("n")).collect():
         tokens[r["shard"]] = r["n"]
     n = CLASSES * MEMBERS
     tokens -= np.bincount(lex.code[:n] >> shift, lex.counts[:n] + 1, len(tokens))
-    return replace(lex, digits=digits, digit_bias=path_bias(tokens, digits))
+    least = max(1, -(-lex.rare_tokens // (BRANCH ** digits * SHARD_TOKENS)))
+    ways = np.ceil(tokens / (2 * SHARD_TOKENS)).astype(int)
+    parts = {int(i): int(ways[i]) for i in np.flatnonzero(ways > least)}
+    return replace(lex, digits=digits, digit_bias=path_bias(tokens, digits), parts=parts, least_parts=least)
 
 
 def shard_digits(rare_tokens: int) -> int:
     digits = 0
-    while BRANCH ** digits * SHARD_TOKENS < rare_tokens:
+    while BRANCH ** digits * SHARD_TOKENS < rare_tokens and digits < MOST_DIGITS:
         digits += 1
     return digits
 
 
+def chunk_count(tokens: int) -> int:
+    """Chunks of a corpus: about CHUNK_TOKENS each, one for every round at least."""
+    return max(ROUNDS, -(-tokens // CHUNK_TOKENS))
+
+
+CHUNKS = (
+    "chunk long, held_out boolean, turn int, sizes array<int>, leads array<int>, times array<int>, docs array<long>, tokens binary,"
+    " doc long, doc_id string, n_tokens long, n_known long, base double, cold string, cold_times array<int>"
+)
+
+
+def tokenized(docs: DataFrame, lex: Lexicon, id_col: str, text_col: str) -> DataFrame:
+    """Two kinds of rows, written: chunks of tokens (CHUNKS up to ``tokens``) and documents (``doc_id`` and the rest).
+
+    Documents are dealt to chunks by a hash of id and text, and ordered by it in a chunk, whatever the files; a
+    third of equal texts spreads over all chunks and is one piece with a number of times in each. A long
+    text is cut into pieces, each with the two words before it. Numbers of chunks and documents are final
+    once written.
+    """
+    shared = sent(docs.sparkSession, lex)
+    n_chunks = chunk_count(lex.tokens)
+    rows = located(docs.select(named(docs, id_col).alias("doc_id"), named(docs, text_col).alias("text")))
+    held = (remainder(F.col("doc_id"), HELD_OUT_MOD) == HELD_OUT_REST).alias("held_out")
+    mixed = F.xxhash64("doc_id", "text")
+    # held-out documents have chunks of their own, in proportion
+    chunk = F.pmod(mixed, F.lit(n_chunks)) * 2 + held.cast("int")
+    # an id travels as text, since a whole number with missing ones would lose digits
+    name = F.col("doc_id").cast("string").alias("doc_id")
+    rows = rows.select(name, "text", held, chunk.alias("chunk"), mixed.alias("rank"), F.xxhash64(FILE, ROW).alias("place"))
+    first = StructType.fromDDL(
+        "doc_id string, held_out boolean, chunk long, rank long, place long, piece int, lead int, tokens binary,"
+        " n_tokens long, n_known long, base double, cold string, cold_times array<int>"
+    )
+    second = StructType.fromDDL(CHUNKS)
+
+    def tokenize(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lexicon = received(shared, Lexicon)
+        get, known = lexicon.number.get, len(lexicon.words)
+        for df in batches:
+            out, held_tokens = [], 0
+            for doc, text, is_held, at_chunk, rank, place in df.itertuples(index=False):
+                ws = byte_words(text)
+                ws.append(END)
+                ids = np.fromiter(map(get, ws, repeat(-1)), np.int64, len(ws))
+                at = np.flatnonzero(ids < 0)
+                base = float(lexicon.log_count.take(ids[ids >= 0]).sum()) if known else 0.0
+                cold = [ws[i] for i in at.tolist()]
+                ids[at] = code_of(cold, len(cold))
+                again = Counter(cold)
+                ids = ids.astype("<u4")
+                whole = (len(ws), len(ws) - len(cold), base, b" ".join(again).decode() if again else None, list(again.values()))
+                for k, lo in enumerate(range(0, len(ids), PIECE_TOKENS)):
+                    lead = min(lo, 2)
+                    rest = whole if k == 0 else (0, 0, 0.0, None, None)
+                    out.append((doc, is_held, at_chunk, rank, place, k, lead, ids[lo - lead:lo + PIECE_TOKENS].tobytes(), *rest))
+                held_tokens += len(ids)
+                if held_tokens >= CHUNK_TOKENS:
+                    yield _frame(out, first)
+                    out, held_tokens = [], 0
+            if out:
+                yield _frame(out, first)
+
+    def chunks(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, cut, pieces, n, doc = None, 0, {}, 0, -1
+
+        def done() -> Iterator[pd.DataFrame]:
+            if pieces:
+                sizes = [len(t) // 4 for t, _ in pieces]
+                row = {
+                    "chunk": now << 20 | cut, "held_out": bool(now & 1), "turn": (now >> 1) % ROUNDS, "sizes": sizes,
+                    "leads": [lead for _, lead in pieces], "times": [len(d) for d in pieces.values()],
+                    "docs": [d for of in pieces.values() for d in of], "tokens": b"".join(t for t, _ in pieces),
+                }
+                yield _frame([tuple(row.get(c) for c in second.names)], second)
+
+        for df in batches:
+            heads = []
+            for r in df.itertuples(index=False):
+                full = n >= 2 * CHUNK_TOKENS or len(pieces) >= MOST_PIECES
+                if r.chunk != now or full:
+                    yield from done()
+                    cut = cut + 1 if r.chunk == now else 0
+                    if r.chunk != now:
+                        doc = (r.chunk << 32) - 1
+                    now, pieces, n = r.chunk, {}, 0
+                if r.piece == 0:
+                    doc += 1
+                    row = {"doc_id": r.doc_id, "held_out": r.held_out, "doc": doc, "n_tokens": r.n_tokens, "n_known": r.n_known,
+                           "base": r.base, "cold": r.cold, "cold_times": r.cold_times}
+                    heads.append(tuple(row.get(c) for c in second.names))
+                known = pieces.setdefault((r.tokens, r.lead), [])
+                if not known:
+                    n += len(r.tokens) // 4
+                known.append(doc)
+            if heads:
+                yield _frame(heads, second)
+        yield from done()
+
+    dealt = rows.mapInPandas(tokenize, first).repartition("chunk").sortWithinPartitions("chunk", "rank", "doc_id", "place", "piece")
+    return written(dealt.mapInPandas(chunks, second), "tokens")
+
+
+def _frame(rows: list[tuple], schema: StructType) -> pd.DataFrame:
+    """Rows as a frame whose whole numbers stay whole where some are missing."""
+    df = pd.DataFrame(rows, columns=schema.names, dtype=object)
+    whole = {f.name: "Int64" for f in schema.fields if f.dataType.simpleString() in ("bigint", "int")}
+    return df.astype(whole)
+
+
+def batches_of(row: pd.Series, lexicon: Lexicon) -> Iterator[tuple[int, Batch]]:
+    """(first piece, batch) of a chunk, a bounded number of tokens at a time."""
+    sizes, leads, times = (np.asarray(row[c], np.int64) for c in ("sizes", "leads", "times"))
+    token = np.frombuffer(row["tokens"], "<u4")
+    end = np.cumsum(sizes)
+    lo = 0
+    while lo < len(sizes):
+        before = int(end[lo] - sizes[lo])
+        hi = max(lo + 1, int(np.searchsorted(end, before + PIECE_TOKENS, "right")))
+        yield lo, Batch(token[before:int(end[hi - 1])], sizes[lo:hi], leads[lo:hi], times[lo:hi], lexicon)
+        lo = hi
+
+
 def _add_up(parts: DataFrame) -> DataFrame:
     """Sums of equal blocks that meet in a task; memory is one copy of the weights."""
 
     def add(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, list] = {}
+        held: dict[int, np.ndarray] = {}
         for df in batches:
-            for block, tokens, values in zip(df["block"], df["tokens"], df["values"]):
-                x = np.frombuffer(values, "<f4")
-                if block in held:
-                    held[block][0] += tokens
-                    held[block][1] += x
-                else:
-                    held[block] = [tokens, x.astype(float)]
-        for block, (tokens, x) in held.items():
-            yield pd.DataFrame({"block": [block], "salt": [0], "tokens": [tokens], "values": [x.astype("<f4").tobytes()]})
+            for block, values in zip(df["block"], df["values"]):
+                x = np.frombuffer(values, "<f4").astype(float)
+                held[block] = held[block] + x if block in held else x
+        for block, x in held.items():
+            yield pd.DataFrame({"block": [block], "salt": [0], "values": [x.astype("<f4").tobytes()]})
 
     return parts.mapInPandas(add, parts.schema)
 
 
-def train(texts: DataFrame, lex: Lexicon, rounds: int = ROUNDS) -> Weights:
-    """Weights after ``rounds``; every text takes part in one round, chosen by a hash of its id and text.
+def train(tokens: DataFrame, lex: Lexicon, rounds: int = ROUNDS) -> Weights:
+    """Weights after ``rounds``; every learnable chunk takes part in one of each ROUNDS.
 
-    A task's changes leave it in blocks, multiplied by its tokens. They are added in two steps, the
-    first over salted blocks, so no task adds up all tasks' blocks. A round has at most
-    ``TASKS_PER_CORE`` tasks for each core, so what they send follows the cluster, not the corpus.
+    A chunk's changes start from the shared weights and are averaged row by row, by the tokens that met
+    the row. A task adds up those of its chunks; the sums leave it in blocks and are added in two steps, the
+    first over salted blocks, so no task adds up all tasks' blocks.
     """
-    sc = texts.sparkSession.sparkContext
+    spark = tokens.sparkSession
     weights = Weights(table_rows(lex.tokens))
-    texts = texts.withColumn("round", F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)))
+    known = sent(spark, lex)
     for r in range(rounds):
-        shared = sc.broadcast((weights, lex))
+        shared = spark.sparkContext.broadcast((weights.rows, weights.flat()))
 
         def learn(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            start, known = shared.value
-            t = Trainer(Weights(start.rows, start.flat()), known)
-            for rows in _texts(batches):
-                t.learn(Batch(list(rows["text"]), known))
-            if t.tokens:
-                change = (t.w.flat() - start.flat()) * np.float32(t.tokens)
+            start, lexicon, total = Weights(*shared.value), received(known, Lexicon), None
+            for df in batches:
+                for _, row in df.iterrows():
+                    t = Trainer(start, lexicon)
+                    for _, b in batches_of(row, lexicon):
+                        t.learn(b)
+                    moved = t.changes(start)
+                    total = moved if total is None else total + moved
+            if total is not None:
                 salt = TaskContext.get().partitionId() % SALTS
-                for lo in range(0, len(change), BLOCK_VALUES):
-                    yield pd.DataFrame({"block": [lo // BLOCK_VALUES], "salt": [salt], "tokens": [t.tokens],
-                                        "values": [change[lo:lo + BLOCK_VALUES].astype("<f4").tobytes()]})
+                for lo in range(0, len(total), BLOCK_VALUES):
+                    yield pd.DataFrame({"block": [lo // BLOCK_VALUES], "salt": [salt], "values": [total[lo:lo + BLOCK_VALUES].astype("<f4").tobytes()]})
 
-        mine = texts.where(F.col("round") == r).select("text").coalesce(TASKS_PER_CORE * sc.defaultParallelism)
-        parts = mine.mapInPandas(learn, "block int, salt int, tokens long, values binary")
+        mine = tokens.where(F.col("tokens").isNotNull() & ~F.col("held_out") & (F.col("turn") == r % ROUNDS))
+        parts = mine.select("sizes", "leads", "times", "tokens").mapInPandas(learn, "block int, salt int, values binary")
         added = _add_up(_add_up(parts.repartition("block", "salt")).repartition("block"))
-        got = added.collect()
+        got = added.collect()  # as many numbers as the tables have
         shared.unpersist()
         if got:
-            change = np.concatenate([np.frombuffer(x["values"], "<f4") / x["tokens"] for x in sorted(got, key=lambda x: x["block"])])
-            weights = Weights(weights.rows, weights.flat() + change)
+            flat = np.concatenate([np.frombuffer(x["values"], "<f4") for x in sorted(got, key=lambda x: x["block"])])
+            widths = [t.shape[1] for t in weights.tables]
+            moved, met = np.split(flat, [weights.rows * sum(widths)])
+            met = np.concatenate([np.repeat(m, k) for m, k in zip(met.reshape(len(widths), -1), widths)])
+            weights = Weights(weights.rows, weights.flat() + moved / np.maximum(met, 1))
     return weights
 
 
+def _vocabulary(counts: DataFrame, lex: Lexicon) -> DataFrame:
+    """Rows (shard, part, chunk -1, packed): hashes and counts of the rare words of every shard, for all its parts."""
+    shared = sent(counts.sparkSession, lex)
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lexicon = received(shared, Lexicon)
+        n = CLASSES * MEMBERS
+        for df in batches:
+            words = [w.encode() for w in df["word"]]
+            rare = np.array([not 0 <= lexicon.number.get(w, -1) < n for w in words], bool)
+            code, times = code_of(words, len(words))[rare], df["n"].to_numpy(np.int64)[rare]
+            shard = shard_of(code, lexicon.digits)
+            order = np.argsort(shard, kind="stable")
+            for at in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(order) else []:
+                k = int(shard[at[0]])
+                parts = lexicon.parts.get(k, lexicon.least_parts)
+                yield pd.DataFrame({"shard": k, "parts": [parts], "packed": [_squeezed(code[at].astype("<u4"), times[at].astype("<i8"))]})
+
+    rows = counts.mapInPandas(run, "shard long, parts long, packed binary")
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    return rows.select("shard", part.alias("part"), F.lit(-1).cast("long").alias("chunk"), F.lit(True).alias("held_out"), "packed")
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: int = KNOWN_WORDS, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     Learns from the rows outside the held-out part. ``base_score`` is the add-one unigram score,
     ``score`` the model's log10 probability of the words and the end of the text. NULL counts as empty:
     one token, the end. Without any learnable row every count is 0 and the model is uniform over
-    classes. A shard's tokens, 14 bytes each, are held by one task. Equal rows count and stay as often as they occur; other columns are not read; an empty
-    table gives an empty result.
+    classes. Equal rows count and stay as often as they occur, long texts are scored in pieces that know
+    the words before them, other columns are not read; an empty table gives an empty result. Scores
+    do not depend on how rows are spread over files or tasks.
     """
-    texts = learnable(docs, id_col, text_col)
-    counts = written(count_words(texts), "word-counts")
+    counts = written(count_words(learnable(docs, id_col, text_col)), "word-counts")
     lex = lexicon(counts, known)
-    weights = train(texts, lex, rounds)
-    shared = docs.sparkSession.sparkContext.broadcast((weights, lex))
-    key = StructField("doc_id", docs.schema[id_col].dataType)
-    rest = StructType.fromDDL(
-        "row long, held_out boolean, n_tokens long, n_known long, base double, model double,"
-        " cold string, times array<int>, rare double"
-    )
-    schema = StructType([key, *rest.fields])
-    sent = StructType([*schema.fields, *StructType.fromDDL("shard long, packed binary").fields])
-
-    def filled(df: pd.DataFrame, names: list[str]) -> pd.DataFrame:
-        for name in set(names) - set(df.columns):
-            df[name] = None
-        return df[names]
+    tokens = tokenized(docs, lex, id_col, text_col)
+    weights = train(tokens, lex, rounds)
+    spark = docs.sparkSession
+    shared, words = spark.sparkContext.broadcast((weights.rows, weights.flat())), sent(spark, lex)
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w, known_words = shared.value
-        row = TaskContext.get().partitionId() << 33
-        for df in _texts(batches):
-            b = Batch(list(df["text"]), known_words)
-            per = lambda x: np.bincount(b.owner, x, len(b.size))
-            p = log10_probs(w, known_words, b)
-            held = df["held_out"].to_numpy(bool)
-            yield pd.DataFrame({
-                "doc_id": df["doc_id"].to_numpy(), "row": np.arange(row, row + len(df)), "held_out": held,
-                "n_tokens": b.size, "n_known": per(b.known).astype(int),
-                "base": per(b.log_count), "model": per(p),
-                "cold": [b" ".join(c).decode() if c else None for c in b.cold], "times": [list(c.values()) for c in b.cold],
-                "shard": -1 - row,
-            }).pipe(filled, sent.names)
-            yield _to_shards(b, held, row, known_words.digits).pipe(filled, sent.names)
-            row += len(df)
-
-    held = (remainder(F.col("doc_id"), HELD_OUT_MOD) == HELD_OUT_REST).alias("held_out")
-    rows = docs.select(named(docs, id_col).alias("doc_id"), named(docs, text_col).alias("text")).select("doc_id", "text", held)
+        w, lexicon = Weights(*shared.value), received(words, Lexicon)
+        for df in batches:
+            for _, row in df.iterrows():
+                total = np.zeros(len(row["sizes"]))
+                found: list[tuple] = []
+                for lo, b in batches_of(row, lexicon):
+                    total[lo:] += np.bincount(b.owner, log10_probs(w, lexicon, b), len(total) - lo)
+                    b.owner += lo
+                    found += [(s, p, row["chunk"], bool(row["held_out"]), t) for s, p, t in _to_shards(b, lexicon)]
+                times = np.asarray(row["times"], "<i4").tobytes()
+                top = times + np.asarray(row["docs"], "<i8").tobytes() + total.astype("<f8").tobytes()
+                found.append((-1 - row["chunk"], 0, row["chunk"], bool(row["held_out"]), len(total).to_bytes(4, "little") + top))
+                yield pd.DataFrame(found, columns=["shard", "part", "chunk", "held_out", "packed"])
+
+    fields = "shard long, part long, chunk long, held_out boolean, packed binary"
+    chunks = tokens.where(F.col("tokens").isNotNull()).select("chunk", "held_out", "sizes", "leads", "times", "docs", "tokens")
+    dealt = chunks.mapInPandas(run, fields).unionByName(_vocabulary(counts, lex))
 
     def finish(group: pd.DataFrame) -> pd.DataFrame:
-        """The rows of texts as they are, those of a shard as sums."""
-        found = group if group["shard"].iloc[0] < 0 else _score_shard(group, *shared.value)
-        return filled(found, schema.names)
-
-    # both kinds leave one run over the texts, whose rows have no other name than their number in it
-    scored = written(rows.mapInPandas(run, sent).groupBy("shard").applyInPandas(finish, schema), "scored")
-    texts, shards = scored.where("rare is null").drop("rare"), scored.where("rare is not null")
+        """The sums of a chunk as they are, those of a shard by chunk."""
+        if group["shard"].iloc[0] < 0:
+            return group[["chunk", "packed"]].assign(top=True)
+        return _score_shard(group, Weights(*shared.value), received(words, Lexicon)).assign(top=False)
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        """Sums per document: those of the classes and of all shards, for every document that has the piece."""
+        top = group["packed"][group["top"]].iloc[0]
+        n = int.from_bytes(top[:4], "little")
+        times = np.frombuffer(top, "<i4", n, 4)
+        of = np.frombuffer(top, "<i8", int(times.sum()), 4 + 4 * n)
+        total = np.frombuffer(top, "<f8", n, 4 + 4 * n + 8 * len(of)).copy()
+        for x in group["packed"][~group["top"]]:
+            at, sums = _unsqueezed(x, "<u2", "<f4")
+            total[at] += sums
+        return pd.DataFrame({"doc": of, "model": np.repeat(total, times)})
+
+    sums = dealt.groupBy("shard", "part").applyInPandas(finish, "chunk long, packed binary, top boolean")
+    model = sums.groupBy("chunk").applyInPandas(add, "doc long, model double").groupBy("doc").agg(F.sum("model").alias("score"))
 
     # counts of the words that tasks don't know: each is rare, so no key is hot
-    cold = texts.select("row", F.explode(F.arrays_zip(F.split("cold", " ").alias("word"), "times")).alias("c")).select("row", F.col("c.word").alias("cold"), "c.times")
-    found = cold.join(counts, F.col("cold") == F.col("word"), "left").select(
-        "row", F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0).cast("long").alias("more"),
-        (F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1.0)).alias("logs"), F.lit(0.0).alias("rare"),
+    heads = tokens.where(F.col("doc").isNotNull())
+    cold = heads.where("cold is not null").select("doc", F.explode(F.arrays_zip(F.split("cold", " ").alias("word"), F.col("cold_times").alias("times"))).alias("c"))
+    cold = cold.select("doc", F.col("c.word").alias("cold"), "c.times")
+    found = cold.join(counts, F.col("cold") == F.col("word"), "left").groupBy("doc").agg(
+        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more"),
+        F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1.0)).alias("logs"),
     )
-    below_class = shards.select("row", F.lit(0).cast("long").alias("more"), F.lit(0.0).alias("logs"), "rare")
-    rest = found.unionByName(below_class).groupBy("row").agg(*[F.sum(c).alias(c) for c in ("more", "logs", "rare")])
-    known_more, logs, rare = (F.coalesce(c, F.lit(0)) for c in ("more", "logs", "rare"))
     below = float(np.log10(lex.tokens + lex.distinct + 1))
-    return texts.drop("cold", "times").join(rest, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + known_more).cast("long").alias("n_known"),
+    return heads.select("doc", "doc_id", "held_out", "n_tokens", "n_known", "base").join(found, "doc", "left").join(model, "doc").select(
+        F.col("doc_id").cast(docs.schema[id_col].dataType).alias("doc_id"), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"),
         F.lit(lex.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + logs - F.col("n_tokens") * F.lit(below)).alias("base_score"),
-        (F.col("model") + rare).alias("score"),
+        (F.col("base") + F.coalesce("logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(below)).alias("base_score"), "score",
     )
