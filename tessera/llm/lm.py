@@ -25,7 +25,7 @@ from zlib import crc32
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -36,26 +36,28 @@ from tessera.llm.rows import FILE, ROW, located, written
 HELD_OUT_MOD, HELD_OUT_REST = 7, 2
 CLASSES, MEMBERS = 16, 32  # classes of frequent words, and words in each
 RARE = CLASSES  # number of the class of all other words
-# Words whose counts every task knows; each other one is at most a 100,000th of the corpus.
-KNOWN_WORDS = 100_000
+# Words whose counts every task knows; each other one is at most a 300,000th of the corpus.
+KNOWN_WORDS = 300_000
 BITS = 32  # of the hash of a word; words that agree in it are one to the levels below RARE
-LEAST_CODE = 1 << 17  # hashes begin here, numbers of known words are below
+LEAST_CODE = 1 << 19  # hashes begin here, numbers of known words are below
 DIGIT_BITS = 3
 BRANCH = 1 << DIGIT_BITS
 SHARD_TOKENS = 1 << 20  # rare tokens that meet in a task, on average
 MOST_DIGITS = 5  # that name a shard; beyond, shards are parted by context
-START = (1 << BITS) - 1  # the context before the first word
+CONTEXT_BITS = 24  # of the hash of a rare word as a context
+START = (1 << CONTEXT_BITS) - 1  # the context before the first word
 FEATURES, PATH_FEATURES = 3, 2
 # Rows of a shared table: one for so many tokens, between two bounds; the upper one keeps a broadcast small.
 ROW_TOKENS, LEAST_ROWS, MOST_ROWS = 1 << 12, 1 << 14, 1 << 17
 SHARD_ROW_TOKENS, LEAST_SHARD_ROWS = 4, 1 << 12  # the same for the table of a shard, without an upper bound
-END_TOKENS = 32  # counted tokens at the end of a path, on average
+END_TOKENS = 256  # counted tokens at the end of a path, on average
 EMPTY = 1e-6  # in place of a count of 0 where the levels of a path start
 ROUNDS = 2
 CHUNK_TOKENS = 1 << 20  # of a chunk, on average; it makes an update every STEP_TOKENS
 PIECE_TOKENS = 1 << 18  # a longer text takes several rows
 MOST_PIECES = 1 << 15  # texts in a chunk
 STEP_TOKENS = 1 << 15
+TASKS_PER_CORE = 2
 RATE, DAMPING, L2 = 0.3, 2.0, 1e-3
 SALTS = 4
 BLOCK_VALUES = 1 << 14  # weights sent in one row when tasks' changes are added
@@ -90,6 +92,12 @@ def code_of(words: Iterable[bytes], n: int) -> np.ndarray:
     return np.where(code < LEAST_CODE, code + LEAST_CODE, code)
 
 
+def rare_context(code: np.ndarray) -> np.ndarray:
+    """Number of a rare word as a context, above those of frequent words."""
+    n = CLASSES * MEMBERS
+    return n + code % (START - n)
+
+
 def path_nodes(code: np.ndarray, skip: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(word, level): number of the node among those of all levels, and the digit chosen there.
 
@@ -135,7 +143,7 @@ class Lexicon:
             raise ValueError(f"at most {LEAST_CODE} words can be known")
         self.log_count = np.log10(self.counts + 1.0)
         self.code = code_of(self.number, len(self.words))
-        self.context = np.where(np.arange(len(self.words)) < n, np.arange(len(self.words)), self.code)
+        self.context = np.where(np.arange(len(self.words)) < n, np.arange(len(self.words)), rare_context(self.code))
         # logs of the shares of the classes and of the words in their class: where training starts
         known = self.counts[:n].astype(float)
         classes = np.zeros(CLASSES + 1)
@@ -198,7 +206,7 @@ class Batch:
         known = token < LEAST_CODE
         seen = np.where(known, token, 0)
         words = len(lexicon.words)
-        context = np.where(known, lexicon.context[seen], token) if words else token
+        context = np.where(known, lexicon.context[seen], rare_context(token)) if words else rare_context(token)
         one, two = np.empty_like(context), np.empty_like(context)
         one[1:], two[2:] = context[:-1], context[:-2]
         begin = np.cumsum(size) - size
@@ -536,7 +544,7 @@ CHUNKS = (
 )
 
 
-def tokenized(docs: DataFrame, lex: Lexicon, id_col: str, text_col: str) -> DataFrame:
+def tokenized(docs: DataFrame, lex: Lexicon, shared: Broadcast, id_col: str, text_col: str) -> DataFrame:
     """Two kinds of rows, written: chunks of tokens (CHUNKS up to ``tokens``) and documents (``doc_id`` and the rest).
 
     Documents are dealt to chunks by a hash of id and text, and ordered by it in a chunk, whatever the files; a
@@ -544,7 +552,6 @@ def tokenized(docs: DataFrame, lex: Lexicon, id_col: str, text_col: str) -> Data
     text is cut into pieces, each with the two words before it. Numbers of chunks and documents are final
     once written.
     """
-    shared = sent(docs.sparkSession, lex)
     n_chunks = chunk_count(lex.tokens)
     rows = located(docs.select(named(docs, id_col).alias("doc_id"), named(docs, text_col).alias("text")))
     held = (remainder(F.col("doc_id"), HELD_OUT_MOD) == HELD_OUT_REST).alias("held_out")
@@ -555,7 +562,7 @@ def tokenized(docs: DataFrame, lex: Lexicon, id_col: str, text_col: str) -> Data
     name = F.col("doc_id").cast("string").alias("doc_id")
     rows = rows.select(name, "text", held, chunk.alias("chunk"), mixed.alias("rank"), F.xxhash64(FILE, ROW).alias("place"))
     first = StructType.fromDDL(
-        "doc_id string, held_out boolean, chunk long, rank long, place long, piece int, lead int, tokens binary,"
+        "doc_id string, held_out boolean, chunk long, rank long, place long, piece int, lead int, tokens binary, size int,"
         " n_tokens long, n_known long, base double, cold string, cold_times array<int>"
     )
     second = StructType.fromDDL(CHUNKS)
@@ -579,7 +586,7 @@ def tokenized(docs: DataFrame, lex: Lexicon, id_col: str, text_col: str) -> Data
                 for k, lo in enumerate(range(0, len(ids), PIECE_TOKENS)):
                     lead = min(lo, 2)
                     rest = whole if k == 0 else (0, 0, 0.0, None, None)
-                    out.append((doc, is_held, at_chunk, rank, place, k, lead, ids[lo - lead:lo + PIECE_TOKENS].tobytes(), *rest))
+                    out.append((doc, is_held, at_chunk, rank, place, k, lead, _squeezed(ids[lo - lead:lo + PIECE_TOKENS]), min(len(ids) - lo, PIECE_TOKENS), *rest))
                 held_tokens += len(ids)
                 if held_tokens >= CHUNK_TOKENS:
                     yield _frame(out, first)
@@ -592,11 +599,12 @@ def tokenized(docs: DataFrame, lex: Lexicon, id_col: str, text_col: str) -> Data
 
         def done() -> Iterator[pd.DataFrame]:
             if pieces:
-                sizes = [len(t) // 4 for t, _ in pieces]
+                parts = [_unsqueezed(t, "<u4")[0] for t, _ in pieces]
+                sizes = [len(t) for t in parts]
                 row = {
                     "chunk": now << 20 | cut, "held_out": bool(now & 1), "turn": (now >> 1) % ROUNDS, "sizes": sizes,
                     "leads": [lead for _, lead in pieces], "times": [len(d) for d in pieces.values()],
-                    "docs": [d for of in pieces.values() for d in of], "tokens": b"".join(t for t, _ in pieces),
+                    "docs": [d for of in pieces.values() for d in of], "tokens": _squeezed(np.concatenate(parts)),
                 }
                 yield _frame([tuple(row.get(c) for c in second.names)], second)
 
@@ -617,7 +625,7 @@ def tokenized(docs: DataFrame, lex: Lexicon, id_col: str, text_col: str) -> Data
                     heads.append(tuple(row.get(c) for c in second.names))
                 known = pieces.setdefault((r.tokens, r.lead), [])
                 if not known:
-                    n += len(r.tokens) // 4
+                    n += r.size
                 known.append(doc)
             if heads:
                 yield _frame(heads, second)
@@ -637,7 +645,7 @@ def _frame(rows: list[tuple], schema: StructType) -> pd.DataFrame:
 def batches_of(row: pd.Series, lexicon: Lexicon) -> Iterator[tuple[int, Batch]]:
     """(first piece, batch) of a chunk, a bounded number of tokens at a time."""
     sizes, leads, times = (np.asarray(row[c], np.int64) for c in ("sizes", "leads", "times"))
-    token = np.frombuffer(row["tokens"], "<u4")
+    token = _unsqueezed(row["tokens"], "<u4")[0]
     end = np.cumsum(sizes)
     lo = 0
     while lo < len(sizes):
@@ -662,7 +670,7 @@ def _add_up(parts: DataFrame) -> DataFrame:
     return parts.mapInPandas(add, parts.schema)
 
 
-def train(tokens: DataFrame, lex: Lexicon, rounds: int = ROUNDS) -> Weights:
+def train(tokens: DataFrame, lex: Lexicon, known: Broadcast, rounds: int = ROUNDS) -> Weights:
     """Weights after ``rounds``; every learnable chunk takes part in one of each ROUNDS.
 
     A chunk's changes start from the shared weights and are averaged row by row, by the tokens that met
@@ -671,7 +679,6 @@ def train(tokens: DataFrame, lex: Lexicon, rounds: int = ROUNDS) -> Weights:
     """
     spark = tokens.sparkSession
     weights = Weights(table_rows(lex.tokens))
-    known = sent(spark, lex)
     for r in range(rounds):
         shared = spark.sparkContext.broadcast((weights.rows, weights.flat()))
 
@@ -690,7 +697,9 @@ def train(tokens: DataFrame, lex: Lexicon, rounds: int = ROUNDS) -> Weights:
                     yield pd.DataFrame({"block": [lo // BLOCK_VALUES], "salt": [salt], "values": [total[lo:lo + BLOCK_VALUES].astype("<f4").tobytes()]})
 
         mine = tokens.where(F.col("tokens").isNotNull() & ~F.col("held_out") & (F.col("turn") == r % ROUNDS))
-        parts = mine.select("sizes", "leads", "times", "tokens").mapInPandas(learn, "block int, salt int, values binary")
+        # chunks, not tasks, make the updates: fewer tasks only send fewer sums
+        mine = mine.select("sizes", "leads", "times", "tokens").coalesce(TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
+        parts = mine.mapInPandas(learn, "block int, salt int, values binary")
         added = _add_up(_add_up(parts.repartition("block", "salt")).repartition("block"))
         got = added.collect()  # as many numbers as the tables have
         shared.unpersist()
@@ -703,10 +712,8 @@ def train(tokens: DataFrame, lex: Lexicon, rounds: int = ROUNDS) -> Weights:
     return weights
 
 
-def _vocabulary(counts: DataFrame, lex: Lexicon) -> DataFrame:
+def _vocabulary(counts: DataFrame, shared: Broadcast) -> DataFrame:
     """Rows (shard, part, chunk -1, packed): hashes and counts of the rare words of every shard, for all its parts."""
-    shared = sent(counts.sparkSession, lex)
-
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lexicon = received(shared, Lexicon)
         n = CLASSES * MEMBERS
@@ -738,10 +745,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known
     """
     counts = written(count_words(learnable(docs, id_col, text_col)), "word-counts")
     lex = lexicon(counts, known)
-    tokens = tokenized(docs, lex, id_col, text_col)
-    weights = train(tokens, lex, rounds)
     spark = docs.sparkSession
-    shared, words = spark.sparkContext.broadcast((weights.rows, weights.flat())), sent(spark, lex)
+    words = sent(spark, lex)
+    tokens = tokenized(docs, lex, words, id_col, text_col)
+    weights = train(tokens, lex, words, rounds)
+    shared = spark.sparkContext.broadcast((weights.rows, weights.flat()))
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w, lexicon = Weights(*shared.value), received(words, Lexicon)
@@ -760,7 +768,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known
 
     fields = "shard long, part long, chunk long, held_out boolean, packed binary"
     chunks = tokens.where(F.col("tokens").isNotNull()).select("chunk", "held_out", "sizes", "leads", "times", "docs", "tokens")
-    dealt = chunks.mapInPandas(run, fields).unionByName(_vocabulary(counts, lex))
+    dealt = chunks.mapInPandas(run, fields).unionByName(_vocabulary(counts, words))
 
     def finish(group: pd.DataFrame) -> pd.DataFrame:
         """The sums of a chunk as they are, those of a shard by chunk."""
