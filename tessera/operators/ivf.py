@@ -375,16 +375,27 @@ REFINE_FORMS = ("flat", "sq8", "sq4", "fp16")
 
 def refine(
     candidates: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, form: str = "flat",
-    metric: str = "l2", id_col: str = "id", vec: str = "embedding",
+    metric: str = "l2", id_col: str = "id", vec: str = "embedding", data: str | None = None,
+    decode: Decode | None = None, probes: DataFrame | None = None,
 ) -> DataFrame:
     """Second stage: re-rank candidates (k x factor per query) on better vectors.
 
-    ``form`` is the storage of those vectors; an unknown one falls back to flat.
+    With ``decode`` the vectors are stored codes in the column ``data``, decoded only for candidates.
+    Otherwise ``form`` names a storage that vectors pass through here; an unknown one is flat. Given the
+    ``probes`` of the first stage, only their lists of a stored index are read.
     """
     m = METRICS[metric]
+    if probes is not None and "list_id" in vectors.columns:
+        rows = scale.bounded_rows(probes.select("list_id").distinct())
+        if rows is not None:
+            vectors = vectors.where(in_lists(r["list_id"] for r in rows))
+    vec = data or vec
     stored = vectors.select(id_col, vec)
     pairs = stored.join(scale.broadcast_if_small(candidates.select("qid", id_col)), id_col)
-    if form in ("sq8", "sq4"):
+    if decode is not None:
+        to_lists = F.arrow_udf(lambda col: quantize._lists(decode(col), pa.float64()), "array<double>")
+        pairs = pairs.withColumn(vec, to_lists(F.col(vec)))
+    elif form in ("sq8", "sq4"):
         codec = quantize.sq_train(vectors, 8 if form == "sq8" else 4, vec=vec)
         pairs = pairs.withColumn(vec, codec.decode(codec.encode(vec)))
     elif form == "fp16":

@@ -423,6 +423,27 @@ def mse_sweep(
     return out
 
 
+@dataclass(frozen=True)
+class HalfCodec(Codec):
+    """Half-precision numbers as codes of two bytes."""
+
+    dim: int
+
+    @property
+    def width(self) -> int:
+        return self.dim
+
+    @property
+    def code_bits(self) -> int:
+        return 16
+
+    def codes(self, x):
+        return np.ascontiguousarray(x.astype("<f2")).view("<u2")
+
+    def vectors(self, codes):
+        return np.ascontiguousarray(codes.astype("<u2")).view("<f2").astype(np.float64)
+
+
 def half_codes(vec: Column | str) -> Column:
     """Half-precision storage: little-endian float16 numbers as ``binary``."""
 

@@ -15,22 +15,13 @@ from tessera.operators import ivf
 from tessera.operators import quality as Q
 from tessera.operators import quantize as C
 from tessera.operators import search as S
-from tessera.plans.index import ASG, CENT, HITS, PQ, centers, book, found, lists, lloyd_sql, prb, r6, stored
-from tessera.plans.registry import query
+from tessera.plans.index import (
+    ASG, CENT, FACTOR, HITS, PQ, book, centers, found, levels_of, lists, lloyd_sql, prb, r6, refined, stored,
+)
+from tessera.plans.registry import kept, query
 from tessera.plans.vectors import E64, QSET, qset
 from tessera.session import work_path
 
-_kept: dict[tuple, object] = {}
-
-
-def kept(t, form: str, make):
-    """What ``make`` gives, once per session and state of the vector table's files."""
-    key = (t.spark.sparkContext.applicationId, t.version("embeddings"), form)
-    if key not in _kept:
-        _kept[key] = make()
-    return _kept[key]
-
-
 # ---------------------------------------------------------------- range
 
 
@@ -95,15 +86,15 @@ EXACT = f"""ex as (select qid, vec_id as id from {{embeddings}}, qset
 
 @query(
     "ivf_pq_recall",
-    f"with {PQ}, {RESIDUAL}, {prb(3)}, {TABLES}, {EXACT}, "
+    f"with {PQ}, {RESIDUAL}, {prb(8)}, {TABLES}, {EXACT}, "
     f"{found('round(list_distance(dv, qv), 9)', 10, 'join pqd on pqd.id = asg.id')}, "
     f"{found('list_distance(v, qv)', 10).replace('fnd as', 'flt as')} "
     + " union all ".join([recall_sql("fnd", "plain"), recall_sql("rf", "residual"), recall_sql("flt", "vectors")]),
 )
 def ivf_pq_recall(t):
-    """Recall at 10 of plain codes, residual codes and whole vectors in the same three lists."""
+    """Recall at 10 of plain codes, residual codes and whole vectors in the same eight lists."""
     c, q = centers(t), qset(t)
-    probes = ivf.probe(c, q, 3)
+    probes = ivf.probe(c, q, 8)
     exact = S.knn_batch(t.user_vectors, q, 10)
     index, codec = residual_codes(t)
     forms = {
@@ -125,6 +116,24 @@ def _recalls(exact, forms, q):
     return out
 
 
+REFINED = "select fnd.qid, fnd.id from fnd join asg on asg.id = fnd.id join qset on qset.qid = fnd.qid REST " \
+    "qualify row_number() over (partition by fnd.qid order by round(list_distance(VEC, qv), 12), fnd.id) <= 10"
+
+
+@query(
+    "ivf_refine_recall",
+    f"with {PQ}, {ASG}, {prb(8)}, {EXACT}, {found('round(list_distance(dv, qv), 9)', 10 * FACTOR, 'join pqd on pqd.id = asg.id')}"
+    f"{levels_of(4)}, r0 as ({REFINED.replace('VEC', 'v').replace('REST', '')}), "
+    f"r4 as ({REFINED.replace('VEC', 'sv').replace('REST', 'join sqd on sqd.id = fnd.id')}) "
+    + recall_sql("r0", "flat") + " union all " + recall_sql("r4", "sq4"),
+)
+def ivf_refine_recall(t):
+    """Recall at 10 after the second stage, on whole vectors and on four-bit codes."""
+    q = qset(t)
+    exact = S.knn_batch(t.user_vectors, q, 10)
+    return _recalls(exact, {"flat": refined(t, "flat"), "sq4": refined(t, "sq4")}, q)
+
+
 # ---------------------------------------------------------------- inner product
 
 # vectors of five lengths, extended to unit vectors; unit centers from the labels
@@ -193,7 +202,7 @@ def knn_approx_ip_recall(t):
 
 @query(
     "knn_approx_subquery",
-    f"""with {CENT}, {ASG}, {prb(4)}, {found('list_distance(v, qv)', 10,
+    f"""with {CENT}, {ASG}, {prb(8)}, {found('list_distance(v, qv)', 10,
         "where asg.id in (select doc_id from {documents} where lang = 'en' and n_chars > 500)")} {HITS}""",
 )
 def knn_approx_subquery(t):
@@ -201,12 +210,12 @@ def knn_approx_subquery(t):
     allowed = t.documents.where("lang = 'en' and n_chars > 500").select(F.col("doc_id").alias("id"))
     q = qset(t)
     rows = A.only_allowed(stored(t), allowed)
-    return r6(ivf.search(rows, ivf.probe(centers(t), q, 4), q, 10), "dist")
+    return r6(ivf.search(rows, ivf.probe(centers(t), q, 8), q, 10), "dist")
 
 
 @query(
     "knn_approx_join",
-    f"""with {CENT}, {ASG}, {prb(4)}, j as (select qid, id as frame_id, v.video_id, video_source, video_type, list_distance(asg.v, qv) as dist
+    f"""with {CENT}, {ASG}, {prb(8)}, j as (select qid, id as frame_id, v.video_id, video_source, video_type, list_distance(asg.v, qv) as dist
       from prb join asg using (list_id) join {{video_frame_vectors}} v on v.frame_id = asg.id join {{video_meta}} m on m.video_id = v.video_id)
     select qid, frame_id, round(dist, 6) as dist, row_number() over (partition by qid order by dist, frame_id)::int as rank,
       video_id, video_source, video_type from j qualify rank <= 10""",
@@ -220,4 +229,4 @@ def knn_approx_join(t):
         return path
 
     index = t.spark.read.parquet(kept(t, "video", make))
-    return r6(A.knn_join(index, centers(t), qset(t), t.video_meta, "video_id", 10, 4, id_col="frame_id"), "dist")
+    return r6(A.knn_join(index, centers(t), qset(t), t.video_meta, "video_id", 10, 8, id_col="frame_id"), "dist")

@@ -28,3 +28,14 @@ def query(name: str, sql: str | None = None):
         return fn
 
     return wrap
+
+
+_kept: dict[tuple, object] = {}
+
+
+def kept(t: Tables, form: str, make: Callable[[], object], table: str = "embeddings"):
+    """What ``make`` gives, once per session and state of the table's files: an index, a layout, a code book."""
+    key = (t.spark.sparkContext.applicationId, t.version(table), form)
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]

@@ -54,13 +54,15 @@ def src_tsv_vectors(t):
 
 @query(
     "sink_tsv_shards",
-    "select user_id, count(*) as n, sum(id)::bigint as ids from {user_vectors} group by 1",
+    "select user_id, id, generate_subscripts(embedding, 1) - 1 as pos, round(unnest(embedding)::double, 6) + 0.0 as x from {user_vectors}",
 )
 def sink_tsv_shards(t):
+    """Every number of every vector, read back from the text files."""
     path = work_path(t.spark, "shards")
     vector_text.write_vector_tsv(t.user_vectors.select("user_id", "id", "embedding"), path, 100)
     back = vector_text.read_vector_tsv(t.spark, path, "user_id int, id bigint")
-    return back.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+    flat = back.select("user_id", "id", F.posexplode("embedding").alias("pos", "x"))
+    return flat.select("user_id", "id", F.col("pos").cast("long").alias("pos"), (F.round(F.col("x").cast("double"), 6) + 0.0).alias("x"))
 
 
 @query("src_parquet_cols", f"select len(embedding)::int as dim, {SUM} as total from {{embeddings}}")
@@ -133,13 +135,13 @@ def src_query_vectors(t):
     "select user_id, count(*) as n, round(sum(value), 2) as total from {events} group by 1",
 )
 def stream_load_events(t):
-    """The events arrive as files; the second run of the same label adds nothing."""
-    src, out, check = (work_path(t.spark, n) for n in ("in", "table", "check"))
+    """The events arrive as files; later runs of the same label add nothing, with or without the checkpoint."""
+    src, out, check, lost = (work_path(t.spark, n) for n in ("in", "table", "check", "check"))
     t.events.select("event_id", "user_id", F.col("value").alias("v")).repartition(4).write.parquet(src)
     schema = T.StructType.fromDDL("event_id bigint, user_id bigint, v double")
     mapped = {"event_id": "event_id", "user_id": "user_id", "value": F.col("v")}
-    for _ in range(2):
-        table = stream_load(t.spark, src, schema, out, check, "events", mapped, files_per_batch=3)
+    for kept in (check, check, lost):
+        table = stream_load(t.spark, src, schema, out, kept, "events", mapped, files_per_batch=3)
     return table.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
@@ -182,13 +184,15 @@ def load_gate(t):
 
 @query(
     "tbl_bucketed",
-    "select user_id, count(*) as n, sum(id)::bigint as ids from {user_vectors} group by 1",
+    "select user_id, id, category, generate_subscripts(embedding, 1) - 1 as pos, unnest(embedding) as x from {user_vectors}",
 )
 def tbl_bucketed(t):
+    """Every number of every vector, read back from a bucketed table."""
     path = work_path(t.spark, "bucketed")
     name = "vectors_" + path.rsplit("-", 1)[1]
     table = tables.save_bucketed(t.user_vectors, name, 8, ["user_id"], ["user_id", "id"], path)
-    return table.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+    flat = table.select("user_id", "id", "category", F.posexplode("embedding").alias("pos", "x"))
+    return flat.withColumn("pos", F.col("pos").cast("long"))
 
 
 @query(

@@ -12,7 +12,9 @@ from tessera.functions.scalars import vector_text
 from tessera.functions.vectorstats import mean_vector
 from tessera.operators import hybrid
 from tessera.operators import search as S
-from tessera.plans.registry import query
+from tessera.plans.registry import kept, query
+from tessera.session import work_path
+from tessera.sources import tables
 
 # the query vector of single-query runs is row 0 of the table
 Q0 = "(select embedding::double[] from {embeddings} where vec_id = 0)"
@@ -124,7 +126,21 @@ def knn_topk(t):
     where user_id = 3 order by list_distance({E64}, {Q0}), id limit 10""",
 )
 def knn_tenant(t):
-    return _ranked(S.knn(t.user_vectors, q0(t), 10, where=F.col("user_id") == 3))
+    """One tenant of a table laid out by tenant: one bucket is read."""
+    q = kept(t, "q0", lambda: q0(t))
+    return _ranked(S.knn(tenant_layout(t), q, 10, where=F.col("user_id") == 3))
+
+
+def tenant_layout(t):
+    """The vectors bucketed and sorted by tenant, written once per state of the table's files."""
+
+    def make() -> str:
+        path = work_path(t.spark, "tenants")
+        name = "tenants_" + path.rsplit("-", 1)[1]
+        tables.save_bucketed(t.user_vectors, name, 16, ["user_id"], ["user_id", "id"], path)
+        return name
+
+    return t.spark.table(kept(t, "tenants", make))
 
 
 @query(

@@ -317,3 +317,55 @@ def test_long_lists_are_pushed_in_any_session(spark):
         assert rows.where(ivf.in_lists([])).count() == 0
     finally:
         spark.conf.set("spark.sql.parquet.pushdown.inFilterThreshold", old)
+
+
+def test_tenant_layout_reads_one_bucket(spark, data):
+    from tessera.sources import tables
+
+    x, df = data
+    # tenant 7 holds two thirds of the rows
+    rows = df.withColumn("user_id", F.when(F.col("id") % 3 > 0, 7).otherwise((F.col("id") % 20).cast("int")).cast("int"))
+    path = work_path(spark, "tenants")
+    table = tables.save_bucketed(rows, "t_" + path.rsplit("-", 1)[1], 8, ["user_id"], ["user_id", "id"], path)
+    for tenant in (7, 4, 19, 99):
+        found = S.knn(table, x[0].tolist(), 5, where=F.col("user_id") == tenant)
+        mine = [r["id"] for r in rows.where(F.col("user_id") == tenant).collect()]
+        d = np.sqrt(((x[mine] - x[0]) ** 2).sum(1)) if mine else np.empty(0)
+        assert [r["id"] for r in found.collect()] == [mine[i] for i in np.lexsort((mine, d))[:5]]
+        assert "EqualTo(user_id" in plan_of(found) and "Exchange" not in plan_of(found)
+        # the planner names the bucket only where it also keeps buckets apart; files are left out either way
+        spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")
+        try:
+            plan = plan_of(S.knn(table, x[0].tolist(), 5, where=F.col("user_id") == tenant))
+            assert "SelectedBucketsCount: 1 out of 8" in plan
+        finally:
+            spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "true")
+    files = spark.read.parquet(path).withColumn("f", F.input_file_name()).groupBy("f").agg(F.count("*").alias("n"), F.max((F.col("user_id") == 7).cast("int")).alias("hot"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        one, all_of = (t.select("id", "embedding").rdd.getNumPartitions() for t in (table.where("user_id = 4"), table))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert one < all_of
+    assert files.where("hot = 1").count() > 1  # the hot tenant is several files, which several tasks read
+
+
+@pytest.mark.parametrize("form", ["sq8", "sq4", "fp16"])
+def test_refine_over_stored_codes(spark, data, built, form):
+    x, df = data
+    _, cf, lists = built
+    codec = C.HalfCodec(12) if form == "fp16" else C.sq_train(df, 8 if form == "sq8" else 4)
+    stored = ivf.write_index(lists.select("list_id", "id", codec.encode("embedding").alias("codes")), work_path(spark, "codes"))
+    q = matrix(5, 12, 9) * 4
+    probes = ivf.probe(cf, asked(spark, q), 3)
+    cand = ivf.search(lists, probes, asked(spark, q), 40)
+    got = ranked(ivf.refine(cand, stored, asked(spark, q), 6, data="codes", decode=ivf.decoder(codec), probes=probes))
+    near = codec.vectors(codec.codes(x).astype(int))
+    held = ranked(cand)
+    for i, v in enumerate(q):
+        d = np.sqrt(((near[held[i]] - v) ** 2).sum(1))
+        assert got[i] == [held[i][j] for j in np.lexsort((held[i], d))[:6]]
+    if form == "fp16":
+        assert np.allclose(near, x.astype(np.float16))
+    plan = plan_of(ivf.refine(cand, stored, asked(spark, q), 6, data="codes", decode=ivf.decoder(codec), probes=probes))
+    assert re.search(r"PushedFilters: \[[^\n]*(In|EqualTo)\(list_id", plan)

@@ -15,7 +15,7 @@ from tessera.operators import relational as R
 from tessera.operators import checks
 from tessera.session import work_path
 from tessera.sources import generate, loads, results, tables, vector_text, xvecs
-from tessera.streaming.stream_load import stream_load
+from tessera.streaming.stream_load import Ledger, stream_load
 
 
 def explained(df):
@@ -101,6 +101,64 @@ def test_latest_per_key(spark):
     assert {(r["k"], r["v"]) for r in tables.latest_per_key(df, "k", ["seq"]).collect()} == {(1, "b"), (2, "c")}
 
 
+def _source(spark, path, lo, hi):
+    spark.range(lo, hi).selectExpr("id", "id * 2 as v").repartition(3).write.mode("append").parquet(path)
+
+
+def test_lost_checkpoint_loads_nothing_twice(spark):
+    src, out = work_path(spark, "in"), work_path(spark, "table")
+    schema = T.StructType.fromDDL("id bigint, v bigint")
+    run = lambda label="l": stream_load(spark, src, schema, out, work_path(spark, "check"), label, files_per_batch=2)
+    _source(spark, src, 0, 30)
+    assert run().count() == 30
+    assert sorted(r.id for r in run().collect()) == list(range(30))  # a new checkpoint, the same label
+    _source(spark, src, 30, 40)
+    again = run()
+    assert sorted(r.id for r in again.collect()) == list(range(40))
+    assert again.columns == ["id", "v", "label"]
+    assert run("other").count() == 80  # another label loads them for itself
+
+
+def test_folder_without_an_entry_is_no_data(spark):
+    src, out, check = (work_path(spark, n) for n in ("in", "table", "check"))
+    schema = T.StructType.fromDDL("id bigint, v bigint")
+    _source(spark, src, 0, 12)
+    broken = Ledger.commit
+    try:
+        Ledger.commit = lambda self, *a: (_ for _ in ()).throw(RuntimeError("lost"))
+        with pytest.raises(Exception):
+            stream_load(spark, src, schema, out, check, "l")
+    finally:
+        Ledger.commit = broken
+    ledger = Ledger(spark, out)
+    assert ledger.size() == 0 and ledger.table_rows(schema).count() == 0
+    assert stream_load(spark, src, schema, out, check, "l").count() == 12
+    assert ledger.entries().count() == ledger.size() > 0
+
+
+def test_one_of_two_loaders_commits(spark):
+    ledger = Ledger(spark, work_path(spark, "table"))
+    assert ledger.commit("a", "f0", ["x"], 0)
+    assert not ledger.commit("a", "f1", ["x"], 0)
+    assert ledger.commit("b", "f2", ["y", "z"], 1)
+    assert ledger.size() == 2
+    assert {(r.label, r.folder, tuple(r.files)) for r in ledger.entries().collect()} == {("a", "f0", ("x",)), ("b", "f2", ("y", "z"))}
+    assert [r.file for r in ledger.loaded("b").orderBy("file").collect()] == ["y", "z"]
+
+
+def test_even_ranges_of_uneven_positions(spark):
+    rows = [(i % 5, i) for i in range(1000)] + [(1, 10**9), (None, 4), (2, None)]
+    df = spark.createDataFrame(rows, "v int, pos long").repartition(4)
+    bounds = checks.even_bounds(df, "pos", 10, 3)
+    assert len(bounds) >= 9 and max(np.diff([0, *bounds, 1000])) < 130  # a far-out position leaves ranges even
+    assert checks.even_bounds(df, "pos", 10, 400) == pytest.approx([bounds[0], *[b for b in bounds if b >= bounds[0] + 400][:1], *[b for b in bounds if b >= bounds[0] + 800][:1]], abs=120)
+    got = {tuple(r) for r in checks.duplicates_within(df, "v", "pos", 5, 100).collect()}
+    assert got == {(i % 5, i, i + 5) for i in range(995)}
+    same = spark.createDataFrame([(1, 7)] * 50, "v int, pos long")
+    assert checks.duplicates_within(same, "v", "pos", 2, 10).count() == 49
+    assert checks.duplicates_within(same.where("pos > 9"), "v", "pos", 2, 10).count() == 0
+
+
 def test_result_repair_keeps_two_scenarios(spark):
     df = spark.createDataFrame([("distfn", "x"), ("scale", "y"), ("concscale", None)], "scenario string, dist_fn string")
     rows = {r["scenario"]: r for r in results.repair_results(df, "l2", "flat").collect()}
