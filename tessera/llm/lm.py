@@ -42,7 +42,7 @@ BITS = 32  # of the hash of a word; words that agree in it are one to the levels
 LEAST_CODE = 1 << 19  # hashes begin here, numbers of known words are below
 DIGIT_BITS = 3
 BRANCH = 1 << DIGIT_BITS
-SHARD_TOKENS = 1 << 20  # rare tokens that meet in a task, on average
+SHARD_TOKENS = 1 << 20  # rare tokens of a group of shards, which meet in a task, at most on average
 MOST_DIGITS = 5  # that name a shard; beyond, shards are parted by context
 CONTEXT_BITS = 24  # of the hash of a rare word as a context
 START = (1 << CONTEXT_BITS) - 1  # the context before the first word
@@ -133,6 +133,7 @@ class Lexicon:
     digit_bias: np.ndarray = field(default_factory=lambda: path_bias(np.zeros(1), 0))
     parts: dict[int, int] = field(default_factory=dict)  # parts of the shards that have more than the others
     least_parts: int = 1  # of every other shard
+    shared_shards: int = 1  # neighbouring shards that meet in one task
 
     def __post_init__(self):
         n = CLASSES * MEMBERS
@@ -402,14 +403,14 @@ def part_of(one: np.ndarray, two: np.ndarray, shard: np.ndarray, lex: Lexicon) -
     return ((h >> np.uint64(33)) % most).astype(np.int64)
 
 
-def _squeezed(*columns: np.ndarray) -> bytes:
+def _squeezed(*columns: np.ndarray, by: zstandard.ZstdCompressor | None = None) -> bytes:
     """Columns byte by byte, compressed."""
     raw = [np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.itemsize).T).tobytes() for c in columns]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(raw))
+    return (by or zstandard.ZstdCompressor(level=1)).compress(b"".join(raw))
 
 
-def _unsqueezed(data: bytes, *types: str) -> list[np.ndarray]:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+def _unsqueezed(data: bytes, *types: str, by: zstandard.ZstdDecompressor | None = None) -> list[np.ndarray]:
+    raw = np.frombuffer((by or zstandard.ZstdDecompressor()).decompress(data), np.uint8)
     widths = [np.dtype(t).itemsize for t in types]
     n, out, at = len(raw) // sum(widths), [], 0
     for t, k in zip(types, widths):
@@ -421,26 +422,28 @@ def _unsqueezed(data: bytes, *types: str) -> list[np.ndarray]:
 TOKEN_TYPES = ("<u2", "<u4", "<u4", "<u4", "<u4")  # piece in the chunk, the two words before, hash, times
 
 
-def _to_shards(b: Batch, lex: Lexicon) -> Iterator[tuple[int, int, bytes]]:
-    """(shard, part, tokens) of the rare tokens of a chunk."""
-    at = np.flatnonzero(~b.frequent)
-    shard = shard_of(b.code[at], lex.digits)
-    part = part_of(b.one[at], b.two[at], shard, lex)
-    order = np.lexsort((b.code[at], part, shard))
-    at, shard, part = at[order], shard[order], part[order]
-    cuts = np.flatnonzero((np.diff(shard) != 0) | (np.diff(part) != 0)) + 1
-    for i, k in zip(np.split(at, cuts) if len(at) else [], np.concatenate([[0], cuts])):
+def _to_shards(rare: Sequence[np.ndarray], lex: Lexicon, by: zstandard.ZstdCompressor) -> Iterator[tuple[int, int, bytes]]:
+    """(group of shards, part, tokens) of the rare tokens of a chunk, given as columns like TOKEN_TYPES."""
+    owner, one, two, code, times = rare
+    shard = shard_of(code, lex.digits)
+    part = part_of(one, two, shard, lex)
+    group = shard // lex.shared_shards
+    order = np.lexsort((code, part, group)) if part.any() else np.argsort(code, kind="stable")
+    owner, one, two, code, times, group, part = (x[order] for x in (owner, one, two, code, times, group, part))
+    cuts = np.flatnonzero((np.diff(group) != 0) | (np.diff(part) != 0)) + 1
+    for lo, hi in zip([0, *cuts], [*cuts, len(code)]) if len(code) else []:
         # hashes are in order: their differences compress well
-        code = np.diff(b.code[i], prepend=0)
-        yield int(shard[k]), int(part[k]), _squeezed(*[x.astype(t) for x, t in zip((b.owner[i], b.one[i], b.two[i], code, b.times[i]), TOKEN_TYPES)])
+        columns = owner[lo:hi], one[lo:hi], two[lo:hi], np.diff(code[lo:hi], prepend=0), times[lo:hi]
+        yield int(group[lo]), int(part[lo]), _squeezed(*[x.astype(t) for x, t in zip(columns, TOKEN_TYPES)], by=by)
 
 
 def _score_shard(rows: pd.DataFrame, w: Weights, lex: Lexicon) -> pd.DataFrame:
-    """(chunk, packed): sums over the tokens of this shard per piece of a chunk."""
-    words = [_unsqueezed(x, "<u4", "<i8") for x in rows["packed"][rows["chunk"] < 0]]
+    """(chunk, packed): sums over the tokens of these shards per piece of a chunk."""
+    press, un = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+    words = [_unsqueezed(x, "<u4", "<i8", by=un) for x in rows["packed"][rows["chunk"] < 0]]
     codes, counts = (np.concatenate([x[k] for x in words]) if words else np.empty(0, t) for k, t in enumerate(("<u4", "<i8")))
     rows = rows[rows["chunk"] >= 0]
-    packed = [_unsqueezed(x, *TOKEN_TYPES) for x in rows["packed"]]
+    packed = [_unsqueezed(x, *TOKEN_TYPES, by=un) for x in rows["packed"]]
     if not packed:
         return pd.DataFrame({"chunk": pd.Series([], dtype="int64"), "packed": pd.Series([], dtype=object)})
     size = [len(x[0]) for x in packed]
@@ -448,12 +451,16 @@ def _score_shard(rows: pd.DataFrame, w: Weights, lex: Lexicon) -> pd.DataFrame:
     code = np.concatenate([np.cumsum(x[3], dtype=np.uint32) for x in packed])
     learnt = np.concatenate([x[4] for x in packed]) * np.repeat(~rows["held_out"].to_numpy(bool), size)
     del packed
-    p = shard_log10_probs(w, lex, codes, counts, one, two, code, learnt)
+    p = np.empty(len(code))
+    mine, of = shard_of(code.astype(np.int64), lex.digits), shard_of(codes.astype(np.int64), lex.digits)
+    for shard in np.unique(mine):  # each learns on its own
+        at, voc = np.flatnonzero(mine == shard), of == shard
+        p[at] = shard_log10_probs(w, lex, codes[voc], counts[voc], one[at], two[at], code[at], learnt[at])
     out = []
-    for mine, sums in zip(np.split(owner, np.cumsum(size)[:-1]), np.split(p, np.cumsum(size)[:-1])):
-        total = np.bincount(mine, sums)
-        at = np.unique(mine)
-        out.append(_squeezed(at.astype("<u2"), total[at].astype("<f4")))
+    for lo, hi in zip(np.cumsum(size) - size, np.cumsum(size)):
+        total = np.bincount(owner[lo:hi], p[lo:hi])
+        at = np.unique(owner[lo:hi])
+        out.append(_squeezed(at.astype("<u2"), total[at].astype("<f4"), by=press))
     return pd.DataFrame({"chunk": rows["chunk"].to_numpy(), "packed": out})
 
 
@@ -521,9 +528,11 @@ def lexicon(counts: DataFrame, known: int = KNOWN_WORDS) -> Lexicon:
     n = CLASSES * MEMBERS
     tokens -= np.bincount(lex.code[:n] >> shift, lex.counts[:n] + 1, len(tokens))
     least = max(1, -(-lex.rare_tokens // (BRANCH ** digits * SHARD_TOKENS)))
+    groups = min(BRANCH ** digits, power_of_two(lex.rare_tokens / SHARD_TOKENS))
+    shared = BRANCH ** digits // groups
     ways = np.ceil(tokens / (2 * SHARD_TOKENS)).astype(int)
     parts = {int(i): int(ways[i]) for i in np.flatnonzero(ways > least)}
-    return replace(lex, digits=digits, digit_bias=path_bias(tokens, digits), parts=parts, least_parts=least)
+    return replace(lex, digits=digits, digit_bias=path_bias(tokens, digits), parts=parts, least_parts=least, shared_shards=shared)
 
 
 def shard_digits(rare_tokens: int) -> int:
@@ -568,7 +577,7 @@ def tokenized(docs: DataFrame, lex: Lexicon, shared: Broadcast, id_col: str, tex
     second = StructType.fromDDL(CHUNKS)
 
     def tokenize(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lexicon = received(shared, Lexicon)
+        lexicon, press = received(shared, Lexicon), zstandard.ZstdCompressor(level=1)
         get, known = lexicon.number.get, len(lexicon.words)
         for df in batches:
             out, held_tokens = [], 0
@@ -586,7 +595,7 @@ def tokenized(docs: DataFrame, lex: Lexicon, shared: Broadcast, id_col: str, tex
                 for k, lo in enumerate(range(0, len(ids), PIECE_TOKENS)):
                     lead = min(lo, 2)
                     rest = whole if k == 0 else (0, 0, 0.0, None, None)
-                    out.append((doc, is_held, at_chunk, rank, place, k, lead, _squeezed(ids[lo - lead:lo + PIECE_TOKENS]), min(len(ids) - lo, PIECE_TOKENS), *rest))
+                    out.append((doc, is_held, at_chunk, rank, place, k, lead, _squeezed(ids[lo - lead:lo + PIECE_TOKENS], by=press), min(len(ids) - lo, PIECE_TOKENS), *rest))
                 held_tokens += len(ids)
                 if held_tokens >= CHUNK_TOKENS:
                     yield _frame(out, first)
@@ -596,15 +605,16 @@ def tokenized(docs: DataFrame, lex: Lexicon, shared: Broadcast, id_col: str, tex
 
     def chunks(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, cut, pieces, n, doc = None, 0, {}, 0, -1
+        press, un = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
         def done() -> Iterator[pd.DataFrame]:
             if pieces:
-                parts = [_unsqueezed(t, "<u4")[0] for t, _ in pieces]
+                parts = [_unsqueezed(t, "<u4", by=un)[0] for t, _ in pieces]
                 sizes = [len(t) for t in parts]
                 row = {
                     "chunk": now << 20 | cut, "held_out": bool(now & 1), "turn": (now >> 1) % ROUNDS, "sizes": sizes,
                     "leads": [lead for _, lead in pieces], "times": [len(d) for d in pieces.values()],
-                    "docs": [d for of in pieces.values() for d in of], "tokens": _squeezed(np.concatenate(parts)),
+                    "docs": [d for of in pieces.values() for d in of], "tokens": _squeezed(np.concatenate(parts), by=press),
                 }
                 yield _frame([tuple(row.get(c) for c in second.names)], second)
 
@@ -713,20 +723,29 @@ def train(tokens: DataFrame, lex: Lexicon, known: Broadcast, rounds: int = ROUND
 
 
 def _vocabulary(counts: DataFrame, shared: Broadcast) -> DataFrame:
-    """Rows (shard, part, chunk -1, packed): hashes and counts of the rare words of every shard, for all its parts."""
+    """Rows (shard, part, chunk -1, packed): hashes and counts of the rare words of every group of shards.
+
+    A shard's words go to all its parts, so that each part knows the whole vocabulary of its shards.
+    """
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lexicon = received(shared, Lexicon)
+        lexicon, press = received(shared, Lexicon), zstandard.ZstdCompressor(level=1)
         n = CLASSES * MEMBERS
         for df in batches:
             words = [w.encode() for w in df["word"]]
             rare = np.array([not 0 <= lexicon.number.get(w, -1) < n for w in words], bool)
             code, times = code_of(words, len(words))[rare], df["n"].to_numpy(np.int64)[rare]
             shard = shard_of(code, lexicon.digits)
-            order = np.argsort(shard, kind="stable")
-            for at in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(order) else []:
-                k = int(shard[at[0]])
-                parts = lexicon.parts.get(k, lexicon.least_parts)
-                yield pd.DataFrame({"shard": k, "parts": [parts], "packed": [_squeezed(code[at].astype("<u4"), times[at].astype("<i8"))]})
+            group = shard // lexicon.shared_shards
+            parts = np.full(len(code), lexicon.least_parts)
+            for k, n_parts in lexicon.parts.items():
+                parts[shard == k] = n_parts
+            order = np.lexsort((parts, group))
+            cuts = np.flatnonzero((np.diff(group[order]) != 0) | (np.diff(parts[order]) != 0)) + 1
+            found = [
+                (int(group[at[0]]), int(parts[at[0]]), _squeezed(code[at].astype("<u4"), times[at].astype("<i8"), by=press))
+                for at in (np.split(order, cuts) if len(order) else [])
+            ]
+            yield pd.DataFrame(found, columns=["shard", "parts", "packed"])
 
     rows = counts.mapInPandas(run, "shard long, parts long, packed binary")
     part = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
@@ -752,15 +771,17 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known
     shared = spark.sparkContext.broadcast((weights.rows, weights.flat()))
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w, lexicon = Weights(*shared.value), received(words, Lexicon)
+        w, lexicon, press = Weights(*shared.value), received(words, Lexicon), zstandard.ZstdCompressor(level=1)
         for df in batches:
             for _, row in df.iterrows():
                 total = np.zeros(len(row["sizes"]))
-                found: list[tuple] = []
+                rare: list[list[np.ndarray]] = []
                 for lo, b in batches_of(row, lexicon):
                     total[lo:] += np.bincount(b.owner, log10_probs(w, lexicon, b), len(total) - lo)
-                    b.owner += lo
-                    found += [(s, p, row["chunk"], bool(row["held_out"]), t) for s, p, t in _to_shards(b, lexicon)]
+                    at = np.flatnonzero(~b.frequent)
+                    rare.append([x[at].astype(t) for x, t in zip((b.owner + lo, b.one, b.two, b.code, b.times), TOKEN_TYPES)])
+                columns = [np.concatenate(x).astype(np.int64) for x in zip(*rare)]
+                found = [(s, p, row["chunk"], bool(row["held_out"]), t) for s, p, t in _to_shards(columns, lexicon, press)]
                 times = np.asarray(row["times"], "<i4").tobytes()
                 top = times + np.asarray(row["docs"], "<i8").tobytes() + total.astype("<f8").tobytes()
                 found.append((-1 - row["chunk"], 0, row["chunk"], bool(row["held_out"]), len(total).to_bytes(4, "little") + top))
@@ -783,8 +804,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known
         times = np.frombuffer(top, "<i4", n, 4)
         of = np.frombuffer(top, "<i8", int(times.sum()), 4 + 4 * n)
         total = np.frombuffer(top, "<f8", n, 4 + 4 * n + 8 * len(of)).copy()
+        un = zstandard.ZstdDecompressor()
         for x in group["packed"][~group["top"]]:
-            at, sums = _unsqueezed(x, "<u2", "<f4")
+            at, sums = _unsqueezed(x, "<u2", "<f4", by=un)
             total[at] += sums
         return pd.DataFrame({"doc": of, "model": np.repeat(total, times)})
 
