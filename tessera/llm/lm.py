@@ -50,7 +50,7 @@ FEATURES, PATH_FEATURES = 3, 2
 # Rows of a shared table: one for so many tokens, between two bounds; the upper one keeps a broadcast small.
 ROW_TOKENS, LEAST_ROWS, MOST_ROWS = 1 << 13, 1 << 14, 1 << 17
 SHARD_ROW_TOKENS, LEAST_SHARD_ROWS = 4, 1 << 12  # the same for the table of a shard, without an upper bound
-END_TOKENS = 256  # counted tokens at the end of a path, on average
+END_TOKENS = 64  # counted tokens at the end of a path, on average
 EMPTY = 1e-6  # in place of a count of 0 where the levels of a path start
 ROUNDS = 2
 CHUNK_TOKENS = 1 << 20  # of a chunk, on average; it makes an update every STEP_TOKENS
