@@ -419,8 +419,9 @@ def decoded_bytes(ids: np.ndarray, v: Vocabulary) -> bytes:
 def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids): the whole text of every row as little-endian unsigned 32-bit ids.
 
-    Special tokens in a text become their ids. NULL and empty texts have no ids; equal rows stay as many
-    as they are; other columns are not read. The vocabulary file is read on the driver and its tables,
+    Special tokens in a text become their ids. NULL and empty texts have no ids; a text of any length is
+    encoded whole, also a single run of one sign; equal rows stay as many as they are; other columns are
+    not read, whatever their names; an empty table gives an empty result. The vocabulary file is read on the driver and its tables,
     of the vocabulary's size, are broadcast.
     """
     shared = sent(docs.sparkSession, Vocabulary(vocabulary_path))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import named, whole_text
-from tessera.llm.rows import FILE, ROW, located, maybe_in, without, written
+from tessera.llm.rows import FILE, ROW, located, only, without, written
 from tessera.session import work_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -76,7 +76,7 @@ def _resolved(
     hits = written(state.where("n > 1"), "hits")
 
     # Full bytes on hits. Copies collapse before the shuffle: one row per task and different text.
-    again = maybe_in(texts, F.col("digest"), hits, F.col("digest")).where("_place_maybe")
+    again = only(texts, seen.join(hits, "digest", "left_semi"))
     variants = again.groupBy("digest", "text").agg(F.lit(1).alias("one")).groupBy("digest").agg(F.count("*").alias("k"))
     collided = written(variants.where("k > 1").select("digest").join(hits, "digest", "left_semi"), "collided")
     classes = seen.join(hits, "digest", "left")
@@ -99,7 +99,8 @@ def duplicates(
 
     Texts are equal when all their bytes are; NULL counts as empty. The largest id of a class
     stays, NULL being the smallest; of equal ids the last by file and row, so that exactly one row of
-    every class is ``kept``. Other columns are not read; an empty table gives an empty result.
+    every class is ``kept``. A text of any length is hashed and compared whole. Other columns are not read,
+    whatever their names; an empty table gives an empty result.
     """
     found = _resolved(located(docs), id_col, text_col, digest, batch_bytes)
     return found.select(

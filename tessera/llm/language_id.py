@@ -212,7 +212,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     ``lang_pred`` is ``und`` for NULL, empty and letterless texts (score 0, rejected), else the nearest
     learnt language, also where the text is rejected for its distance. Of equally near centroids the
-    first language by name wins. Equal rows stay as many as they are.
+    first language by name wins. A text of any length is read whole, a NULL id is not held out. Equal rows
+    stay as many as they are; an empty table gives an empty result, and a model of an empty table ``und``.
     """
     p = docs.select(named(docs, id_col).alias("doc_id"), predictions(named(docs, text_col), model).alias("p"))
     held = remainder(F.col("doc_id"), HELD_OUT_MOD) == HELD_OUT_REST
@@ -220,5 +221,9 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def drop_unknown(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rejected rows, all columns as they are."""
+    """``docs`` without the rejected rows, all columns as they are.
+
+    Predictions are no column, so no name can clash with them. NULL, empty and letterless texts are rejected;
+    of equal rows all go or stay; an empty table stays empty.
+    """
     return docs.where(~predictions(named(docs, text_col), model)["rejected"])

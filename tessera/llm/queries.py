@@ -92,7 +92,9 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_length_buckets")
 def op4_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    """Lengths are token counts of the public byte-level vocabulary."""
+    count = token_output.token_counts(spark, vocabulary_path("tiktoken"))
+    return packing.pack(table(spark, sf_dir, "documents"), count(F.col("text")))
 
 
 @query("op5_toxicity")

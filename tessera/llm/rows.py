@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import named
+from tessera.scale import BROADCAST_VALUES
 from tessera.session import work_path
 
 FILE, ROW = "_place_file", "_place_row"
-# Bits of the filter that lets sure survivors pass: 2 MB, whatever the table's size.
-FILTER_BITS = 24
-_MAP_BITS = 15  # bits of one bitmap made by bitmap_construct_agg
+_MAP_ROWS = 1 << 15  # rows of one bitmap made by bitmap_construct_agg
+_MAP_BYTES = (_MAP_ROWS >> 3) + 256  # with its file name
 
 
 def located(docs: DataFrame) -> DataFrame:
@@ -44,36 +44,58 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def maybe_in(df: DataFrame, key: Column, members: DataFrame, member_key: Column, bits: int = FILTER_BITS) -> DataFrame:
-    """``df`` with ``_place_maybe``: whether the hash of ``key`` is among those of ``members``.
+def _by_place(rows: DataFrame) -> DataFrame:
+    """(file, piece, bits): which rows of every file are in ``rows``, as bitmaps of 4 KB for _MAP_ROWS rows each."""
+    at = F.col(ROW)
+    return rows.where(F.col(FILE).isNotNull()).groupBy(
+        F.col(FILE).alias("_place_of"), F.expr(f"{ROW} div {_MAP_ROWS}").alias("_place_piece")
+    ).agg(F.bitmap_construct_agg((at % _MAP_ROWS).cast("long")).alias("_place_bits"))
 
-    False is sure; true may be a collision, so an exact join must follow. The filter is a bitmap of
-    2^bits bits in pieces of 4 KB, of fixed size by construction and therefore safe to broadcast.
-    """
-    h = lambda k: F.pmod(F.xxhash64(k), F.lit(1 << bits))
-    width = F.lit(1 << _MAP_BITS)
-    slot = members.select(h(member_key).alias("_place_h"))
-    pieces = slot.groupBy((F.col("_place_h") / width).cast("long").alias("_place_piece")).agg(
-        F.bitmap_construct_agg(F.col("_place_h") % width).alias("_place_bits")
-    )
-    probe = df.withColumn("_place_h", h(key)).withColumn("_place_at", F.col("_place_h") % width)
-    joined = probe.join(F.broadcast(pieces), (F.col("_place_h") / width).cast("long") == F.col("_place_piece"), "left")
-    byte = F.conv(F.hex(F.substring(F.col("_place_bits"), (F.col("_place_at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    bit = F.expr("shiftright(_place_byte, cast(_place_at % 8 as int)) & 1")
-    marked = joined.withColumn("_place_byte", F.coalesce(byte, F.lit(0))).withColumn("_place_maybe", bit == 1)
-    return marked.drop("_place_h", "_place_at", "_place_piece", "_place_bits", "_place_byte")
-
-
-def without(docs: DataFrame, losers: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (from ``located``) whose place is not in ``losers``, without place columns.
-
-    Rows that the fixed-size filter clears pass straight through; only the others are joined, so the
-    texts of most survivors are never shuffled.
+
+def marked(docs: DataFrame, members: DataFrame, room: int | None = None) -> list[DataFrame]:
+    """``docs`` (from ``located``) with ``_place_in``: whether the place of a row is among ``members``; exact.
+
+    The bitmaps of the members' files are broadcast, and where they would be more than ``room`` bytes in
+    all, the files are taken in as many groups as it takes, each scanned on its own with its bitmaps. Every
+    file is read once, and no text is shuffled, whatever the number of members.
     """
-    gone = losers.select(FILE, ROW)
-    cols = [c for c in docs.columns if c not in (FILE, ROW)]
-    marked = maybe_in(docs, F.struct(FILE, ROW), gone, F.struct(FILE, ROW))
-    keep = lambda df: df.select(*[named(df, c) for c in cols])
-    sure = keep(marked.where(~F.col("_place_maybe")))
-    checked = keep(marked.where(F.col("_place_maybe")).join(gone, [FILE, ROW], "left_anti"))
-    return sure.unionByName(checked)
+    room = 8 * BROADCAST_VALUES if room is None else room
+    cols = docs.columns
+    maps = written(_by_place(members), "places")
+    n_groups = max(1, -(-maps.count() * _MAP_BYTES // room))
+    out = []
+    for g in range(n_groups):
+        mine, own = docs, maps
+        if n_groups > 1:
+            group = lambda c: F.pmod(F.xxhash64(c), F.lit(n_groups)) == g
+            mine, own = docs.where(group(FILE)), maps.where(group("_place_of"))
+        joined = mine.join(
+            F.broadcast(own),
+            (F.col(FILE) == F.col("_place_of")) & (F.expr(f"{ROW} div {_MAP_ROWS}") == F.col("_place_piece")), "left",
+        )
+        at = F.col(ROW) % _MAP_ROWS
+        byte = F.conv(F.hex(F.substring(F.col("_place_bits"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        with_byte = joined.withColumn("_place_byte", F.coalesce(byte, F.lit(0)))
+        bit = F.expr(f"shiftright(_place_byte, cast({ROW} % 8 as int)) & 1") == 1
+        out.append(with_byte.select(*[named(with_byte, c) for c in cols], bit.alias("_place_in")))
+    return out
+
+
+def _chosen(docs: DataFrame, members: DataFrame, inside: bool, places: bool, room: int | None) -> DataFrame:
+    cols = [c for c in docs.columns if places or c not in (FILE, ROW)]
+    out = None
+    for part in marked(docs, members, room):
+        kept = part.where(F.col("_place_in") == F.lit(inside))
+        kept = kept.select(*[named(kept, c) for c in cols])
+        out = kept if out is None else out.unionByName(kept)
+    return out
+
+
+def only(docs: DataFrame, members: DataFrame, room: int | None = None) -> DataFrame:
+    """The rows of ``docs`` (from ``located``) whose place is in ``members``, with their places."""
+    return _chosen(docs, members, True, True, room)
+
+
+def without(docs: DataFrame, losers: DataFrame, room: int | None = None) -> DataFrame:
+    """The rows of ``docs`` (from ``located``) whose place is not in ``losers``, without place columns."""
+    return _chosen(docs, losers, False, False, room)

@@ -136,8 +136,8 @@ def near_duplicates(
     without words (NULL, empty, blank) have fingerprint 0 and link like any other. ``component_id`` is
     the smallest id reachable over links of at most ``max_bits`` differing bits (NULL ids come last);
     ``keep`` marks one row of every component, its smallest id, of equal ids the first by file and row.
-    Copies share one fingerprint and are never paired. Other columns are not read; an empty table
-    gives an empty result.
+    Copies share one fingerprint and are never paired. All shingles of a text of any length count, in
+    bounded steps. Other columns are not read, whatever their names; an empty table gives an empty result.
     """
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return _grouped(located(docs), id_col, text_col, shingle, max_bits).select("doc_id", hexed, "component_id", "keep")

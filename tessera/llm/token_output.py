@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import base64
 from collections import deque
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import tiktoken
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
 
 from tessera.llm.bpe import character_classes, word_starts
@@ -221,6 +222,18 @@ def pack(
     return texts.mapInPandas(run, schema)
 
 
+def token_counts(spark: SparkSession, vocabulary_path: str) -> Callable[[Column], Column]:
+    """A function of a text column: the number of ids of every text, 0 for NULL."""
+    shared = sent(spark, Tokenizer(vocabulary_path))
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encode = received(shared, Tokenizer).encode
+        for texts in batches:
+            yield pd.Series([len(encode(t)) for t in texts], dtype="int64")
+
+    return F.pandas_udf(run, "long")
+
+
 def write(docs: DataFrame, path: str, vocabulary_path: str, **options) -> DataFrame:
     """``pack`` written as Parquet at ``path``; returns what was written."""
     out = pack(docs, vocabulary_path, **options)

@@ -124,8 +124,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS,
     """(text, label, weight) of at most ``rows`` labelled texts outside the held-out part.
 
     Of each label the rows with the smallest hash of the id, at most half of ``rows`` (bounded, hence
-    broadcast to the scan of the texts, which are not shuffled). An id with several labels counts as
-    toxic if one of them says so. ``weight`` restores the labels' shares.
+    broadcast to the scan of the texts, which are not shuffled). Equal hashes are told apart by the id. An id
+    with several labels, equal or not, is one, toxic if one of them says so; a NULL id or label is none.
+    ``weight`` restores the labels' shares.
     """
     key = named(labels, id_col)
     mine = labels.where(
@@ -264,9 +265,11 @@ def score(text: Column, model: Model) -> Column:
 
 
 def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row; other columns are not read.
+    """(doc_id, held_out, score, predicted) of every row; other columns are not read, whatever their names.
 
-    Equal rows stay as many as they are; an empty table gives an empty result.
+    NULL and empty texts get the score of no feature, a text of any length is read whole, a score of exactly
+    0.5 counts as toxic, and a NULL id is not held out. Equal rows stay as many as they are; an empty
+    table gives an empty result.
     """
     scored = docs.select(named(docs, id_col).alias("doc_id"), score(named(docs, text_col), model).alias("score"))
     held = remainder(F.col("doc_id"), HELD_OUT_MOD) == HELD_OUT_REST
@@ -274,5 +277,9 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """``docs`` without the rows that score ``threshold`` or more, all columns as they are."""
+    """``docs`` without the rows that score ``threshold`` or more, all columns as they are.
+
+    Scores are no column, so no name can clash with them. NULL and empty texts are scored like any other; of
+    equal rows all go or stay; an empty table stays empty.
+    """
     return docs.where(score(named(docs, text_col), model) < threshold)

@@ -155,7 +155,8 @@ def judge(
     The longest rule that fits decides (a tie: block). Where none fits, ``rule`` is NULL and a URL is
     blocked if its host matches one of ``block_hosts``, else allowed. A NULL URL, or one without
     ``://``, has an empty host and path and is allowed unless a glob covers the empty host. One row per
-    input row, equal rows included; other columns are not read; an empty table gives no rows.
+    input row, equal rows included; a URL of any length is matched whole; other columns are not read,
+    whatever their names; an empty table gives no rows.
     """
     ranked = sorted(rules, key=lambda r: (-len(r.text), r.allow, r.text))
     globs = [g for r in ranked for g in r.globs()] + [g for h in block_hosts for g in (h, h + "/**")]

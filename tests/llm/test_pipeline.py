@@ -1,9 +1,8 @@
 """The pipeline against plain Python over the same documents, stage by stage."""
 
-import re
-
 import corpus_pipeline
-from tessera.llm import language_id, toxicity
+from tessera.llm import bpe, language_id, toxicity
+from tessera.llm.queries import vocabulary_path
 from tests.conftest import SF
 from tests.llm import odd
 from tests.llm.test_simhash import groups, slow_fingerprint
@@ -35,8 +34,9 @@ def test_stages_against_brute_force(spark):
         if name != "packing":
             assert docs.columns == columns
             assert {r.doc_id: r.text for r in docs.collect()} == left, name
-    words = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t)) for i, t in left.items()}
-    assert {r.doc_id: r.n_tokens for r in docs.collect()} == words
+    encoder = bpe.Vocabulary(vocabulary_path("json")).encoder
+    tokens = {i: len(encoder.encode([t])[0]) for i, t in left.items()}
+    assert {r.doc_id: r.n_tokens for r in docs.collect()} == tokens
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()} == set(left)
 
 

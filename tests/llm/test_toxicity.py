@@ -1,4 +1,8 @@
+import math
 import random
+from zlib import crc32
+
+import numpy as np
 
 from tessera.llm import toxicity
 from tests.conftest import SF
@@ -83,3 +87,88 @@ def test_odd_labels(spark):
     none = toxicity.fit(odd.table(spark), labels.limit(0))
     assert none.scorer()("anything") == 0.5
     assert toxicity.fit(odd.empty(spark), labels).scorer()("") == 0.5
+
+
+def plain_features(text):
+    """Words, their first letters, and first letters that several different words share."""
+    words, cur = set(), ""
+    for ch in (text or "").lower() + " ":
+        if ch.isalpha():
+            cur += ch
+        else:
+            if cur:
+                words.add(cur)
+            cur = ""
+    have = {}
+    for w in words:
+        for f in [w] + [w[:n] + "-" for n in (4, 5, 6, 7) if len(w) > n]:
+            have[f] = have.get(f, 0) + 1
+    return set(have) | {f"{f}{k}" for f, n in have.items() for k in (2, 3) if n >= k}
+
+
+def test_scores_by_brute_force(spark):
+    """Every score of the query's documents from the model's weights, word by word."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in toxicity.classify(docs, model).collect():
+        z = model.bias + sum(model.weights.get(f, 0.0) for f in plain_features(texts[r.doc_id]))
+        assert math.isclose(r.score, 1 / (1 + math.exp(-z)), rel_tol=1e-9, abs_tol=1e-12)
+        assert r.predicted == (r.score >= 0.5)
+        assert r.held_out == (crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def plain_solve(rows, label, weight, pairs, n, l2, counterfactual, steps, drop):
+    """The same steps on plain lists, one text and one pair after another."""
+    total = sum(weight)
+    prior = sum(w * y for w, y in zip(weight, label)) / total
+    w = [0.0] * n + [math.log(max(prior, 1e-6) / max(1 - prior, 1e-6))]
+    m, v = [0.0] * (n + 1), [0.0] * (n + 1)
+    chance = np.random.default_rng(7)
+    for t in range(1, steps + 1):
+        kept = iter(chance.random(sum(map(len, rows))) >= drop)
+        g = [2 * l2 * x for x in w[:n]] + [0.0]
+        for fs, y, share in zip(rows, label, weight):
+            use = [f for f in fs if next(kept)]
+            z = sum(w[f] for f in use) + w[n]
+            d = share / total * (1 / (1 + math.exp(-z)) - y)
+            for f in [*use, n]:
+                g[f] += d
+        for a, b in pairs:
+            diff = 2 * counterfactual / len(pairs) * (sum(w[f] for f in a) - sum(w[f] for f in b))
+            for f in a:
+                g[f] += diff
+            for f in b:
+                g[f] -= diff
+        for i in range(n + 1):
+            m[i] = 0.9 * m[i] + 0.1 * g[i]
+            v[i] = 0.999 * v[i] + 0.001 * g[i] ** 2
+            w[i] -= 0.1 * (m[i] / (1 - 0.9**t)) / (math.sqrt(v[i] / (1 - 0.999**t)) + 1e-12)
+            if i < n:
+                w[i] = max(w[i], 0.0)
+    return w[:n], w[n]
+
+
+def test_solve_by_brute_force():
+    rng = np.random.default_rng(3)
+    rows = [np.sort(rng.choice(12, rng.integers(0, 6), replace=False)) for _ in range(40)]
+    label = np.array([float(0 in r or (5 in r and 2 in r)) for r in rows])
+    weight = rng.uniform(0.5, 2, 40)
+    pairs = [(rows[i], np.sort(rng.choice(12, 3, replace=False))) for i in range(0, 40, 5)]
+    for counterfactual in (0.0, 1.0):
+        got = toxicity.solve(rows, label, weight, pairs, 12, 1e-4, counterfactual, 60, 0.3)
+        want = plain_solve([r.tolist() for r in rows], label, weight, [(a.tolist(), b.tolist()) for a, b in pairs], 12, 1e-4, counterfactual, 60, 0.3)
+        assert np.allclose(got[0], want[0], atol=1e-6) and math.isclose(got[1], want[1], abs_tol=1e-6)
+
+
+def test_long_texts_ties_and_clashing_names(spark):
+    """A text of some megabytes, equal and contradicting labels, columns with the operator's own names."""
+    long = "plain words here " * 200_000
+    rows = [(i, "you jerk word" if i % 2 else "a kind word", 1.0, 2) for i in range(40)] + [(100, long, 1.0, 2), (101, long + " jerk", 1.0, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, predicted int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(2, 0), (4, 1), (None, 1), (7, None)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    found = {r.doc_id: r for r in toxicity.classify(docs, model).collect()}
+    assert found[100].predicted == 0 and found[101].predicted == 1
+    left = toxicity.drop_toxic(docs, model)
+    assert left.schema == docs.schema and {r.doc_id for r in left.collect()} == {i for i, r in found.items() if not r.predicted}
