@@ -276,6 +276,8 @@ def search_bits(
     or stored codes in ``code`` as :func:`encode_bits` made them with the same centers and seed.
     """
     mid = centers if centered else np.zeros((1, centers.shape[1]))
+    if mid.size + mid.shape[1] * 2 * mid.shape[1] > scale.BROADCAST_VALUES:
+        raise ValueError("centers and rotation exceed what may be broadcast; code around zero with centered=False or use fewer lists")
     model = vectors.sparkSession.sparkContext.broadcast((mid, quantize.rotation(mid.shape[1], seed)))
 
     def codec_of(lst: int) -> quantize.BitCodec:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -137,6 +138,48 @@ def knn_batch(
     return best.select(F.col("qid").alias(qid), F.col("id").alias(id_col), "dist", "rank")
 
 
+def knn_batch_metrics(
+    vectors: DataFrame, queries: DataFrame, k: int, metrics: Sequence[str], id_col: str = "id",
+    vec: str = "embedding", qid: str = "qid", qvec: str = "qvec",
+) -> DataFrame:
+    """:func:`knn_batch` under several metrics in one scan: ``(metric, qid, id, dist, rank)``.
+
+    Each task keeps k rows per query and metric. A query set beyond the broadcast bound takes one grid per metric.
+    """
+    rows = scale.bounded_vectors(queries, qid, qvec)
+    if rows is None:
+        parts = [knn_grid(vectors, queries, k, m, id_col, vec, qid, qvec).select(F.lit(m).alias("metric"), qid, id_col, "dist", "rank") for m in metrics]
+        return reduce(DataFrame.unionByName, parts)
+    rows = [r for r in rows if r[qvec] is not None]
+    dim = len(rows[0][qvec]) if rows else 0
+    names = list(metrics)
+    sent = vectors.sparkSession.sparkContext.broadcast(
+        ([r[qid] for r in rows], np.array([r[qvec] for r in rows], dtype=np.float64).reshape(len(rows), dim)))
+    types = arrow_types(queries.schema[qid], vectors.schema[id_col])
+    qtype = queries.schema[qid].dataType.simpleString()
+    itype = vectors.schema[id_col].dataType.simpleString()
+
+    def scan(batches):
+        qids, qmat = sent.value
+        tops = [kernels.TopK(qmat, k, m) for m in names]
+        for b in batches:
+            if b.num_rows and len(qmat):
+                ids, x = b.column(0).to_numpy(zero_copy_only=False), kernels.matrix(b.column(1), qmat.shape[1])
+                for top in tops:
+                    top.add(ids, x)
+        for m, top in zip(names, tops):
+            sign = 1.0 if METRICS[m].ascending else -1.0
+            for p, ids, score in top.result():
+                hit = kernels.hits(types, qids[p], ids, score)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([m] * len(ids)), *hit.columns, pa.array(sign * score)], ["metric", "qid", "id", "dist", "key"])
+
+    source = scale.of_dimension(vectors, vec, dim)
+    local = source.select(id_col, vec).mapInArrow(scan, f"metric string, qid {qtype}, id {itype}, dist double, key double")
+    best = scale.rank_task_results(local, source, ["metric", "qid"], [F.asc("key"), F.col("id")], k, "id")
+    return best.select("metric", F.col("qid").alias(qid), F.col("id").alias(id_col), "dist", "rank")
+
+
 def knn_grid(
     vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2", id_col: str = "id",
     vec: str = "embedding", qid: str = "qid", qvec: str = "qvec",
@@ -339,7 +382,7 @@ def tenant_filter(
 
 
 __all__ = [
-    "check_identifier", "compound_search", "knn", "knn_batch", "knn_grid", "knn_param_query",
+    "check_identifier", "compound_search", "knn", "knn_batch", "knn_batch_metrics", "knn_grid", "knn_param_query",
     "parse_vector", "radius_at_percentile", "range_search", "range_search_outside",
     "sample_queries", "tenant_filter", "tenant_set", "with_distance", "within",
 ]

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from tessera import scale
 from tessera.operators import graph as G
 from tessera.operators import hybrid as H
+from tessera.operators import postings as P
 from tessera.plans.index import CENT, centers, r6
-from tessera.plans.registry import query
+from tessera.plans.registry import kept, query
 from tessera.plans.vectors import QSET, qset
+from tessera.session import work_path
 
 KNN = """p as (select a.vec_id as src, b.vec_id as dst,
       pow(list_distance(a.embedding::double[], b.embedding::double[]), 2) as dist
@@ -105,6 +107,54 @@ def graph_degree_stats(t):
     return G.degree_stats(G.union_edges(e, G.reverse(e)))
 
 
+def beam_ctes(start: str, links: str, beam: int, budget: int, tag: str = "") -> str:
+    """CTE ``seen<tag>``: (qid, seen) after all rounds from ``start`` (qid, node, dist) over ``links`` (src, dst).
+
+    ``d`` must hold (qid, node, dist). A round is one step: the nodes among the nearest ``beam`` seen ones that
+    were not expanded give their unseen neighbours, each once.
+    """
+    return f"""bs{tag} as (
+      select qid, 0 as r, [{{{{'dist': dist, 'node': node, 'done': false}}}}] as seen from {start}
+      union all
+      select qid, r + 1, list_concat(list_transform(seen, lambda s: {{{{'dist': s.dist, 'node': s.node, 'done': s.done or list_contains(todo, s.node)}}}}), fresh)
+      from (select t.qid, t.r, any_value(t.seen) as seen, any_value(t.todo) as todo, coalesce(list(distinct {{{{'dist': d.dist, 'node': d.node, 'done': false}}}})
+            filter (where d.node is not null and not list_contains(t.nodes, d.node)), []) as fresh
+          from (select qid, r, seen, list_transform(list_filter(list_sort(seen)[1:{beam}], lambda s: not s.done), lambda s: s.node) as todo,
+              list_transform(seen, lambda s: s.node) as nodes from bs{tag} where len(seen) < {budget}) t, unnest(t.todo) as u(x)
+            left join {links} l on l.src = u.x left join d on d.qid = t.qid and d.node = l.dst
+          group by t.qid, t.r)),
+    seen{tag} as materialized (select qid, arg_max(list_sort(seen), r) as seen from bs{tag} group by qid)"""
+
+
+def beam_hits(k: int, extra: str = "0", join: str = "", tag: str = "") -> str:
+    return f"""select qid, seen[rank].node as id, round(seen[rank].dist, 6) as dist, rank::int as rank, len(seen) + {extra} as computed
+    from (select *, unnest(range(1, least(len(seen), {k}) + 1)) as rank from seen{tag}) {join}"""
+
+
+def prune_ctes(out: str, cand: str, degree: int, alpha: float) -> str:
+    """CTE ``out`` (src, dst, dist): greedy pruning of ``cand`` (src, dst, dist), one candidate rank per recursion step."""
+    covers = f"{alpha}::double * pow(list_distance(y.v, c.v), 2) <= c.dist"
+    return f"""{out}_c as materialized (select src, dst, dist, embedding::double[] as v, row_number() over (partition by src order by dist, dst) as rn
+        from {cand} join {{embeddings}} on vec_id = dst),
+      {out}_g as (select vec_id as src, 0 as i, []::struct(id bigint, v double[], px double)[] as kept from {{embeddings}}
+        union all
+        select g.src, g.i + 1, case when len(kept) < {degree} and len(list_filter(kept, lambda y: {covers})) = 0
+          then list_append(kept, {{{{'id': c.dst, 'v': c.v, 'px': c.dist}}}}) else kept end
+        from {out}_g g join {out}_c c on c.src = g.src and c.rn = g.i + 1),
+      {out} as materialized (select src, k.id as dst, k.px as dist from
+        (select src, unnest(kept) as k from (select src, arg_max(kept, i) as kept from {out}_g group by src)))"""
+
+
+def braces(sql: str) -> str:
+    """Struct literals lose the doubling that keeps them apart from table marks."""
+    return sql.replace("{{", "{").replace("}}", "}")
+
+
+UND = "und as materialized (select src, dst from twoway qualify row_number() over (partition by src order by dst) <= 20)"
+D_QUERIES = """d as materialized (select qid, vec_id as node, pow(list_distance(embedding::double[], qv), 2) as dist
+        from {embeddings}, qset)"""
+
+
 def prune_sql(covers: str) -> str:
     """Greedy pruning of 24 candidates per node to 8, one candidate rank per recursion step."""
     return f"""with recursive {knn_sql(24)},
@@ -153,15 +203,102 @@ def graph_greedy_search(t):
     return r6(G.greedy_search(t.user_vectors, stored_graph(t, 10, 20), qset(t), 0), "dist")
 
 
-@query("graph_beam_search")
+@query(
+    "graph_beam_search",
+    braces(f"""with recursive {knn_sql(10)}, {BOTH}, {QSET}, {UND}, {D_QUERIES},
+      st as (select * from d where node = 0), {beam_ctes("st", "und", 16, 200)} {beam_hits(10)}"""),
+)
 def graph_beam_search(t):
-    return G.beam_search(t.user_vectors, stored_graph(t, 10, 20), qset(t), 0, 16, 200, 10)
+    return r6(G.beam_search(t.user_vectors, stored_graph(t, 10, 20), qset(t), 0, 16, 200, 10), "dist")
+
 
+# every node draws eight others by number; numbers follow the ids
+START = """nd as (select vec_id as id, row_number() over (order by vec_id) as i, count(*) over () as n from {embeddings}),
+  pick as (select distinct a.id as src, b.id as dst from (select id, n, unnest(range(1, 9)) as k from nd) a
+    join nd b on b.i = ('0x' || substr(md5(concat('42:', a.id, ':', a.k)), 1, 8))::bigint % a.n + 1 where a.id <> b.id),
+  vv as (select vec_id as id, embedding::double[] as v from {embeddings}),
+  pe as materialized (select src, dst, pow(list_distance(a.v, b.v), 2) as dist from pick join vv a on a.id = src join vv b on b.id = dst)"""
 
-@query("graph_refine_pass")
+
+@query(
+    "graph_refine_pass",
+    braces(f"""with recursive {START},
+      d as materialized (select a.id as qid, b.id as node, pow(list_distance(a.v, b.v), 2) as dist from vv a, vv b),
+      st as (select * from d where node = 0), {beam_ctes("st", "pe", 16, 64)},
+      cand as (select src, dst, min(dist) as dist from (select qid as src, s.node as dst, s.dist from
+          (select qid, unnest(seen[1:32]) as s from seen) union all from pe) where src <> dst group by all),
+      {prune_ctes("one", "cand", 8, 1.2)},
+      back as (select src, dst, min(dist) as dist from (from one union all select dst, src, dist from one) group by all),
+      {prune_ctes("two", "back", 8, 1.2)}
+    select src, dst, round(dist, 6) as dist from two"""),
+)
 def graph_refine_pass(t):
+    """One build pass for every node from a seeded start graph."""
     start = scale.cut_lineage(G.with_distances(G.random_graph(t.user_vectors, 8), t.user_vectors))
-    return G.refine_pass(t.user_vectors, start, 0, 8, 16)
+    return r6(G.refine_pass(t.user_vectors, start, 0, 8, 16), "dist")
+
+
+# ---------------------------------------------------------------- layers
+
+# levels by leading zero bits of a hash, two bits a level; on each a graph of the nodes that reach it
+LAYERS = CELLS + """, lv as (select vec_id as id, floor((31 - floor(log2(greatest(('0x' || substr(md5(concat('42:level:', vec_id)), 1, 8))::bigint, 0.5::double)))) / 2)::bigint as level
+    from {embeddings}),
+  lc as (select l.level as top, cells.* from cells join lv l on l.id = cells.id),
+  lp as (select distinct unnest(range(0, least(a.top, b.top)::bigint + 1)) as level, a.id as src, b.id as dst, pow(list_distance(a.v, b.v), 2) as dist
+    from lc a join lc b using (list_id) where a.id <> b.id),
+  lk as (select * from lp qualify row_number() over (partition by level, src order by round(dist, 12), dst) <= 10),
+  lb as (select level, src, dst, min(dist) as dist from (from lk union all select level, dst as src, src as dst, dist from lk) group by all),
+  lu as materialized (select * from lb qualify row_number() over (partition by level, src order by dst) <= 20)"""
+
+
+def layers(t):
+    """The layered graph, written once per state of the table's files."""
+
+    def make() -> str:
+        path = work_path(t.spark, "layers")
+        G.layered_graph(t.user_vectors, centers(t), 3, 10, 20).write.partitionBy("level").parquet(path)
+        return path
+
+    return t.spark.read.parquet(kept(t, "layers", make))
+
+
+@query("graph_layers", f"with {LAYERS} select level::int as level, src, dst, round(dist, 6) as dist from lu")
+def graph_layers(t):
+    return r6(layers(t).select("level", "src", "dst", "dist"), "dist")
+
+
+@query(
+    "graph_layer_counts",
+    f"""with {LAYERS}, m as (select unnest(range(0, max(level)::bigint + 1)) as level from lv),
+      c as (select m.level, count(lv.id) as nodes from m left join lv on lv.level = m.level group by m.level),
+      le as (select level, count(*) as edges from lu group by level)
+    select c.level::int as level, nodes, (sum(nodes) over (order by c.level desc))::bigint as reached, coalesce(edges, 0) as edges
+    from c left join le on le.level = c.level""",
+)
+def graph_layer_counts(t):
+    """Nodes by highest level, nodes on each level, and edges there."""
+    edges = layers(t).groupBy("level").agg(F.count("*").alias("edges"))
+    return G.level_counts(t.user_vectors).join(edges, "level", "left").select(
+        "level", "nodes", "reached", F.coalesce("edges", F.lit(0)).alias("edges"))
+
+
+@query(
+    "graph_layer_search",
+    braces(f"""with recursive {LAYERS}, {QSET}, {D_QUERIES},
+      tp as (select level::bigint as level, min(id) as node from lv where level = (select max(level) from lv) group by 1),
+      g as (select qid, tp.level, tp.node, dist, 1::bigint as computed from d join tp on tp.node = d.node
+        union all
+        select qid, case when bd < dist then level else level - 1 end, case when bd < dist then bn else node end,
+          case when bd < dist then bd else dist end, computed + c
+        from (select g.qid, g.level, g.node, g.dist, g.computed, min(d.dist) as bd, arg_min(d.node, d.dist) as bn, count(d.node) as c
+          from g left join lu on lu.level = g.level and lu.src = g.node left join d on d.qid = g.qid and d.node = lu.dst
+          where g.level > 0 group by all)),
+      st as (select * from g where level = 0), l0 as (select src, dst from lu where level = 0),
+      {beam_ctes("st", "l0", 16, 200)} {beam_hits(10, "st.computed - 1", "join st using (qid)")}"""),
+)
+def graph_layer_search(t):
+    """A climb on every level from the top, then a beam on the lowest."""
+    return r6(G.layered_search(t.user_vectors, layers(t), qset(t), 16, 200, 10), "dist")
 
 
 # ---------------------------------------------------------------- text
@@ -199,7 +336,24 @@ def asked(t):
 
 @query("bm25_rank", f"with {BM25.replace('TOPK', '10')} select qid, doc_id, round(score, 6) as score from bm")
 def bm25_rank(t):
-    """Every passage of the benchmark table as a query over all documents."""
+    """Every passage of the benchmark table as a query over all documents, from stored postings."""
+    return r6(P.bm25_search(postings(t), asked(t), 10), "score").drop("rank")
+
+
+def postings(t):
+    """The keyword index of the documents, written once per state of the table's files."""
+
+    def make() -> str:
+        path = work_path(t.spark, "postings")
+        P.write_postings(t.documents, path, block_docs=256)
+        return path
+
+    return P.read_postings(t.spark, kept(t, "postings", make, "documents"))
+
+
+@query("bm25_scan", f"with {BM25.replace('TOPK', '10')} select qid, doc_id, round(score, 6) as score from bm")
+def bm25_scan(t):
+    """The same ranking in one pass over the texts, without an index."""
     return r6(H.bm25(t.documents, asked(t), 10), "score").drop("rank")
 
 
@@ -228,7 +382,7 @@ def vec_rank(t):
     from (select qid, doc_id, rank from bm union all select qid, doc_id, rank from vr) group by all""",
 )
 def rrf_fuse(t):
-    words = H.bm25(t.documents, asked(t), 10)
+    words = P.bm25_search(postings(t), asked(t), 10)
     return r6(H.rrf([words, vector_ranking(t)]), "score")
 
 

@@ -247,6 +247,28 @@ def sink_results(t):
     return results.read_results(t.spark, path, FIELDS)
 
 
+SUMMARY = {
+    "scale": "select scale, count(*) as n, max(latency_ms) as max_ms from {search_log} group by scale",
+    "concscale": "select scale, concurrency, count(*) as n, cast(10 as bigint) as top from {search_log} group by scale, concurrency",
+    "distfn": "select query_type, cast(sum(ok) as bigint) as ok, case when max(ok) = 1 then max(latency_ms) end as max_ms from {search_log} group by query_type",
+    "cache_raw": "select event_id, latency_ms from {search_log}",
+}
+
+
+@query(
+    "sink_summary",
+    " union all by name ".join(f"select '{name}' as scenario, * from ({sql})" for name, sql in SUMMARY.items() if name != "cache_raw"),
+)
+def sink_summary(t):
+    """The combined JSON summary of scenarios with different fields, written twice and read back."""
+    path = work_path(t.spark, "summary")
+    for _ in range(2):
+        results.write_summary({name: t.sql(sql) for name, sql in SUMMARY.items()}, path)
+    back = results.read_summary(t.spark, path)
+    whole = {c: F.col(c).cast("bigint") for c in ("scale", "concurrency", "n", "top", "ok")}
+    return back.withColumns(whole)
+
+
 SCENARIOS = """case event_type when 'click' then 'scale' when 'view' then 'concscale' when 'error' then 'distfn'
     when 'signup' then 'cache_raw' else 'topk' end"""
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +36,26 @@ def append_json(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+# fixed value: scenarios of raw measurements, which the combined summary leaves out
+NOT_IN_SUMMARY = ("cache_raw",)
+
+
+def write_summary(scenarios: Mapping[str, DataFrame], path: str) -> None:
+    """The combined JSON summary: the records of every scenario below its name, as JSON lines.
+
+    A record has the fields of its scenario that are not NULL. A summary is one folder; a scenario written
+    again replaces its records.
+    """
+    for name, rows in scenarios.items():
+        if name not in NOT_IN_SUMMARY:
+            rows.write.mode("overwrite").json(f"{path}/scenario={name}")
+
+
+def read_summary(spark: SparkSession, path: str) -> DataFrame:
+    """All records with their ``scenario`` and the fields of all scenarios, NULL where a record has none."""
+    return spark.read.option("basePath", path).json(path)
+
+
 def read_results(spark: SparkSession, path: str, fields: Sequence[str]) -> DataFrame:
     """Result rows as text; blanks are empty strings."""
     schema = ", ".join(f"{f} string" for f in fields)

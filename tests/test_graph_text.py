@@ -4,6 +4,7 @@ import math
 import numpy as np
 import pytest
 from hypothesis import given, settings
+from pyspark.sql import functions as F
 from hypothesis import strategies as st
 
 from tests.conftest import as_float32, asked, brute, frame, matrix, ranked
@@ -12,6 +13,8 @@ from tessera import scale
 from tessera.operators import graph as G
 from tessera.operators import hybrid as H
 from tessera.operators import ivf
+from tessera.operators import postings as P
+from tessera.session import work_path
 
 
 @pytest.fixture(scope="module")
@@ -163,3 +166,206 @@ def test_null_texts_are_no_documents(spark, monkeypatch):
     assert scan == sorted(map(tuple, H.bm25(docs.where("text is not null"), q, 3).collect()))
     monkeypatch.setattr(scale, "BROADCAST_ROWS", 1)
     assert scan == sorted(map(tuple, H.bm25(docs, q, 3).collect()))
+
+
+# ---------------------------------------------------------------- layers, hubs, stored graphs
+
+
+@pytest.mark.parametrize("alpha", [None, 1.1])
+def test_hub_is_pruned_in_rounds(spark, alpha):
+    """One node with most of the candidates: blocks, distributed filtering, the result of one pass."""
+    rng = np.random.default_rng(2)
+    x = as_float32(rng.normal(size=(1500, 8)))
+    df = frame(spark, x).cache()
+    d = lambda a, b: float(((x[a] - x[b]) ** 2).sum())
+    pairs = [(0, j) for j in range(1, 1500)] + [(i, j) for i in range(1, 30) for j in rng.choice(1500, 12, replace=False).tolist() if i != j]
+    edges = spark.createDataFrame([(int(a), int(b), d(a, b)) for a, b in pairs], "src long, dst long, dist double").repartition(5)
+    for first in (3, 20, 5000):
+        got = neighbours(G.prune(edges, df, 10, alpha, first=first))
+        for p in {a for a, _ in pairs}:
+            cand = sorted({b for a, b in pairs if a == p}, key=lambda j: (d(p, j), j))
+            assert got[p] == greedy_cover(x, p, cand, 10, alpha), (first, p)
+
+
+def test_uncovered_rows_spread_over_tasks(spark):
+    """What is held against the kept vectors is one row per candidate, not one group per node."""
+    x = as_float32(matrix(300, 4))
+    df = frame(spark, x)
+    rest = spark.createDataFrame([(0, j, float(((x[0] - x[j]) ** 2).sum())) for j in range(50, 300)], "src long, dst long, dist double")
+    kept = spark.createDataFrame([(0, j, 0.0, True) for j in (3, 7)], "src long, dst long, dist double, pre boolean")
+    left = G._uncovered(rest, kept, df, None, "id", "embedding")
+    want = {j for j in range(50, 300) if all(((x[j] - x[y]) ** 2).sum() >= ((x[0] - x[j]) ** 2).sum() for y in (3, 7))}
+    assert {r.dst for r in left.collect()} == want
+    assert "MapInArrow" not in left._jdf.queryExecution().executedPlan().toString()
+
+
+def beam_brute(x, links, q, entry, beam, budget, k):
+    d = ((x - q) ** 2).sum(1)
+    seen, done = [entry], set()
+    while len(seen) < budget:
+        near = sorted(seen, key=lambda n: (d[n], n))[:beam]
+        todo = [n for n in near if n not in done]
+        if not todo:
+            break
+        done.update(todo)
+        for n in sorted({m for t in todo for m in links.get(t, [])} - set(seen)):
+            seen.append(n)
+    return sorted(seen, key=lambda n: (d[n], n))[:k], len(seen)
+
+
+@pytest.mark.parametrize("rows", [50_000, 3])
+def test_beam_search_over_a_stored_graph(spark, world, rows, monkeypatch):
+    x, df, edges = world
+    und = G.undirected(edges, 80)
+    links = neighbours(und)
+    path = work_path(spark, "graph")
+    v, e = G.store_graph(df, und, "g_" + path.rsplit("-", 1)[1], path, 8)
+    monkeypatch.setattr(scale, "BROADCAST_ROWS", rows)
+    q = matrix(5, 3, 8)
+    for beam, budget in ((3, 20), (8, 60)):
+        got = G.beam_search(v, e, asked(spark, q), 0, beam, budget, 6).collect()
+        for i, one in enumerate(q):
+            want, n = beam_brute(x, links, one, 0, beam, budget, 6)
+            mine = sorted((r for r in got if r["qid"] == i), key=lambda r: r["rank"])
+            assert [r["id"] for r in mine] == want and {r["computed"] for r in mine} == {n}
+
+
+def exchanges_above(plan, table):
+    """Whether an exchange lies above the scan of a table in a formatted plan's tree."""
+    lines = [line for line in plan.split("\n\n")[0].splitlines() if line.strip()]
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*"))
+    at = next(i for i, line in enumerate(lines) if table in line)
+    level = depth(lines[at])
+    for line in reversed(lines[:at]):
+        if depth(line) < level:
+            level = depth(line)
+            if "Exchange" in line:
+                return True
+    return False
+
+
+def test_only_the_frontier_moves(spark, world, monkeypatch):
+    x, df, edges = world
+    path = work_path(spark, "graph")
+    name = "g_" + path.rsplit("-", 1)[1]
+    v, e = G.store_graph(df, G.undirected(edges, 80), name, path, 8)
+    monkeypatch.setattr(scale, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(scale, "BROADCAST_VALUES", 3)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        ask = G._Asked(v, e, asked(spark, matrix(9, 3, 8)), "id", "embedding")
+        active = spark.createDataFrame([(q, n) for q in range(9) for n in range(40)], "qid long, node long")
+        hops = ask.around(active, 360)
+        scored = ask.scored(active, 360)
+        for df_, table in ((hops, f"{name}_edges"), (scored, f"{name}_nodes")):
+            tree = df_._jdf.queryExecution().executedPlan().treeString()
+            lines = tree.splitlines()
+            at = next(i for i, line in enumerate(lines) if table in line)
+            indent = len(lines[at]) - len(lines[at].lstrip(" :+-"))
+            up, level = [], indent
+            for line in reversed(lines[:at]):
+                here = len(line) - len(line.lstrip(" :+-"))
+                if here < level:
+                    up.append(line.strip(" :+-"))
+                    level = here
+            below_join = up[: next(i for i, line in enumerate(up) if "Join" in line)]
+            assert not any("Exchange" in line for line in below_join), tree
+        seen = G._Seen(spark, 8)
+        rows = active.withColumn("dist", F.col("node") * 1.0)
+        assert seen.add(rows.where("node < 20")).count() == 9 * 20
+        assert seen.add(rows.where("node < 5 and qid < 0")).count() == 0
+        assert seen.without(active).count() == 9 * 20
+        seen.drop()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_layers(spark):
+    x = as_float32(np.random.default_rng(9).uniform(size=(1000, 2)))  # long ways without layers
+    df = frame(spark, x).cache()
+    centers = ivf.centers_frame(spark, ivf.train(df, 8, rounds=3))
+    layers = scale.cut_lineage(G.layered_graph(df, centers, 3, 10, 24))
+    level = {r["id"]: r["l"] for r in df.select("id", G.node_level(F.col("id")).alias("l")).collect()}
+    rows = layers.collect()
+    assert all(min(level[r["src"]], level[r["dst"]]) >= r["level"] for r in rows)
+    counts = G.level_counts(df).orderBy("level").collect()
+    assert [r["nodes"] for r in counts] == [sum(v == lv for v in level.values()) for lv in range(len(counts))]
+    assert [r["reached"] for r in counts] == [sum(v >= lv for v in level.values()) for lv in range(len(counts))]
+    assert len(counts) >= 3 and counts[1]["reached"] < 0.4 * counts[0]["reached"]
+    top, node = G.top_node(df)
+    assert (top, node) == (max(level.values()), min(i for i, v in level.items() if v == max(level.values())))
+    q = asked(spark, x[::100] + 0.001)
+    got = G.layered_search(df, layers, q, 16, 10_000, 10)
+    want = {i: set(brute(x, v, 10)) for i, v in enumerate(x[::100] + 0.001)}
+    found = ranked(got)
+    recall = np.mean([len(want[i] & set(found[i])) / 10 for i in want])
+    flat = G.beam_search(df, layers.where("level = 0").drop("level"), q, 0, 16, 10_000, 10)
+    flat_found = ranked(flat)
+    cost = lambda f: f.groupBy("qid").agg(F.max("computed").alias("c")).agg(F.avg("c").alias("m")).head()["m"]
+    assert recall >= 0.9 and recall >= np.mean([len(want[i] & set(flat_found[i])) / 10 for i in want]) - 0.02
+    assert cost(got) < cost(flat)  # fewer computed distances than without layers
+
+
+# ---------------------------------------------------------------- stored postings
+
+
+def corpus(spark, n=600):
+    rng = np.random.default_rng(3)
+    vocabulary = np.array([f"w{i}" for i in range(400)])
+    share = 1 / np.arange(1, 401)
+    texts = [" ".join(rng.choice(vocabulary, rng.integers(0, 40), p=share / share.sum())) + (" rare" if i == 577 else "") for i in range(n)]
+    rows = [(i * 3, t) for i, t in enumerate(texts)] + [(9001, None), (9002, "W1 w1\tw2"), (9003, texts[5]), (9004, texts[5])]
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+
+
+def asks(spark):
+    return spark.createDataFrame([(0, "w1 w2 rare"), (1, "w0 w0 w3 unknown"), (2, "nothing here"), (3, ""), (4, "w200 w300 W399"), (5, "w0")], "qid long, qtext string")
+
+
+@pytest.mark.parametrize("block,first", [(16, 1), (64, 2), (10_000, 2)])
+def test_postings_equal_the_scan(spark, block, first):
+    docs, q = corpus(spark), asks(spark)
+    index = P.write_postings(docs, work_path(spark, "p"), block_docs=block)
+    assert max(r["n"] for r in index.blocks.select("n").collect()) <= block
+    for k in (1, 7, 2000):
+        want = {(r["qid"], r["rank"]): (r["doc_id"], r["score"]) for r in H.bm25(docs, q, k).collect()}
+        got = {(r["qid"], r["rank"]): (r["doc_id"], r["score"]) for r in P.bm25_search(index, q, k, first=first).collect()}
+        assert got.keys() == want.keys()
+        assert all(got[i][0] == want[i][0] and math.isclose(got[i][1], want[i][1], abs_tol=1e-8) for i in got)
+
+
+def test_blocks_out_of_reach_stay_closed(spark):
+    docs, q = corpus(spark), asks(spark)
+    index = P.write_postings(docs, work_path(spark, "p"), block_docs=16)
+    found, steps = P.search_steps(index, q, 3)
+    rows = steps.collect()
+    best = {}
+    for r in found.collect():
+        best.setdefault(r["qid"], []).append(r["score"])
+    assert 0 < sum(r["opened"] for r in rows) < len(rows)
+    rare = [r for r in rows if r["qid"] == 0]
+    assert sum(r["opened"] for r in rare) < 0.5 * len(rare)
+    for r in rows:
+        if not r["opened"]:
+            assert r["bound"] < min(best[r["qid"]])
+
+
+def test_no_text_is_read_at_query_time(spark):
+    docs = corpus(spark)
+    index = P.write_postings(docs, work_path(spark, "p"), block_docs=64)
+    weights = P.weights_of(index, asks(spark))
+    plan = weights._jdf.queryExecution().executedPlan().toString()
+    assert "In(token" in plan.replace("PushedFilters: [In(token", "In(token") and "IsNotNull(token)" in plan
+    opened = P._scored(index, scale.cut_lineage(weights), scale.cut_lineage(P.block_bounds(index, weights)))
+    text = opened._jdf.queryExecution().executedPlan().toString()
+    assert "split(" not in text and "blocks" in text
+    metadata = P.block_bounds(index, weights)._jdf.queryExecution().executedPlan().toString()
+    assert "docs" not in metadata.split("FileScan")[1].split("ReadSchema")[1][:80]
+
+
+def test_postings_of_nothing(spark):
+    docs = corpus(spark).where("doc_id < 0")
+    index = P.write_postings(docs, work_path(spark, "p"))
+    assert P.bm25_search(index, asks(spark), 5).count() == 0

@@ -112,3 +112,18 @@ def test_ranking_in_two_steps_is_the_same(spark, monkeypatch):
     plain = ranked(S.knn_batch(frame(spark, x), q, 7))
     monkeypatch.setattr(scale, "RANK_ROWS", 0)
     assert ranked(S.knn_batch(frame(spark, x), q, 7)) == plain
+
+
+@pytest.mark.parametrize("values", [8_000_000, 10])
+def test_metrics_in_one_scan(spark, monkeypatch, values):
+    from tessera import scale
+
+    x, q = as_float32(matrix(200, 5)), matrix(4, 5, 2)
+    df, qs = frame(spark, x), asked(spark, q)
+    names = ["l2", "inner_product", "cosine_similarity", "cosine_distance", "neg_inner_product"]
+    want = {m: ranked(S.knn_batch(df, qs, 6, m)) for m in names}
+    monkeypatch.setattr(scale, "BROADCAST_VALUES", values)
+    got = S.knn_batch_metrics(df, qs, 6, names)
+    for m in names:
+        assert ranked(got.where(F.col("metric") == m)) == want[m]
+    assert S.knn_batch_metrics(df, qs.where("qid < 0"), 6, names).count() == 0

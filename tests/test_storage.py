@@ -159,6 +159,18 @@ def test_even_ranges_of_uneven_positions(spark):
     assert checks.duplicates_within(same.where("pos > 9"), "v", "pos", 2, 10).count() == 0
 
 
+def test_summary_of_scenarios(spark):
+    path = work_path(spark, "summary")
+    a = spark.createDataFrame([(1, 2.5), (2, None)], "k int, ms double")
+    b = spark.createDataFrame([("x", 7)], "name string, k int")
+    results.write_summary({"scale": a, "distfn": b, "cache_raw": a}, path)
+    results.write_summary({"distfn": b.union(b)}, path)
+    rows = sorted((r.scenario, r.k, r.ms, r.name) for r in results.read_summary(spark, path).collect())
+    assert rows == [("distfn", 7, None, "x"), ("distfn", 7, None, "x"), ("scale", 1, 2.5, None), ("scale", 2, None, None)]
+    lines = [r.value for r in spark.read.text(f"{path}/scenario=scale").collect()]
+    assert sorted(lines) == ['{"k":1,"ms":2.5}', '{"k":2}']
+
+
 def test_result_repair_keeps_two_scenarios(spark):
     df = spark.createDataFrame([("distfn", "x"), ("scale", "y"), ("concscale", None)], "scenario string, dist_fn string")
     rows = {r["scenario"]: r for r in results.repair_results(df, "l2", "flat").collect()}
