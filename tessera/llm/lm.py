@@ -57,7 +57,6 @@ CHUNK_TOKENS = 1 << 20  # of a chunk, on average; it makes an update every STEP_
 PIECE_TOKENS = 1 << 18  # a longer text takes several rows
 MOST_PIECES = 1 << 15  # texts in a chunk
 STEP_TOKENS = 1 << 15
-WIDE = 32  # columns from which a table's gradient is added up cell by cell
 TASKS_PER_CORE = 2
 RATE, DAMPING, L2 = 0.3, 2.0, 1e-3
 SALTS = 4
@@ -275,19 +274,20 @@ def log10_probs(w: Weights, lex: Lexicon, b: Batch) -> np.ndarray:
 
 def _update(table: np.ndarray, squares: np.ndarray, rows: np.ndarray, p: np.ndarray) -> None:
     """One step of AdaGrad on sums, damped so that rare features move little; ``p``: softmax minus the truth."""
-    g = L2 * table
     size, width = table.shape
-    if width >= WIDE:  # a row's columns lie together: one sum over all cells for each feature
-        e, columns = p.ravel().astype(np.float64), np.arange(width)
-        for r in rows:
-            g += np.bincount((r[:, None] * width + columns).ravel(), e, size * width).reshape(size, width)
-    else:
-        flat = rows.ravel()
-        for c in range(width):
-            g[:, c] += np.bincount(flat, np.tile(p[:, c].astype(np.float64), len(rows)), size)
-    squares += g * g
+    error, g = np.ascontiguousarray(p.T, dtype=np.float64), np.empty((width, size), np.float32)
+    for c, e in enumerate(error):  # one column and feature at a time stay in the cache
+        total = np.bincount(rows[0], e, size)
+        for r in rows[1:]:
+            total += np.bincount(r, e, size)
+        g[c] = total
+    g = g.T + L2 * table
+    step = g * g
+    squares += step
+    np.sqrt(squares, out=step)
+    step += DAMPING
     g *= RATE
-    g /= np.sqrt(squares) + DAMPING
+    g /= step
     table -= g
 
 
