@@ -95,11 +95,11 @@ def parse_vector(text) -> Column:
     return F.when(ok, v)
 
 
-def to_constant(vec, q: Sequence[float], metric: str) -> Column:
-    """Score of an array column against a constant query; NULL where it is not defined.
+def query_function(q: Sequence[float], metric: str):
+    """The score against a constant query as a function of an array column, to call or to register for SQL.
 
-    Marked nondeterministic only so that Spark keeps one evaluation when the score is both
-    filtered and returned.
+    NULL where the score is not defined. Marked nondeterministic only so that Spark keeps one evaluation
+    when the score is both filtered and returned.
     """
     qa = np.array([float(x) for x in q])
 
@@ -107,7 +107,12 @@ def to_constant(vec, q: Sequence[float], metric: str) -> Column:
         s = kernels.exact_scores(kernels.matrix(col, len(qa)), qa, metric)
         return pa.array(s, mask=np.isnan(s))
 
-    return F.arrow_udf(score, "double").asNondeterministic()(as_col(vec))
+    return F.arrow_udf(score, "double").asNondeterministic()
+
+
+def to_constant(vec, q: Sequence[float], metric: str) -> Column:
+    """Score of an array column against a constant query; NULL where it is not defined."""
+    return query_function(q, metric)(as_col(vec))
 
 
 @dataclass(frozen=True)

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera import scale
-from tessera.functions.distance import METRICS, parse_vector
+from tessera.functions.distance import METRICS, parse_vector, query_function
 from tessera.functions.vectorstats import dimension
 from tessera.operators import kernels
 
@@ -311,6 +311,9 @@ def within(
 _IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]*(\.[A-Za-z_][A-Za-z0-9_]*){0,2}")
 
 
+_TO_QUERY = "tessera_distance_to_query"
+
+
 def check_identifier(name: str) -> str:
     """The name itself when it is a plain (dotted) identifier, else ValueError."""
     if not _IDENTIFIER.fullmatch(name):
@@ -322,19 +325,24 @@ def knn_param_query(
     spark: SparkSession, table: str, vector_text: str, k: int, id_col: str = "id",
     vec: str = "embedding", extra: Sequence[str] = (),
 ) -> DataFrame:
-    """L2 top-k as one SQL statement: vector text and limit bound, identifiers checked."""
+    """L2 top-k as one SQL statement: vector text and limit bound, identifiers checked.
+
+    The distance is a function registered for the parsed vector, evaluated in Arrow batches. Rows whose vector
+    is NULL or of another dimension are no candidates; text that is no vector is an error.
+    """
     for name in (table, id_col, vec, *extra):
         check_identifier(name)
     if not 0 < int(k):
         raise ValueError("k must be positive")
     cols = "".join(f"IDENTIFIER('{c}'), " for c in (id_col, *extra))
-    text = vector_text if vector_text.strip().startswith("[") else f"[{vector_text}]"
+    q = [float(x) for x in vector_text.strip().removeprefix("[").removesuffix("]").split(",")]
+    # the statement is analysed at once, so a later query may take the name over
+    spark.udf.register(_TO_QUERY, query_function(q, "l2"))
     return spark.sql(
         f"""
-        SELECT {cols} sqrt(aggregate(zip_with(IDENTIFIER(:vec), from_json(:q, 'array<double>'),
-            (x, y) -> (double(x) - y) * (double(x) - y)), 0D, (s, t) -> s + t)) AS dist
-        FROM IDENTIFIER(:table) ORDER BY dist, IDENTIFIER(:id) LIMIT :k""",
-        args={"table": table, "vec": vec, "id": id_col, "q": text, "k": int(k)},
+        SELECT {cols} {_TO_QUERY}(IDENTIFIER(:vec)) AS dist FROM IDENTIFIER(:table)
+        WHERE size(IDENTIFIER(:vec)) = :dim ORDER BY dist, IDENTIFIER(:id) LIMIT :k""",
+        args={"table": table, "vec": vec, "id": id_col, "dim": len(q), "k": int(k)},
     )
 
 

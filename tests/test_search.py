@@ -65,6 +65,15 @@ def test_bound_parameters(spark):
     frame(spark, matrix(20, 3)).createOrReplaceTempView("bound_vectors")
     hit = S.knn_param_query(spark, "bound_vectors", "0.1,0.2,0.3", 4)
     assert hit.count() == 4
+    x = as_float32(matrix(20, 3))
+    odd = frame(spark, matrix(20, 3)).unionByName(spark.createDataFrame([(90, None), (91, [1.0])], "id long, embedding array<float>"))
+    odd.createOrReplaceTempView("bound_vectors")
+    for text, q in (("[0.1, 0.2, 0.3]", [0.1, 0.2, 0.3]), ("-1,0,2e0", [-1, 0, 2])):
+        rows = S.knn_param_query(spark, "bound_vectors", text, 22).collect()
+        assert [r["id"] for r in rows] == brute(x, np.array(q), 20)
+        assert np.isclose(rows[0]["dist"], np.sqrt(((x[rows[0]["id"]] - q) ** 2).sum()))
+    with pytest.raises(ValueError):
+        S.knn_param_query(spark, "bound_vectors", "[1, x]", 4)
     for bad in ("x; drop table y", "a b", "1a", ""):
         with pytest.raises(ValueError):
             S.knn_param_query(spark, bad, "[1]", 4)
