@@ -326,7 +326,14 @@ def test_tenant_layout_reads_one_bucket(spark, data):
     # tenant 7 holds two thirds of the rows
     rows = df.withColumn("user_id", F.when(F.col("id") % 3 > 0, 7).otherwise((F.col("id") % 20).cast("int")).cast("int"))
     path = work_path(spark, "tenants")
-    table = tables.save_bucketed(rows, "t_" + path.rsplit("-", 1)[1], 8, ["user_id"], ["user_id", "id"], path)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")  # as many writers as a large table has
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        table = tables.save_bucketed(rows, "t_" + path.rsplit("-", 1)[1], 8, ["user_id"], ["user_id", "id"], path)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     for tenant in (7, 4, 19, 99):
         found = S.knn(table, x[0].tolist(), 5, where=F.col("user_id") == tenant)
         mine = [r["id"] for r in rows.where(F.col("user_id") == tenant).collect()]

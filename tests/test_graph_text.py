@@ -345,8 +345,9 @@ def test_blocks_out_of_reach_stay_closed(spark):
     for r in found.collect():
         best.setdefault(r["qid"], []).append(r["score"])
     assert 0 < sum(r["opened"] for r in rows) < len(rows)
-    rare = [r for r in rows if r["qid"] == 0]
-    assert sum(r["opened"] for r in rare) < 0.5 * len(rare)
+    # one document has the rare word: its block gives a bar that no other block reaches
+    rare = [r for r in P.search_steps(index, q, 1)[1].collect() if r["qid"] == 0]
+    assert len(rare) > 30 and sum(r["opened"] for r in rare) == P.FIRST_BLOCKS
     for r in rows:
         if not r["opened"]:
             assert r["bound"] < min(best[r["qid"]])
