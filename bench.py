@@ -23,7 +23,6 @@ HEADLINE = [
     "range_search", "compound_search", "join_vec_meta", "pq_adc_search", "sq_lut_distance",
     "ivf_assign", "ivf_search_flat", "ivf_search_sq", "ivf_search_pq", "ivf_search_rabitq",
     "ivf_refine", "knn_approx", "knn_approx_range", "knn_approx_ip", "ivf_search_pq_residual", "recall_at_k", "latency_stats", "bm25_rank", "rrf_fuse", "knn_graph_cells",
-    "graph_layer_search",
     # decision support
     *[f"tpch_q{i}" for i in range(1, 23)],
     # click log

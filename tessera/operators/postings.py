@@ -8,8 +8,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera import scale
 from tessera.operators.hybrid import BM25_B, BM25_EPSILON, BM25_K1, tokens
@@ -104,6 +107,55 @@ def _scored(index: Postings, weights: DataFrame, chosen: DataFrame) -> DataFrame
     return each.groupBy("qid", F.col("p.docs").alias("doc")).agg(F.round(F.sum(part), 9).alias("score"))
 
 
+def _scored_in_blocks(index: Postings, weights: list[Row], chosen: list[Row], k: int, qid: T.StructField) -> DataFrame:
+    """:func:`_scored` for a query set proven small: the best ``k`` per query and block.
+
+    A task turns the postings of one block into a matrix of at most ``BLOCK_DOCS`` documents and multiplies it
+    with the query weights, so no posting is repeated per query.
+    """
+    spark = index.blocks.sparkSession
+    qids, terms = sorted({r["qid"] for r in weights}), sorted({r["token"] for r in weights})
+    qpos, tpos = {q: i for i, q in enumerate(qids)}, {w: i for i, w in enumerate(terms)}
+    w, asks = np.zeros((len(terms), len(qids))), np.zeros((len(terms), len(qids)), np.float32)
+    for r in weights:
+        w[tpos[r["token"]], qpos[r["qid"]]] = r["w"]
+        asks[tpos[r["token"]], qpos[r["qid"]]] = 1
+    by: dict[int, list[int]] = {}
+    for r in chosen:
+        by.setdefault(r["block"], []).append(qpos[r["qid"]])
+    sent = spark.sparkContext.broadcast((qids, w, asks, by, index.mean_len))
+    doc = index.blocks.schema["docs"].dataType.elementType
+    schema = T.StructType([T.StructField("qid", qid.dataType), T.StructField("doc", doc), T.StructField("score", T.DoubleType())])
+    numbered = spark.createDataFrame([(t, i) for t, i in tpos.items()], "token string, t int") if terms else None
+    if numbered is None or not by:
+        return spark.createDataFrame([], schema)
+    opened = index.blocks.select("token", "block", "docs", "tfs", "lens").join(F.broadcast(numbered), "token")
+    blocks = spark.createDataFrame([(b,) for b in by], "block int")
+    opened = opened.join(F.broadcast(blocks), "block").drop("token")
+
+    def score(rows: pd.DataFrame) -> pd.DataFrame:
+        names, wm, am, of, mean = sent.value
+        asking = np.array(of[int(rows["block"].iloc[0])])
+        size = rows["docs"].map(len).to_numpy()
+        docs, at = np.unique(np.concatenate(rows["docs"].to_list()), return_inverse=True)
+        tf, length = (np.concatenate(rows[c].to_list()).astype(float) for c in ("tfs", "lens"))
+        norm = BM25_K1 * (1 - BM25_B + BM25_B * length / mean)
+        m = np.zeros((len(docs), len(rows)))
+        m[at, np.repeat(np.arange(len(rows)), size)] = tf * (BM25_K1 + 1) / (tf + norm)
+        t = rows["t"].to_numpy()
+        # the sum's last digits depend on its order: equal documents must tie
+        found = np.round(m @ wm[np.ix_(t, asking)], 9)
+        shares = ((m > 0).astype(np.float32) @ am[np.ix_(t, asking)]) > 0
+        out = []
+        for j, q in enumerate(asking):
+            hit = np.flatnonzero(shares[:, j])
+            best = hit[np.lexsort((docs[hit], -found[hit, j]))[:k]]
+            out.append(pd.DataFrame({"qid": [names[q]] * len(best), "doc": docs[best], "score": found[best, j]}))
+        return pd.concat(out)
+
+    return opened.groupBy("block").applyInPandas(score, schema)
+
+
 def bm25_search(
     index: Postings, queries: DataFrame, k: int, qid: str = "qid", qtext: str = "qtext", doc_id: str = "doc_id", first: int = FIRST_BLOCKS
 ) -> DataFrame:
@@ -123,11 +175,20 @@ def search_steps(
     bounds = scale.cut_lineage(block_bounds(index, weights))
     ahead = scale.rank_per_group(bounds, ["qid"], [F.desc("bound"), F.col("block")], first).drop("rank")
     order = [F.desc("score"), F.col("doc")]
-    top = scale.cut_lineage(scale.rank_per_group_salted(_scored(index, weights, ahead), ["qid"], order, k, "doc"))
+    rows = scale.bounded_rows(weights)
+    small = rows is not None and len({r["qid"] for r in rows}) * len({r["token"] for r in rows}) <= scale.BROADCAST_VALUES
+
+    def scored(wanted: DataFrame) -> DataFrame:
+        pairs = scale.bounded_rows(wanted.select("qid", "block")) if small else None
+        if pairs is None:
+            return _scored(index, weights, wanted)
+        return _scored_in_blocks(index, rows, pairs, k, weights.schema["qid"])
+
+    top = scale.cut_lineage(scale.rank_per_group_salted(scored(ahead), ["qid"], order, k, "doc"))
     bar = top.where(F.col("rank") == k).select("qid", F.col("score").alias("bar"))
     behind = bounds.join(ahead.select("qid", "block"), ["qid", "block"], "left_anti").join(scale.broadcast_if_small(bar), "qid", "left")
     reach = scale.cut_lineage(behind.where(F.col("bar").isNull() | (F.col("bound") + SLACK >= F.col("bar"))).drop("bar"))
-    both = top.drop("rank").unionByName(_scored(index, weights, reach))
+    both = top.drop("rank").unionByName(scored(reach))
     best = scale.rank_per_group_salted(both, ["qid"], order, k, "doc")
     chosen = ahead.select("qid", "block").unionByName(reach.select("qid", "block")).withColumn("opened", F.lit(True))
     steps = bounds.join(chosen, ["qid", "block"], "left").withColumn("opened", F.coalesce("opened", F.lit(False)))

@@ -324,9 +324,11 @@ def asks(spark):
     return spark.createDataFrame([(0, "w1 w2 rare"), (1, "w0 w0 w3 unknown"), (2, "nothing here"), (3, ""), (4, "w200 w300 W399"), (5, "w0")], "qid long, qtext string")
 
 
-@pytest.mark.parametrize("block,first", [(16, 1), (64, 2), (10_000, 2)])
-def test_postings_equal_the_scan(spark, block, first):
+@pytest.mark.parametrize("block,first,values", [(16, 1, 8_000_000), (64, 2, 8_000_000), (64, 2, 5), (10_000, 2, 8_000_000)])
+def test_postings_equal_the_scan(spark, block, first, values, monkeypatch):
+    """Both the matrices for small query sets and the join for large ones."""
     docs, q = corpus(spark), asks(spark)
+    monkeypatch.setattr(scale, "BROADCAST_VALUES", values)
     index = P.write_postings(docs, work_path(spark, "p"), block_docs=block)
     assert max(r["n"] for r in index.blocks.select("n").collect()) <= block
     for k in (1, 7, 2000):
