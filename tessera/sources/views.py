@@ -105,6 +105,16 @@ from {events}""",
 }
 
 
+# Forms for Spark that give the same rows. The number of pages is part of the events before any join: otherwise a
+# filter on a column of both events and pages counts as their join condition, and every event meets every page.
+SPARK_VIEWS = {
+    "hits": VIEWS["hits"].replace(
+        "from {events} e cross join (select count(*) as n from {pages}) s",
+        """from (select *, event_id % nullif(n, 0) as _url, (event_id * 3 + 1) % nullif(n, 0) as _referer
+    from {events} cross join (select count(*) as n from {pages})) e""",
+    ).replace("e.event_id % s.n", "e._url").replace("(e.event_id * 3 + 1) % s.n", "e._referer"),
+}
+
 _schemas: dict[tuple[str, int], StructType] = {}
 
 
@@ -118,7 +128,7 @@ class Tables:
         if name in BASE_TABLES:
             df = self._base(f"{self.sf_dir}/{name}.parquet")
         elif name in VIEWS:
-            df = self.sql(VIEWS[name])
+            df = self.sql(SPARK_VIEWS.get(name, VIEWS[name]))
         else:
             raise AttributeError(name)
         setattr(self, name, df)

@@ -90,3 +90,23 @@ def test_shifted_addresses_and_widths(spark, hits):
     assert run(spark, "cb35") == want
     widths = [sum(r["ResolutionWidth"] + i for r in hits) for i in range(90)]
     assert run(spark, "cb29") == [tuple(widths)]
+
+
+def test_filter_on_a_column_of_both_tables_keeps_the_equal_join(spark, tmp_path):
+    """A title comes from events and pages; its filter must not become the only condition of their join."""
+    ids = range(40)
+    rows = [(i, dt.datetime(2024, 1, 5), 2 + 5 * (i % 3), "click", 1.0, "") for i in ids]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(
+        f"{tmp_path}/events.parquet")
+    pages = spark.createDataFrame([(i, f"http://a.example.com/{i}", "") for i in range(4)], "page_id long, url string, html string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    for name in ("cb22", "cb37"):
+        df = catalog.QUERIES[name](spark, str(tmp_path))
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert not [x for x in plan.splitlines() if "Join" in x and "_url" not in x and "_referer" not in x and "Cross" not in x], plan
+        found = df.collect()
+        if name == "cb22":
+            assert sum(r["c"] for r in found) == 10  # every fourth event
+        else:
+            visits = [i for i in ids if i % 2 == 0 and i % 13]
+            assert sorted(r["views"] for r in found) == sorted(sum(i % 4 == k for i in visits) for k in (0, 2))
