@@ -6,6 +6,7 @@ be plain (a mounted folder) or URIs pyarrow understands.
 
 from __future__ import annotations
 
+import os
 import time
 import uuid
 from collections.abc import Iterator
@@ -24,6 +25,8 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
+from tessera.session import shared_dir
+
 # fixed values: number type per file kind
 KINDS = {"fvecs": ("<f4", pa.float32(), "float"), "ivecs": ("<i4", pa.int32(), "int")}
 RECORDS_PER_BATCH = 8192
@@ -31,19 +34,35 @@ BYTES_PER_PARTITION = 64 << 20
 
 
 def qualified(spark: SparkSession, path: str) -> str:
-    """The path as a URI on the file system that Spark itself would use.
+    """The path as a URI on the file system that Spark itself would use; mount points are resolved.
 
     A path without a scheme on the local file system of a cluster is an error: tasks would write to
-    their own disks. ``file:`` paths are taken at their word, as mounts that all machines share.
+    their own disks. ``file:`` paths and the folder of ``spark.checkpoint.dir`` are taken at their word, as
+    mounts that all machines share.
     """
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(path)
-    uri = p.getFileSystem(conf).makeQualified(p).toUri()
-    if uri.getScheme() == "file":
-        if ":" not in path.split("/")[0] and not spark.sparkContext.master.startswith("local"):
+    system = p.getFileSystem(conf)
+    uri = system.makeQualified(p).toUri()
+    if uri.getScheme() == "viewfs":
+        names = []  # of folders yet to be written
+        while not system.exists(p):
+            names.append(p.getName())
+            p = p.getParent()
+        p = system.resolvePath(p)
+        for name in reversed(names):
+            p = jvm.org.apache.hadoop.fs.Path(p, name)
+        uri = p.toUri()
+    elif uri.getScheme() == "file" and ":" not in path.split("/")[0]:
+        if not spark.sparkContext.master.startswith("local") and not _in_shared_dir(spark, path):
             raise ValueError(f"{path} is local to each machine")
-        return "file://" + uri.getPath()
-    return uri.toString()
+    return "file://" + uri.getPath() if uri.getScheme() == "file" else uri.toString()
+
+
+def _in_shared_dir(spark: SparkSession, path: str) -> bool:
+    """Whether a plain path lies in the folder named by ``spark.checkpoint.dir``, which all machines share."""
+    shared = shared_dir(spark).removeprefix("file://").removeprefix("file:")
+    return os.path.normpath(path).startswith(os.path.normpath(shared) + os.sep)
 
 
 def open_fs(path: str) -> tuple[fs.FileSystem, str]:

@@ -317,3 +317,32 @@ def test_plan_edges_at_any_depth(spark):
     assert {r["fragment"]: r["depth"] for r in deep.collect()} == {i: i for i in range(400)}
     with pytest.raises(ValueError):
         P.plan_edges(_chain(spark, {0: None, 1: 2, 2: 3, 3: 1}))
+
+
+class _Cluster:
+    """A session whose master is a cluster and whose shared folder is given by a plain path."""
+
+    def __init__(self, spark, shared):
+        self._jvm, self.conf = spark._jvm, self
+        self.sparkContext, self.shared = self, shared
+        self._jsc, self.master = spark.sparkContext._jsc, "spark://host:7077"
+
+    def get(self, key, default=None):
+        return self.shared if key == "spark.checkpoint.dir" else default
+
+
+def test_vector_files_in_a_shared_folder_without_scheme(spark, tmp_path):
+    cluster = _Cluster(spark, f"{tmp_path}/shared")
+    assert xvecs.qualified(cluster, f"{tmp_path}/shared/queries") == f"file://{tmp_path}/shared/queries"
+    for path in (f"{tmp_path}/own", f"{tmp_path}/shared-not", f"{tmp_path}/shared/../own"):
+        with pytest.raises(ValueError, match="local to each machine"):
+            xvecs.qualified(cluster, path)
+
+
+def test_vector_files_below_a_mount_of_spark(spark, tmp_path):
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.vectors.link./in", f"file://{tmp_path}")
+    x = as_float32(matrix(7, 3))
+    xvecs.write_xvecs(frame(spark, x), "viewfs://vectors/in/some/x", "fvecs", "id")
+    back = xvecs.read_xvecs(spark, "viewfs://vectors/in/some/x", "fvecs").collect()
+    assert {r["row"]: r["vec"] for r in back} == dict(enumerate(x.tolist()))
