@@ -7,7 +7,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -121,23 +121,27 @@ def range_search(
         by_list: dict[int, list[tuple[int, float]]] = {}
         for r in asked:
             by_list.setdefault(int(r["list_id"]), []).append((place[r["qid"]], r["dist"]))
-        qmat = [r["qvec"] for r in rows]
-        sent = index.sparkSession.sparkContext.broadcast((qids, qmat, by_list))
+        used = {p for of in by_list.values() for p, _ in of}
+        qmat = np.zeros((len(rows), len(rows[min(used)]["qvec"]) if used else 0))
+        for p in used:  # a query without a vector has no lists
+            qmat[p] = rows[p]["qvec"]
+        asking = {lst: (np.array([p for p, _ in of]), np.array([d for _, d in of])) for lst, of in by_list.items()}
+        sent = index.sparkSession.sparkContext.broadcast((qids, qmat, asking))
 
         def scan(batches):
-            names, qvecs, by = sent.value
+            qids, qvecs, by = sent.value
+            names = pa.array(qids, types[0])
             for b in batches:
                 if not b.num_rows:
                     continue
                 ids, away = b.column(1).to_numpy(zero_copy_only=False), b.column(3).to_numpy(zero_copy_only=False)
                 x = kernels.matrix(b.column(2))
                 for lst, at in kernels.grouped_rows(b.column(0).to_numpy(zero_copy_only=False)):
-                    for p, qdist in by.get(int(lst), ()):
-                        near = at[np.abs(away[at] - qdist) < radius + SLACK]
-                        d = kernels.exact_scores(x[near], np.asarray(qvecs[p], dtype=np.float64), "l2")
-                        hit = d < radius
-                        if hit.any():
-                            yield kernels.hits(types, names[p], ids[near[hit]], d[hit])
+                    if int(lst) in by:
+                        pos, qdist = by[int(lst)]
+                        for q, i, d in kernels.pairs_within(x[at], qvecs[pos], radius, (away[at], qdist), SLACK):
+                            yield pa.RecordBatch.from_arrays(
+                                [names.take(pa.array(pos[q])), pa.array(ids[at[i]], types[1]), pa.array(d)], ["qid", "id", "dist"])
 
         if len(by_list) <= SHELL_LISTS:
             shells = {
@@ -149,19 +153,17 @@ def range_search(
         found = read.select("list_id", id_col, vec, "center_dist").mapInArrow(scan, schema)
     if k is not None:
         best = scale.rank_per_group_salted(found, ["qid"], [F.asc("dist"), F.asc("id")], k, "id")
+    elif (lists.agg(F.sum("n").alias("n")).head()["n"] or 0) <= scale.RANK_ROWS:
+        # no query can have more rows than that
+        best = found.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("dist", "id")))
     else:
-        best = scale.row_numbers(found, ["qid"], ["dist", "id"], "rank").withColumn("rank", F.col("rank").cast("int"))
+        best = scale.row_numbers(scale.cut_lineage(found), ["qid"], ["dist", "id"], "rank").withColumn("rank", F.col("rank").cast("int"))
     return best.select("qid", F.col("id").alias(id_col), "dist", "rank")
 
 
 def _range_cells(index, probes, queries, radius, id_col, vec, schema, block: int | None = None):
     def cell(lst: int, ids: np.ndarray, x: pa.Array, names: np.ndarray, qm: np.ndarray) -> list[pd.DataFrame]:
-        out, m = [], kernels.matrix(x)
-        for name, q in zip(names, qm):
-            d = kernels.exact_scores(m, q, "l2")
-            hit = d < radius
-            out.append(pd.DataFrame({"qid": name, "id": ids[hit], "dist": d[hit]}))
-        return out
+        return [pd.DataFrame({"qid": names[q], "id": ids[i], "dist": d}) for q, i, d in kernels.pairs_within(kernels.matrix(x), qm, radius)]
 
     return ivf.list_cells(index, probes, queries, cell, schema, id_col, vec, block)
 
@@ -240,15 +242,14 @@ def search_codes(
         for lo in range(0, len(packed), CODE_BLOCK):
             for s in range(0, len(qm), QUERY_BLOCK):
                 got = sign * code_scores(by, packed[lo:lo + CODE_BLOCK], qm[s:s + QUERY_BLOCK], center, metric)
-                for j, p in enumerate(names[s:s + QUERY_BLOCK]):
-                    best.add(p, got[j], ids[lo:lo + CODE_BLOCK])
+                best.add(names[s:s + QUERY_BLOCK], got, ids[lo:lo + CODE_BLOCK])
 
     finish = lambda key: sign * (np.sqrt(np.maximum(key, 0)) if metric == "l2" else key)
 
     def cell(lst: int, ids: np.ndarray, x: pa.Array, names: np.ndarray, qm: np.ndarray) -> list[pd.DataFrame]:
-        best = kernels.Best(k)
+        best = kernels.Best(len(qm), k)
         scored(lst, x, qm, best, np.arange(len(qm)), ids)
-        return [pd.DataFrame({"qid": names[p], "id": i, "dist": finish(key)}) for p, i, key in best.result()]
+        return [pd.DataFrame({"qid": names[p], "id": i, "dist": finish(key)}) for p, i, key in best.rows()]
 
     if asked is None:
         found = ivf.list_cells(index, probes, queries, cell, schema, id_col, codes)
@@ -262,7 +263,7 @@ def search_codes(
 
         def scan(batches):
             names, qm, by = sent.value
-            best = kernels.Best(k)
+            best = kernels.Best(len(names), k)
             for b in batches:
                 if not b.num_rows:
                     continue
@@ -271,8 +272,7 @@ def search_codes(
                     asking = np.array(by.get(int(lst), []), dtype=np.int64)
                     if len(asking):
                         scored(int(lst), b.column(2).take(pa.array(at)), qm[asking], best, asking, ids[at])
-            for p, i, key in best.result():
-                yield kernels.hits(types, names[p], i, finish(key))
+            yield from kernels.all_hits(types, names, best, finish)
 
         found = index.where(ivf.in_lists(by_list)).select("list_id", id_col, codes).mapInArrow(scan, schema)
     top = scale.rank_task_results(found, index, ["qid"], [m.order("dist"), F.col("id")], k, "id")

@@ -181,8 +181,7 @@ def _search_broadcast(index, rows, asked, queries, k, metric, id_col, data, deco
             for lst, at in kernels.grouped_rows(b.column(0).to_numpy(zero_copy_only=False)):
                 if int(lst) in lists:
                     top.add(ids[at], x[at], np.array(lists[int(lst)]))
-        for p, ids, score in top.result():
-            yield kernels.hits(types, names[p], ids, score)
+        yield from kernels.all_hits(types, names, top)
 
     probed = index.where(in_lists(by_list))
     return probed.select("list_id", id_col, data).mapInArrow(
@@ -245,13 +244,10 @@ def _search_blocks(index, probes, queries, k, metric, id_col, data, decode, bloc
     itype = index.schema[id_col].dataType.simpleString()
 
     def cell(lst: int, ids: np.ndarray, data: pa.Array, names: np.ndarray, qm: np.ndarray) -> list[pd.DataFrame]:
-        x, out = decode(data), []
-        for s in range(0, len(qm), 256):
-            top = kernels.TopK(qm[s : s + 256], k, metric)
-            for r in range(0, len(x), 16384):
-                top.add(ids[r : r + 16384], x[r : r + 16384])
-            out += [pd.DataFrame({"qid": names[s + p], "id": i, "dist": d}) for p, i, d in top.result()]
-        return out
+        top = kernels.TopK(qm, k, metric)
+        for r in range(0, len(ids), 16384):
+            top.add(ids[r : r + 16384], decode(data.slice(r, 16384)))
+        return [pd.DataFrame({"qid": names[p], "id": i, "dist": d}) for p, i, d in top.rows()]
 
     return list_cells(index, probes, queries, cell, f"qid {qtype}, id {itype}, dist double", id_col, data, block)
 

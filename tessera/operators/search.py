@@ -8,8 +8,8 @@ from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -128,8 +128,7 @@ def knn_batch(
                     b.column(0).to_numpy(zero_copy_only=False),
                     kernels.matrix(b.column(1), qmat.shape[1]),
                 )
-        for p, ids, score in top.result():
-            yield kernels.hits(types, names[p], ids, score)
+        yield from kernels.all_hits(types, names, top)
 
     local = vectors.select(id_col, vec).mapInArrow(
         scan, f"qid {qtype}, id {itype}, dist double"
@@ -169,10 +168,9 @@ def knn_batch_metrics(
                     top.add(ids, x)
         for m, top in zip(names, tops):
             sign = 1.0 if METRICS[m].ascending else -1.0
-            for p, ids, score in top.result():
-                hit = kernels.hits(types, qids[p], ids, score)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([m] * len(ids)), *hit.columns, pa.array(sign * score)], ["metric", "qid", "id", "dist", "key"])
+            for hit in kernels.all_hits(types, qids, top):
+                key = pa.array(sign * hit.column(2).to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array([m] * len(hit)), *hit.columns, key], ["metric", "qid", "id", "dist", "key"])
 
     source = scale.of_dimension(vectors, vec, dim)
     local = source.select(id_col, vec).mapInArrow(scan, f"metric string, qid {qtype}, id {itype}, dist double, key double")
@@ -210,24 +208,21 @@ def knn_grid(
         every(nv).alias("vb"),
     )
 
-    def cell(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+    types = arrow_types(queries.schema[qid], vectors.schema[id_col])
+    schema = pa.schema([("qid", types[0]), ("id", types[1]), ("dist", pa.float64())])
+
+    def cell(v: pa.Table, q: pa.Table) -> pa.Table:
         if not len(v) or not len(q):
-            return pd.DataFrame({"qid": [], "id": [], "dist": []})
-        x = np.stack(v["v"].to_numpy()).astype(np.float64)
-        qmat = np.stack(q["q"].to_numpy()).astype(np.float64)
-        ids, names = v["id"].to_numpy(), q["qid"].to_numpy()
-        want = k + 1 if exclude_self else k
-        out = []
-        for s in range(0, len(qmat), 256):
-            top = kernels.TopK(qmat[s : s + 256], want, metric)
-            for r in range(0, len(x), 16384):
-                top.add(ids[r : r + 16384], x[r : r + 16384])
-            for p, found, score in top.result():
-                part = pd.DataFrame({"qid": names[s + p], "id": found, "dist": score})
-                out.append(part[part["id"] != part["qid"]] if exclude_self else part)
-        return pd.concat(out)
-
-    cells = left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInPandas(
+            return schema.empty_table()
+        plain = lambda t, c: t[c].combine_chunks()
+        top = kernels.TopK(kernels.matrix(plain(q, "q"), dim), k + 1 if exclude_self else k, metric)
+        for b in v.select(["id", "v"]).to_batches():
+            top.add(b.column(0).to_numpy(zero_copy_only=False), kernels.matrix(b.column(1), dim))
+        names = plain(q, "qid")
+        found = pa.Table.from_batches(list(kernels.all_hits(types, names, top)), schema)
+        return found.filter(pc.not_equal(found["id"], found["qid"])) if exclude_self else found
+
+    cells = left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInArrow(
         cell, f"qid {qtype}, id {itype}, dist double"
     )
     best = scale.rank_per_group_salted(cells, ["qid"], [m.order("dist"), F.col("id")], k, "id")

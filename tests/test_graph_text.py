@@ -2,6 +2,7 @@ import math
 
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from tessera import scale
 from tessera.operators import graph as G
 from tessera.operators import hybrid as H
 from tessera.operators import ivf
+from tessera.operators import kernels
 from tessera.operators import postings as P
 from tessera.session import work_path
 
@@ -372,3 +374,30 @@ def test_postings_of_nothing(spark):
     docs = corpus(spark).where("doc_id < 0")
     index = P.write_postings(docs, work_path(spark, "p"))
     assert P.bm25_search(index, asks(spark), 5).count() == 0
+
+
+# ---------------------------------------------------------------- kernels
+
+
+def test_best_rows_of_many_queries_in_arrays():
+    """Positions that come again, ties, and few batches for many queries."""
+    rng = np.random.default_rng(5)
+    x, qs = rng.integers(-2, 3, (500, 4)).astype(float), rng.integers(-2, 3, (700, 4)).astype(float)
+    top = kernels.TopK(qs, 6, "l2_sq")
+    for s in range(0, 500, 90):
+        top.add(np.arange(s, min(s + 90, 500)), x[s : s + 90])
+    d = ((qs[:, None, :] - x[None]) ** 2).sum(2)
+    order = np.argsort(d, axis=1, kind="stable")[:, :6]
+    (p, ids, score), = top.rows()
+    assert (ids.reshape(700, 6) == order).all() and (score.reshape(700, 6) == np.take_along_axis(d, order, 1)).all()
+    best = kernels.Best(700, 6)
+    for s in range(0, 500, 90):
+        best.add(np.arange(700), d[:, s : s + 90], np.arange(s, min(s + 90, 500)))
+    assert (next(best.rows())[1] == ids).all()
+    types = [pa.int64(), pa.int64()]
+    assert len(list(kernels.all_hits(types, list(range(700)), top))) == 1
+    twice = kernels.TopK(qs[:2], 4, "l2_sq")
+    twice.add(np.array([7, 8]), x[:2], np.array([0, 1, 0]))
+    assert [len(i) for _, i, _ in twice.result()] == [4, 2]
+    inside = {(int(a), int(b)) for q, i, _ in kernels.pairs_within(x, qs, 1.5) for a, b in zip(q, i)}
+    assert inside == set(zip(*map(np.ndarray.tolist, np.nonzero(np.sqrt(d) < 1.5))))
