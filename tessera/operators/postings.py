@@ -10,6 +10,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +21,8 @@ from tessera import scale
 from tessera.operators.hybrid import BM25_B, BM25_EPSILON, BM25_K1, tokens
 
 BLOCK_DOCS = 4_096
+# A block ends earlier once it has this many words.
+BLOCK_WORDS = 2_000_000
 # Blocks per query that are scored first, those that promise most; their k-th score is the bar for the rest.
 FIRST_BLOCKS = 2
 # Sums of the same numbers in another order differ by less.
@@ -40,31 +45,80 @@ def _saturated(tf, length, mean_len: float):
     return tf * (BM25_K1 + 1) / (tf + norm)
 
 
+def _block_postings(words: pa.Array, docs: pa.Array, block: int, mean_len: float) -> pa.RecordBatch:
+    """The postings of one block: rows (token, block, n, best, docs, tfs, lens) from its documents' words."""
+    lens = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = words.flatten().dictionary_encode()
+    # rows of equal id and length count as one document
+    rows = docs.dictionary_encode()
+    pairs, doc_of = np.unique(np.stack([rows.indices.to_numpy(zero_copy_only=False).astype(np.int64), lens]), axis=1, return_inverse=True)
+    each = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64) * pairs.shape[1] + np.repeat(doc_of.ravel(), lens)
+    keys, tf = np.unique(each, return_counts=True)
+    word, doc = np.divmod(keys, pairs.shape[1])
+    length = pairs[1][doc]
+    factor = tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * length / mean_len))
+    starts = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+    ends = np.append(starts, len(word))
+    listed = lambda x: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x)
+    return pa.RecordBatch.from_arrays(
+        [
+            flat.dictionary.take(pa.array(word[starts])), pa.array(np.full(len(starts), block, np.int64)), pa.array(np.diff(ends)),
+            pa.array(np.maximum.reduceat(factor, starts)), listed(rows.dictionary.take(pa.array(pairs[0][doc]))),
+            listed(pa.array(tf, pa.int32())), listed(pa.array(length, pa.int32())),
+        ],
+        ["token", "block", "n", "best", "docs", "tfs", "lens"],
+    )
+
+
 def write_postings(
     docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", block_docs: int = BLOCK_DOCS
 ) -> Postings:
     """Build the index at ``path``: ``blocks``, ``terms`` and ``totals``.
 
-    Documents in order of their ids form blocks of ``block_docs``; the postings of a word in one block are
-    one row, so a word that every document has is many rows in many tasks. Rows are clustered by word.
-    A document whose text is NULL is none.
+    Texts are dealt out once, by ranges of their ids; a task cuts its documents, in order of ids, into blocks of
+    up to ``block_docs`` and counts the words of a block, so no word leaves its task alone. The postings of a
+    word in one block are one row, so a word that every document has is many rows in many tasks. Every file is
+    sorted by word, so a search reads only the pages of its words. A document whose text is NULL is none.
     """
     spark = docs.sparkSession
     rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
-    numbered = scale.row_numbers(rows.select("doc"), [], ["doc"], "_n")
-    blocks = numbered.select("doc", F.expr(f"cast((_n - 1) div {int(block_docs)} as int)").alias("block")).distinct()
-    words = scale.spread(rows, "doc").select("doc", tokens("text").alias("words"))
-    each = words.select("doc", F.size("words").alias("len"), F.explode("words").alias("token"))
-    counted = scale.cut_lineage(each.groupBy("doc", "len", "token").agg(F.count("*").cast("int").alias("tf")))
-    totals = words.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean_len")).head()
+    totals = rows.agg(F.count("*").alias("n"), F.avg(F.size(tokens("text"))).alias("mean_len")).head()
     n_docs, mean_len = totals["n"], float(totals["mean_len"] or 1.0)
-    factor = _saturated(F.col("tf"), F.col("len"), mean_len)
-    placed = counted.join(blocks, "doc").groupBy("token", "block").agg(
-        F.count("*").alias("n"), F.max(factor).alias("best"), F.array_sort(F.collect_list(F.struct("doc", "tf", "len"))).alias("p"),
-    )
-    columns = [F.col("p")[c].alias(f"{c}s") for c in ("doc", "tf", "len")]  # a field of all structs of an array
-    stored = placed.select("token", "block", "n", "best", *columns)
-    stored.repartitionByRange("token", "block").sortWithinPartitions("token", "block").write.parquet(f"{path}/blocks")
+    dealt = rows.where(F.col("doc").isNotNull()).repartitionByRange("doc").sortWithinPartitions("doc")
+
+    def build(batches):
+        first, made = TaskContext.get().partitionId() << 32, 0
+        held, size = [], 0  # batches of the block that is being filled, its documents
+
+        def cut():
+            both = pa.Table.from_batches(held).combine_chunks()
+            return _block_postings(both["words"].combine_chunks(), both["doc"].combine_chunks(), first + made, mean_len)
+
+        last = None
+        for b in batches:
+            b = b.filter(pc.greater(pc.list_value_length(b.column(1)), 0))
+            while b.num_rows:
+                names = b.column(0).to_pylist()
+                change = np.array([x != y for x, y in zip(names, [last, *names])])  # rows of one id stay together
+                number = size + np.cumsum(change)
+                words = np.cumsum(pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False)) + sum(len(h.column(1).flatten()) for h in held)
+                over = np.flatnonzero(change & ((number > block_docs) | ((words > BLOCK_WORDS) & (number > 1))))
+                n = int(over[0]) if len(over) else b.num_rows
+                if n:
+                    held.append(b.slice(0, n))
+                    size, last = int(number[n - 1]), names[n - 1]
+                b = b.slice(n)
+                if b.num_rows:
+                    yield cut()
+                    made += 1
+                    held, size, last = [], 0, None
+        if held:
+            yield cut()
+
+    doc = rows.schema["doc"].dataType.simpleString()
+    schema = f"token string, block long, n long, best double, docs array<{doc}>, tfs array<int>, lens array<int>"
+    stored = dealt.select("doc", tokens("text").alias("words")).mapInArrow(build, schema)
+    stored.sortWithinPartitions("token", "block").write.parquet(f"{path}/blocks")
     df = spark.read.parquet(f"{path}/blocks").groupBy("token").agg(F.sum("n").alias("df"))
     raw = df.select("token", "df", (F.log(F.lit(n_docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     raw = scale.cut_lineage(raw)
@@ -110,7 +164,7 @@ def _scored(index: Postings, weights: DataFrame, chosen: DataFrame) -> DataFrame
 def _scored_in_blocks(index: Postings, weights: list[Row], chosen: list[Row], k: int, qid: T.StructField) -> DataFrame:
     """:func:`_scored` for a query set proven small: the best ``k`` per query and block.
 
-    A task turns the postings of one block into a matrix of at most ``BLOCK_DOCS`` documents and multiplies it
+    ``chosen``: rows (block, qids). A task turns the postings of one block into a matrix of at most ``BLOCK_DOCS`` documents and multiplies it
     with the query weights, so no posting is repeated per query.
     """
     spark = index.blocks.sparkSession
@@ -120,9 +174,7 @@ def _scored_in_blocks(index: Postings, weights: list[Row], chosen: list[Row], k:
     for r in weights:
         w[tpos[r["token"]], qpos[r["qid"]]] = r["w"]
         asks[tpos[r["token"]], qpos[r["qid"]]] = 1
-    by: dict[int, list[int]] = {}
-    for r in chosen:
-        by.setdefault(r["block"], []).append(qpos[r["qid"]])
+    by = {r["block"]: [qpos[q] for q in r["qids"]] for r in chosen}
     sent = spark.sparkContext.broadcast((qids, w, asks, by, index.mean_len))
     doc = index.blocks.schema["docs"].dataType.elementType
     schema = T.StructType([T.StructField("qid", qid.dataType), T.StructField("doc", doc), T.StructField("score", T.DoubleType())])
@@ -130,7 +182,7 @@ def _scored_in_blocks(index: Postings, weights: list[Row], chosen: list[Row], k:
     if numbered is None or not by:
         return spark.createDataFrame([], schema)
     opened = index.blocks.select("token", "block", "docs", "tfs", "lens").join(F.broadcast(numbered), "token")
-    blocks = spark.createDataFrame([(b,) for b in by], "block int")
+    blocks = spark.createDataFrame([(b,) for b in by], "block long")
     opened = opened.join(F.broadcast(blocks), "block").drop("token")
 
     def score(rows: pd.DataFrame) -> pd.DataFrame:
@@ -179,10 +231,11 @@ def search_steps(
     small = rows is not None and len({r["qid"] for r in rows}) * len({r["token"] for r in rows}) <= scale.BROADCAST_VALUES
 
     def scored(wanted: DataFrame) -> DataFrame:
-        pairs = scale.bounded_rows(wanted.select("qid", "block")) if small else None
-        if pairs is None:
+        # a pair is one number to every task; beyond the bound each posting meets the queries that ask for it
+        if not small or wanted.count() > scale.BROADCAST_VALUES:
             return _scored(index, weights, wanted)
-        return _scored_in_blocks(index, rows, pairs, k, weights.schema["qid"])
+        asking = wanted.groupBy("block").agg(F.collect_list("qid").alias("qids")).collect()
+        return _scored_in_blocks(index, rows, asking, k, weights.schema["qid"])
 
     top = scale.cut_lineage(scale.rank_per_group_salted(scored(ahead), ["qid"], order, k, "doc"))
     bar = top.where(F.col("rank") == k).select("qid", F.col("score").alias("bar"))

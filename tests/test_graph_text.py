@@ -376,6 +376,33 @@ def test_postings_of_nothing(spark):
     assert P.bm25_search(index, asks(spark), 5).count() == 0
 
 
+def test_postings_build_moves_texts_once_and_words_never(spark, tmp_path, monkeypatch):
+    """Words are counted where their block is; many (query, block) pairs still take the matrices."""
+    docs, q = corpus(spark, 300), asks(spark)
+    path = work_path(spark, "p")
+    index = P.write_postings(docs, path, block_docs=16)
+    files = index.blocks.select("block", F.input_file_name().alias("f")).distinct().groupBy("block").count()
+    assert files.agg(F.max("count")).head()[0] == 1
+    want = {(r["qid"], r["rank"]): (r["doc_id"], r["score"]) for r in H.bm25(docs, q, 5).collect()}
+    monkeypatch.setattr(scale, "BROADCAST_ROWS", 20)  # fewer than pairs
+
+    def joined(*_):
+        raise AssertionError("every posting was repeated per query")
+
+    monkeypatch.setattr(P, "_scored", joined)
+    got = {(r["qid"], r["rank"]): (r["doc_id"], r["score"]) for r in P.bm25_search(index, q, 5).collect()}
+    assert got.keys() == want.keys() and all(got[i][0] == want[i][0] and math.isclose(got[i][1], want[i][1], abs_tol=1e-8) for i in got)
+
+
+def test_postings_of_repeated_ids_stay_in_a_block(spark):
+    rows = [(i // 3, "a b" if i % 2 else "a c c") for i in range(60)] + [(None, "a b"), (70, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    index = P.write_postings(docs, work_path(spark, "p"), block_docs=2)
+    assert index.n_docs == 61
+    per = index.blocks.where("token = 'a'").select("block", F.explode("docs").alias("doc")).distinct().groupBy("doc").count()
+    assert {r["count"] for r in per.collect()} == {1} and per.count() == 20
+
+
 # ---------------------------------------------------------------- kernels
 
 
