@@ -64,6 +64,9 @@ class Tokenizer:
         while at < len(starts) - 1:
             lo = int(starts[at])
             end = max(at + 1, int(np.searchsorted(starts, lo + PART_CHARS, "right")) - 1)
+            # the pattern leaves the last of several white spaces to the word behind them: that stays with its word
+            while end - at > 1 and text[starts[end] - 1].isspace() and text[starts[end - 1] - 1].isspace():
+                end -= 1
             part = text[lo:int(starts[end])]
             ids = self._encoding.encode_ordinary(part) if len(part) <= PART_CHARS else self._encoding._encode_single_piece(part)
             out.append(np.asarray(ids, self.dtype))

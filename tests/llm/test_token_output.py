@@ -108,3 +108,12 @@ def test_many_empty_texts(spark, tmp_path):
     got = token_output.write(df, str(tmp_path / "out"), PATH, chunk_docs=1000)
     sizes = [len(r.segments) for r in got.select("segments").collect()]
     assert sum(sizes) == 100_000 and max(sizes) == 1000
+
+
+def test_parts_do_not_end_between_white_space_and_a_word(monkeypatch):
+    for text in ("11\n\n1", "ab \t\n.", "a\n\n\nb\n\n1"):
+        whole = TOKENIZER.encode(text).tolist()
+        for part in range(1, 8):
+            monkeypatch.setattr(token_output, "PART_CHARS", part)
+            assert TOKENIZER.encode(text).tolist() == whole
+        monkeypatch.undo()
