@@ -4,12 +4,13 @@ First pass: every task hashes the word sequences of its texts and sums equal one
 partition. The blocks of a partition meet in one Misra-Gries summary, whose capacity exceeds the
 partition's mass divided by the threshold. A summary then undercounts by less than the threshold, so every
 frequent sequence survives; summaries and blocks are merged by adding counters and subtracting the
-largest one too many. Second pass: only occurrences of survivors are counted, exactly and by their words.
+largest one too many. Second pass: only occurrences of survivors are counted, exactly and by their words,
+and summed in a task before they meet.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import count
@@ -37,6 +38,7 @@ BLOCK_ENTRIES = 3 << 19  # entries a task holds before it sends its blocks
 MERGE_ENTRIES = 1 << 20  # entries that wait for a merge into a summary
 SLOT_BITS = 32  # of the hash inside a partition; sequences that agree in it share a counter
 KNOWN_WORDS = 1 << 20  # words a task keeps numbers of
+TASKS_PER_CORE = 2  # of the second count
 
 # Pieces end at . , ; : ! ? and at line feed to carriage return. No UTF-8 text holds this byte.
 _EDGE = b"\xff"
@@ -52,6 +54,7 @@ class Tokens:
     left: np.ndarray  # words up to the next edge, itself included; 0 where no sequence begins
     words: list[bytes]  # by number
     langs: list[str]
+    anew: bool = True  # numbers of words began anew
 
 
 def _word_end(b: bytes, at: int) -> int:
@@ -104,7 +107,7 @@ class Numbers(defaultdict):
 
 def portions(batches: Iterable[pd.DataFrame], longest: int, size: int = PORTION_BYTES) -> Iterator[tuple[Tokens, np.ndarray]]:
     """Tokens of about ``size`` bytes of text at a time, with the hashes of all numbered words."""
-    numbers = Numbers()
+    numbers, anew = Numbers(), True
     langs: dict[str, int] = {}
     ids: list[np.ndarray] = []
     lang: list[tuple[int, int]] = []
@@ -117,7 +120,7 @@ def portions(batches: Iterable[pd.DataFrame], longest: int, size: int = PORTION_
         edge = np.where(word == 0, np.arange(n), n)
         left = np.minimum.accumulate(edge[::-1])[::-1] - np.arange(n)
         begins = np.repeat(np.tile([True, False], len(own)), np.array(own).ravel())
-        tokens = Tokens(word, np.repeat(*np.array(lang).T), np.where(begins, left, 0), list(numbers), list(langs))
+        tokens = Tokens(word, np.repeat(*np.array(lang).T), np.where(begins, left, 0), list(numbers), list(langs), anew)
         return tokens, numbers.hashed()
 
     for df in batches:
@@ -131,7 +134,8 @@ def portions(batches: Iterable[pd.DataFrame], longest: int, size: int = PORTION_
                 if held >= size:
                     yield take()
                     ids, lang, own, held = [], [], [], 0
-                    if len(numbers) > KNOWN_WORDS:
+                    anew = len(numbers) > KNOWN_WORDS
+                    if anew:
                         numbers = Numbers()
     if ids:
         yield take()
@@ -281,42 +285,108 @@ def survivors(texts: DataFrame, bits: int, threshold: int = THRESHOLD, longest:
     return dealt.mapInPandas(summaries, "part long, n long, slots binary")
 
 
-def _phrases(t: Tokens, firsts: np.ndarray, n: int, counts: np.ndarray) -> pd.DataFrame:
-    """Rows (lang, phrase, n) of the distinct sequences of ``n`` words that begin at ``firsts``."""
-    words = t.words
-    phrases = [b" ".join([words[i] for i in w]).decode() for w in t.word[firsts[:, None] + np.arange(n)].tolist()]
-    return pd.DataFrame({"lang": [t.langs[i] for i in t.lang[firsts].tolist()], "phrase": phrases, "n": counts})
+class Sequences:
+    """Counts of wanted sequences of the portions of a task, by length, while the numbers of words stay.
+
+    Equal sequences are found by their words, never by hashes: the number of a sequence comes from the
+    pair of the numbers of its beginning (its language, if it is one word) and its last word.
+    """
+
+    def __init__(self, longest: int):
+        self.longest = longest
+        self.words, self.langs = [], []
+        empty = lambda: [np.empty(0, np.int64) for _ in range(longest)]
+        self.pairs, self.numbers = empty(), empty()  # pairs in order, and the number of each
+        self.counts, self.keys = empty(), empty()  # by number
+
+    def __len__(self) -> int:
+        return sum(map(len, self.pairs))
+
+    def add(self, t: Tokens, hashes: np.ndarray, shift: int, wanted: np.ndarray | None) -> None:
+        """Sequences whose key is ``wanted`` (sorted; None: all).
+
+        The beginning of a frequent sequence is frequent, so only sequences whose beginning is wanted are
+        looked up.
+        """
+        self.words, self.langs = t.words, t.langs
+        seq = np.full(len(t.word), -1, np.int64)  # number of the wanted sequence of n words that begins here
+        for n, (at, h) in enumerate(sequence_hashes(t, hashes, self.longest), 1):
+            if n > 1:
+                begun = seq[at] >= 0
+                at, h = at[begun], h[begun]
+            key = h >> np.uint64(shift)
+            if wanted is not None:
+                place = np.searchsorted(wanted, key)
+                hit = place < len(wanted)
+                hit[hit] = wanted[place[hit]] == key[hit]
+                at, key = at[hit], key[hit]
+            if not len(at):
+                return
+            before = t.lang[at] if n == 1 else seq[at]
+            pair, first, which, counts = np.unique(
+                before << 32 | t.word[at + n - 1], return_index=True, return_inverse=True, return_counts=True
+            )
+            seq = np.full(len(t.word), -1, np.int64)
+            seq[at] = self._met(n - 1, pair, counts, key[first].view(np.int64))[which]
+
+    def _met(self, size: int, pair: np.ndarray, counts: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Numbers of distinct sequences, whose counts are added."""
+        have = self.pairs[size]
+        place = np.searchsorted(have, pair)
+        new = place == len(have)
+        new[~new] = have[place[~new]] != pair[~new]
+        number = np.empty(len(pair), np.int64)
+        number[~new] = self.numbers[size][place[~new]]
+        number[new] = np.arange(len(have), len(have) + np.count_nonzero(new))
+        self.pairs[size] = np.insert(have, place[new], pair[new])
+        self.numbers[size] = np.insert(self.numbers[size], place[new], number[new])
+        self.keys[size] = np.concatenate([self.keys[size], key[new]])
+        self.counts[size] = np.concatenate([self.counts[size], np.zeros(np.count_nonzero(new), np.int64)])
+        self.counts[size][number] += counts
+        return number
+
+    def rows(self) -> Iterator[pd.DataFrame]:
+        """(lang, phrase, n, key) of every sequence."""
+        words = self.words
+        for pairs, numbers, counts, keys in zip(self.pairs, self.numbers, self.counts, self.keys):
+            pair = np.empty_like(pairs)
+            pair[numbers] = pairs
+            before, last = pair >> 32, (pair & 0xFFFFFFFF)[:, None]
+            if pairs is self.pairs[0]:
+                lang, spelt = before, last
+            else:
+                lang, spelt = lang[before], np.hstack([spelt[before], last])
+            for lo in range(0, len(pair), 1 << 16):
+                s = slice(lo, lo + (1 << 16))
+                phrases = [b" ".join([words[i] for i in w]).decode() for w in spelt[s].tolist()]
+                yield pd.DataFrame({"lang": [self.langs[i] for i in lang[s].tolist()], "phrase": phrases, "n": counts[s], "key": keys[s]})
 
 
 def counted(t: Tokens, hashes: np.ndarray, longest: int, shift: int, wanted: np.ndarray | None) -> Iterator[pd.DataFrame]:
-    """(lang, phrase, n, key) of the sequences of a portion whose key is ``wanted`` (sorted; None: all).
+    """(lang, phrase, n, key) of the sequences of one portion whose key is ``wanted`` (sorted; None: all)."""
+    held = Sequences(longest)
+    held.add(t, hashes, shift, wanted)
+    yield from held.rows()
 
-    Equal sequences are found by their words, never by hashes: the number of a sequence comes from the
-    pair of the numbers of its beginning and its last word. The beginning of a frequent sequence is
-    frequent, so only sequences whose beginning is wanted are looked up.
+
+def summed_portions(
+    batches: Iterable[pd.DataFrame], longest: int, shift: int, wanted: np.ndarray | None, size: int = PORTION_BYTES
+) -> Iterator[pd.DataFrame]:
+    """(lang, phrase, n, key) of all texts of a task, and the words of a language as phrase ''.
+
+    A sequence is one row a task, not one a portion: rows leave when the task ends, when it holds more than
+    BLOCK_ENTRIES or when the numbers of words begin anew.
     """
-    n_tokens = len(t.word)
-    seq = np.full(n_tokens, -1, np.int64)  # number of the wanted sequence of n words that begins here
-    for n, (at, h) in enumerate(sequence_hashes(t, hashes, longest), 1):
-        if n > 1:
-            begun = seq[at] >= 0
-            at, h = at[begun], h[begun]
-        key = h >> np.uint64(shift)
-        if wanted is not None:
-            place = np.searchsorted(wanted, key)
-            hit = place < len(wanted)
-            hit[hit] = wanted[place[hit]] == key[hit]
-            at, key = at[hit], key[hit]
-        if not len(at):
-            return
-        before = t.lang[at] if n == 1 else seq[at]
-        pair = before * len(t.words) + t.word[at + n - 1]
-        _, first, number, counts = np.unique(pair, return_index=True, return_inverse=True, return_counts=True)
-        seq = np.full(n_tokens, -1, np.int64)
-        seq[at] = number
-        for lo in range(0, len(first), 1 << 16):
-            s = slice(lo, lo + (1 << 16))
-            yield _phrases(t, at[first[s]], n, counts[s]).assign(key=key[first[s]].view(np.int64))
+    held, totals = Sequences(longest), Counter()
+    for t, hashes in portions(batches, longest, size):
+        if t.anew or len(held) > BLOCK_ENTRIES:
+            yield from held.rows()
+            held = Sequences(longest)
+        totals.update(dict(zip(t.langs, np.bincount(t.lang[t.left >= 1], minlength=len(t.langs)).tolist())))
+        held.add(t, hashes, shift, wanted)
+    yield from held.rows()
+    if totals:
+        yield pd.DataFrame({"lang": list(totals), "phrase": "", "n": list(totals.values()), "key": -1})
 
 
 def exact_counts(
@@ -338,12 +408,11 @@ def exact_counts(
     shift = 64 - bits - SLOT_BITS
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for t, hashes in portions(batches, longest):
-            totals = np.bincount(t.lang[t.left >= 1], minlength=len(t.langs))
-            yield pd.DataFrame({"lang": t.langs, "phrase": "", "n": totals, "key": -1})
-            yield from counted(t, hashes, longest, shift, None if shared is None else shared.value)
+        yield from summed_portions(batches, longest, shift, None if shared is None else shared.value)
 
-    rows = texts.select("lang", "text").mapInPandas(run, "lang string, phrase string, n long, key long")
+    # every task sends a sum of each frequent sequence it meets: fewer tasks only send fewer sums
+    dealt = texts.select("lang", "text").coalesce(TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
+    rows = dealt.mapInPandas(run, "lang string, phrase string, n long, key long")
     if shared is None:
         slot = F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1))
         byte = lambda i: F.conv(F.hex(F.substring("slots", F.col("i") * 4 + 4 - i, F.lit(1))), 16, 10)

@@ -121,6 +121,50 @@ def test_long_texts_in_slices(monkeypatch):
     assert counts(50) == want
 
 
+def test_a_sequence_is_one_row_a_task(spark, monkeypatch):
+    import pandas as pd
+
+    texts = [("en", "a b c. New York"), ("de", "a b"), (None, "")] * 200
+    batches = lambda: iter([pd.DataFrame([(g or "und", t) for g, t in texts], columns=["lang", "text"])])
+    want = Counter({("en", ""): 1000, ("de", ""): 400, ("und", ""): 0})
+    for g, t in texts:
+        for w in words_of(t):
+            want.update((g, " ".join(w[i:i + k])) for k in range(1, 6) for i in range(len(w) - k + 1))
+
+    def rows():
+        return [(r.lang, r.phrase, r.n) for df in phrases.summed_portions(batches(), 5, 16, None, 40) for r in df.itertuples()]
+
+    once = rows()
+    assert len(once) == len(want) and {(g, p): n for g, p, n in once} == want
+    for name in ("BLOCK_ENTRIES", "KNOWN_WORDS"):  # rows that leave early add up to the same
+        with monkeypatch.context() as m:
+            m.setattr(phrases, name, 3)
+            got = Counter()
+            for g, p, n in rows():
+                got[g, p] += n
+        assert got == want
+
+    sent = []
+    schema = "lang string, phrase string, n long, key long"
+    plain_map = type(spark.range(0)).mapInPandas
+
+    def seen(df, f, s):
+        made = plain_map(df, f, s)
+        if s == schema:
+            sent.append(made.where("phrase = 'a b'").select("n").collect())
+        return made
+
+    monkeypatch.setattr(type(spark.range(0)), "mapInPandas", seen)
+    monkeypatch.setattr(phrases.portions, "__defaults__", (40,))
+    monkeypatch.setattr(phrases.summed_portions, "__defaults__", (40,))
+    df = spark.createDataFrame(texts, "lang string, text string")
+    cores = spark.sparkContext.defaultParallelism
+    for parts, most in ((1, 2), (cores * 8, 2 * 2 * cores)):  # one row a language and task, and tasks do not follow the files
+        got = phrases.mine(df.repartition(parts), threshold=100)
+        assert sorted(tuple(r) for r in got.collect()) == plain(texts, 100)
+        assert 2 <= len(sent[-1]) <= most and sum(r.n for r in sent[-1]) == 400
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.lists(st.tuples(st.integers(0, 40), st.integers(1, 30)), max_size=60), max_size=8), st.integers(2, 60))
 def test_summary_keeps_what_is_frequent(blocks, threshold):
