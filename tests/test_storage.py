@@ -1,6 +1,7 @@
 import contextlib
 import io
 import os
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import types as T
 
 from tests.conftest import as_float32, frame, matrix
 
+from tessera import scale
 from tessera.functions import scalars as SC
 from tessera.operators import profiles as P
 from tessera.operators import relational as R
@@ -346,3 +348,15 @@ def test_vector_files_below_a_mount_of_spark(spark, tmp_path):
     xvecs.write_xvecs(frame(spark, x), "viewfs://vectors/in/some/x", "fvecs", "id")
     back = xvecs.read_xvecs(spark, "viewfs://vectors/in/some/x", "fvecs").collect()
     assert {r["row"]: r["vec"] for r in back} == dict(enumerate(x.tolist()))
+
+
+@pytest.mark.parametrize("rows", [50_000, 3])
+def test_pairs_of_hot_keys_are_dealt_out(spark, monkeypatch, rows):
+    monkeypatch.setattr(scale, "BROADCAST_ROWS", rows)
+    left = spark.createDataFrame([(i % 2 if i % 5 else None, i) for i in range(20)], "k long, a long")
+    right = spark.createDataFrame([(i % 3 if i % 7 else None, i % 150) for i in range(300)], "j long, b long").coalesce(1)
+    got = R.hash_join(left, right, "k", "j").select("k", "a", "b", F.spark_partition_id().alias("task")).collect()
+    want = [(x.k, x.a, y.b) for x in left.collect() for y in right.collect() if x.k is not None and x.k == y.j]
+    assert sorted((r.k, r.a, r.b) for r in got) == sorted(want)
+    share = Counter(r.task for r in got)
+    assert len(share) > 4 and max(share.values()) < len(want) / 2
