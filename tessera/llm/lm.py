@@ -19,18 +19,20 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
-from itertools import repeat
+from functools import cached_property
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tessera.llm.common import byte_words, named, received, remainder, sent
+from tessera.llm.common import named, received, remainder, sent
 from tessera.llm.rows import FILE, ROW, located, written
 
 HELD_OUT_MOD, HELD_OUT_REST = 7, 2
@@ -59,6 +61,10 @@ MOST_PIECES = 1 << 15  # texts in a chunk
 STEP_TOKENS = 1 << 15
 TASKS_PER_CORE = 2
 RATE, DAMPING, L2 = 0.3, 2.0, 1e-3
+ROW_BLOCK = 1 << 11  # rows of a table that are updated at once, while they are in the cache
+SPLIT_BYTES = 1 << 23  # of text split into words at once; a longer text is alone
+COUNTED_BYTES = 1 << 25  # of words counted at once
+HELD_BYTES = 1 << 25  # of distinct words and their counts that a task keeps
 SALTS = 4
 BLOCK_VALUES = 1 << 14  # weights sent in one row when tasks' changes are added
 END = b""  # the token after the last word; no word is empty
@@ -137,13 +143,12 @@ class Lexicon:
 
     def __post_init__(self):
         n = CLASSES * MEMBERS
-        self.number = {w.encode(): i for i, w in enumerate(self.words)}
         self.rare_tokens = self.tokens - int(self.counts[:n].sum())
         self.rare_distinct = self.distinct - min(n, len(self.words))
         if len(self.words) > LEAST_CODE:
             raise ValueError(f"at most {LEAST_CODE} words can be known")
         self.log_count = np.log10(self.counts + 1.0)
-        self.code = code_of(self.number, len(self.words))
+        self.code = code_of((w.encode() for w in self.words), len(self.words))
         self.context = np.where(np.arange(len(self.words)) < n, np.arange(len(self.words)), rare_context(self.code))
         # logs of the shares of the classes and of the words in their class: where training starts
         known = self.counts[:n].astype(float)
@@ -157,6 +162,10 @@ class Lexicon:
         padded -= np.log(np.maximum(np.exp(padded).sum(1, keepdims=True), 1e-300))
         self.word_bias = np.maximum(padded, -1e4).astype(np.float32)
 
+    @cached_property
+    def number(self) -> dict[bytes, int]:
+        return {w.encode(): i for i, w in enumerate(self.words)}
+
 
 def context_hashes(one: np.ndarray, two: np.ndarray, features: int) -> np.ndarray:
     """(feature, token): hashes of the word before ``one``, of the one before that ``two``, and of both."""
@@ -235,8 +244,9 @@ class Batch:
 def _summed_rows(table: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
     z = table.take(rows[0], 0)
     z += bias
+    more = np.empty_like(z)
     for r in rows[1:]:
-        z += table.take(r, 0)
+        z += table.take(r, 0, out=more, mode="clip")  # rows are in range; the mode that raises would copy
     return z
 
 
@@ -275,20 +285,27 @@ def log10_probs(w: Weights, lex: Lexicon, b: Batch) -> np.ndarray:
 def _update(table: np.ndarray, squares: np.ndarray, rows: np.ndarray, p: np.ndarray) -> None:
     """One step of AdaGrad on sums, damped so that rare features move little; ``p``: softmax minus the truth."""
     size, width = table.shape
-    error, g = np.ascontiguousarray(p.T, dtype=np.float64), np.empty((width, size), np.float32)
-    for c, e in enumerate(error):  # one column and feature at a time stay in the cache
-        total = np.bincount(rows[0], e, size)
-        for r in rows[1:]:
-            total += np.bincount(r, e, size)
-        g[c] = total
-    g = g.T + L2 * table
-    step = g * g
-    squares += step
-    np.sqrt(squares, out=step)
-    step += DAMPING
-    g *= RATE
-    g /= step
-    table -= g
+    # columns lie apart by no power of two, or they would push each other out of the cache
+    error, sums = np.empty((width, len(p) + 16))[:, :len(p)], np.empty((width, size + 16), np.float32)
+    for lo in range(0, len(p), ROW_BLOCK):
+        error[:, lo:lo + ROW_BLOCK] = p[lo:lo + ROW_BLOCK].T
+    total = np.empty(size)
+    for c, e in enumerate(error):  # one column at a time stays in the cache
+        total.fill(0)
+        for r in rows:
+            np.add.at(total, r, e)
+        sums[c, :size] = total
+    for lo in range(0, size, ROW_BLOCK):
+        part, root = table[lo:lo + ROW_BLOCK], squares[lo:lo + ROW_BLOCK]
+        g = np.ascontiguousarray(sums[:, lo:min(lo + ROW_BLOCK, size)].T)
+        g += L2 * part
+        step = g * g
+        root += step
+        np.sqrt(root, out=step)
+        step += DAMPING
+        g *= RATE
+        g /= step
+        part -= g
 
 
 class Trainer:
@@ -349,7 +366,7 @@ def shard_log10_probs(
     mixed = (one.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (two.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
     mixed = (mixed ^ (mixed >> np.uint64(29)) ^ code.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
     mixed ^= mixed >> np.uint64(32)
-    order = np.argsort(mixed, kind="stable").astype(np.uint32)
+    order = np.argsort(mixed).astype(np.uint32)  # rows of one hash are equal
     del mixed
     one, two, code, learnt = (x[order] for x in (one, two, code, learnt))
     new = np.ones(len(order), bool)
@@ -434,13 +451,19 @@ def _unsqueezed(data: bytes, *types: str, by: zstandard.ZstdDecompressor | None
 TOKEN_TYPES = ("<u2", "<u4", "<u4", "<u4", "<u4")  # piece in the chunk, the two words before, hash, times
 
 
+def hash_order(code: np.ndarray) -> np.ndarray:
+    """Stable order of 32-bit hashes: short numbers are sorted by their digits, in two passes."""
+    low = np.argsort(code.astype(np.uint16), kind="stable")
+    return low[np.argsort((code >> 16).astype(np.uint16)[low], kind="stable")]
+
+
 def _to_shards(rare: Sequence[np.ndarray], lex: Lexicon, by: zstandard.ZstdCompressor) -> Iterator[tuple[int, int, bytes]]:
     """(group of shards, part, tokens) of the rare tokens of a chunk, given as columns like TOKEN_TYPES."""
     owner, one, two, code, times = rare
     shard = shard_of(code, lex.digits)
     part = part_of(one, two, shard, lex)
     group = shard // lex.shared_shards
-    order = np.lexsort((code, part, group)) if part.any() else np.argsort(code, kind="stable")
+    order = np.lexsort((code, part, group)) if part.any() else hash_order(code)
     owner, one, two, code, times, group, part = (x[order] for x in (owner, one, two, code, times, group, part))
     cuts = np.flatnonzero((np.diff(group) != 0) | (np.diff(part) != 0)) + 1
     for lo, hi in zip([0, *cuts], [*cuts, len(code)]) if len(code) else []:
@@ -481,27 +504,57 @@ def learnable(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.where(remainder(key, HELD_OUT_MOD) != HELD_OUT_REST).select(key.alias("doc_id"), named(docs, text_col).alias("text"))
 
 
+def split_texts(texts: pa.Array) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+    """(first text, words of some texts, words of each): the words of ``byte_words``, of a bounded number of bytes at a time."""
+    end = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    lo = 0
+    while lo < len(texts):
+        before = int(end[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(end, before + SPLIT_BYTES, "right")))
+        some = pc.fill_null(texts[lo:hi].cast(pa.string()), "")
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(some))
+        words, cuts = lists.flatten(), lists.offsets.to_numpy()
+        full = pc.not_equal(pc.binary_length(words), 0)  # white space at an end leaves an empty word
+        before = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False), dtype=np.int64)])
+        yield lo, words.filter(full), np.diff(before[cuts - cuts[0]])
+        lo = hi
+    pa.default_memory_pool().release_unused()
+
+
 def count_words(texts: DataFrame) -> DataFrame:
     """(word, n): tokens of all texts; words are counted per task before the shuffle."""
 
-    def count(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
-        for df in batches:
-            for text in df["text"]:
-                seen.update(byte_words(text))
-                seen[b""] += 1
-                if len(seen) > 1_000_000:
-                    yield _counted(seen)
-                    seen.clear()
-        if seen:
-            yield _counted(seen)
-
-    parts = texts.select("text").mapInPandas(count, "word string, n long")
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends, waiting, found = 0, [], []
+        for batch in batches:
+            for _, words, sizes in split_texts(batch.column(0)):
+                ends += len(sizes)
+                waiting.append(words)
+                if sum(x.nbytes for x in waiting) >= COUNTED_BYTES:
+                    found.append(_counted(waiting))
+                    waiting = []
+                    if sum(x.nbytes for x in found) >= HELD_BYTES:
+                        found = [_summed(found)]
+                        if found[0].nbytes >= HELD_BYTES:
+                            yield found.pop()
+        if ends:
+            end = pa.RecordBatch.from_arrays([pa.array([END.decode()]), pa.array([ends], pa.int64())], ["word", "n"])
+            yield _summed([*found, *([_counted(waiting)] if waiting else []), end])
+
+    parts = texts.select("text").mapInArrow(count, "word string, n long")
     return parts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _counted(seen: Counter) -> pd.DataFrame:
-    return pd.DataFrame({"word": [w.decode() for w in seen], "n": list(seen.values())})
+def _counted(words: list[pa.Array]) -> pa.RecordBatch:
+    counts = pa.chunked_array(words).value_counts()
+    return pa.RecordBatch.from_arrays([counts.field("values"), counts.field("counts")], ["word", "n"])
+
+
+def _summed(found: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """Counts of equal words added up."""
+    all_words = pa.concat_arrays([x["word"] for x in found]).dictionary_encode()
+    n = np.bincount(all_words.indices, np.concatenate([x["n"] for x in found])).astype(np.int64)
+    return pa.RecordBatch.from_arrays([all_words.dictionary, pa.array(n)], ["word", "n"])
 
 
 def lexicon(counts: DataFrame, known: int = KNOWN_WORDS) -> Lexicon:
@@ -518,10 +571,8 @@ def lexicon(counts: DataFrame, known: int = KNOWN_WORDS) -> Lexicon:
         if room < 0:
             break
         least = step["level"]
-    top = [] if least is None else counts.where(level >= least).collect()
-    top.sort(key=lambda r: (-r["n"], r["word"]))
-    lex = Lexicon([r["word"] for r in top], np.array([r["n"] for r in top], np.int64),
-                  sum(r["n"] for r in steps), sum(r["words"] for r in steps))
+    top = counts.where(F.lit(False) if least is None else level >= least).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
+    lex = Lexicon(top["word"].to_pylist(), top["n"].to_numpy(), sum(r["n"] for r in steps), sum(r["words"] for r in steps))
     digits = shard_digits(lex.rare_tokens)
     shift = BITS - DIGIT_BITS * digits
 
@@ -587,33 +638,38 @@ def tokenized(docs: DataFrame, lex: Lexicon, shared: Broadcast, id_col: str, tex
         " n_tokens long, n_known long, base double, cold string, cold_times array<int>"
     )
     second = StructType.fromDDL(CHUNKS)
+    piece_types = [pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.string(), pa.list_(pa.int32())]
 
-    def tokenize(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tokenize(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, press = received(shared, Lexicon), zstandard.ZstdCompressor(level=1)
-        get, known = lexicon.number.get, len(lexicon.words)
-        for df in batches:
-            out, held_tokens = [], 0
-            for doc, text, is_held, at_chunk, rank, place in df.itertuples(index=False):
-                ws = byte_words(text)
-                ws.append(END)
-                ids = np.fromiter(map(get, ws, repeat(-1)), np.int64, len(ws))
-                at = np.flatnonzero(ids < 0)
-                base = float(lexicon.log_count.take(ids[ids >= 0]).sum()) if known else 0.0
-                cold = [ws[i] for i in at.tolist()]
-                ids[at] = code_of(cold, len(cold))
-                again = Counter(cold)
-                ids = ids.astype("<u4")
-                whole = (len(ws), len(ws) - len(cold), base, b" ".join(again).decode() if again else None, list(again.values()))
-                for k, lo in enumerate(range(0, len(ids), PIECE_TOKENS)):
-                    lead = min(lo, 2)
-                    rest = whole if k == 0 else (0, 0, 0.0, None, None)
-                    out.append((doc, is_held, at_chunk, rank, place, k, lead, _squeezed(ids[lo - lead:lo + PIECE_TOKENS], by=press), min(len(ids) - lo, PIECE_TOKENS), *rest))
-                held_tokens += len(ids)
-                if held_tokens >= CHUNK_TOKENS:
-                    yield _frame(out, first)
-                    out, held_tokens = [], 0
-            if out:
-                yield _frame(out, first)
+        known = pa.array(lexicon.words, pa.string())
+        end = pc.index(known, END.decode()).as_py()  # -1 if it is not known
+        for batch in batches:
+            for at, words, sizes in split_texts(batch["text"]):
+                found = pc.index_in(words, value_set=known)
+                number = pc.fill_null(found, -1).to_numpy()
+                cold = words.filter(found.is_null()).cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+                codes = code_of(cold, len(cold))
+                cuts = np.concatenate([[0], np.cumsum(sizes)])
+                cold_cuts = np.searchsorted(np.flatnonzero(number < 0), cuts).tolist()
+                cuts, out = cuts.tolist(), []
+                for k in range(len(sizes)):
+                    ids = np.append(number[cuts[k]:cuts[k + 1]], end).astype(np.int64)
+                    base = float(lexicon.log_count.take(ids[ids >= 0]).sum()) if len(known) else 0.0
+                    mine, code = cold[cold_cuts[k]:cold_cuts[k + 1]], codes[cold_cuts[k]:cold_cuts[k + 1]]
+                    if end < 0:
+                        mine, code = [*mine, END], np.append(code, code_of([END], 1))
+                    ids[ids < 0] = code
+                    again = Counter(mine)
+                    ids = ids.astype("<u4")
+                    whole = (len(ids), len(ids) - len(mine), base, b" ".join(again).decode() if again else None, list(again.values()))
+                    for piece, lo in enumerate(range(0, len(ids), PIECE_TOKENS)):
+                        lead = min(lo, 2)
+                        rest = whole if piece == 0 else (0, 0, 0.0, None, None)
+                        out.append((at + k, piece, lead, _squeezed(ids[lo - lead:lo + PIECE_TOKENS], by=press), min(len(ids) - lo, PIECE_TOKENS), *rest))
+                row, *made = zip(*out)
+                columns = [batch[c].take(pa.array(row)) for c in ("doc_id", "held_out", "chunk", "rank", "place")]
+                yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, made, piece_types)], first.names)
 
     def chunks(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, cut, pieces, n, doc = None, 0, {}, 0, -1
@@ -653,7 +709,7 @@ def tokenized(docs: DataFrame, lex: Lexicon, shared: Broadcast, id_col: str, tex
                 yield _frame(heads, second)
         yield from done()
 
-    dealt = rows.mapInPandas(tokenize, first).repartition("chunk").sortWithinPartitions("chunk", "rank", "doc_id", "place", "piece")
+    dealt = rows.mapInArrow(tokenize, first).repartition("chunk").sortWithinPartitions("chunk", "rank", "doc_id", "place", "piece")
     return written(dealt.mapInPandas(chunks, second), "tokens")
 
 
@@ -741,10 +797,10 @@ def _vocabulary(counts: DataFrame, shared: Broadcast) -> DataFrame:
     """
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lexicon, press = received(shared, Lexicon), zstandard.ZstdCompressor(level=1)
-        n = CLASSES * MEMBERS
+        frequent = {w.encode() for w in lexicon.words[:CLASSES * MEMBERS]}
         for df in batches:
             words = [w.encode() for w in df["word"]]
-            rare = np.array([not 0 <= lexicon.number.get(w, -1) < n for w in words], bool)
+            rare = np.array([w not in frequent for w in words], bool)
             code, times = code_of(words, len(words))[rare], df["n"].to_numpy(np.int64)[rare]
             shard = shard_of(code, lexicon.digits)
             group = shard // lexicon.shared_shards
@@ -792,7 +848,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known
                     total[lo:] += np.bincount(b.owner, log10_probs(w, lexicon, b), len(total) - lo)
                     at = np.flatnonzero(~b.frequent)
                     rare.append([x[at].astype(t) for x, t in zip((b.owner + lo, b.one, b.two, b.code, b.times), TOKEN_TYPES)])
-                columns = [np.concatenate(x).astype(np.int64) for x in zip(*rare)]
+                columns = [np.concatenate(x) for x in zip(*rare)]
                 found = [(s, p, row["chunk"], bool(row["held_out"]), t) for s, p, t in _to_shards(columns, lexicon, press)]
                 times = np.asarray(row["times"], "<i4").tobytes()
                 top = times + np.asarray(row["docs"], "<i8").tobytes() + total.astype("<f8").tobytes()

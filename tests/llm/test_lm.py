@@ -4,9 +4,13 @@ from collections import Counter
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from tessera.llm import lm
+from tessera.llm.common import byte_words
 from tests.conftest import SF
 from tests.llm import odd
 
@@ -279,3 +283,67 @@ def test_columns_are_kept_byte_by_byte():
     back = lm._unsqueezed(lm._squeezed(*cols), "<u2", "<u4", "<f8")
     assert all((a == b).all() for a, b in zip(cols, back))
     assert [len(x) for x in lm._unsqueezed(lm._squeezed(*[c[:0] for c in cols]), "<u2", "<u4", "<f8")] == [0, 0, 0]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.none() | st.text("aZ\u0130\u00c4\u00df \t\n\v\f\r\x1c\x1f\x85\xa0\u2003\u3000\0", max_size=12), max_size=8), st.integers(1, 12), st.integers(0, 2))
+def test_words_of_many_texts_at_once(texts, most, skip):
+    old, lm.SPLIT_BYTES = lm.SPLIT_BYTES, most
+    try:
+        found = [[] for _ in texts[skip:]]
+        for at, words, sizes in lm.split_texts(pa.array(texts, pa.string())[skip:]):
+            cuts = np.cumsum(sizes)
+            assert cuts[-1] == len(words)
+            for k, (lo, hi) in enumerate(zip(cuts - sizes, cuts)):
+                found[at + k] = [w.encode() for w in words[lo:hi].to_pylist()]
+        assert found == [byte_words(t) for t in texts[skip:]]
+    finally:
+        lm.SPLIT_BYTES = old
+
+
+@pytest.mark.parametrize("counted,held", [(1, 1), (1, 200), (200, 1), (1 << 26, 1 << 25)])
+def test_words_are_counted_part_by_part(spark, monkeypatch, counted, held):
+    monkeypatch.setattr(lm, "COUNTED_BYTES", counted)
+    monkeypatch.setattr(lm, "HELD_BYTES", held)
+    monkeypatch.setattr(lm, "SPLIT_BYTES", 40)
+    texts = [" ".join(f"W{i * k % 23}" for k in range(i % 9)) + " " * (i % 3) for i in range(200)] + [None, "", "\n"]
+    found = lm.count_words(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    want = Counter(w or "" for t in texts for w in tokens(t))
+    assert {r.word: r.n for r in found} == want and len(found) == len(want)
+
+
+@pytest.mark.parametrize("known", [0, 1, 3, 300])
+def test_texts_of_known_and_other_words(spark, known):
+    """The end of a text among the known words, and not; words of all texts looked up at once."""
+    rows = [(i, " ".join(["the"] * 9 + [f"w{i % 7}", f"x{i}"] * (i % 4)) if i % 5 else None) for i in range(60)]
+    check(lm.score(spark.createDataFrame(rows, "doc_id long, text string"), known=known).collect(), rows)
+
+
+def test_step_by_plain_sums():
+    rng = np.random.default_rng(5)
+    for size, width, n in ((64, 17, 500), (lm.ROW_BLOCK * 2, 8, 3000), (lm.ROW_BLOCK + 8, 3, 1)):
+        table, squares = rng.normal(size=(size, width)).astype(np.float32), rng.random((size, width)).astype(np.float32)
+        rows, p = rng.integers(0, size, (3, n)), rng.normal(size=(n, width)).astype(np.float32)
+        g = lm.L2 * table.astype(float)
+        for r in rows:
+            for k in range(n):
+                g[r[k]] += p[k]
+        more = squares + g * g
+        want = table - lm.RATE * g / (np.sqrt(more) + lm.DAMPING)
+        lm._update(table, squares, rows, p)
+        assert np.allclose(table, want, atol=1e-5) and np.allclose(squares, more, rtol=1e-4)
+
+
+def test_order_of_hashes():
+    code = np.random.default_rng(7).integers(0, 1 << 32, 5000).astype(np.uint32)
+    code = np.concatenate([code, code[:900], code & 0xFFFF, code & 0xFFFF0000])
+    assert (lm.hash_order(code) == np.argsort(code, kind="stable")).all()
+    assert len(lm.hash_order(code[:0])) == 0
+
+
+def test_tasks_get_no_table_of_python_words(spark):
+    """Words are looked up a batch at a time: a table of them in Python took most of the time of a task."""
+    lex = lm.Lexicon(["", "a"], np.array([2, 1]), 3, 2)
+    assert lex.number == {b"": 0, b"a": 1}
+    fresh = lm.Lexicon(["", "a"], np.array([2, 1]), 3, 2)
+    assert "number" not in lm.sent(spark, fresh).value
