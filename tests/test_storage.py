@@ -360,3 +360,29 @@ def test_pairs_of_hot_keys_are_dealt_out(spark, monkeypatch, rows):
     assert sorted((r.k, r.a, r.b) for r in got) == sorted(want)
     share = Counter(r.task for r in got)
     assert len(share) > 4 and max(share.values()) < len(want) / 2
+
+
+@pytest.mark.parametrize("block", [1, 4, 256])
+def test_join_by_blocks_keeps_every_pair(spark, monkeypatch, block):
+    monkeypatch.setattr(scale, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(R, "BLOCK_ROWS", block)
+    left = spark.createDataFrame([(i % 3 if i % 5 else None, i % 11 if i % 4 else None, "x.y") for i in range(60)], "k int, a long, `dotted.name` string")
+    right = spark.createDataFrame([(i % 4 if i % 7 else None, i % 40 if i % 3 else None) for i in range(200)], "j long, b long")
+    got = R.hash_join(left, right, "k", "j")
+    assert got.columns == ["k", "a", "dotted.name", "j", "b"]
+    want = [(*x, *y) for x in left.collect() for y in right.collect() if x.k is not None and x.k == y.j]
+    assert Counter(map(tuple, got.collect())) == Counter(want)
+
+
+def test_pairs_of_a_hot_key_take_few_bytes(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(scale, "BROADCAST_ROWS", 3)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large tables
+    try:
+        left = spark.range(60).select(F.lit(1).alias("k"), F.col("id").alias("a"))
+        right = spark.range(30_000).select(F.lit(1).alias("j"), F.col("id").alias("b"))
+        pairs = R.hash_join(left, right, "k", "j").select("k", "a", "b")
+        pairs.write.option("compression", "snappy").parquet(str(tmp_path / "pairs"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert spark.read.parquet(str(tmp_path / "pairs")).distinct().count() == 1_800_000
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 1_800_000 / 2
